@@ -9,13 +9,11 @@ exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def stage(df: DataFrame, **columns: str) -> DataFrame:
-    """Add or replace columns given as SQL text, each evaluated exactly once per row."""
+def stage(df: DataFrame, **columns: str | Column) -> DataFrame:
+    """Add or replace columns (SQL text or Columns), each evaluated exactly once per row."""
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    made = ", ".join(f"{sql} AS `{name}`" for name, sql in columns.items())
-    names = list(columns)
-    struct = F.expr("struct(" + made + ")")
-    return df.select(*kept, F.inline_outer(F.array(struct)).alias(*names))
+    made = [(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*made))).alias(*columns))

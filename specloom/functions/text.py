@@ -55,6 +55,23 @@ def key_slug(x: str) -> str:
     return f"replace({slug(x)}, ' ', '_')"
 
 
+def array_literal(values: Iterable[str], cast: str = "STRING") -> str:
+    """A long constant array as one folded expression instead of one node per value."""
+    body = f"split({q(chr(31).join(values))}, {q(chr(31))})"
+    return body if cast == "STRING" else f"CAST({body} AS ARRAY<{cast}>)"
+
+
+def map_literal(table: dict[str, tuple], fields: dict[str, str]) -> str:
+    """A long constant map of structs (or of plain values when there is one field)."""
+    columns = [array_literal((str(row[i]) for row in table.values()), t)
+               for i, t in enumerate(fields.values())]
+    if len(columns) == 1:
+        return f"map_from_arrays({array_literal(table)}, {columns[0]})"
+    ddl = ",".join(f"{n}:{t}" for n, t in fields.items())
+    return (f"map_from_arrays({array_literal(table)},"
+            f" CAST(arrays_zip({', '.join(columns)}) AS ARRAY<STRUCT<{ddl}>>))")
+
+
 def title_words(x: str) -> str:
     return f"initcap({x})"
 

@@ -9,15 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from .text import general, let, number, q
-
-_UNIT_MAP = "map(" + ", ".join(
-    f"{q(s)}, named_struct('d', {q(d)}, 'f', {number(f)}, 'o', {number(o)})"
-    for s, (d, f, o) in fixed.UNITS.items()
-) + ")"
-_CANON_MAP = "map(" + ", ".join(
-    f"{q(d)}, {q(u)}" for d, u in fixed.CANONICAL_UNIT.items()
-) + ")"
+from .text import general, let, map_literal, q
+
+_UNIT_MAP = map_literal(
+    {s: (d, repr(f), repr(o)) for s, (d, f, o) in fixed.UNITS.items()},
+    {"d": "STRING", "f": "DOUBLE", "o": "DOUBLE"})
+_CANON_MAP = map_literal({d: (u,) for d, u in fixed.CANONICAL_UNIT.items()}, {"u": "STRING"})
 
 
 def fold(unit: str) -> str:

@@ -38,7 +38,7 @@ def classify(df: DataFrame, taxonomy: Taxonomy | None = None, mpn: str = "identi
         f" 'pat', size(filter(c.patterns, p -> trim({mpn}) RLIKE p)),"
         f" 'men', filter(transform(c.mentions, m -> get(filter(m, k -> {hit}), 0).n), x -> x IS NOT NULL),"
         " 'hint', coalesce(exists(c.kw, k -> contains(lower(category_hint), k.n)), false),"
-        " 'brand', coalesce(array_contains(brand_entry.categories, c.code), false))")
+        " 'brand', coalesce(array_contains(split(brand_entry.made, ','), c.code), false))")
     scored = let("x", parts, (
         "named_struct("
         "'score', aggregate(x.kw, 0D, (a, k) -> a + k.w) + 4D * x.pat + 0.6D * size(x.men)"

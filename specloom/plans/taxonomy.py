@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
-from ..functions.text import escape_rx, number, q, strings
+from ..functions.text import escape_rx, map_literal, number, q, strings
 from ..functions import units
 
 SCHEMA_DDL = """
@@ -206,11 +206,10 @@ def brand_listing(spark: SparkSession) -> DataFrame:
 
 
 def brand_map() -> str:
-    """Brand probe -> entry, as a literal map."""
-    return "map(" + ", ".join(
-        f"{q(p)}, named_struct('pos', {i}, 'canonical', {q(c)}, 'country', {q(k)},"
-        f" 'categories', {strings(cats)})"
-        for i, (p, (c, k, cats)) in enumerate(fixed.BRANDS.items())) + ")"
+    """Brand probe -> entry, as a literal map; ``made`` lists category codes."""
+    return map_literal(
+        {p: (i, c, k, ",".join(cats)) for i, (p, (c, k, cats)) in enumerate(fixed.BRANDS.items())},
+        {"pos": "INT", "canonical": "STRING", "country": "STRING", "made": "STRING"})
 
 
 __all__ = ["Taxonomy", "brand_listing", "brand_map", "typed", "number"]
