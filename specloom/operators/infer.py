@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .. import fixed
 from ..functions.stage import stage
 from ..functions.text import general, let, python_float, q
-from .records import NO_ATTRIBUTES, NULL, attribute, shown
+from .records import NO_ATTRIBUTES, attribute, shown
 
 
 def _spec(key: str) -> str:
@@ -166,5 +165,3 @@ def gaps(df: DataFrame) -> DataFrame:
     return df.select("id", F.expr(let("ks", "transform(attributes, a -> a.key)",
         "transform(filter(schema.attrs, a -> NOT array_contains(ks, a.key)), a -> a.key)")).alias("open_keys"))
 
-
-__all__ = ["infer", "from_series", "accept_proposals", "gaps", "NULL", "fixed"]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
 from ..functions.similarity import suggest
-from ..functions.text import q
 
 # Beyond this many vocabulary rows the side is joined without a broadcast.
 BROADCAST_ROWS = 2_000_000
@@ -181,5 +180,3 @@ def covered_classpaths(lov: DataFrame) -> DataFrame:
     """V8: classpaths that have a vocabulary."""
     return lov.select("classpath").distinct()
 
-
-__all__ = ["q"]
