@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import fixed
-from .text import in_list, let, map_literal, q
+from .text import in_list, let, lookup, lookup_one, q
 
 
 def uom_rows() -> list[tuple[str, str, str]]:
@@ -15,17 +15,16 @@ def uom_rows() -> list[tuple[str, str, str]]:
     return [(s, m, a) for s, (m, a) in table.items()]
 
 
-_UOM = map_literal({s: (m, a) for s, m, a in uom_rows()}, {"m": "STRING", "abbr": "STRING"})
-_ABBREVIATIONS = map_literal({k: (v,) for k, v in fixed.ABBREVIATIONS.items()}, {"a": "STRING"})
+_UOM = {s: (m, a) for s, m, a in uom_rows()}
 
 
 def approved_unit(unit: str) -> str:
     """T5: struct(m, abbr) of the approved unit, or null."""
-    return (f"try_element_at({_UOM}, regexp_replace(lower(trim({unit})), '\\\\s+', ' '))")
+    return lookup(_UOM, {"m": "STRING", "abbr": "STRING"}, f"regexp_replace(lower(trim({unit})), '\\\\s+', ' ')")
 
 
 def abbreviated(text: str) -> str:
-    return f"coalesce(try_element_at({_ABBREVIATIONS}, lower({text})), {text})"
+    return f"coalesce({lookup_one(fixed.ABBREVIATIONS, f'lower({text})')}, {text})"
 
 
 def to_fraction(value: str) -> str:

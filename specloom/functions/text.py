@@ -61,15 +61,22 @@ def array_literal(values: Iterable[str], cast: str = "STRING") -> str:
     return body if cast == "STRING" else f"CAST({body} AS ARRAY<{cast}>)"
 
 
-def map_literal(table: dict[str, tuple], fields: dict[str, str]) -> str:
-    """A long constant map of structs (or of plain values when there is one field)."""
-    columns = [array_literal((str(row[i]) for row in table.values()), t)
-               for i, t in enumerate(fields.values())]
-    if len(columns) == 1:
-        return f"map_from_arrays({array_literal(table)}, {columns[0]})"
-    ddl = ",".join(f"{n}:{t}" for n, t in fields.items())
-    return (f"map_from_arrays({array_literal(table)},"
-            f" CAST(arrays_zip({', '.join(columns)}) AS ARRAY<STRUCT<{ddl}>>))")
+def lookup(table: dict[str, tuple], fields: dict[str, str], key: str) -> str:
+    """Row of a constant table as a struct, or null: one scan of a folded key array.
+
+    Every array folds to a literal at planning time, so a lookup costs a few string
+    comparisons per row and the plan stays small.
+    """
+    columns = {n: array_literal((str(row[i]) for row in table.values()), t)
+               for i, (n, t) in enumerate(fields.items())}
+    made = ", ".join(f"'{n}', get({c}, CAST(ix - 1 AS INT))" for n, c in columns.items())
+    return let("ix", f"array_position({array_literal(table)}, {key})",
+               f"CASE WHEN ix > 0 THEN named_struct({made}) END")
+
+
+def lookup_one(table: dict[str, str], key: str) -> str:
+    """Single value of a constant table, or null."""
+    return f"try_element_at(map_from_arrays({array_literal(table)}, {array_literal(table.values())}), {key})"
 
 
 def title_words(x: str) -> str:
@@ -100,8 +107,8 @@ def python_float(d: str) -> str:
 def general(d: str) -> str:
     """``%g``: six significant digits, trailing zeros removed."""
     plain = " ".join(
-        f"WHEN {e} THEN regexp_replace(format_string('%.{5 - e}f', {d}), '\\\\.?0+$', '')"
-        if e < 5 else f"WHEN {e} THEN format_string('%.0f', {d})"
+        f"WHEN {e} THEN regexp_replace(replace(format_number({d}, {5 - e}), ',', ''), '\\\\.?0+$', '')"
+        if e < 5 else f"WHEN {e} THEN replace(format_number({d}, 0), ',', '')"
         for e in range(-4, 6)
     )
     exponent = f"CAST(split(format_string('%.5e', {d}), 'e')[1] AS INT)"

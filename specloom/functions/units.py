@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from .text import general, let, map_literal, q
+from .text import general, let, lookup as _row, lookup_one, q
 
-_UNIT_MAP = map_literal(
-    {s: (d, repr(f), repr(o)) for s, (d, f, o) in fixed.UNITS.items()},
-    {"d": "STRING", "f": "DOUBLE", "o": "DOUBLE"})
-_CANON_MAP = map_literal({d: (u,) for d, u in fixed.CANONICAL_UNIT.items()}, {"u": "STRING"})
+_UNITS = {s: (d, repr(f), repr(o)) for s, (d, f, o) in fixed.UNITS.items()}
 
 
 def fold(unit: str) -> str:
@@ -23,7 +20,7 @@ def fold(unit: str) -> str:
 
 def lookup(unit: str) -> str:
     """Unit row (dimension, factor, offset) or null."""
-    return f"try_element_at({_UNIT_MAP}, {fold(unit)})"
+    return _row(_UNITS, {"d": "STRING", "f": "DOUBLE", "o": "DOUBLE"}, fold(unit))
 
 
 def dimension(unit: str) -> str:
@@ -31,6 +28,11 @@ def dimension(unit: str) -> str:
     return f"{lookup(unit)}.d"
 
 
+def canonical(dim: str) -> str:
+    """Canonical unit of a dimension."""
+    return lookup_one(fixed.CANONICAL_UNIT, dim)
+
+
 def spellings(dim: str) -> list[str]:
     """Spellings of one dimension, longest first, for an alternation."""
     found = [s for s, (d, _, _) in fixed.UNITS.items() if d == dim]
@@ -49,7 +51,7 @@ def normalize(value: str, unit: str) -> str:
     return let("nu", lookup(unit),
                f"CASE WHEN nu IS NOT NULL THEN named_struct("
                f"'value', round(({value} + nu.o) * nu.f, 6),"
-               f" 'unit', try_element_at({_CANON_MAP}, nu.d)) END")
+               f" 'unit', {canonical('nu.d')}) END")
 
 
 def fraction(x: str) -> str:

@@ -200,7 +200,7 @@ def infer_types(values: DataFrame, by: list[str]) -> DataFrame:
         F.sum(F.when(F.col("is_q"), F.col("n"))).alias("parsed"),
         F.max(F.when(F.col("u").isNotNull(), F.struct(F.col("n"), F.col("u")))).alias("_m"))
     totals = totals.withColumn("found", F.col("_m.u"))
-    canon = f"coalesce(try_element_at({units._CANON_MAP}, {units.dimension('found')}), found)"
+    canon = f"coalesce({units.canonical(units.dimension('found'))}, found)"
     totals = totals.withColumn("canonical", F.expr(canon)).drop("_m")
     spans = per_unit.where("is_q").join(totals.select(*by, "found", "canonical"), by)
     def conv(x):

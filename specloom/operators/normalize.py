@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed
 from ..functions.stage import stage
 from ..functions.text import in_list, let, q, squash
-from ..plans.taxonomy import brand_map
+from ..plans.taxonomy import brand_row
 
 TEXT_FIELDS = ["sku", "mpn", "brand", "name", "description", "category_hint", "free_text"]
 EMPTY_FIELDS = ["sku", "mpn", "brand", "name", "description", "free_text", "category_hint"]
@@ -35,13 +35,12 @@ def brand_entry_sql(brand: str) -> str:
     """Dictionary entry by exact name, then leading words, then any word."""
     probe = (f"regexp_replace(regexp_replace(lower(trim({brand})), '[^a-z0-9 ]', ''),"
              f" '\\\\s+', ' ')")
-    m = brand_map()
     first = "get(array_sort({}, (a, b) -> a.pos - b.pos), 0)"
     leading = (f"filter(transform(sequence(1, size(w)), n ->"
-               f" try_element_at({m}, array_join(slice(w, 1, n), ' '))), e -> e IS NOT NULL)")
-    words = f"filter(transform(w, t -> try_element_at({m}, t)), e -> e IS NOT NULL)"
+               f" {brand_row("array_join(slice(w, 1, n), ' ')")}), e -> e IS NOT NULL)")
+    words = f"filter(transform(w, t -> {brand_row('t')}), e -> e IS NOT NULL)"
     return let("w", f"split({probe}, ' ')",
-               f"coalesce(try_element_at({m}, array_join(w, ' ')),"
+               f"coalesce({brand_row('array_join(w, chr(32))')},"
                f" {first.format(leading)}, {first.format(words)})")
 
 

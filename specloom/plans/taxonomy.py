@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
-from ..functions.text import escape_rx, map_literal, number, q, strings
+from ..functions.text import escape_rx, lookup, number, q, strings
 from ..functions import units
 
 SCHEMA_DDL = """
@@ -205,11 +205,12 @@ def brand_listing(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "brand string")
 
 
-def brand_map() -> str:
-    """Brand probe -> entry, as a literal map; ``made`` lists category codes."""
-    return map_literal(
-        {p: (i, c, k, ",".join(cats)) for i, (p, (c, k, cats)) in enumerate(fixed.BRANDS.items())},
-        {"pos": "INT", "canonical": "STRING", "country": "STRING", "made": "STRING"})
+_BRANDS = {p: (i, c, k, ",".join(made)) for i, (p, (c, k, made)) in enumerate(fixed.BRANDS.items())}
 
 
-__all__ = ["Taxonomy", "brand_listing", "brand_map", "typed", "number"]
+def brand_row(probe: str) -> str:
+    """Brand entry of a folded name, or null; ``made`` lists category codes."""
+    return lookup(_BRANDS, {"pos": "INT", "canonical": "STRING", "country": "STRING", "made": "STRING"}, probe)
+
+
+__all__ = ["Taxonomy", "brand_listing", "brand_row", "typed", "number"]

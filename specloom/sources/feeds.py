@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
 from ..functions.text import in_list, let, q, squash
-from ..plans.taxonomy import brand_map
+from ..plans.taxonomy import brand_row
 
 _EMPTY_SPECS = "CAST(array() AS ARRAY<STRUCT<key:STRING,value:STRING,locator:STRING>>)"
 
@@ -82,13 +82,12 @@ def brand_in_text(x: str, longest: int = 3) -> str:
     follows the text and not the size of the dictionary.
     """
     longest = max(longest, max(len(p.split()) for p in fixed.BRANDS))
-    m = brand_map()
     words = f"filter(split(regexp_replace(lower({x}), '[^a-z0-9 ]', ' '), ' '), w -> true)"
     runs = " , ".join(f"transform(w, (t, i) -> array_join(slice(w, i + 1, {n}), ' '))" for n in range(1, longest + 1))
+    entry = ("CASE WHEN br IS NOT NULL THEN named_struct('n', length(t), 'p', -br.pos, 'c', br.canonical) END")
     found = let("w", words, f"array_distinct(flatten(array({runs})))")
     best = let("g", found, (
-        f"array_max(transform(filter(g, t -> t <> '' AND try_element_at({m}, t) IS NOT NULL), t ->"
-        f" named_struct('n', length(t), 'p', -try_element_at({m}, t).pos, 'c', try_element_at({m}, t).canonical)))"))
+        f"array_max(filter(transform(filter(g, t -> t <> ''), t -> {let('br', brand_row('t'), entry)}), x -> x IS NOT NULL))"))
     return f"{best}.c"
 
 
