@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ["values", "products"]
+THEMES = ["values", "products", "records"]
 
 
 def load():

@@ -132,7 +132,9 @@ def path_sql(path: str) -> str:
     head, _, rest = path.partition(".")
     if head == "input" and rest in _INPUT:
         return rest
-    if head in ("identity", "category", "content", "readiness", "compliance") and rest:
+    if head == "identity" and rest:
+        return f"identity[{q(rest)}]"
+    if head in ("category", "content", "readiness", "compliance") and rest:
         return f"{head}.{rest}"
     raise ProfileError(f"Unknown path '{path}'")
 

@@ -55,7 +55,7 @@ def canonical_brand(df: DataFrame, column: str = "brand") -> DataFrame:
 def identity(df: DataFrame) -> DataFrame:
     """Part number, SKU, GTIN, manufacturer, country and notes.
 
-    Needs ``clean_text`` and ``canonical_brand`` first.  Adds ``identity`` and
+    Needs ``clean_text`` and ``canonical_brand`` first.  Adds ``identity`` (a map) and
     ``identity_notes``.
     """
     corpus = ("concat_ws(' ', nullif(name, ''), nullif(description, ''),"
@@ -70,7 +70,7 @@ def identity(df: DataFrame) -> DataFrame:
         f" 'l1', {label1}, 't', nullif({token}, ''),"
         f" 'gtin', nullif(regexp_extract(_c, {q(fixed.GTIN_RX)}, 1), ''))")))
     df = stage(df, identity=(
-        "named_struct('mpn', coalesce(_i.own, CASE WHEN _i.l0 IS NOT NULL THEN"
+        "map('mpn', coalesce(_i.own, CASE WHEN _i.l0 IS NOT NULL THEN"
         " trim(BOTH ' .' FROM _i.l1) END, _i.t),"
         " 'sku', nullif(trim(sku), ''), 'brand', brand_name,"
         f" 'manufacturer', {squash(maker)},"
