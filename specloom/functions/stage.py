@@ -2,9 +2,9 @@
 
 Catalyst inlines projections and pushes filters through them, which is right for
 cheap expressions and wrong for an expression that walks a whole record: it would
-be evaluated once per reference, or once per array element inside a lambda.  A
-one-row generator keeps the derived columns where they were written; it adds no
-exchange.
+be evaluated once per reference, or once per array element inside a lambda.  An
+always-true test on the partition id marks the column as not to be inlined; the
+projection stays inside whole-stage codegen and adds no exchange.
 """
 
 from __future__ import annotations
@@ -15,5 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 def stage(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Add or replace columns (SQL text or Columns), each evaluated exactly once per row."""
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    made = [(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]
-    return df.select(*kept, F.inline_outer(F.array(F.struct(*made))).alias(*columns))
+    once = F.spark_partition_id() >= 0
+    made = [F.when(once, F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]
+    return df.select(*kept, *made)
