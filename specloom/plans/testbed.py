@@ -21,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     """Run testbed SQL with its tables bound as DataFrames (no temp views)."""
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+    text = sql.replace("{", "{{").replace("}", "}}")
+    for n in names:
+        text = text.replace("{{" + n + "}}", "{" + n + "}")
+    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def bound(sql: str, *names: str) -> str:

@@ -59,12 +59,12 @@ def gutter_candidates(page_lines: DataFrame) -> DataFrame:
     """Lines split on runs of two or more spaces, with the value's start and end offsets."""
     cell = q(r"\S+(?: \S+)*")
     df = (page_lines.withColumn("_c", F.expr(f"regexp_extract_all(text, {cell}, 0)")).where("size(_c) >= 2")
-          .withColumn("_s1", F.expr("regexp_instr(text, '\\\\S') + length(_c[0])"))
+          .withColumn("_s1", F.expr("regexp_instr(text, '\\\\S') + length(get(_c, 0))"))
           .withColumn("start", F.expr("_s1 - 1 + regexp_instr(substring(text, _s1), '\\\\S') - 1"))
-          .withColumn("end", F.expr("start + length(_c[1])")))
-    header = (f"lower({clean('_c[0]')}) IN {in_list(fixed.KEY_HEADERS)}"
-              f" AND lower({clean('_c[1]')}) IN {in_list(fixed.VALUE_HEADERS)}")
-    value = f"IF(size(_c) = 3 AND {_is_unit('get(_c, 2)')}, concat(_c[1], ' ', trim(get(_c, 2))), _c[1])"
+          .withColumn("end", F.expr("start + length(get(_c, 1))")))
+    header = (f"lower({clean('get(_c, 0)')}) IN {in_list(fixed.KEY_HEADERS)}"
+              f" AND lower({clean('get(_c, 1)')}) IN {in_list(fixed.VALUE_HEADERS)}")
+    value = f"IF(size(_c) = 3 AND {_is_unit('get(_c, 2)')}, concat(get(_c, 1), ' ', trim(get(_c, 2))), get(_c, 1))"
     return (df.where(f"NOT ({header})")
             .select("doc", "page", "line", F.expr(clean("_c[0]")).alias("key"), F.expr(clean(value)).alias("value"),
                     "start", "end").where(looks_like_spec()))

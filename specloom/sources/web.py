@@ -66,7 +66,7 @@ def table_pairs(html: str = "html") -> str:
     """First two cells of every table row."""
     rows = f"regexp_extract_all({html}, '(?is)<tr\\\\b[^>]*>(.*?)</tr>', 1)"
     return (f"transform(filter(transform({rows}, r -> regexp_extract_all(r, '(?is)<t[hd]\\\\b[^>]*>(.*?)</t[hd]>', 1)),"
-            f" c -> size(c) >= 2), c -> named_struct('key', {text_of('c[0]')}, 'value', {text_of('c[1]')}, 'how', 'html:table'))")
+            f" c -> size(c) >= 2), c -> named_struct('key', {text_of('get(c, 0)')}, 'value', {text_of('get(c, 1)')}, 'how', 'html:table'))")
 
 
 def definition_pairs(html: str = "html") -> str:
@@ -76,7 +76,7 @@ def definition_pairs(html: str = "html") -> str:
         return f"regexp_extract_all(d, '(?is)<{tag}\\\\b[^>]*>(.*?)</{tag}>', 1)"
     return ("flatten(transform(" + lists + ", d -> " + let("t", parts("dt"), let("v", parts("dd"),
             "transform(slice(t, 1, least(size(t), size(v))), (k, i) -> named_struct('key', " + text_of("k")
-            + ", 'value', " + text_of("v[i]") + ", 'how', 'html:deflist'))")) + "))")
+            + ", 'value', " + text_of("get(v, i)") + ", 'how', 'html:deflist'))")) + "))")
 
 
 def bullet_pairs(html: str = "html") -> str:
