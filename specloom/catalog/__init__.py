@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-THEMES = ["values", "products", "records", "sources"]
+THEMES = ["values", "products", "records", "sources", "learning"]
 
 
 def load():

@@ -66,7 +66,7 @@ def gutter_candidates(page_lines: DataFrame) -> DataFrame:
               f" AND lower({clean('get(_c, 1)')}) IN {in_list(fixed.VALUE_HEADERS)}")
     value = f"IF(size(_c) = 3 AND {_is_unit('get(_c, 2)')}, concat(get(_c, 1), ' ', trim(get(_c, 2))), get(_c, 1))"
     return (df.where(f"NOT ({header})")
-            .select("doc", "page", "line", F.expr(clean("_c[0]")).alias("key"), F.expr(clean(value)).alias("value"),
+            .select("doc", "page", "line", F.expr(clean("get(_c, 0)")).alias("key"), F.expr(clean(value)).alias("value"),
                     "start", "end").where(looks_like_spec()))
 
 

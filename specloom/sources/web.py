@@ -34,7 +34,7 @@ def json_ld(pages: DataFrame) -> DataFrame:
     script = r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
     node = f"STRUCT<{_NODE}>"
     parsed = ("flatten(transform(regexp_extract_all(html, " + q(script) + ", 1), j -> "
-              + let("g", "get_json_object(j, '$[\"@graph\"]')",
+              + let("g", "get_json_object(j, " + q("$['@graph']") + ")",
                     f"coalesce(from_json(coalesce(g, j), 'ARRAY<{node}>'), array())") + "))")
     product = "lower(n.`@type`) = 'product' OR (startswith(n.`@type`, '[') AND lower(n.`@type`) LIKE '%\"product\"%')"
     nodes = f"filter({parsed}, n -> n IS NOT NULL AND coalesce({product}, false))"
