@@ -12,7 +12,7 @@ from difflib import SequenceMatcher, get_close_matches
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from .. import fixed
 
@@ -125,14 +125,14 @@ def option_matcher(options_by_code: dict[str, list[tuple[str, ...]]]):
     return nearest
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def suggest(text: pd.Series, permitted: pd.Series) -> pd.Series:
     """V3: close match offered for a refused value."""
     return pd.Series([None if t is None or p is None else near_miss(t, tuple(p))
                       for t, p in zip(text, permitted)], dtype=object)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b)])
 

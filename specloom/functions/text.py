@@ -111,13 +111,14 @@ def general(d: str) -> str:
         if e < 5 else f"WHEN {e} THEN replace(format_number({d}, 0), ',', '')"
         for e in range(-4, 6)
     )
-    exponent = f"CAST(split(format_string('%.5e', {d}), 'e')[1] AS INT)"
+    exponent = f"CAST(floor(log10(abs({d}))) AS INT)"
+    tiny_or_huge = f"abs({d}) >= 999999.5D OR abs({d}) < 1e-4D"
+    scientific = (f"concat(regexp_replace(split(format_string('%.5e', {d}), 'e')[0], '\\\\.?0+$', ''),"
+                  f" 'e', split(format_string('%.5e', {d}), 'e')[1])")
     return (
         f"CASE WHEN {d} IS NULL THEN NULL"
         f" WHEN {d} = floor({d}) AND abs({d}) < 1e6 THEN CAST(CAST({d} AS BIGINT) AS STRING)"
         f" WHEN abs({d}) >= 1e-3 AND abs({d}) < 1e6 AND length(CAST(abs({d}) AS STRING)) <= 7"
         f" THEN CAST({d} AS STRING)"
-        f" ELSE CASE {exponent} {plain}"
-        f" ELSE concat(regexp_replace(split(format_string('%.5e', {d}), 'e')[0], '\\\\.?0+$', ''),"
-        f" 'e', split(format_string('%.5e', {d}), 'e')[1]) END END"
+        f" WHEN {tiny_or_huge} THEN {scientific} ELSE CASE {exponent} {plain} END END"
     )
