@@ -81,13 +81,16 @@ def repair_text(column: str) -> str:
 # ------------------------------------------------------------------ formats
 
 _PIECE = ("STRUCT<ord:INT,key:STRING,label:STRING,text:STRING,priority:INT,required:BOOLEAN,"
-          "tail:BOOLEAN,space:BOOLEAN,bare:STRING,refusal:STRING>")
+          "tail:BOOLEAN,space:BOOLEAN,bare:STRING,refusal:STRING,n:INT>")
 
 
-def render_attribute(a: str, spec: dict, with_label: bool) -> str:
-    """struct(text, bare, refusal) of one attribute in one format."""
-    compact = spec.get("compact", False)
-    plain = style.abbreviated(f"trim({a}.val)") if spec.get("abbreviate") else f"trim({a}.val)"
+def _variant(spec: dict) -> tuple[bool, bool, str]:
+    return bool(spec.get("compact")), bool(spec.get("abbreviate")), spec.get("label_style", "space")
+
+
+def render_attribute(a: str, compact: bool, abbreviate: bool, label_style: str) -> str:
+    """struct(t, b, r): labelled text, bare text, refusal of one attribute."""
+    plain = style.abbreviated(f"trim({a}.val)") if abbreviate else f"trim({a}.val)"
     number = f"{a}.kind IN ('int', 'float')"
     written = (f"CASE WHEN coalesce({a}.unit, '') <> '' THEN {style.measurement(a + '.val', a + '.num', a + '.unit', compact)}"
                f" WHEN {number} THEN {style.trimmed_number(a + '.num')} ELSE {plain} END")
@@ -95,15 +98,21 @@ def render_attribute(a: str, spec: dict, with_label: bool) -> str:
                " approved UOM list, so the value was left out of the copy rather than written in a"
                " non-standard form.') END")
     text = "wr"
-    if with_label and not compact:
+    if not compact:
         styled = (f"WHEN {number} THEN concat(wr, '-', {style.label_singular('lb')}) "
-                  if spec.get("label_style") == "hyphen_singular" else "")
+                  if label_style == "hyphen_singular" else "")
         text = ("CASE WHEN wr IS NULL THEN NULL WHEN " + style.wants_label(f"{a}.key", f"{a}.label", f"{a}.unit")
                 + " THEN " + let("lb", style.display_label(f"{a}.label"), (
                     f"CASE WHEN lower({a}.key) IN {in_list(fixed.PREFIX_LABEL_ATTRIBUTES)}"
                     f" THEN concat(lb, ': ', wr) {styled}ELSE concat(wr, ' ', lb) END")) + " ELSE wr END")
     return (f"CASE WHEN coalesce({a}.val, '') = '' THEN NULL ELSE "
-            + let("wr", written, f"named_struct('text', {text}, 'bare', wr, 'refusal', {refusal})") + " END")
+            + let("wr", written, f"named_struct('t', {text}, 'b', wr, 'r', {refusal})") + " END")
+
+
+def _views(variants: list[tuple[bool, bool, str]]) -> str:
+    """Every attribute written once per variant the formats ask for."""
+    made = ", ".join(f"'c{i}', {render_attribute('a', *v)}" for i, v in enumerate(variants))
+    return f"transform(attributes, a -> named_struct('key', a.key, 'label', a.label, 'prov', a.prov, {made}))"
 
 
 def _piece(key: str, label: str, text: str, bare: str, refusal: str, token: dict) -> str:
@@ -114,14 +123,14 @@ def _piece(key: str, label: str, text: str, bare: str, refusal: str, token: dict
     flags = {k: str(bool(token.get(k))).lower() for k in ("required", "tail", "space")}
     return (f"named_struct('ord', 0, 'key', {key}, 'label', {label}, 'text', nullif({text}, ''),"
             f" 'priority', {token['priority']}, 'required', {flags['required']}, 'tail', {flags['tail']},"
-            f" 'space', {flags['space']}, 'bare', {bare}, 'refusal', {refusal})")
+            f" 'space', {flags['space']}, 'bare', {bare}, 'refusal', {refusal}, 'n', 0)")
 
 
-def pieces(spec: dict) -> str:
+def pieces(spec: dict, variant: int) -> str:
     """Tokens of a format that resolved to text, in token order.
 
-    Reads lambda variables ``vis`` (attributes the format may use), ``brand_``,
-    ``maker_``, ``mpn_`` and ``type_``.
+    Reads ``vis`` (attribute views the format may use), ``brand_``, ``maker_``, ``mpn_``
+    and ``type_``.
     """
     named = [t["source"][5:] for t in spec["tokens"]
              if t["source"].startswith("attr:") and t["source"] != "attr:*"]
@@ -131,8 +140,8 @@ def pieces(spec: dict) -> str:
         if source.startswith("attr:"):
             chosen = (f"filter(vis, x -> x.key NOT IN {in_list(named)})" if source == "attr:*" and named
                       else "vis" if source == "attr:*" else f"filter(vis, x -> x.key = {q(source[5:])})")
-            one = let("rt", render_attribute("a", spec, bool(token.get("with_label"))),
-                      _piece("a.key", "a.label", "rt.text", "rt.bare", "rt.refusal", token))
+            c = f"a.c{variant}"
+            one = _piece("a.key", "a.label", f"{c}.{'t' if token.get('with_label') else 'b'}", f"{c}.b", f"{c}.r", token)
             parts.append(f"transform({chosen}, a -> {one})")
         else:
             value = {"brand": "brand_", "manufacturer": "maker_", "mpn": "mpn_", "item_type": "type_"}[source]
@@ -185,27 +194,50 @@ def _visible(spec: dict) -> str:
     excluded, skipped = spec.get("exclude_provenance", []), spec.get("exclude_keys", [])
     tests = ([f"a.prov NOT IN {in_list(excluded)}"] if excluded else []) + (
         [f"lower(a.key) NOT IN {in_list(skipped)}"] if skipped else [])
-    return f"filter(attributes, a -> {' AND '.join(tests)})" if tests else "attributes"
+    return f"filter(_v, a -> {' AND '.join(tests)})" if tests else "_v"
 
 
-def _numbered(raw: str) -> str:
+def _numbered(raw: str, spec: dict) -> str:
+    """Pieces with text, numbered in order, each with its length as it will be written."""
+    written = style.cased(squash("p.text"), spec["case"])
     return (f"transform(filter({raw}, p -> p.text IS NOT NULL), (p, i) -> named_struct('ord', i, 'key', p.key,"
             " 'label', p.label, 'text', p.text, 'priority', p.priority, 'required', p.required,"
-            " 'tail', p.tail, 'space', p.space, 'bare', p.bare, 'refusal', p.refusal))")
+            f" 'tail', p.tail, 'space', p.space, 'bare', p.bare, 'refusal', p.refusal, 'n', length({written})))")
 
 
 def _fit(ps: str, spec: dict) -> str:
-    """Grow from the required tokens by priority; whole tokens are dropped, never characters."""
+    """Grow from the required tokens by priority; whole tokens are dropped, never characters.
+
+    Casing and joining work word by word, so the length of a line is the sum of its
+    pieces and separators; the line itself is only written once, at the end.
+    """
     lo, hi = spec.get("min"), spec.get("max")
-    enough = f"length({_written('acc.kept', spec)}) >= {lo}" if lo else "false"
-    grown = "concat(acc.kept, array(t.p))"
-    over = f"length({_written(grown, spec)}) > {hi}" if hi else "false"
+    sep, tail_sep = len(spec["separator"]), len(spec.get("tail_separator", spec["separator"]))
+
+    def grown(z, p):
+        """Running length facts after adding piece ``p`` to facts ``z``."""
+        gap = f"IF({p}.space, 1, {sep})"
+        first = f"(NOT {p}.tail AND {p}.ord < {z}.first)"
+        return (f"named_struct('n', {z}.n + {p}.n, 'gaps', {z}.gaps + IF({p}.tail, 0, {gap}),"
+                f" 'first', IF({first}, {p}.ord, {z}.first), 'lead', IF({first}, {gap}, {z}.lead),"
+                f" 'tails', {z}.tails + IF({p}.tail, 1, 0), 'all', {z}.all + 1)")
+
+    def size(z):
+        heads = f"({z}.all - {z}.tails)"
+        return (f"({z}.n + {z}.gaps - {z}.lead + greatest({z}.tails - 1, 0) * {tail_sep}"
+                f" + IF({heads} > 0 AND {z}.tails > 0, {tail_sep}, 0))")
+    nothing = "named_struct('n', 0, 'gaps', 0, 'first', 1000000, 'lead', 0, 'tails', 0, 'all', 0)"
+    enough = f"{size('acc.z')} >= {lo}" if lo else "false"
+    over = f"{size('nz')} > {hi}" if hi else "false"
+    step = ("CASE WHEN acc.done THEN acc"
+            f" WHEN {enough} THEN named_struct('kept', acc.kept, 'dropped', acc.dropped, 'done', true, 'z', acc.z) ELSE "
+            + let("nz", grown("acc.z", "t.p"), (
+                f"IF({over}, named_struct('kept', acc.kept, 'dropped', concat(acc.dropped, array(t.p.label)), 'done', false, 'z', acc.z),"
+                " named_struct('kept', concat(acc.kept, array(t.p)), 'dropped', acc.dropped, 'done', false, 'z', nz))")) + " END")
     return (f"aggregate(array_sort(transform(filter({ps}, p -> NOT p.required), p -> named_struct("
             f"'pr', p.priority, 'o', p.ord, 'p', p))), named_struct('kept', filter({ps}, p -> p.required),"
-            " 'dropped', CAST(array() AS ARRAY<STRING>), 'done', false), (acc, t) -> CASE WHEN acc.done THEN acc"
-            f" WHEN {enough} THEN named_struct('kept', acc.kept, 'dropped', acc.dropped, 'done', true)"
-            f" WHEN {over} THEN named_struct('kept', acc.kept, 'dropped', concat(acc.dropped, array(t.p.label)), 'done', false)"
-            f" ELSE named_struct('kept', {grown}, 'dropped', acc.dropped, 'done', false) END)")
+            " 'dropped', CAST(array() AS ARRAY<STRING>), 'done', false, 'z',"
+            f" aggregate(filter({ps}, p -> p.required), {nothing}, (z, p) -> {grown('z', 'p')})), (acc, t) -> {step})")
 
 
 def _verdict(spec: dict, raw: str, ps: str, ft: str, full: str) -> str:
@@ -246,13 +278,15 @@ def compliance(df: DataFrame, formats: list[dict] | None = None) -> DataFrame:
                maker_="coalesce(identity.manufacturer, '')",
                mpn_="coalesce(nullif(identity.mpn, ''), mpn, '')",
                type_=f"coalesce(nullif(schema.noun, ''), {leaf}, '')")
-    df = stage(df, **{f"_r_{s['id']}": let("vis", _visible(s), pieces(s)) for s in formats})
-    df = stage(df, **{f"_p_{i}": _drop_repeats(_numbered(f"_r_{i}")) for i in ids})
+    variants = list(dict.fromkeys(_variant(s) for s in formats))
+    df = stage(df, _v=_views(variants))
+    df = stage(df, **{f"_r_{s['id']}": let("vis", _visible(s), pieces(s, variants.index(_variant(s)))) for s in formats})
+    df = stage(df, **{f"_p_{s['id']}": _drop_repeats(_numbered(f"_r_{s['id']}", s)) for s in formats})
     df = stage(df, **{f"_t_{s['id']}": _fit(f"_p_{s['id']}", s) for s in formats})
     df = stage(df, **{f"_u_{s['id']}": _written(f"_t_{s['id']}.kept", s) for s in formats})
     df = stage(df, fields="array(" + ", ".join(
         _verdict(s, f"_r_{s['id']}", f"_p_{s['id']}", f"_t_{s['id']}", f"_u_{s['id']}") for s in formats) + ")")
-    df = df.drop("brand_", "maker_", "mpn_", "type_", *[f"_{x}_{i}" for x in "rptu" for i in ids])
+    df = df.drop("_v", "brand_", "maker_", "mpn_", "type_", *[f"_{x}_{i}" for x in "rptu" for i in ids])
     return df.withColumn("compliance", F.expr(
         "named_struct('compliant', forall(fields, f -> f.compliant),"
         " 'breaches', transform(filter(fields, f -> NOT f.compliant), f -> f.label))"))

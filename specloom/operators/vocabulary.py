@@ -58,9 +58,13 @@ def read_lov(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return values, synonyms
 
 
-def _side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast a vocabulary side only after its size has been checked."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def _side(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Broadcast a vocabulary side only after its size has been checked.
+
+    A side derived from ``of`` by grouping or filtering is no larger than ``of``, so the
+    source is counted instead (vocabularies are small tables; the count is one short job).
+    """
+    return F.broadcast(df) if (of if of is not None else df).count() <= BROADCAST_ROWS else df
 
 
 def resolve(values: DataFrame, lov: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -73,11 +77,16 @@ def resolve(values: DataFrame, lov: DataFrame, synonyms: DataFrame) -> DataFrame
     v = values.withColumns({"_cp": cp, "_v": F.trim("value"), "_lv": F.lower(F.trim("value")),
                             "_fv": F.expr(fold("value"))})
     base = lov.withColumn("_cp", cp)
+    small = lov.count() <= BROADCAST_ROWS and synonyms.count() <= BROADCAST_ROWS
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
     # dict semantics of the lookups: a later value replaces an earlier one with the same key
     def keyed(expr: str, name: str) -> DataFrame:
-        return _side(base.groupBy("_cp", "key", F.expr(expr).alias(name))
-                     .agg(F.max_by("value", "pos").alias(name + "_hit")))
-    covered = _side(base.select("_cp", "key").distinct().withColumn("_cov", F.lit(True)))
+        return side(base.groupBy("_cp", "key", F.expr(expr).alias(name))
+                    .agg(F.max_by("value", "pos").alias(name + "_hit")))
+    covered = side(base.select("_cp", "key").distinct().withColumn("_cov", F.lit(True)))
     syn = (synonyms.withColumn("_cp", cp).withColumn("_fv", F.expr(fold("synonym")))
            .join(base.select("_cp", "key", F.col("value").alias("canonical")),
                  ["_cp", "key", "canonical"], "left_semi")
@@ -85,7 +94,7 @@ def resolve(values: DataFrame, lov: DataFrame, synonyms: DataFrame) -> DataFrame
     out = (v.join(covered, ["_cp", "key"], "left")
            .join(keyed("value", "_v"), ["_cp", "key", "_v"], "left")
            .join(keyed("lower(value)", "_lv"), ["_cp", "key", "_lv"], "left")
-           .join(_side(syn), ["_cp", "key", "_fv"], "left")
+           .join(side(syn), ["_cp", "key", "_fv"], "left")
            .join(keyed(fold("value"), "_fv").withColumnRenamed("_fv_hit", "_fold_hit"),
                  ["_cp", "key", "_fv"], "left"))
     checked = F.col("_cov").isNotNull() & (F.coalesce("_v", F.lit("")) != "")
@@ -106,7 +115,7 @@ def suggestions(resolved: DataFrame, lov: DataFrame) -> DataFrame:
     refused = (resolved.where("checked AND approved IS NULL")
                .select(F.expr(fold("classpath")).alias("_cp"), "key", F.trim("value").alias("value"))
                .distinct())
-    return (refused.join(_side(permitted), ["_cp", "key"])
+    return (refused.join(_side(permitted, lov), ["_cp", "key"])
             .select(F.col("_cp").alias("folded_classpath"), "key", "value",
                     suggest("value", "permitted").alias("suggestion")))
 
@@ -127,7 +136,7 @@ def apply(resolved: DataFrame) -> DataFrame:
 
 def violations(applied: DataFrame, labels: DataFrame) -> DataFrame:
     """V4: LOV_VIOLATION warnings for refused values."""
-    names = _side(labels.select("key", "label").distinct())
+    names = _side(labels.select("key", "label").distinct(), labels)
     return (applied.where("outcome = 'refused'").join(names, "key", "left")
             .select("id", F.lit("LOV_VIOLATION").alias("code"), F.lit("warning").alias("severity"),
                     F.col("key").alias("field"),
@@ -149,7 +158,7 @@ def sequence(lov: DataFrame) -> DataFrame:
 def in_sequence(attributes: DataFrame, lov: DataFrame) -> DataFrame:
     """V5: attributes with the list's order; unlisted ones after it."""
     order = sequence(lov)
-    return (attributes.join(_side(order), ["classpath", "key"], "left")
+    return (attributes.join(_side(order, lov), ["classpath", "key"], "left")
             .withColumn("sequence", F.coalesce("sequence", F.lit(10_000))))
 
 
@@ -160,7 +169,7 @@ def filterable(lov: DataFrame) -> DataFrame:
 
 def facet_counts(applied: DataFrame, lov: DataFrame) -> DataFrame:
     """V6: products per facet value; partial counts combine before the shuffle."""
-    return (applied.join(_side(filterable(lov)), ["classpath", "key"], "left_semi")
+    return (applied.join(_side(filterable(lov), lov), ["classpath", "key"], "left_semi")
             .groupBy("key", "value").agg(F.count("*").alias("products")))
 
 
