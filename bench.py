@@ -38,10 +38,11 @@ def run(df: DataFrame) -> None:
 def lineitem_products(spark: SparkSession) -> DataFrame:
     """One product record per order line, spread over the cores."""
     from specloom.plans.testbed import products
+    from specloom.functions.stage import spread
     lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").select(
         F.col("l_partkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"))
     base = products(spark, SF_DIR)
-    return (lines.repartition(int(CPUS) * 4).join(F.broadcast(base), F.col("l_partkey") == F.col("id"))
+    return (spread(lines).join(F.broadcast(base), F.col("l_partkey") == F.col("id"))
             .drop("l_partkey", "id").withColumnRenamed("line_id", "id"))
 
 

@@ -18,3 +18,13 @@ def stage(df: DataFrame, **columns: str | Column) -> DataFrame:
     once = F.spark_partition_id() >= 0
     made = [F.when(once, F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]
     return df.select(*kept, *made)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give compute-heavy row work at least one task per core.
+
+    Only a table with fewer splits than the cluster has cores is dealt out again; a large
+    table has far more splits than that and is left exactly as it was read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

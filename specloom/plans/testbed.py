@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.stage import spread
 from ..functions.text import q
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -116,11 +117,11 @@ SPEC_ROWS = f"SELECT id, pos, key, value FROM ({SPEC_ROWS}) t WHERE value IS NOT
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products with their spec pairs nested in supplier order; one narrow pass over ``part``."""
+    """Products with their spec pairs nested in supplier order, dealt out to every core."""
     pairs = ", ".join(f"named_struct('key', {k}, 'value', {v}, 'locator', CAST(NULL AS STRING))" for k, v in SPECS)
     sql = PRODUCTS.replace("FROM {part}", (
         f", filter(array({pairs}), s -> s.key IS NOT NULL AND s.value IS NOT NULL) AS specs FROM {{part}}"))
-    return view(spark, sf_dir, sql, "part")
+    return spread(view(spark, sf_dir, sql, "part"))
 
 
 # ------------------------------------------------------------ measure texts

@@ -184,7 +184,8 @@ def from_catalog_rows(df: DataFrame, id_column: str = "id") -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Enriched-record JSON files keyed by file name; an unreadable file is a miss."""
-    df = (spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True)
-          .option("mode", "PERMISSIVE").json(path)
-          .withColumn("record_key", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)))
-    return df.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    text = spark.read.text(path, wholetext=True).withColumn(
+        "record_key", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    parsed = text.withColumn("_r", F.from_json("value", schema + ", _corrupt_record string",
+                                               {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    return parsed.where("_r IS NOT NULL AND _r._corrupt_record IS NULL").select("record_key", "_r.*").drop("_corrupt_record")
