@@ -37,11 +37,20 @@ def reconcile_claims(spark, sf):
     return C.reconcile_claims(_claims(spark, sf), ORDER)
 
 
-@query("conflict_log")
+_LOG = _FOLD[:_FOLD.index("w AS (")] + """
+w AS (SELECT id, key, list_reduce(list_transform(l, lambda x: {'val': x.val, 'rank': x.rank, 'conf': x.conf, 'prov': x.prov, 'log': CAST([] AS VARCHAR[])}), lambda a, x:
+  CASE WHEN x.rank > a.rank OR (x.rank = a.rank AND x.conf > a.conf)
+    THEN {'val': x.val, 'rank': x.rank, 'conf': CASE WHEN x.val <> a.val THEN round(greatest(x.conf - 0.05, 0.1), 3) ELSE x.conf END, 'prov': x.prov,
+      'log': CASE WHEN x.val <> a.val THEN list_append(a.log, 'kept ' || x.val || ' (' || x.prov || ') over ' || a.val || ' (' || a.prov || ')') ELSE a.log END}
+    ELSE {'val': a.val, 'rank': a.rank, 'conf': CASE WHEN x.val <> a.val THEN round(greatest(a.conf - 0.05, 0.1), 3) ELSE a.conf END, 'prov': a.prov,
+      'log': CASE WHEN x.val <> a.val THEN list_append(a.log, 'kept ' || a.val || ' (' || a.prov || ') over ' || x.val || ' (' || x.prov || ')') ELSE a.log END} END) AS w FROM g)
+SELECT id, key, unnest(w.log) AS line, CAST(generate_subscripts(w.log, 1) - 1 AS INT) AS n FROM w"""
+
+
+@query("conflict_log", _LOG)
 def conflict_log(spark, sf):
     """R5"""
-    df = C.reconcile_claims(_claims(spark, sf), ORDER, log=True)
-    return df.select("id", "key", F.posexplode("log").alias("n", "line"))
+    return C.conflict_log(_claims(spark, sf), ORDER).select("id", "key", "n", "line")
 
 
 @query("record_confidence", _FOLD + f""", a AS (SELECT id, w.prov AS prov, w.conf AS conf FROM w)

@@ -115,28 +115,45 @@ def _oversized(claims: DataFrame, order: list[str], limit: int, total: int, log:
             *[F.col("n_" + c).alias("e_" + c) for c in ("val", "rank", "conf", "prov")]))
         if entering.isEmpty():
             break
-    return (known.groupBy("id", "key").agg(
-        F.max_by(F.struct(*state), "blk").alias("w"), F.sum("conflicts").alias("conflicts"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("blk", "log"))), lambda b: b["log"])).alias("log"))
-        .select("id", "key", F.col("w.x_val").alias("val"), F.col("w.x_prov").alias("prov"),
-                F.col("w.x_conf").alias("conf"), "conflicts", "log"))
+    return known
 
 
-def reconcile_claims(claims: DataFrame, order: list[str], limit: int = GROUP_LIMIT, log: bool = False) -> DataFrame:
-    """The surviving claim of every (id, key), its confidence and the conflicts it won.
-
-    ``order`` names the columns that put the claims of a group in sequence.
-    """
+def _split(claims: DataFrame, limit: int) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """(ordinary claims, claims of oversized groups, their number); either may be None."""
     sizes = claims.groupBy("id", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
     total = sizes.agg(F.count("*").alias("g"), F.sum("_n").alias("n")).first()
-    columns = ["id", "key", "val", "prov", "conf", "conflicts"] + (["log"] if log else [])
     if not total["g"]:
-        return _ordinary(claims, order, log).select(*columns)
+        return claims, None, 0
     big = sizes.select("id", "key")
     side = F.broadcast(big) if total["g"] <= 100_000 else big
-    small = _ordinary(claims.join(side, ["id", "key"], "left_anti"), order, log)
-    large = _oversized(claims.join(side, ["id", "key"], "left_semi"), order, limit, total["n"], log)
-    return small.unionByName(large).select(*columns)
+    return (claims.join(side, ["id", "key"], "left_anti"), claims.join(side, ["id", "key"], "left_semi"), total["n"])
+
+
+def reconcile_claims(claims: DataFrame, order: list[str], limit: int = GROUP_LIMIT) -> DataFrame:
+    """The surviving claim of every (id, key), its confidence and the conflicts it went through.
+
+    ``order`` names the columns that put the claims of a group in sequence.
+    """
+    small, large, total = _split(claims, limit)
+    columns = ["id", "key", "val", "prov", "conf", "conflicts"]
+    settled = _ordinary(small, order, False).select(*columns)
+    if large is None:
+        return settled
+    blocks = _oversized(large, order, limit, total, False)
+    last = F.max_by(F.struct("x_val", "x_prov", "x_conf"), "blk")
+    hot = blocks.groupBy("id", "key").agg(last.alias("w"), F.sum("conflicts").alias("conflicts"))
+    return settled.unionByName(hot.select("id", "key", F.col("w.x_val").alias("val"), F.col("w.x_prov").alias("prov"),
+                                          F.col("w.x_conf").alias("conf"), "conflicts"))
+
+
+def conflict_log(claims: DataFrame, order: list[str], limit: int = GROUP_LIMIT) -> DataFrame:
+    """One row per conflict, ``(block, n)`` giving its order; no group's log is ever gathered."""
+    small, large, total = _split(claims, limit)
+    out = _ordinary(small, order, True).select("id", "key", F.lit(0).alias("block"), F.posexplode("log").alias("n", "line"))
+    if large is None:
+        return out
+    blocks = _oversized(large, order, limit, total, True)
+    return out.unionByName(blocks.select("id", "key", F.col("blk").alias("block"), F.posexplode("log").alias("n", "line")))
 
 
 def confidence(attributes: DataFrame, by: str = "id") -> DataFrame:

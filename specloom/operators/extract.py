@@ -13,7 +13,7 @@ from .. import fixed
 from ..functions.stage import stage
 from ..functions.similarity import option_matcher, similarity_matrix
 from ..functions.text import let, number, q
-from ..plans.taxonomy import Taxonomy
+from ..plans.taxonomy import BROADCAST_CATEGORIES, Taxonomy
 from .records import ATTRIBUTE_DDL, NO_ATTRIBUTES, NULL, attribute, coerce, coerce_number, exact_option
 
 
@@ -21,7 +21,7 @@ def attach_schema(df: DataFrame, spark: SparkSession, taxonomy: Taxonomy) -> Dat
     """Left join of the category schema as one ``schema`` struct column."""
     side = taxonomy.schema_df(spark)
     side = side.select(F.col("code").alias("_code"), F.struct(*side.columns).alias("schema"))
-    if len(taxonomy.categories) <= 5_000:
+    if len(taxonomy.categories) <= BROADCAST_CATEGORIES:
         side = F.broadcast(side)
     return df.join(side, df["category.code"] == side["_code"], "left").drop("_code")
 
