@@ -170,12 +170,12 @@ def prose_claims(df: DataFrame) -> DataFrame:
             + " ELSE acc END")
     seed = ("transform(filter(from_specs, a -> a.kind = 'text' AND length(trim(a.val)) >= 2),"
             " a -> lower(trim(a.val)))")
-    fold = (f"aggregate({hits}, named_struct('out', {NO_ATTRIBUTES}, 'claimed', {seed}),"
+    df = stage(df, _hits=let("sa", "schema.attrs", let("fz", "_fuzzy", hits)))
+    fold = (f"aggregate(_hits, named_struct('out', {NO_ATTRIBUTES}, 'claimed', {seed}),"
             f" (acc, e) -> {step}, acc -> acc.out)")
     code_text = ("concat_ws(' ', nullif(replace(mpn, '-', ' '), ''), nullif(replace(sku, '-', ' '), ''),"
                  f" nullif(replace({_PROSE}, '-', ' '), ''))")
-    body = let("sa", "schema.attrs", let("fz", "_fuzzy", let(
-        "code_text", code_text, let("cc", "lower(code_text)", fold))))
+    body = let("sa", "schema.attrs", let("code_text", code_text, let("cc", "lower(code_text)", fold)))
     return stage(df, from_text=(
         f"CASE WHEN schema IS NULL THEN {NO_ATTRIBUTES} ELSE coalesce({body}, {NO_ATTRIBUTES}) END"))
 
@@ -186,7 +186,7 @@ def extract(df: DataFrame, spark: SparkSession, taxonomy: Taxonomy | None = None
     df = map_specs(attach_schema(df, spark, taxonomy), taxonomy)
     df = prose_claims(spec_claims(enum_texts(prose_candidates(df), taxonomy)))
     return stage(df, extracted=f"concat(coalesce(from_specs, {NO_ATTRIBUTES}), from_text)").drop(
-        "_cand", "_fuzzy", "from_specs", "from_text", "mapped")
+        "_cand", "_fuzzy", "from_specs", "from_text", "mapped", "_hits")
 
 
 def unmapped_fields(df: DataFrame) -> DataFrame:

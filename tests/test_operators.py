@@ -233,3 +233,23 @@ def test_every_oracle_belongs_to_a_query():
 
 def test_null_constant():
     assert NULL.startswith("CAST")
+
+
+def test_stream_is_enriched_and_appended(spark, tmp_path, product, product_df):
+    from specloom.streaming.arrivals import enrich_stream
+    df = product_df([product(i, mpn="6205", brand="SKF", name="Deep groove ball bearing") for i in range(4)]).withColumn(
+        "arrived_at", F.expr("timestamp'2024-01-01 00:00:00'"))
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df.write.parquet(src)
+    query = enrich_stream(spark, spark.readStream.schema(df.schema).parquet(src), out, str(tmp_path / "cp"))
+    query.awaitTermination(300)
+    rows = spark.read.parquet(out).select("readiness.verdict").collect()
+    assert [r["verdict"] for r in rows] == ["publish"]
+
+
+def test_result_does_not_depend_on_partitioning(spark, product, product_df):
+    from specloom.plans.enrich import resolve
+    rows = [product(i, mpn=f"620{i % 6}", brand="SKF", name="Deep groove ball bearing", specs={"Bore": f"{20 + i} mm"}) for i in range(12)]
+    def run(n):
+        return sorted((r["id"], str(r["attributes"])) for r in resolve(spark, product_df(rows).repartition(n)).select("id", "attributes").collect())
+    assert run(1) == run(7)
