@@ -132,6 +132,16 @@ def suggest(text: pd.Series, permitted: pd.Series) -> pd.Series:
                       for t, p in zip(text, permitted)], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def suggest_each(texts: pd.Series, permitted: pd.Series) -> pd.Series:
+    """V3 for the values of one record: a near miss, or null, per text."""
+    def one(row_texts, row_lists):
+        if row_texts is None:
+            return None
+        return [None if t is None else near_miss(t, tuple(p)) for t, p in zip(row_texts, row_lists)]
+    return pd.Series([one(t, p) for t, p in zip(texts, permitted)], dtype=object)
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b)])

@@ -287,6 +287,7 @@ def compliance(df: DataFrame, formats: list[dict] | None = None) -> DataFrame:
     df = stage(df, fields="array(" + ", ".join(
         _verdict(s, f"_r_{s['id']}", f"_p_{s['id']}", f"_t_{s['id']}", f"_u_{s['id']}") for s in formats) + ")")
     df = df.drop("_v", "brand_", "maker_", "mpn_", "type_", *[f"_{x}_{i}" for x in "rptu" for i in ids])
+    listed = " AND coalesce(size(lov_issues), 0) <= 0" if "lov_issues" in df.columns else ""
     return df.withColumn("compliance", F.expr(
-        "named_struct('compliant', forall(fields, f -> f.compliant),"
+        f"named_struct('compliant', forall(fields, f -> f.compliant){listed},"
         " 'breaches', transform(filter(fields, f -> NOT f.compliant), f -> f.label))"))

@@ -8,7 +8,7 @@ from .. import fixed
 from ..functions import units
 from ..functions.stage import stage
 from ..functions.text import let, q
-from .records import NO_ATTRIBUTES
+from .records import NO_ATTRIBUTES, rebuilt
 from .rules import validate
 from .score import score
 
@@ -81,14 +81,10 @@ def action_counts(decisions: DataFrame) -> DataFrame:
 
 def apply_to_records(records: DataFrame, proposed: str = "proposed") -> DataFrame:
     """Gate the ``proposed`` attribute array into records, then validate and score again."""
-    from .reconcile import _with_conf  # same struct, new confidence and evidence
-
     def adopt(a: str, reason: str) -> str:
-        new = _with_conf(a, f"round(least({a}.conf, {fixed.INFERRED_CAP}D), 3)",
-                         f"left(concat('[gate: {reason}] ', {a}.evidence), 600)")
-        return (new.replace(f"'prov', {a}.prov", "'prov', 'inferred'")
-                .replace(f"'rank', {a}.rank", f"'rank', {fixed.PROVENANCE_RANK['inferred']}")
-                .replace(f"'method', {a}.method", f"'method', {q(METHOD)}"))
+        return rebuilt(a, conf=f"round(least({a}.conf, {fixed.INFERRED_CAP}D), 3)",
+                       evidence=f"left(concat('[gate: {reason}] ', {a}.evidence), 600)", prov="'inferred'",
+                       rank=str(fixed.PROVENANCE_RANK["inferred"]), method=q(METHOD))
     held = let("p", "get(filter(pr, x -> x.key = a.key), 0)", (
         "IF(p IS NOT NULL AND a.prov = 'defaulted' AND NOT (lower(trim(a.val)) <=> lower(trim(p.val))),"
         f" {adopt('p', 'displaced category default')}, a)"))

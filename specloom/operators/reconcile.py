@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.stage import stage
 from ..functions.text import let
-from .records import NO_ATTRIBUTES, shown
+from .records import NO_ATTRIBUTES, rebuilt, shown
 
 VALUES_AGREE = (
     # Canonical numbers within 1 %, else raw numbers within 1 %, else text.
@@ -30,16 +30,6 @@ def lowered(conf: str) -> str:
     return f"round(greatest({conf} - 0.05D, 0.1D), 3)"
 
 
-def _with_conf(a: str, conf: str, evidence: str | None = None) -> str:
-    from .records import ATTRIBUTE_DDL
-    fields = [f.split(":")[0] for f in ATTRIBUTE_DDL.split(",")]
-    swap = {"conf": conf}
-    if evidence:
-        swap["evidence"] = evidence
-    return "named_struct(" + ", ".join(
-        f"'{f}', {swap.get(f, f'{a}.{f}')}" for f in fields) + ")"
-
-
 def reconcile(df: DataFrame) -> DataFrame:
     """R1-R5 on records: adds ``attributes`` (one per key, R4 order), ``conflicts`` and
     ``standard_conflicts``."""
@@ -51,7 +41,7 @@ def reconcile(df: DataFrame) -> DataFrame:
             "w", "IF(cw, c, inc)", let("l", "IF(cw, inc, c)", let(
                 "differ", "NOT (lower(trim(w.val)) <=> lower(trim(l.val)))",
                 "named_struct('held', transform(acc.held, h -> IF(h.key = c.key,"
-                f" IF(differ, {_with_conf('w', lowered('w.conf'))}, w), h)),"
+                f" IF(differ, {rebuilt('w', conf=lowered('w.conf'))}, w), h)),"
                 f" 'log', IF(differ, concat(acc.log, array({line})), acc.log))"))))
         + " END"))
     fold = (f"aggregate(concat(extracted, inferred), named_struct('held', {NO_ATTRIBUTES},"
@@ -65,7 +55,7 @@ def reconcile(df: DataFrame) -> DataFrame:
     checked = let("f", fold, let("std", "standards", (
         "named_struct('attributes', array_sort(transform(f.held, h -> "
         + let("s", "get(filter(std, x -> x.key = h.key), 0)",
-              f"IF(s IS NULL OR {VALUES_AGREE}, h, {_with_conf('h', lowered('h.conf'), evidence)})")
+              f"IF(s IS NULL OR {VALUES_AGREE}, h, {rebuilt('h', conf=lowered('h.conf'), evidence=evidence)})")
         + "), (a, b) -> CASE WHEN a.grp < b.grp THEN -1 WHEN a.grp > b.grp THEN 1"
           " WHEN a.conf > b.conf THEN -1 WHEN a.conf < b.conf THEN 1"
           " WHEN a.label < b.label THEN -1 WHEN a.label > b.label THEN 1 ELSE 0 END),"

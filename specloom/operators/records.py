@@ -31,6 +31,12 @@ def attribute(*, key: str, label: str, val: str, num: str, kind: str, unit: str,
         f" 'locator', {locator})")
 
 
+def rebuilt(a: str, **changes: str) -> str:
+    """Attribute struct ``a`` with some fields replaced."""
+    return "named_struct(" + ", ".join(
+        f"'{f}', {changes.get(f, f'{a}.{f}')}" for f in (x.split(":")[0] for x in ATTRIBUTE_DDL.split(","))) + ")"
+
+
 def shown(a: str) -> str:
     """Value and unit of an attribute as written in evidence text."""
     return units.display(f"{a}.val", f"{a}.num", f"{a}.kind", f"{a}.unit")

@@ -367,8 +367,10 @@ def validate(df: DataFrame, content: bool = True, standards: bool = True) -> Dat
         "_q6": content_issues() if content else NO_ISSUES,
     }
     df = stage(df, **parts)
+    if "lov_issues" in df.columns:
+        parts["lov_issues"] = ""
     return stage(df, issues=by_severity(
-        f"concat({', '.join(f'coalesce({p}, {NO_ISSUES})' for p in parts)})")).drop(*parts, "_nums", "_texts")
+        f"concat({', '.join(f'coalesce({p}, {NO_ISSUES})' for p in parts)})")).drop(*[p for p in parts if p != "lov_issues"], "_nums", "_texts")
 
 
 def by_severity(issues: str) -> str:

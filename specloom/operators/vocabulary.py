@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
-from ..functions.similarity import suggest
+from ..functions.similarity import suggest, suggest_each
+from ..functions.stage import stage
+from ..functions.text import let
+from .records import rebuilt
 
 # Beyond this many vocabulary rows the side is joined without a broadcast.
 BROADCAST_ROWS = 2_000_000
@@ -189,3 +194,75 @@ def covered_classpaths(lov: DataFrame) -> DataFrame:
     """V8: classpaths that have a vocabulary."""
     return lov.select("classpath").distinct()
 
+
+
+# ------------------------------------------------------------------ records
+
+
+def fold_text(text: str) -> str:
+    """``fold`` for configuration text."""
+    return re.sub(r"[\s_\-/,.()]+", " ", text.strip().lower()).strip()
+
+
+def record_side(spark: SparkSession, lov: dict | None = None) -> DataFrame:
+    """Vocabularies by folded classpath, one row each, for the join with records."""
+    rows = [(fold_text(path), [{"key": a["key"], "label": a["label"], "sequence": a.get("sequence", 10_000),
+                                "options": list(a["values"]),
+                                "synonyms": {fold_text(k): v for k, v in a["synonyms"].items()}} for a in attrs])
+            for path, attrs in (lov or fixed.LOV).items()]
+    return spark.createDataFrame(
+        rows, "_folded string, lov array<struct<key:string,label:string,sequence:int,options:array<string>,"
+              "synonyms:map<string,string>>>")
+
+
+def apply_to_records(df: DataFrame, spark: SparkSession, lov: dict | None = None,
+                     classpath: str = "schema.classpath") -> DataFrame:
+    """V2-V5, V7 on records: values mapped, refusals kept and flagged, list order applied.
+
+    Adds ``lov_issues``, ``lov_ledger`` and ``lov_coverage`` (null when no list applies).
+    """
+    table = lov or fixed.LOV
+    side = record_side(spark, table)
+    if sum(len(a["values"]) + len(a["synonyms"]) for attrs in table.values() for a in attrs) <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    df = df.join(side, F.expr(fold(classpath)) == side["_folded"], "left").drop("_folded")
+    folded = fold("o")
+    synonym = let("sy", f"try_element_at(s.synonyms, {folded})", "IF(array_contains(s.options, sy), sy, NULL)")
+
+    def lastly(test: str) -> str:
+        """Last permitted value that passes, as a later entry replaces an earlier one."""
+        return f"get(reverse(filter(s.options, v -> {test})), 0)"
+
+    looked_up = ("named_struct('to', coalesce(cs, sn, fd), 'how', CASE WHEN cs IS NOT NULL THEN 'case'"
+                 " WHEN sn IS NOT NULL THEN 'synonym' WHEN fd IS NOT NULL THEN 'folded' END, 'from', o, 's', s)")
+    found = let("o", "trim(a.val)", (
+        "CASE WHEN s IS NULL OR size(s.options) = 0 OR coalesce(o, '') = '' THEN NULL"
+        " WHEN array_contains(s.options, o) THEN named_struct('to', o, 'how', 'exact', 'from', o, 's', s) ELSE "
+        + let("cs", lastly("lower(v) = lower(o)"), let("sn", synonym, let(
+            "fd", lastly(f"{fold('v')} = {folded}"), looked_up))) + " END"))
+    df = stage(df, _o=let("lv", "lov", "IF(lv IS NULL, NULL, transform(attributes, a -> "
+                          + let("s", "get(filter(lv, x -> x.key = a.key), 0)", found) + "))"))
+    refused = "filter(_o, x -> x IS NOT NULL AND x.to IS NULL)"
+    df = df.withColumn("_near", suggest_each(F.expr(f"transform({refused}, x -> x.from)"),
+                                             F.expr(f"transform({refused}, x -> x.s.options)")))
+    note = ("concat(a.evidence, ' Normalized to the approved value \\'', x.to, '\\' from \\'', x.from, '\\' (',"
+            " x.how, ' match in the list of values).')")
+    mapped = let("x", "get(oc, i)", "IF(x.to IS NOT NULL AND x.how <> 'exact', "
+                 + rebuilt("a", val="x.to", evidence=note) + ", a)")
+    order = "coalesce(get(filter(lv, x -> x.key = a.key), 0).sequence, 1000000)"
+    ordered = (f"transform(array_sort(transform(transform(attributes, (a, i) -> {mapped}), (a, i) -> named_struct("
+               f"'o', {order}, 'g', a.grp, 'l', a.label, 'i', i, 'a', a))), t -> t.a)")
+    issue = ("named_struct('code', 'LOV_VIOLATION', 'severity', 'warning', 'field', x.s.key, 'message', concat('\\'', x.from,"
+             " '\\' is not an approved value for ', x.s.label, ' in this classpath.'), 'suggestion',"
+             " IF(get(nm, i) IS NOT NULL, concat('Closest approved value is \\'', get(nm, i), '\\'. Confirm before"
+             " applying — it was not applied automatically.'),"
+             " 'Add the value to the list of values, or correct the source data.'))")
+    return stage(
+        df, attributes=let("oc", "_o", let("lv", "lov", f"IF(oc IS NULL, attributes, {ordered})")),
+        lov_issues=let("nm", "_near", f"transform({refused}, (x, i) -> {issue})"),
+        lov_ledger="transform(filter(_o, x -> x.to IS NOT NULL AND x.how <> 'exact'), x -> named_struct("
+                   "'key', x.s.key, 'from_value', x.from, 'to_value', x.to, 'method', x.how))",
+        lov_coverage="CASE WHEN _o IS NOT NULL THEN named_struct('checked', size(filter(_o, x -> x IS NOT NULL)),"
+                     " 'approved', size(filter(_o, x -> x.to IS NOT NULL)), 'refused', size(filter(_o, x -> x IS NOT NULL AND x.to IS NULL)),"
+                     " 'attributes_defined', size(lov)) END",
+    ).drop("_o", "_near", "lov")

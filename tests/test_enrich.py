@@ -135,3 +135,21 @@ def test_whole_plan_has_no_exchange(spark, product, product_df):
     plan = enrich(spark, product_df([product(1, name="x")]))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
     assert "hashpartitioning" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_list_of_values_governs_records(spark, product, product_df):
+    from specloom import fixed
+    from specloom.plans.taxonomy import Taxonomy
+    text = lambda k, label: {"key": k, "label": label, "type": "text", "unit": None, "group": "General", "values": [], "range": None, "aliases": []}
+    pipe = {"code": "99000001", "noun": "Pipe Fitting", "path": next(iter(fixed.LOV)).split(" > "), "keywords": ["pipe fitting"], "mpn_patterns": [],
+            "required": [], "cross_checks": [], "defaults": {}, "learned": True,
+            "attributes": [text("material", "Material Construction"), text("fitting_type", "Fitting Type"), text("weight", "Weight")]}
+    rows = [product(1, name="Pipe fitting", specs={"Weight": "3 lb", "Material Construction": "BRS", "Fitting Type": "CPLG"}),
+            product(2, name="Pipe fitting", specs={"Material Construction": "Stainless Steal"})]
+    df = enrich(spark, product_df(rows), Taxonomy(learned=[pipe]), formats=False)
+    r = {x["id"]: x for x in df.select("id", F.expr(ATTRS).alias("attributes"), "issues", "readiness", "lov_ledger", "lov_coverage").collect()}
+    assert [(a["key"], a["val"]) for a in r[1]["attributes"]] == [("fitting_type", "Coupling"), ("material", "Brass"), ("weight", "3 lb")]
+    assert {x["method"] for x in r[1]["lov_ledger"]} == {"synonym"} and r[1]["lov_coverage"]["approved"] == 2
+    bad = next(i for i in r[2]["issues"] if i["code"] == "LOV_VIOLATION")
+    assert "Stainless Steel" in bad["suggestion"] and attr(r[2], "material")["val"] == "Stainless Steal"
+    assert r[2]["readiness"]["verdict"] == "review"
