@@ -71,7 +71,7 @@ def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
         "words": [union[f][1] if f == ld else None for f, ld in zip(rows["first"], leaders)]})
 
 
-def _block(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return _greedy(rows.sort_values("first", kind="stable"))
 
 
