@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, mixing
+from . import language, mixing, ngram_join, packing
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,20 @@ SELECT doc_id, size, n AS source_size, target, CAST(CASE WHEN n = 0 THEN 0 ELSE
 def op8_source_mix(spark, sf):
     """Words the mix takes of every document."""
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", *mixing.ADDED)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_sequence_packing")
+def op5_sequence_packing(spark, sf):
+    """Every document's pieces and their places in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf, "documents"), tokenizer_path())
+
+
+@query("op10_ngram_join")
+def op10_ngram_join(spark, sf):
+    """Groups of documents linked by a word 5-gram Jaccard similarity of 0.75 or more."""
+    return ngram_join.join(table(spark, sf, "documents"))
