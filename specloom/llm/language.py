@@ -131,16 +131,22 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text_col: str = "text",
             dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """Columns ``keep`` of ``docs``, lang_pred and score (the largest cosine, negative ones as 0)."""
+    """Columns ``keep`` of ``docs``, lang_pred and score (the largest cosine, negative ones as 0).
+
+    Columns of ``docs`` called lang_pred or score are replaced.
+    """
     names = list(prototypes)
     matrix = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-12) for n in names], np.float32).reshape(len(names), dimensions)
-    chosen = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    extra = [] if text_col in keep else [F.col(text_col).alias("__text")]
+    chosen = docs.select(*[F.col(c) for c in keep], *extra)
+    text_at = len(keep) if extra else keep.index(text_col)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def label(batches):
         encoder = Encoder(dimensions, seed)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(text_at).to_pylist()
             langs, scores = [], []
             for a, b in _slices(texts):
                 made, lettered = encoder.bundle(texts[a:b])
@@ -153,7 +159,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                 best = cosines.argmax(axis=1)
                 langs += [names[k] if ok else "und" for k, ok in zip(best, lettered)]
                 scores += np.where(lettered, np.clip(cosines[np.arange(b - a), best], 0, 1), 0).astype(float).tolist()
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns = [batch.column(i) for i in range(len(keep))]
             yield pa.record_batch([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                   names=[*keep, "lang_pred", "score"])
 

@@ -31,7 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import small, stored
 
@@ -136,20 +137,27 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def profiles(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """One row per document (doc_id, n, node, minima, bitmap), and shingle counts by bucket over all documents."""
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row, by which rows that repeat a doc_id are told apart."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+
+
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """One row per document (doc_id, row, n, node, minima, bitmap), and shingle counts by bucket over all documents."""
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()),
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()),
                            T.StructField("minima", T.ArrayType(T.LongType())), T.StructField("bitmap", T.BinaryType()),
                            T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
+    arrow_id = to_arrow_type(id_type)
+
     def read(batches):
         shingle, sketch = Shingler(), np.zeros(SKETCH, np.int32)
         factors = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
         names = schema.names
         for batch in batches:
             n, node, minima, bitmap = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 grams = shingle(text)
                 n.append(len(grams))
                 if not len(grams):
@@ -160,18 +168,16 @@ def profiles(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
                 bitmap.append(bitmap_of(grams).tobytes())
                 np.add.at(sketch, (grams >> np.uint64(44)).astype(np.int64), 1)
             rows = batch.num_rows
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()),
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()),
                                    pa.array(minima, pa.list_(pa.int64())), pa.array(bitmap, pa.binary()),
                                    pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if sketch.any():
             parts = sketch.reshape(CHUNKS, -1)
-            yield pa.record_batch([pa.nulls(CHUNKS, T_arrow), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()),
+            yield pa.record_batch([pa.nulls(CHUNKS, arrow_id), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()),
                                    pa.nulls(CHUNKS, pa.list_(pa.int64())), pa.nulls(CHUNKS, pa.binary()),
                                    pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    T_arrow = to_arrow_type(id_type)
-    both = stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(read, schema))
+    both = stored(docs.select(F.col(id_col), row_hash(docs).alias("__row"), F.col(text_col)).mapInArrow(read, schema))
 
     def total(pdf):
         sums = np.zeros(SKETCH // CHUNKS, np.int64)
@@ -262,7 +268,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "root")
 
 
-def _probes(docs: DataFrame, groups: DataFrame, sketch: np.ndarray, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _probes(docs: DataFrame, groups: DataFrame, sketch: np.ndarray, percent: int, text_col: str) -> DataFrame:
     """(token, node, n, root): the rarest elements of each node, one of which any linked pair shares."""
     spark = docs.sparkSession
     shared_sketch = spark.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32))
@@ -335,20 +341,42 @@ def _cross_pairs(probes: DataFrame, percent: int) -> DataFrame:
     return rows.select("token", "node", "n", "root").mapInArrow(pair, "a binary, b binary").distinct()
 
 
-def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id of the linked group) of every document."""
-    rows, sketch = profiles(docs, percent, id_col, text_col)
+def grouped(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row, n_shingles, root (null for empty sets) and component_id of every document."""
+    rows, sketch = profiles(docs, id_col, text_col)
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"),
                                                                    F.any_value("minima").alias("minima"), F.any_value("bitmap").alias("bitmap")))
     near = stored(_bounded(_star(nodes), nodes, percent))
     edges = stored(_verified(near, docs, nodes, percent, id_col, text_col))
     groups = components(edges)
-    cross = stored(_bounded(_cross_pairs(_probes(docs, groups, sketch, percent, id_col, text_col), percent), nodes, percent))
+    cross = stored(_bounded(_cross_pairs(_probes(docs, groups, sketch, percent, text_col), percent), nodes, percent))
     if not cross.isEmpty():
         edges = stored(edges.union(_verified(cross, docs, nodes, percent, id_col, text_col)))
         groups = components(edges)
     rooted = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = stored(rooted.join(lowest, "root").select("node", "component_id"))
+    of_node = stored(rooted.join(lowest, "root").select("node", "root", "component_id"))
     return (rows.join(of_node, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "row", F.col("n").alias("n_shingles"), "root",
+                    F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+
+
+def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id of the linked group) of every document."""
+    return grouped(docs, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each linked group, the one with the smallest doc_id; documents without words all stay."""
+    found = stored(grouped(docs, percent, id_col, text_col))
+    first = (found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("s"))
+             .select(F.col("s.doc_id").alias("__id"), F.col("s.row").alias("__row")))
+    alone = found.where("root IS NULL").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct().withColumn("__many", F.lit(False))
+    # Equal rows cannot be told apart; only those that repeat are brought together to keep one.
+    repeated = found.groupBy(F.col("doc_id").alias("__i"), F.col("row").alias("__r")).count().where("count > 1").select("__i", "__r", F.lit(True).alias("__m"))
+    first = (first.join(repeated, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__row") == F.col("__r")), "left")
+             .select("__id", "__row", F.coalesce("__m", F.lit(False)).alias("__many")))
+    kept = small(stored(first.union(alone)), BROADCAST_ROWS)
+    chosen = docs.withColumn("__h", row_hash(docs)).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__row")))
+    once = chosen.where("__many").dropDuplicates([id_col, "__h"])
+    return chosen.where("NOT __many").union(once).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, mixing, ngram_join, packing
+from . import language, mixing, ngram_join, packing, secret_scan
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,13 @@ def op5_sequence_packing(spark, sf):
 def op10_ngram_join(spark, sf):
     """Groups of documents linked by a word 5-gram Jaccard similarity of 0.75 or more."""
     return ngram_join.join(table(spark, sf, "documents"))
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark, sf):
+    """Secrets of every document, by pattern and by Markov model."""
+    docs = table(spark, sf, "documents")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    base = secret_scan.listed(F.array_sort(F.concat("assign", "access", "hex")))
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(base, 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
