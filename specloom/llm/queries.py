@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, mixing, ngram_join, packing, secret_scan
-from .shared import table
+from . import chat, language, mixing, ngram_join, packing, secret_scan, warc
+from .shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +85,54 @@ def op4_secret_scan(spark, sf):
     base = secret_scan.listed(F.array_sort(F.concat("assign", "access", "hex")))
     return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
                         F.sha2(base, 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+#: A text is escaped if its turn, rendered as it is, would not parse back: it holds the closing marker, or an escape code.
+_CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT *, CASE role WHEN 'system' THEN '<</SYS>>' WHEN 'user' THEN '[/INST]' WHEN 'assistant' THEN '</s>' ELSE '[/ROLE]' END AS closing,
+  CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + length(role) END AS marks FROM c),
+f AS (SELECT *, marks + length(text) + CASE WHEN contains(text, closing) OR regexp_matches(text, '\\[bsl]') OR position(closing IN text || closing) <> length(text) + 1
+  THEN length(text) - length(replace(replace(replace(text, chr(92), ''), '[', ''), '<', '')) ELSE 0 END AS chars FROM m)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars, true AS same FROM f GROUP BY conv_id"""
+
+
+@query("op1_chat_format", _CHAT)
+def op1_chat_format(spark, sf):
+    """Every conversation formatted, and read back from its formatted text."""
+    talks = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    back = chat.recovered(chat.formatted(talks.unionByName(extra)))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"), "same")
+
+
+_WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS keep FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keep IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keep IS DISTINCT FROM page_id THEN keep END AS refers_to FROM k"""
+
+
+@query("op2_warc", _WARC)
+def op2_warc(spark, sf):
+    """Every page as a WARC record, read back from the archives."""
+    pages = table(spark, sf, "pages")
+    path = shared_dir(spark)
+    warc.write_warc(warc.page_records(pages), path)
+    back = warc.read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    full = F.col("record_type") == "response"
+    return back.select(warc.page_of(F.col("record_id"), kind).alias("page_id"),
+                       F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+                       F.when(full, F.sha1("payload")).otherwise(F.substring("payload_digest", 6, 40)).alias("payload_digest"),
+                       "record_type", warc.page_of(F.col("refers_to"), kind).alias("refers_to"))
