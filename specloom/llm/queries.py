@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, language, mixing, ngram_join, packing, secret_scan, warc
+from . import chat, fingerprints, language, licenses, mixing, neighbours, ngram_join, packing, secret_scan, warc
 from .shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,28 @@ def op2_warc(spark, sf):
                        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
                        F.when(full, F.sha1("payload")).otherwise(F.substring("payload_digest", 6, 40)).alias("payload_digest"),
                        "record_type", warc.page_of(F.col("refers_to"), kind).alias("refers_to"))
+
+
+@query("op3_license_scan", licenses.oracle())
+def op3_license_scan(spark, sf):
+    """Licence phrases of every document, and the labels they stand for."""
+    docs = table(spark, sf, "documents")
+    found = licenses.scan(docs, licenses.frequencies(docs))
+    return found.select("doc_id", *[c for c in licenses.ADDED if c != "places"])
+
+
+@query("op7_nearest_vectors")
+def op7_nearest_vectors(spark, sf):
+    """The five nearest vectors by cosine of every vector whose id is divisible by 50."""
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op9_fingerprints")
+def op9_fingerprints(spark, sf):
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    rows = fingerprints.fingerprints(table(spark, sf, "documents"))
+    rows = rows.withColumns({f"__{n}": fingerprints.lanes(F.col(n)) for n in ("vector", "edited_vector", "next_vector")})
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.written(F.col("vector")).alias("fingerprint"),
+                       fingerprints.written(F.col("edited_vector")).alias("edited_fingerprint"),
+                       fingerprints.likeness(F.col("__vector"), F.col("__edited_vector")).alias("near_edited"),
+                       fingerprints.likeness(F.col("__vector"), F.col("__next_vector")).alias("near_next"))
