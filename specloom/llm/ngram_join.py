@@ -14,7 +14,8 @@ survive are settled by exact intersection of the sorted arrays.
 3. ``completion`` finds every pair the stars left unlinked: two sets that reach the threshold
    share one of the first n - ceil(t n) + 1 elements of each in any common order.  Elements in
    frequent buckets come last in that order, so passages shared by many documents are rarely
-   probed.  Only nodes of different groups are paired.
+   probed.  Only nodes of different groups are paired, and only where the elements left after a
+   shared one could still make a link.
 
 The result is exact whatever the orders are; they decide the cost only.
 
@@ -44,6 +45,8 @@ CHUNKS = 64
 MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
 #: Members compared with one center by one task.
 TILE = 2048
+#: Rows of one token that a task holds.
+TOKEN_ROWS = 500_000
 #: Tables of ids up to this many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -269,76 +272,133 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _probes(docs: DataFrame, groups: DataFrame, sketch: np.ndarray, percent: int, text_col: str) -> DataFrame:
-    """(token, node, n, root): the rarest elements of each node, one of which any linked pair shares."""
-    spark = docs.sparkSession
-    shared_sketch = spark.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32))
+    """(token, place, node, n, root): the rarest elements of each node, one of which any linked pair shares.
+
+    ``place`` is the element's place in the node's order.  An element that may be in more than
+    TOKEN_ROWS sets gets a token for every tile of two slices of the nodes, so that no token
+    gathers more rows than a task can hold.
+    """
+    counts_of = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32))
+    token_rows = TOKEN_ROWS
 
     def read(batches):
-        shingle, counts = Shingler(), shared_sketch.value
+        shingle, counts = Shingler(), counts_of.value
         for batch in batches:
-            nodes, sizes, tokens = [], [], []
+            nodes, sizes, tokens, places = [], [], [], []
             for text in batch.column(0).to_pylist():
                 grams = shingle(text)
                 if not len(grams):
                     continue
-                order = np.lexsort((grams, counts[(grams >> np.uint64(44)).astype(np.int64)]))
-                nodes.append(node_of(grams))
+                often = counts[(grams >> np.uint64(44)).astype(np.int64)]
+                order = np.lexsort((grams, often))[:prefix_length(len(grams), percent)]
+                node, own, place = node_of(grams), grams[order], np.arange(len(order), dtype=np.int32)
+                slices = -(-often[order] // token_rows)
+                if (slices > 1).any():
+                    own, place = _tiled(own, place, slices, int.from_bytes(node[:8], "little"))
+                nodes.append(node)
                 sizes.append(len(grams))
-                tokens.append(grams[order[:prefix_length(len(grams), percent)]].view(np.int64))
-            lengths = np.cumsum([0, *map(len, tokens)])
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()),
-                                   pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))], names=["node", "n", "tokens"])
-
-    found = docs.select(F.col(text_col)).mapInArrow(read, "node binary, n bigint, tokens array<bigint>")
-    once = found.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
-    return (once.join(groups, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("tokens").alias("token")))
+                tokens.append(own.view(np.int64))
+                places.append(place)
+            lengths = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
+            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((tokens, np.int64), (places, np.int32))]
+            yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(lengths, pa.array(flat[0])),
+                                   pa.ListArray.from_arrays(lengths, pa.array(flat[1]))], names=["node", "n", "tokens", "places"])
+
+    found = docs.select(F.col(text_col)).mapInArrow(read, "node binary, n bigint, tokens array<bigint>, places array<int>")
+    once = found.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "tokens", "places")])
+    return (once.join(groups, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+            .select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "node", "n", "root"))
+
+
+def _tiled(tokens: np.ndarray, places: np.ndarray, slices: np.ndarray, node: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the tiles a node belongs to: those of its slice with every slice."""
+    out, at = [], []
+    for token, place, k in zip(tokens, places, slices.tolist()):
+        own = node % max(k, 1)
+        tiles = [min(own, t) * k + max(own, t) for t in range(k)] if k > 1 else [0]
+        out.append(_mixed(token + np.array(tiles, np.uint64) * np.uint64(MIX[0])) if k > 1 else np.array([token], np.uint64))
+        at.append(np.full(len(tiles), place, np.int32))
+    return np.concatenate(out), np.concatenate(at)
+
+
+def _pairs_of(n: np.ndarray, place: np.ndarray, root: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one token that may be linked: other groups, near sizes, and enough elements left.
+
+    If the token is the first that two sets share, they share at most the elements from it on;
+    a pair that fails this here and is linked all the same is found at its first shared token.
+    ``n`` is ascending.
+    """
+    least = n[np.searchsorted(n, -(-percent * n // 100))]
+    rows = np.flatnonzero((n - place) * (100 + percent) >= percent * (n + least))
+    if len(rows) < 2:
+        return
+    n, left, root = n[rows], (n - place)[rows], root[rows]
+    _, code, sizes = np.unique(root, return_inverse=True, return_counts=True)
+    if len(sizes) < 2:
+        return
+    rest = np.flatnonzero(code != sizes.argmax())
+    ahead = np.full(len(rows), -1)
+    ahead[rest] = np.arange(len(rest))  # pairs within the rest are looked at from the earlier row
+    for first in range(0, len(rest), step := max(1, 2_000_000 // len(rows))):
+        i = rest[first:first + step]
+        ok = (np.minimum(left[i][:, None], left) * (100 + percent) >= percent * (n[i][:, None] + n)) & (code[i][:, None] != code)
+        ok &= (ahead < 0) | (ahead[i][:, None] < ahead)
+        x, y = np.nonzero(ok)
+        yield rows[i[x]], rows[y]
 
 
 def _cross_pairs(probes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different groups that share a probe and are near in size.
-
-    The probes stream through in the order of token and size; a task holds those of one token
-    within the size band of the latest.
-    """
+    """Pairs of nodes of different groups that share a probe and leave room for a link there."""
     rows = probes.repartition("token").sortWithinPartitions("token", "n")
 
     def pair(batches) -> Iterator[pa.RecordBatch]:
-        band: list[tuple] = []
-        token = None
-        first, second = [], []
-
-        def flush():
-            out = pa.record_batch([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
-            first.clear(), second.clear()
-            return out
+        held: list[pa.RecordBatch] = []
+
+        def settle(run: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Pairs of a table of whole tokens."""
+            token = run.column("token").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+            longer = np.flatnonzero(np.diff(edges) > 1)
+            if not len(longer):
+                return
+            n, place = run.column("n").to_numpy(), run.column("place").to_numpy()
+            node, root = (np.array(run.column(c).to_pylist(), "S16") for c in ("node", "root"))
+            first, second = [], []
+            for a, b in zip(edges[longer], edges[longer + 1]):
+                if (root[a:b] == root[a]).all():
+                    continue
+                for x, y in _pairs_of(n[a:b], place[a:b], root[a:b], percent):
+                    first.append(x + a)
+                    second.append(y + a)
+                    if sum(map(len, first)) > 50_000:
+                        yield _ordered(run, first, second)
+                        first, second = [], []
+            if first:
+                yield _ordered(run, first, second)
 
         for batch in batches:
-            values = batch.column("token").to_numpy()
-            # A token met once pairs nothing; only runs of equal tokens are looked at.
-            same = np.zeros(len(values) + 1, bool)
-            same[1:-1] = values[1:] == values[:-1]
-            run = same[:-1] | same[1:]
-            if len(run):
-                run[0] = run[-1] = True
-            picked = batch.take(pa.array(np.flatnonzero(run)))
-            for t, node, n, root in zip(*(picked.column(c).to_pylist() for c in ("token", "node", "n", "root"))):
-                if t != token:
-                    token, band = t, [(node, n, root)]
-                    continue
-                if 100 * band[0][1] < percent * n:
-                    band = [x for x in band if 100 * x[1] >= percent * n]
-                for other, _, its in band:
-                    if its != root:
-                        low, high = (node, other) if node < other else (other, node)
-                        first.append(high)
-                        second.append(low)
-                band.append((node, n, root))
-                if len(first) >= 50_000:
-                    yield flush()
-        yield flush()
-
-    return rows.select("token", "node", "n", "root").mapInArrow(pair, "a binary, b binary").distinct()
+            if not batch.num_rows:
+                continue
+            token = batch.column("token").to_numpy()
+            tail = int(np.argmax(token == token[-1]))  # the last token may go on in the next batch
+            if tail:
+                yield from settle(pa.Table.from_batches([*held, batch.slice(0, tail)]))
+                held = []
+            elif held and held[-1].column("token")[0].as_py() != token[0]:
+                yield from settle(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(tail))
+        if held:
+            yield from settle(pa.Table.from_batches(held))
+
+    return rows.select("token", "place", "node", "n", "root").mapInArrow(pair, "a binary, b binary").distinct()
+
+
+def _ordered(run: pa.Table, first: list[np.ndarray], second: list[np.ndarray]) -> pa.RecordBatch:
+    """Batch of the distinct pairs (a, b) of two lists of rows, b the smaller node."""
+    node = run.column("node").to_pylist()
+    pairs = {(max(p, q), min(p, q)) for x, y in zip(first, second) for p, q in zip((node[i] for i in x), (node[j] for j in y))}
+    return pa.record_batch([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
 def grouped(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
