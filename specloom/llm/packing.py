@@ -20,6 +20,10 @@ an empty table gives no pieces; columns of the input other than the id and text
 
 from __future__ import annotations
 
+import os
+import string
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -34,7 +38,10 @@ END_ID = 1
 #: Hash blocks by which a length class is ranked.
 BLOCKS = 1024
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 900_000
+SHORT = 9
+#: Characters of the texts that are split into words at a time.
+RUN_CHARS = 2_000_000
 
 
 def column_generation(demand: np.ndarray, capacity: int, limit: int = 4000) -> list[tuple[np.ndarray, float]]:
@@ -110,39 +117,79 @@ def whole_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray,
     return out + [(b[1], 1) for b in bins]
 
 
-def token_bytes(path: str):
-    """A function from text to its ids as little-endian unsigned 32-bit numbers.
+class TokenBytes:
+    """Ids of texts as little-endian unsigned 32-bit numbers.
 
     Between two characters that are not white space a single blank always starts a new
-    pre-token, so the ids of a text are those of its blank-separated chunks, and each chunk is
-    given to the tokenizer once.  Texts with other blanks go to the tokenizer whole.
+    pre-token, and so does punctuation after letters.  The ids of a text are therefore those of
+    its blank-separated chunks, and each chunk is given to the tokenizer once, letters and
+    punctuation apart.  Texts with other blanks go to the tokenizer whole.
     """
-    import os
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {}
-
-    def packed(encoded) -> bytes:
-        return np.array(encoded.ids, "<u4").tobytes()
-
-    def encode(text: str) -> bytes:
-        chunks = text.split(" ")
-        head, rest = chunks[0], chunks[1:]
-        missing = [c for c in set(rest) if c not in known]
-        odd = any(not c or c[0].isspace() or c[-1].isspace() for c in missing) or head != head.rstrip() or not head
-        if odd or not rest:
-            return packed(tokenizer.encode(text, add_special_tokens=False))
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(set(rest))
-            for chunk, e in zip(missing, tokenizer.encode_batch([" " + c for c in missing], add_special_tokens=False)):
-                known[chunk] = packed(e)
-        return packed(tokenizer.encode(head, add_special_tokens=False)) + b"".join(map(known.__getitem__, rest))
-
-    return encode
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    @classmethod
+    def of_process(cls, path: str) -> TokenBytes:
+        """The instance of this worker process: it outlives a task, and so does what it remembers."""
+        held = sys.modules.setdefault("_packing_of_process", types.ModuleType("_packing_of_process"))
+        if getattr(held, "path", None) != path:
+            held.path, held.tokens = path, cls(path)
+        return held.tokens
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in made]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Remember the ids of chunks after a blank."""
+        whole, split = [], []
+        for chunk in chunks:
+            letters = chunk.rstrip(string.punctuation)
+            if len(letters) < len(chunk) and letters.isalpha():
+                split.append((chunk, letters, chunk[len(letters):]))
+            elif chunk and not chunk[0].isspace() and not chunk[-1].isspace():
+                whole.append(chunk)
+        whole += {w for _, w, _ in split}.difference(whole, self.known)
+        self.known.update(zip(whole, self.encode([" " + c for c in whole])))
+        marks = list({m for _, _, m in split}.difference(self.marks))
+        self.marks.update(zip(marks, self.encode(marks)))
+        for chunk, letters, mark in split:
+            self.known[chunk] = self.known[letters] + self.marks[mark]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            short = {k: v for k, v in self.known.items() if len(k) <= SHORT}  # short words come back most often
+            self.known = short if len(short) < REMEMBERED // 2 else {}
+        chunks = [t.split(" ") for t in texts]
+        self.learn(set().union(*[c[1:] for c in chunks]).difference(self.known))
+        heads = self.encode([c[0] for c in chunks])
+        known, out = self.known.__getitem__, []
+        for text, own, head in zip(texts, chunks, heads):
+            try:
+                if own[0] != own[0].rstrip() or not own[0]:
+                    raise KeyError(own[0])
+                out.append(head + b"".join(map(known, own[1:])))
+            except KeyError:  # blanks next to other white space
+                out += self.encode([text])
+        return out
+
+
+def _runs(texts: list[str]):
+    """Consecutive runs of texts of about RUN_CHARS characters."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= RUN_CHARS:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False,
@@ -153,24 +200,26 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
                            T.StructField("doc_tokens", T.LongType())] + [T.StructField("ids", T.BinaryType())] * with_ids)
 
     def pieces(batches):
-        encode = token_bytes(tokenizer)
+        encode = TokenBytes.of_process(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
-            owner, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data = encode(text or "") + end
-                for at in range(0, len(data), width):
-                    part = data[at:at + width]
-                    owner.append(i)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    total.append(len(data) // 4)
-                    if with_ids:
-                        ids.append(part)
-            columns = [batch.column(0).take(pa.array(owner, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]]
-            yield pa.record_batch(columns + [pa.array(ids, pa.binary())] * with_ids, names=schema.names)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for first, last in _runs(texts):
+                owner, start, length, crc, total, ids = [], [], [], [], [], []
+                for i, data in enumerate(encode(texts[first:last]), first):
+                    data += end
+                    for at in range(0, len(data), width):
+                        part = data[at:at + width]
+                        owner.append(i)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        total.append(len(data) // 4)
+                        if with_ids:
+                            ids.append(part)
+                columns = [batch.column(0).take(pa.array(owner, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]]
+                yield pa.record_batch(columns + [pa.array(ids, pa.binary())] * with_ids, names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(pieces, schema)
 

@@ -84,17 +84,19 @@ def test_column_generation_reaches_the_bound():
     assert sum(c for _, c in packing.whole_patterns(np.array([0, 0, 0, 0, 3, 0, 0, 0]), 8)) == 3
 
 
-TEXTS = ["", None, "a b", "a  b", " lead", "trail ", "x\ny z", "x \ny", "x\n y", "it's 12 o'clock, <|endoftext|>!", "tab\tin it", "nbsp  x", "日本 語", "  ", "é" * 3]
+TEXTS = ["", None, "a b", "a  b", " lead", "trail ", "x\ny z", "x \ny", "x\n y", "it's 12 o'clock, <|endoftext|>!", "tab\tin it", "nbsp  x", "日本 語", "  ", "word, word's don't. x² a²! naïve… (paren) a-b_c'", "end ².", "é" * 3]
 
 
 def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(queries.tokenizer_path())
     plain.encode_special_tokens = True
-    encode = packing.token_bytes(queries.tokenizer_path())
+    texts = [t or "" for t in TEXTS]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    encode = packing.TokenBytes(queries.tokenizer_path())
     for _ in range(2):
-        for t in TEXTS:
-            assert np.frombuffer(encode(t or ""), "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
+    assert [encode([t]) == [np.array(w, "<u4").tobytes()] for t, w in zip(texts, want)] == [True] * len(want)
 
 
 def check_packing(rows, capacity=2048):
@@ -115,11 +117,11 @@ def check_packing(rows, capacity=2048):
 
 def test_packing_covers_every_token_once(spark, sf):
     doc, total, pad = check_packing(queries.QUERIES["op5_sequence_packing"](spark, sf).collect())
-    encode = packing.token_bytes(queries.tokenizer_path())
+    encode = packing.TokenBytes(queries.tokenizer_path())
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert set(doc) == set(texts)
     for k, pieces in doc.items():
-        ids, at = encode(texts[k] or "") + np.array([1], "<u4").tobytes(), 0
+        ids, at = encode([texts[k] or ""])[0] + np.array([1], "<u4").tobytes(), 0
         for r in sorted(pieces, key=lambda r: r.start):
             assert r.start == at and r.ids_crc32 == zlib.crc32(ids[4 * at:4 * (at + r.length)]) and r.doc_tokens == len(ids) // 4
             at += r.length
