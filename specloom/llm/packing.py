@@ -39,7 +39,7 @@ END_ID = 1
 BLOCKS = 1024
 #: Words whose ids a worker remembers.
 REMEMBERED = 900_000
-SHORT = 9
+SHORT = 12
 #: Characters of the texts that are split into words at a time.
 RUN_CHARS = 2_000_000
 
