@@ -248,7 +248,7 @@ def _events(spark, sf):
 
 
 _SEP = "chr(31)"
-_HASH = f"left(sha256(concat_ws({_SEP}, 'demo', brand, '', '', description, '', '', name, '', '', '', '', 'a=2' || {_SEP} || 'z=1')), 32)"
+_HASH = f"left(sha256(concat_ws({_SEP}, 'demo', brand, '', '', description, '', '', name, '', '', '', '', '1:a1:2' || {_SEP} || '1:z1:1')), 32)"
 
 
 @query("content_hash", f"WITH e AS ({_EV}) SELECT id, {_HASH} AS content_hash FROM e")

@@ -101,10 +101,10 @@ def grid_pairs(spark, sf):
 
 
 _PS = f"""{_LN}, {_LP}, {_CP}, {_GP},
-ps AS (SELECT doc, 1 AS page, 0 AS tier, tbl * 100000 + line AS seq, key, value, 'table:lines' AS strategy FROM gp WHERE doc % 6 = 4
-  UNION ALL SELECT doc, page, 2, line, key, value, 'text:columns' FROM cp WHERE (doc, page) NOT IN (SELECT (doc, page) FROM lp GROUP BY doc, page HAVING count(*) >= 3)
+ps AS (SELECT doc, 1 AS page, 0 AS tier, (tbl, line) AS seq, key, value, 'table:lines' AS strategy FROM gp WHERE doc % 6 = 4
+  UNION ALL SELECT doc, page, 2, (0, line), key, value, 'text:columns' FROM cp WHERE (doc, page) NOT IN (SELECT (doc, page) FROM lp GROUP BY doc, page HAVING count(*) >= 3)
     AND NOT (doc % 6 = 4 AND page = 1 AND doc IN (SELECT doc FROM gp))
-  UNION ALL SELECT doc, page, 3, line, key, value, 'text:line-pairs' FROM lp),
+  UNION ALL SELECT doc, page, 3, (0, line), key, value, 'text:line-pairs' FROM lp),
 ds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, key ORDER BY page, tier, seq) AS r FROM ps) z WHERE r = 1)"""
 
 
@@ -150,7 +150,7 @@ _HTML = """SELECT p_partkey AS page_id, 'https://shop.example/' || CAST(p_partke
     WHEN 0 THEN '<script type="application/ld+json">{"@type":"Product","name":"' || p_name || '","sku":"K' || CAST(p_size AS STRING) || '","brand":{"name":"SKF"},"offers":{"price":"' || CAST(p_size AS STRING) || '.5","priceCurrency":"EUR"},"weight":{"value":"' || CAST(p_size AS STRING) || '","unitText":"kg"},"additionalProperty":[{"name":"Bore","value":"25 mm"}]}</script>'
     WHEN 1 THEN '<script type="application/ld+json">{"@graph":[{"@type":"WebPage","name":"no"},{"@type":["Product","Thing"],"name":"' || p_name || '","brand":"FAG","offers":[{"price":"7"}],"color":"Blue"}]}</script>'
     WHEN 2 THEN '<meta property="og:title" content="Open ' || p_name || '"><meta content="About it" name="description">' ELSE '' END
-  || '</head><body><nav><li>Menu: hidden item</li></nav><h1>Big <b>' || p_name || '</b></h1><table><tr><th>Width</th><td> ' || CAST(p_size AS STRING) || ' &quot; </td></tr><tr><td>only</td></tr><tr><td>12</td><td>x</td></tr></table>'
+  || '</head><body><header><h1>Shop front</h1></header><nav><h2>Menu</h2><li>Menu: hidden item</li></nav><h1>Big <b>' || p_name || '</b></h1><table><tr><th>Width</th><td> ' || CAST(p_size AS STRING) || ' &quot; </td></tr><tr><td>only</td></tr><tr><td>12</td><td>x</td></tr></table>'
   || '<dl><dt>Finish</dt><dd>' || p_type || '</dd><dt>Width</dt><dd>dup</dd></dl><ul><li>Grade: A' || CAST(p_size AS STRING) || '</li><li>no pair here</li></ul><footer>foot</footer></body></html>' AS html
 FROM {part}"""
 
@@ -191,7 +191,12 @@ def page_text(spark, sf):
                                                               F.col("page_description").alias("description"), F.col("page_text").alias("text"))
 
 
-@query("page_reports", """SELECT page_id, CAST(0 AS INT) AS tables, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h[12]\\b[^>]*>(.*?)</h[12]>', 1), '(?s)<[^>]*>', '', 'g'), '&amp;', '&', 'g'), '\\s+', ' ', 'g')) AS heading FROM {pages}""")
+_SHOWN = "html"
+for _tag in fixed.SKIPPED_TAGS:
+    _SHOWN = f"regexp_replace({_SHOWN}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', ' ', 'g')"
+
+
+@query("page_reports", f"""SELECT page_id, CAST(0 AS INT) AS tables, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract({_SHOWN}, '(?is)<h[12]\\b[^>]*>(.*?)</h[12]>', 1), '(?s)<[^>]*>', '', 'g'), '&amp;', '&', 'g'), '\\s+', ' ', 'g')) AS heading FROM {{pages}}""")
 def page_reports(spark, sf):
     """S10, S13 over the given web pages."""
     pages = table(spark, sf, "pages")

@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import style
 from ..functions.text import q
 
-# More distinct attribute keys than this would make an unusable sheet.
-MAX_DYNAMIC_KEYS = 5_000
-
 _INPUT = ["sku", "mpn", "brand", "name", "description", "category_hint", "price", "currency",
           "source_url", "source_document", "free_text"]
 _ATTRIBUTE_FIELDS = {"provenance": "prov", "confidence": "conf", "value": "val", "unit": "unit", "label": "label",
@@ -158,12 +155,14 @@ def _slots(slots: dict) -> list[Column]:
 
 
 def dynamic_keys(records: DataFrame, skip: set[str], order: str = "id") -> list[str]:
-    """Attribute keys of the batch in first-seen order (keys, not rows, reach the driver)."""
+    """Attribute keys of the batch in first-seen order.
+
+    Each becomes a column, so the keys (attribute names of category schemas), not rows, reach
+    the driver.
+    """
     seen = (records.select(F.col(order).alias("_o"), F.posexplode_outer("attributes").alias("_p", "_a"))
             .where("_a IS NOT NULL").groupBy(F.col("_a.key").alias("key"))
-            .agg(F.min(F.struct("_o", "_p")).alias("first")).orderBy("first").limit(MAX_DYNAMIC_KEYS + 1).collect())
-    if len(seen) > MAX_DYNAMIC_KEYS:
-        raise ProfileError(f"More than {MAX_DYNAMIC_KEYS} distinct attribute keys; use a nested profile instead.")
+            .agg(F.min(F.struct("_o", "_p")).alias("first")).orderBy("first").collect())
     return [r["key"] for r in seen if r["key"] not in skip]
 
 

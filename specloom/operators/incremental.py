@@ -11,16 +11,24 @@ FIELDS = ["brand", "category_hint", "currency", "description", "free_text", "mpn
           "source_document", "source_url"]
 
 
-def content_hash_sql(mode: str = "demo", fingerprint: str = "") -> str:
-    """H1: address of a product's content; spec order and locators do not change it."""
+def _measured(text: str) -> str:
+    """A text with its length in front, so that no two lists of texts are written alike; null is '-'."""
+    return f"coalesce(concat(length({text}), ':', {text}), '-')"
+
+
+def content_hash_sql(mode: str = "demo", fingerprint: str = "", model: str = "") -> str:
+    """H1: address of a product's content; spec order and locators do not change it.
+
+    ``model`` names the model whose answers the stored result holds, if any.
+    """
     fields = ", ".join(f"coalesce(CAST({f} AS STRING), '')" for f in FIELDS)
-    specs = f"array_join(array_sort(transform(coalesce(specs, array()), s -> concat(s.key, '=', s.value))), {q(SEP)})"
-    tail = f", {q('taxonomy:' + fingerprint)}" if fingerprint else ""
+    specs = f"array_join(array_sort(transform(coalesce(specs, array()), s -> concat({_measured('s.key')}, {_measured('s.value')}))), {q(SEP)})"
+    tail = (f", {q('taxonomy:' + fingerprint)}" if fingerprint else "") + (f", {q('model:' + model)}" if model else "")
     return f"left(sha2(concat_ws({q(SEP)}, {q(mode)}, {fields}, {specs}{tail}), 256), 32)"
 
 
-def with_hash(products: DataFrame, mode: str = "demo", fingerprint: str = "") -> DataFrame:
-    return products.withColumn("content_hash", F.expr(content_hash_sql(mode, fingerprint)))
+def with_hash(products: DataFrame, mode: str = "demo", fingerprint: str = "", model: str = "") -> DataFrame:
+    return products.withColumn("content_hash", F.expr(content_hash_sql(mode, fingerprint, model)))
 
 
 def taxonomy_fingerprint(learned: DataFrame) -> DataFrame:
@@ -46,10 +54,11 @@ def lookup(products: DataFrame, own: DataFrame, bundled: DataFrame) -> DataFrame
     """H3: own result first, then the bundled one.
 
     ``own`` is keyed by ``content_hash``, ``bundled`` by ``bundled_hash`` (the address
-    without the taxonomy fingerprint), both with a ``result`` column.
+    without the taxonomy fingerprint), both with a ``result`` column.  An address stored more
+    than once counts once, with its smallest result.
     """
-    o = own.select("content_hash", F.col("result").alias("_own"))
-    b = bundled.select("bundled_hash", F.col("result").alias("_bundled"))
+    o = own.groupBy("content_hash").agg(F.min("result").alias("_own"))
+    b = bundled.groupBy("bundled_hash").agg(F.min("result").alias("_bundled"))
     return (products.join(o, "content_hash", "left").join(b, "bundled_hash", "left")
             .withColumn("result", F.coalesce("_own", "_bundled"))
             .withColumn("layer", F.when(F.col("_own").isNotNull(), "own").when(F.col("_bundled").isNotNull(), "bundled")

@@ -136,15 +136,10 @@ def usefulness(df: DataFrame) -> DataFrame:
 def page_budget(df: DataFrame, budget: int = PAGE_BUDGET) -> DataFrame:
     """Only the first ``budget`` allowed pages of a product, by rank, are read.
 
-    ``row_number() <= k`` lets Spark keep k rows per product in every task before the
-    exchange, so a product with very many candidates is never sorted in one place.
+    One window over the ledger: equal rows are numbered one by one, so they cannot overspend.
     """
-    w = W.partitionBy("product_id").orderBy("rank", "url")
-    read = (df.where("allowed").select("product_id", "rank", "url")
-            .withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= budget)
-            .select("product_id", "rank", "url", F.lit(True).alias("accepted")))
-    return (df.join(read, ["product_id", "rank", "url"], "left")
-            .withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    w = W.partitionBy("product_id").orderBy(F.coalesce(F.col("allowed"), F.lit(False)).desc(), "rank", "url")
+    return (df.withColumn("accepted", F.coalesce(F.col("allowed"), F.lit(False)) & (F.row_number().over(w) <= budget))
             .withColumn("ledger_reason", F.expr(
                 "CASE WHEN allowed AND NOT accepted THEN 'Within policy, but the per-product page budget of"
                 f" {budget} was already spent on higher-ranked sources.' ELSE reason END")))

@@ -129,15 +129,15 @@ def page_specs(pages: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     taken = None
     if cells is not None:
         grid = grid_pairs(cells)
-        parts.append(grid.select("doc", "page", F.lit(0).alias("tier"), (F.col("tbl") * 100_000 + F.col("line")).alias("seq"),
+        parts.append(grid.select("doc", "page", F.lit(0).alias("tier"), F.struct(F.col("tbl").cast("bigint").alias("tbl"), F.col("line").cast("bigint").alias("line")).alias("seq"),
                                  "key", "value", F.lit("table:lines").alias("strategy")))
         taken = grid.select("doc", "page").distinct()
     enough = labelled.groupBy("doc", "page").agg(F.count("*").alias("n")).where("n >= 3").select("doc", "page")
     blocked_pages = enough if taken is None else enough.union(taken).distinct()
     columns = columns.join(blocked_pages, ["doc", "page"], "left_anti")
-    parts.append(columns.select("doc", "page", F.lit(2).alias("tier"), F.col("line").cast("bigint").alias("seq"), "key", "value",
+    parts.append(columns.select("doc", "page", F.lit(2).alias("tier"), F.struct(F.lit(0).cast("bigint").alias("tbl"), F.col("line").cast("bigint").alias("line")).alias("seq"), "key", "value",
                                 F.lit("text:columns").alias("strategy")))
-    parts.append(labelled.select("doc", "page", F.lit(3).alias("tier"), F.col("line").cast("bigint").alias("seq"), "key", "value",
+    parts.append(labelled.select("doc", "page", F.lit(3).alias("tier"), F.struct(F.lit(0).cast("bigint").alias("tbl"), F.col("line").cast("bigint").alias("line")).alias("seq"), "key", "value",
                                  F.lit("text:line-pairs").alias("strategy")))
     out = parts[0]
     for p in parts[1:]:

@@ -109,18 +109,21 @@ def _meta(names: list[str]) -> str:
 
 
 def page_text(pages: DataFrame) -> DataFrame:
-    """Name, description and readable text of a page."""
-    body = "html"
+    """Name, description and readable text of a page.
+
+    The heading is read after scripts, navigation, headers and the like are gone.
+    """
+    shown = "html"
     for tag in fixed.SKIPPED_TAGS:
-        body = f"regexp_replace({body}, '(?is)<{tag}\\\\b[^>]*>.*?</{tag}>', ' ')"
-    body = f"regexp_replace({body}, '(?s)<!--.*?-->', ' ')"
-    body = f"regexp_replace({body}, '(?s)<[^>]*>', ' ')"
+        shown = f"regexp_replace({shown}, '(?is)<{tag}\\\\b[^>]*>.*?</{tag}>', ' ')"
+    pages = stage(pages, _shown=f"regexp_replace({shown}, '(?s)<!--.*?-->', ' ')")
+    body = "regexp_replace(_shown, '(?s)<[^>]*>', ' ')"
     ld = "ld" in pages.columns
-    heading = f"nullif({text_of(f'regexp_extract(html, {q(r'(?is)<h[12]\b[^>]*>(.*?)</h[12]>')}, 1)')}, '')"
+    heading = f"nullif({text_of(f'regexp_extract(_shown, {q(r'(?is)<h[12]\b[^>]*>(.*?)</h[12]>')}, 1)')}, '')"
     name = f"coalesce({'ld.name, ' if ld else ''}{_meta(['og:title', 'twitter:title'])}, {heading})"
     description = f"coalesce({'ld.description, ' if ld else ''}{_meta(['og:description', 'description'])})"
     return stage(pages, page_name=name, page_description=description,
-                 page_text=f"nullif(left({text_of(body)}, {fixed.MAX_PAGE_TEXT}), '')")
+                 page_text=f"nullif(left({text_of(body)}, {fixed.MAX_PAGE_TEXT}), '')").drop("_shown")
 
 
 def to_products(pages: DataFrame) -> DataFrame:
