@@ -123,13 +123,29 @@ _LV = "lv AS (" + " UNION ALL ".join(
     f"SELECT id, c AS cluster, '{k.lower().replace(' ', '_')}' AS key, '{k}' AS label, {v} AS value FROM ({_LP}) t" for k, v in _LF[:-2]) + "), fv AS (SELECT * FROM lv WHERE coalesce(value, '') <> '')"
 
 
-@query("signatures", f"WITH x AS ({_LP}) SELECT id, CASE c WHEN 0 THEN 'bore_size,cushioning,stroke' WHEN 1 THEN 'coated,rail_width' ELSE 'ip_class,thread' END AS fields, CASE c WHEN 0 THEN 'round pneumatic cylinder' WHEN 1 THEN 'linear guide rail' ELSE 'cable gland' END || replace(' ' || regexp_extract(name, '([a-z]+ [a-z]+)$', 1), ' new ', ' ') || CASE WHEN category_hint = 'standard' THEN '' ELSE ' ' || category_hint END AS words FROM x")
+_SIG = f"""SELECT id, CASE c WHEN 0 THEN 'bore_size,cushioning,stroke' WHEN 1 THEN 'coated,rail_width' ELSE 'ip_class,thread' END AS fields, CASE c WHEN 0 THEN 'round pneumatic cylinder' WHEN 1 THEN 'linear guide rail' ELSE 'cable gland' END || replace(' ' || regexp_extract(name, '([a-z]+ [a-z]+)$', 1), ' new ', ' ') || CASE WHEN category_hint = 'standard' THEN '' ELSE ' ' || category_hint END AS words FROM x"""
+
+
+@query("signatures", f"WITH x AS ({_LP}) {_SIG}")
 def signatures(spark, sf):
     """L2"""
     return L.signatures(_learn_products(spark, sf)).select("id", F.array_join("fields", ",").alias("fields"), F.array_join("words", " ").alias("words"))
 
 
-@query("clusters")
+_CL = f"""x AS ({_LP}), p AS (SELECT g.id, x.c, string_split(g.fields, ',') AS f, list_sort(list_distinct(string_split(g.words, ' '))) AS w FROM ({_SIG}) g JOIN x USING (id)),
+s AS (SELECT f, w, min(id) AS first, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS i FROM p GROUP BY f, w),
+sh AS (SELECT a.i, b.i AS j, len(list_intersect(a.f, b.f)) AS ff, len(list_intersect(a.w, b.w)) AS ww, len(a.f) + len(b.f) AS nf, len(a.w) + len(b.w) AS nw FROM s a JOIN s b ON b.i < a.i),
+k AS (SELECT i, j, CASE WHEN nf - ff >= 2 THEN 0.7::DOUBLE * (ff::DOUBLE / (nf - ff)) + 0.3::DOUBLE * (ww::DOUBLE / (nw - ww)) ELSE ww::DOUBLE / (nw - ww) END AS score FROM sh),
+n AS (SELECT i, list(j) AS near FROM k WHERE score >= 0.35 GROUP BY i),
+r AS (SELECT CAST(1 AS BIGINT) AS i, [CAST(1 AS BIGINT)] AS leads UNION ALL SELECT r.i + 1, CASE WHEN list_has_any(coalesce(near, []), leads) THEN leads ELSE list_append(leads, r.i + 1) END
+  FROM r LEFT JOIN n ON n.i = r.i + 1 WHERE r.i < (SELECT count(*) FROM s)),
+ld AS (SELECT unnest(leads) AS j FROM r WHERE i = (SELECT count(*) FROM s)),
+best AS (SELECT k.i, k.j, row_number() OVER (PARTITION BY k.i ORDER BY score DESC, k.j) AS o FROM k JOIN ld ON ld.j = k.j WHERE score >= 0.35),
+home AS (SELECT s.i, s.f, s.w, CASE WHEN s.i IN (SELECT j FROM ld) THEN s.i ELSE best.j END AS j FROM s LEFT JOIN best ON best.i = s.i AND o = 1),
+cl AS (SELECT p.id, p.c, s.first AS cluster FROM p JOIN home ON home.f = p.f AND home.w = p.w JOIN s ON s.i = home.j)"""
+
+
+@query("clusters", f"WITH RECURSIVE {_CL} SELECT cluster, count(*) AS products, count(DISTINCT c) AS kinds FROM cl GROUP BY cluster")
 def clusters(spark, sf):
     """L3"""
     return L.cluster(_learn_products(spark, sf)).groupBy("cluster").agg(F.count("*").alias("products"), F.count_distinct("c").alias("kinds"))

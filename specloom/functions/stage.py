@@ -9,6 +9,9 @@ projection stays inside whole-stage codegen and adds no exchange.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -28,3 +31,20 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: evaluated once, short lineage.
+
+    The folder is the one spark.checkpoint.dir names; a temporary one is set only where the
+    session names none, as in tests.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if base is None:
+        base = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

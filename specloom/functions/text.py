@@ -41,6 +41,11 @@ def squash(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\\\s+', ' '))"
 
 
+def folded(x: str) -> str:
+    """Lower case without white space of any kind at the ends; the form in which values are compared."""
+    return f"lower(regexp_replace({x}, '(?U)^\\\\s+|\\\\s+$', ''))"
+
+
 def blank_to_null(x: str) -> str:
     return f"nullif({x}, '')"
 

@@ -1,159 +1,119 @@
 """Claim tables: the contest of R1/R5 over long rows, and the scores built on it (K2).
 
 ``claims(id, key, val, prov, conf, <order columns>)``.  The contest is sequential: a
-claim whose value differs costs the winner 0.05, so order decides.  A (id, key) group
-of ordinary size is folded in place by an ``aggregate`` over its ordered claims.  A
-group larger than ``limit`` is never gathered: its claims are range-partitioned into
-consecutive blocks, every block is folded in parallel from the state the block before
-it ended with, and only blocks whose entering state changed are folded again until
-nothing changes.  That is exact for any data; two or three rounds are usual.
+claim whose value differs costs the winner 0.05, so order decides.  One expression
+(``fold_sql``) folds the ordered claims of a block from the state that entered it.  A
+(id, key) group of ordinary size is one block that nothing enters.  A larger group is
+never gathered: its claims are range-partitioned into consecutive blocks, the blocks are
+stored, every block is folded in parallel from the state the block before it ended with,
+and only blocks whose entering state changed are folded again until nothing changes.
+Blocks are storage only; the result is that of one fold over the whole group.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed
-from ..functions.text import q
-from .learn import _durable
+from ..functions.stage import durable
+from ..functions.text import folded, q
 from .reconcile import lowered
 
 GROUP_LIMIT = 10_000
+#: Claims whose log lines are joined before they are added to a block's log.
+RUN = 100
 RANK = "CASE prov " + " ".join(f"WHEN {q(p)} THEN {r}" for p, r in fixed.PROVENANCE_RANK.items()) + " ELSE 0 END"
 _RANKS = dict(fixed.PROVENANCE_RANK)
+_HELD = "STRUCT<val:STRING,rank:INT,conf:DOUBLE,prov:STRING>"
 
 
-def fold_sql(claims: str, log: bool) -> str:
-    """R1 (and R5 lines) over an ordered array of structs (val, rank, conf, prov)."""
-    wins = "(c.rank > acc.rank OR (c.rank = acc.rank AND c.conf > acc.conf))"
-    differ = "NOT (lower(trim(c.val)) <=> lower(trim(acc.val)))"
+def fold_sql(claims: str, entering: str, log: bool) -> str:
+    """R1 (and R5 lines) over an ordered array of structs (val, rank, conf, prov).
+
+    ``entering`` is the winner so far, or null.  Gives held, conflicts and log.
+    """
+    wins = "(c.rank > acc.held.rank OR (c.rank = acc.held.rank AND c.conf > acc.held.conf))"
+    differ = f"NOT ({folded('c.val')} <=> {folded('acc.held.val')})"
 
     def out(won, lost):
-        line = (f"concat('kept ', {won}.val, ' (', {won}.prov, ') over ', {lost}.val, ' (', {lost}.prov, ')')")
+        line = f"concat('kept ', {won}.val, ' (', {won}.prov, ') over ', {lost}.val, ' (', {lost}.prov, ')')"
         logged = f"IF({differ}, concat(acc.log, array({line})), acc.log)" if log else "acc.log"
-        return (f"named_struct('val', {won}.val, 'rank', {won}.rank,"
-                f" 'conf', IF({differ}, {lowered(won + '.conf')}, {won}.conf), 'prov', {won}.prov,"
+        return (f"named_struct('held', named_struct('val', {won}.val, 'rank', {won}.rank,"
+                f" 'conf', IF({differ}, {lowered(won + '.conf')}, {won}.conf), 'prov', {won}.prov),"
                 f" 'conflicts', acc.conflicts + IF({differ}, 1L, 0L), 'log', {logged})")
-    first = f"get({claims}, 0)"
-    zero = (f"named_struct('val', {first}.val, 'rank', {first}.rank, 'conf', {first}.conf, 'prov', {first}.prov,"
-            " 'conflicts', 0L, 'log', CAST(array() AS ARRAY<STRING>))")
-    return (f"aggregate(slice({claims}, 2, size({claims})), {zero},"
-            f" (acc, c) -> IF({wins}, {out('c', 'acc')}, {out('acc', 'c')}))")
-
-
-def _ordinary(claims: DataFrame, order: list[str], log: bool) -> DataFrame:
-    grouped = claims.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct(
-        *order, "val", F.expr(RANK).alias("rank"), "conf", "prov"))).alias("c"))
-    return (grouped.select("id", "key", F.expr(fold_sql("c", log)).alias("w"))
-            .select("id", "key", "w.val", "w.prov", "w.conf", "w.conflicts", "w.log"))
-
-
-def _fold_rows(state, vals, provs, confs, log):
-    """The contest over plain lists from an entering state; returns exit state and conflicts."""
-    conflicts = 0
-    for val, prov, conf in zip(vals, provs, confs):
-        rank = _RANKS.get(prov, 0)
-        if state is None:
-            state = (val, rank, conf, prov)
-            continue
-        held, h_rank, h_conf, h_prov = state
-        win = (rank, conf) > (h_rank, h_conf)
-        kept, lost = ((val, rank, conf, prov), state) if win else (state, (val, rank, conf, prov))
-        same = (held is None and val is None) or (
-            held is not None and val is not None and held.strip().lower() == val.strip().lower())
-        if not same:
-            conflicts += 1
-            kept = (kept[0], kept[1], math.floor(max(kept[2] - 0.05, 0.1) * 1000 + 0.5) / 1000, kept[3])
-            if log is not None:
-                log.append(f"kept {kept[0]} ({kept[3]}) over {lost[0]} ({lost[3]})")
-        state = kept
-    return state, conflicts
-
-
-_STATE = "x_val string, x_rank int, x_conf double, x_prov string"
-
-
-def _block_fold(order: list[str], with_log: bool):
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        head = rows.iloc[0]
-        entering = None if not head["e_has"] else (head["e_val"], int(head["e_rank"]), float(head["e_conf"]), head["e_prov"])
-        log = [] if with_log else None
-        state, conflicts = _fold_rows(entering, rows["val"].tolist(), rows["prov"].tolist(), rows["conf"].tolist(), log)
-        return pd.DataFrame([{"id": head["id"], "key": head["key"], "blk": head["blk"], "x_val": state[0], "x_rank": state[1],
-                              "x_conf": state[2], "x_prov": state[3], "conflicts": conflicts, "log": log or []}])
-    return fold
+    first = f"named_struct('held', CAST(c AS {_HELD}), 'conflicts', acc.conflicts, 'log', acc.log)"
+    step = f"CASE WHEN acc.held IS NULL THEN {first} WHEN {wins} THEN {out('c', 'acc.held')} ELSE {out('acc.held', 'c')} END"
+    none = "CAST(array() AS ARRAY<STRING>)"
+    inner = (f"aggregate(slice({claims}, run * {RUN} + 1, {RUN}), named_struct('held', all.held, 'conflicts', all.conflicts, 'log', {none}),"
+             f" (acc, c) -> {step}, r -> named_struct('held', r.held, 'conflicts', r.conflicts, 'log', concat(all.log, r.log)))")
+    return (f"aggregate(sequence(0, (size({claims}) - 1) div {RUN}), named_struct('held', CAST({entering} AS {_HELD}), 'conflicts', 0L, 'log', {none}),"
+            f" (all, run) -> {inner})")
+
+
+def _block_folds(claims: DataFrame, by: list[str], order: list[str], entering: str, log: bool) -> DataFrame:
+    """Columns ``by`` and w (held, conflicts, log): every block folded from ``entering``, a column of the claims."""
+    held = [] if entering == "NULL" else [F.any_value(entering).alias("_in")]
+    grouped = claims.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(
+        *order, "val", F.expr(RANK).alias("rank"), "conf", "prov"))).alias("c"), *held)
+    bare = grouped.withColumn("c", F.expr("transform(c, x -> named_struct('val', x.val, 'rank', x.rank, 'conf', x.conf, 'prov', x.prov))"))
+    return bare.select(*by, F.expr(fold_sql("c", "_in" if held else "NULL", log)).alias("w"))
 
 
 def _oversized(claims: DataFrame, order: list[str], limit: int, total: int, log: bool) -> DataFrame:
-    placed = _durable(claims.repartitionByRange(max(2, math.ceil(total / limit)), "id", "key", *order)
-                      .withColumn("blk", F.spark_partition_id()))
-    id_type = dict(placed.dtypes)["id"]
-    schema = f"id {id_type}, key string, blk int, {_STATE}, conflicts bigint, log array<string>"
-    state = ["x_val", "x_rank", "x_conf", "x_prov"]
-    none = {"e_has": F.lit(False), "e_val": F.lit(None).cast("string"), "e_rank": F.lit(None).cast("int"),
-            "e_conf": F.lit(None).cast("double"), "e_prov": F.lit(None).cast("string")}
-    entering = placed.select("id", "key", "blk").distinct().withColumns(none)
-    known = None  # blocks with the state they entered with and the state they ended with
+    """id, key, blk, w of the blocks of large groups, each folded from its final entering state."""
+    block = ["id", "key", "blk"]
+    placed = durable(claims.repartitionByRange(max(2, math.ceil(total / limit)), "id", "key", *order)
+                     .withColumn("blk", F.spark_partition_id()))
+    entering = placed.select(*block).distinct().withColumn("e", F.lit(None).cast(_HELD))
+    known = None  # blocks with the state they entered with and what they ended with
     w = W.partitionBy("id", "key").orderBy("blk")
     while True:
-        folded = (placed.join(entering, ["id", "key", "blk"]).groupBy("id", "key", "blk")
-                  .applyInPandas(_block_fold(order, log), schema)
-                  .join(entering, ["id", "key", "blk"]).withColumn("x_has", F.lit(True)))
-        known = folded if known is None else known.join(entering.select("id", "key", "blk"), ["id", "key", "blk"], "left_anti").unionByName(folded)
-        known = _durable(known)
-        nxt = known.select("id", "key", "blk", *[F.col(f"e_{c}") for c in ("has", "val", "rank", "conf", "prov")],
-                           *[F.lag("x_" + c).over(w).alias("n_" + c) for c in ("has", "val", "rank", "conf", "prov")])
-        same = F.col("e_has").eqNullSafe(F.coalesce("n_has", F.lit(False)))
-        for c in ("val", "rank", "conf", "prov"):
-            same = same & F.col("e_" + c).eqNullSafe(F.col("n_" + c))
-        entering = _durable(nxt.where(~same).select(
-            "id", "key", "blk", F.coalesce("n_has", F.lit(False)).alias("e_has"),
-            *[F.col("n_" + c).alias("e_" + c) for c in ("val", "rank", "conf", "prov")]))
+        ended = _block_folds(placed.join(entering, block), block, order, "e", log).join(entering, block)
+        known = durable(ended if known is None else known.join(entering.select(*block), block, "left_anti").unionByName(ended))
+        after = known.select(*block, "e", F.lag("w.held").over(w).alias("n"))
+        entering = durable(after.where("NOT (e <=> n)").select(*block, F.col("n").alias("e")))
         if entering.isEmpty():
-            break
-    return known
+            return known.drop("e")
 
 
-def _split(claims: DataFrame, limit: int) -> tuple[DataFrame | None, DataFrame | None, int]:
-    """(ordinary claims, claims of oversized groups, their number); either may be None."""
+def _split(claims: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(ordinary claims, claims of oversized groups or None, their number)."""
     sizes = claims.groupBy("id", "key").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
     total = sizes.agg(F.count("*").alias("g"), F.sum("_n").alias("n")).first()
     if not total["g"]:
         return claims, None, 0
-    big = sizes.select("id", "key")
+    big = sizes.select(F.col("id").alias("_id"), F.col("key").alias("_key"))
     side = F.broadcast(big) if total["g"] <= 100_000 else big
-    return (claims.join(side, ["id", "key"], "left_anti"), claims.join(side, ["id", "key"], "left_semi"), total["n"])
+    same: Column = F.col("id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key"))
+    return claims.join(side, same, "left_anti"), claims.join(side, same, "left_semi"), total["n"]
 
 
 def reconcile_claims(claims: DataFrame, order: list[str], limit: int = GROUP_LIMIT) -> DataFrame:
     """The surviving claim of every (id, key), its confidence and the conflicts it went through.
 
-    ``order`` names the columns that put the claims of a group in sequence.
+    ``order`` names the columns that put the claims of a group in sequence.  ``limit`` is the
+    size of a block in memory; it does not change the result.
     """
     small, large, total = _split(claims, limit)
-    columns = ["id", "key", "val", "prov", "conf", "conflicts"]
-    settled = _ordinary(small, order, False).select(*columns)
+    columns = ["id", "key", "w.held.val", "w.held.prov", "w.held.conf"]
+    settled = _block_folds(small, ["id", "key"], order, "NULL", False).select(*columns, "w.conflicts")
     if large is None:
         return settled
     blocks = _oversized(large, order, limit, total, False)
-    last = F.max_by(F.struct("x_val", "x_prov", "x_conf"), "blk")
-    hot = blocks.groupBy("id", "key").agg(last.alias("w"), F.sum("conflicts").alias("conflicts"))
-    return settled.unionByName(hot.select("id", "key", F.col("w.x_val").alias("val"), F.col("w.x_prov").alias("prov"),
-                                          F.col("w.x_conf").alias("conf"), "conflicts"))
+    hot = blocks.groupBy("id", "key").agg(F.max_by("w", "blk").alias("w"), F.sum("w.conflicts").alias("conflicts"))
+    return settled.unionByName(hot.select(*columns, "conflicts"))
 
 
 def conflict_log(claims: DataFrame, order: list[str], limit: int = GROUP_LIMIT) -> DataFrame:
     """One row per conflict, ``(block, n)`` giving its order; no group's log is ever gathered."""
     small, large, total = _split(claims, limit)
-    out = _ordinary(small, order, True).select("id", "key", F.lit(0).alias("block"), F.posexplode("log").alias("n", "line"))
+    out = _block_folds(small, ["id", "key"], order, "NULL", True).select("id", "key", F.lit(0).alias("block"), F.posexplode("w.log").alias("n", "line"))
     if large is None:
         return out
     blocks = _oversized(large, order, limit, total, True)
-    return out.unionByName(blocks.select("id", "key", F.col("blk").alias("block"), F.posexplode("log").alias("n", "line")))
+    return out.unionByName(blocks.select("id", "key", F.col("blk").alias("block"), F.posexplode("w.log").alias("n", "line")))
 
 
 def confidence(attributes: DataFrame, by: str = "id") -> DataFrame:
@@ -161,12 +121,3 @@ def confidence(attributes: DataFrame, by: str = "id") -> DataFrame:
     w = F.expr(f"({RANK}) / 6D")
     return attributes.groupBy(by).agg((F.sum(F.col("conf") * w) / F.sum(w) * 100).alias("confidence"),
                                       F.count("*").alias("attributes"))
-
-
-def _ship_by_value() -> None:
-    import sys
-    from pyspark import cloudpickle
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-_ship_by_value()

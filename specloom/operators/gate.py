@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed
 from ..functions import units
 from ..functions.stage import stage
-from ..functions.text import let, q
+from ..functions.text import folded, let, q
 from .records import NO_ATTRIBUTES, rebuilt
 from .rules import validate
 from .score import score
@@ -35,7 +35,7 @@ def decide(held: DataFrame, proposed: DataFrame) -> DataFrame:
     """
     h = held.select("id", "key", *[F.col(c).alias("h_" + c) for c in COLUMNS], F.lit(True).alias("_h"))
     p = proposed.select("id", "key", *[F.col(c).alias("p_" + c) for c in COLUMNS], F.lit(True).alias("_p"))
-    differ = ~F.trim(F.lower("h_val")).eqNullSafe(F.trim(F.lower("p_val")))
+    differ = F.expr(f"NOT ({folded('h_val')} <=> {folded('p_val')})")
     return (h.join(p, ["id", "key"], "full_outer")
             .withColumn("action", F.when(F.col("_p").isNull(), F.lit(None).cast("string"))
                         .when(F.col("_h").isNull(), "gap_filled")
@@ -86,7 +86,7 @@ def apply_to_records(records: DataFrame, proposed: str = "proposed") -> DataFram
                        evidence=f"left(concat('[gate: {reason}] ', {a}.evidence), 600)", prov="'inferred'",
                        rank=str(fixed.PROVENANCE_RANK["inferred"]), method=q(METHOD))
     held = let("p", "get(filter(pr, x -> x.key = a.key), 0)", (
-        "IF(p IS NOT NULL AND a.prov = 'defaulted' AND NOT (lower(trim(a.val)) <=> lower(trim(p.val))),"
+        f"IF(p IS NOT NULL AND a.prov = 'defaulted' AND NOT ({folded('a.val')} <=> {folded('p.val')}),"
         f" {adopt('p', 'displaced category default')}, a)"))
     body = let("pr", f"coalesce({proposed}, {NO_ATTRIBUTES})", let("at", "attributes", (
         f"array_sort(concat(transform(at, a -> {held}),"

@@ -7,17 +7,16 @@ are ranked, so no product group is ever gathered in one place.
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import fixed
 from ..functions import units
+from ..functions.stage import durable
 from ..functions.text import in_list, key_slug, q
 
-# Signatures one task compares greedily; more are handled block by block.
-BLOCK = 20_000
+# Signatures settled among themselves in one round.
+BLOCK = 500
 BROADCAST_SIGNATURES = 1_000_000
 
 
@@ -42,82 +41,72 @@ def signatures(products: DataFrame) -> DataFrame:
     })
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Join each signature to the best-scoring group seen so far, or start one."""
-    groups: list[list] = []
-    leaders = []
-    for first, fields, words in zip(rows["first"], rows["fields"], rows["words"]):
-        fields, words = frozenset(fields), frozenset(words)
-        best, top = None, 0.0
-        for g in groups:
-            all_fields = len(fields | g[1])
-            by_field = len(fields & g[1]) / all_fields if all_fields else 0.0
-            all_words = len(words | g[2])
-            by_word = len(words & g[2]) / all_words if all_words else 0.0
-            score = 0.7 * by_field + 0.3 * by_word if all_fields >= 2 else by_word
-            if score > top:
-                best, top = g, score
-        if best is not None and top >= fixed.CLUSTER_THRESHOLD:
-            best[1] |= fields
-            best[2] |= words
-            leaders.append(best[0])
-        else:
-            groups.append([first, set(fields), set(words)])
-            leaders.append(first)
-    union = {g[0]: (sorted(g[1]), sorted(g[2])) for g in groups}
-    return pd.DataFrame({
-        "first": rows["first"].to_numpy(), "leader": leaders,
-        "fields": [union[f][0] if f == ld else None for f, ld in zip(rows["first"], leaders)],
-        "words": [union[f][1] if f == ld else None for f, ld in zip(rows["first"], leaders)]})
-
-
-def _block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return _greedy(rows.sort_values("first", kind="stable"))
-
-
-def _durable(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder when there is one."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isDefined() or folder:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(folder)
-        return df.checkpoint()
-    return df
+def _scores(items: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(sig, leader, score) of every signature with every earlier leader it shares a field or word with.
+
+    0.7 x field overlap + 0.3 x word overlap, words alone when the two have fewer than two
+    fields together.  Shared tokens are counted by an equi-join on the token.
+    """
+    def tokens(df, name):
+        return df.select(F.col("_sig").alias(name), F.explode(F.expr(
+            "concat(transform(fields, x -> concat('f', x)), transform(words, x -> concat('w', x)))")).alias("token"))
+    size = lambda df, name: df.select(F.col("_sig").alias(name), F.size("fields").alias(name + "_f"), F.size("words").alias(name + "_w"),
+                                      (-F.col("support")).alias(name + "_s"), F.col("first").alias(name + "_o"))
+    shared = (tokens(items, "sig").join(tokens(leaders, "lead"), "token").groupBy("sig", "lead")
+              .agg(F.count_if(F.col("token").startswith("f")).alias("ff"), F.count_if(F.col("token").startswith("w")).alias("ww")))
+    by_word = "coalesce(try_divide(CAST(ww AS DOUBLE), sig_w + lead_w - ww), 0D)"
+    both = "(sig_f + lead_f - ff)"
+    return (shared.join(size(items, "sig"), "sig").join(size(leaders, "lead"), "lead")
+            .where("lead_s < sig_s OR (lead_s = sig_s AND lead_o < sig_o)")
+            .withColumn("score", F.expr(f"IF({both} >= 2, 0.7D * (ff / {both}) + 0.3D * {by_word}, {by_word})"))
+            .where(f"score >= {fixed.CLUSTER_THRESHOLD}D").select("sig", "lead", "score", "lead_s", "lead_o"))
+
+
+def _leaders_among(rows: list) -> list[int]:
+    """Signatures of an ordered batch that no earlier leader of the batch takes in."""
+    def overlap(sets):
+        place = {t: i for i, t in enumerate(sorted({t for s in sets for t in s}))}
+        table = np.zeros((len(sets), max(1, len(place))), np.float64)
+        for i, s in enumerate(sets):
+            table[i, [place[t] for t in s]] = 1
+        shared, sizes = table @ table.T, table.sum(axis=1)
+        either = sizes[:, None] + sizes - shared
+        return np.divide(shared, either, out=np.zeros_like(shared), where=either > 0), either
+    by_field, fields = overlap([r["fields"] for r in rows])
+    by_word, _ = overlap([r["words"] for r in rows])
+    near = np.where(fields >= 2, 0.7 * by_field + 0.3 * by_word, by_word) >= fixed.CLUSTER_THRESHOLD
+    leads = np.zeros(len(rows), bool)
+    for i in range(len(rows)):
+        leads[i] = not near[i, :i][leads[:i]].any()
+    return [r["_sig"] for r, lead in zip(rows, leads) if lead]
 
 
 def cluster(products: DataFrame, block: int = BLOCK) -> DataFrame:
-    """L3: adds ``cluster``, the id of the first product of its group.
+    """L3: adds ``cluster``, the id of the first product with the leading signature of its group.
 
-    Score 0.7 x field overlap + 0.3 x word overlap against the group so far (words alone
-    when fewer than two fields are involved), threshold 0.35, in id order.  Equal
-    signatures are decided once.  Up to ``block`` distinct signatures this is one
-    sequential pass; beyond that blocks are grouped side by side and the group
-    summaries are grouped again until they fit one block or stop merging.
+    Distinct signatures are taken by number of products, then first product.  One that no
+    earlier leader reaches with 0.35 leads a group; any other joins the earlier leader that
+    scores best.  Groups do not grow by union.  Leaders are found in rounds: the next ``block``
+    signatures are settled among themselves, then the rest is compared with the new leaders
+    only; a round is written to the shared folder.  ``block`` sets the pace, not the result.
     """
     df = signatures(products) if "fields" not in products.columns else products
     df = df.withColumn("_sig", F.xxhash64("fields", F.array_sort(F.array_distinct("words"))))
-    items = (df.groupBy("_sig").agg(F.min("id").alias("first"), F.any_value("fields").alias("fields"),
-                                    F.any_value(F.array_sort(F.array_distinct("words"))).alias("words")))
-    items = _durable(items)
-    assigned = items.select("_sig", F.col("first").alias("leader"))
-    level, seed, before = items.select("first", "fields", "words"), 0, None
-    while True:
-        n = level.count()
-        blocks = max(1, math.ceil(n / block))
-        if before is not None and blocks > 1 and n > 0.98 * before:
-            break  # nothing left to merge across blocks
-        step = (level.withColumn("_b", F.pmod(F.xxhash64("first", F.lit(seed)), F.lit(blocks)))
-                .groupBy("_b").applyInPandas(
-                    _block, "first bigint, leader bigint, fields array<string>, words array<string>"))
-        step = _durable(step)
-        moved = step.select(F.col("first").alias("leader"), F.col("leader").alias("_to"))
-        assigned = assigned.join(moved, "leader").select("_sig", F.col("_to").alias("leader"))
-        level = step.where("fields IS NOT NULL").select("first", "fields", "words")
-        before, seed = n, seed + 1
-        if blocks == 1:
-            break
-    assigned = _durable(assigned)
+    items = durable(df.groupBy("_sig").agg(F.min("id").alias("first"), F.count("*").alias("support"), F.any_value("fields").alias("fields"),
+                                           F.any_value(F.array_sort(F.array_distinct("words"))).alias("words")))
+    spark, left, found = df.sparkSession, items, None
+    while rows := left.orderBy(F.desc("support"), "first").limit(block).collect():
+        new = spark.createDataFrame([(x,) for x in _leaders_among(rows)], "_sig bigint")
+        leaders = items.join(F.broadcast(new), "_sig", "left_semi")
+        found = leaders if found is None else found.unionByName(leaders)
+        taken = _scores(left, leaders).select(F.col("sig").alias("_sig")).union(leaders.select("_sig")).distinct()
+        left = durable(left.join(taken, "_sig", "left_anti"))
+    if found is None:
+        return df.withColumn("cluster", F.col("id")).drop("_sig")
+    found = durable(found)
+    best = (_scores(items, found).groupBy("sig").agg(F.max_by("lead_o", F.struct("score", -F.col("lead_s"), -F.col("lead_o"))).alias("leader")))
+    own = found.select(F.col("_sig").alias("sig"), F.col("first").alias("leader"))
+    assigned = durable(own.unionByName(best.join(own.select("sig"), "sig", "left_anti")).withColumnRenamed("sig", "_sig"))
     side = F.broadcast(assigned) if assigned.count() <= BROADCAST_SIGNATURES else assigned
     return df.join(side, "_sig").withColumnRenamed("leader", "cluster").drop("_sig")
 
@@ -253,8 +242,8 @@ def proposed_attributes(clustered: DataFrame) -> DataFrame:
 
 def propose(products: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(proposals, proposed attributes) from weakly classified products."""
-    clustered = _durable(merge_alike(cluster(products, block)))
-    attrs = _durable(proposed_attributes(clustered))
+    clustered = durable(merge_alike(cluster(products, block)))
+    attrs = durable(proposed_attributes(clustered))
     heads = names(clustered)
     shape = attrs.groupBy("cluster").agg(
         F.count("*").alias("fields"), F.sum("observed_in").alias("observed"),
@@ -349,12 +338,3 @@ def to_categories(proposals: DataFrame, attrs: DataFrame, limit: int = 5_000) ->
                 "values": list(f["members"] or []), "aliases": [f["alias"]] if f["alias"] else [],
                 "range": None if f["range_low"] is None else (f["range_low"], f["range_high"])} for f in mine]})
     return out
-
-
-def _ship_by_value() -> None:
-    import sys
-    from pyspark import cloudpickle
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-_ship_by_value()

@@ -136,10 +136,18 @@ def usefulness(df: DataFrame) -> DataFrame:
 def page_budget(df: DataFrame, budget: int = PAGE_BUDGET) -> DataFrame:
     """Only the first ``budget`` allowed pages of a product, by rank, are read.
 
-    One window over the ledger: equal rows are numbered one by one, so they cannot overspend.
+    ``row_number() <= k`` lets Spark keep k rows per product in every task before the
+    exchange, so a product with very many candidates is never sorted in one place.  Equal
+    rows are numbered, and as many of them are read as the budget reached.
     """
-    w = W.partitionBy("product_id").orderBy(F.coalesce(F.col("allowed"), F.lit(False)).desc(), "rank", "url")
-    return (df.withColumn("accepted", F.coalesce(F.col("allowed"), F.lit(False)) & (F.row_number().over(w) <= budget))
+    page = ["product_id", "rank", "url"]
+    w = W.partitionBy("product_id").orderBy("rank", "url")
+    read = (df.where("allowed").select(*page).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= budget)
+            .groupBy(*page).agg(F.count("*").alias("_read")))
+    copy = F.row_number().over(W.partitionBy(*page).orderBy(F.coalesce(F.col("allowed"), F.lit(False)).desc()))
+    return (df.withColumn("_copy", copy).join(read, page, "left")
+            .withColumn("accepted", F.coalesce(F.col("allowed") & (F.col("_copy") <= F.col("_read")), F.lit(False)))
+            .drop("_copy", "_read")
             .withColumn("ledger_reason", F.expr(
                 "CASE WHEN allowed AND NOT accepted THEN 'Within policy, but the per-product page budget of"
                 f" {budget} was already spent on higher-ranked sources.' ELSE reason END")))

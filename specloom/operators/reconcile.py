@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.stage import stage
-from ..functions.text import let
+from ..functions.text import folded, let
 from .records import NO_ATTRIBUTES, rebuilt, shown
 
 VALUES_AGREE = (
@@ -22,7 +22,7 @@ VALUES_AGREE = (
     " WHEN try_cast(h.val AS DOUBLE) IS NOT NULL AND try_cast(s.val AS DOUBLE) IS NOT NULL"
     " THEN abs(try_cast(h.val AS DOUBLE) - try_cast(s.val AS DOUBLE))"
     " <= greatest(abs(try_cast(s.val AS DOUBLE)) * 0.01D, 1e-9D)"
-    " ELSE lower(trim(h.val)) <=> lower(trim(s.val)) END"
+    f" ELSE {folded('h.val')} <=> {folded('s.val')} END"
 )
 
 
@@ -39,7 +39,7 @@ def reconcile(df: DataFrame) -> DataFrame:
         "CASE WHEN inc IS NULL THEN named_struct('held', concat(acc.held, array(c)), 'log', acc.log) ELSE "
         + let("cw", "c.rank > inc.rank OR (c.rank = inc.rank AND c.conf > inc.conf)", let(
             "w", "IF(cw, c, inc)", let("l", "IF(cw, inc, c)", let(
-                "differ", "NOT (lower(trim(w.val)) <=> lower(trim(l.val)))",
+                "differ", f"NOT ({folded('w.val')} <=> {folded('l.val')})",
                 "named_struct('held', transform(acc.held, h -> IF(h.key = c.key,"
                 f" IF(differ, {rebuilt('w', conf=lowered('w.conf'))}, w), h)),"
                 f" 'log', IF(differ, concat(acc.log, array({line})), acc.log))"))))

@@ -167,9 +167,32 @@ def test_learning_a_category(spark, product, product_df):
 def test_cluster_blocks_reach_the_same_groups(spark, product, product_df):
     rows = [product(i, name=f"kind {'abc'[i % 3] * 4} item", specs={f"{'xyz'[i % 3]} field {j}": "1" for j in range(i % 5 + 2)}) for i in range(120)]
     one = {r["id"]: r["cluster"] for r in L.cluster(product_df(rows)).select("id", "cluster").collect()}
-    many = {r["id"]: r["cluster"] for r in L.cluster(product_df(rows), block=4).select("id", "cluster").collect()}
-    groups = lambda m: {frozenset(i for i in m if m[i] == c) for c in set(m.values())}
-    assert groups(one) == groups(many)
+    many = {r["id"]: r["cluster"] for r in L.cluster(product_df(rows[::-1]).repartition(5), block=4).select("id", "cluster").collect()}
+    assert one == many
+
+
+def test_clusters_follow_the_leader_rule(spark, product, product_df):
+    import random
+    rng = random.Random(3)
+    rows = [product(i, name=" ".join(rng.sample(["alpha", "bravo", "delta", "gamma", "omega"], 2)), specs={f"field {rng.randint(0, 9)}": "1" for _ in range(rng.randint(0, 5))}) for i in range(90)]
+    df = L.signatures(product_df(rows))
+    seen = {}
+    for r in df.orderBy("id").collect():
+        seen.setdefault((tuple(r["fields"]), tuple(sorted(set(r["words"])))), []).append(r["id"])
+    def score(a, b):
+        share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 0.0
+        return 0.7 * share(a[0], b[0]) + 0.3 * share(a[1], b[1]) if len(set(a[0]) | set(b[0])) >= 2 else share(a[1], b[1])
+    leaders, want = [], {}
+    for sig in sorted(seen, key=lambda s: (-len(seen[s]), seen[s][0])):
+        best = max(((score(sig, x), -i) for i, x in enumerate(leaders)), default=(0, 0))
+        if best[0] >= 0.35:
+            home = leaders[-best[1]]
+        else:
+            home = sig
+            leaders.append(sig)
+        want |= {i: seen[home][0] for i in seen[sig]}
+    for block in (500, 7):
+        assert {r["id"]: r["cluster"] for r in L.cluster(df, block).select("id", "cluster").collect()} == want
 
 
 def test_upsert_and_review(spark):

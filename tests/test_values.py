@@ -70,7 +70,7 @@ def model(claims):
             continue
         win = (ranks[prov], conf) > (ranks[held[1]], held[2])
         kept, lost = ((val, prov, conf), held) if win else (held, (val, prov, conf))
-        if kept[0].strip().lower() != lost[0].strip().lower():
+        if (kept[0] or "\0").strip().lower() != (lost[0] or "\0").strip().lower():
             conflicts += 1
             kept = (kept[0], kept[1], round(max(kept[2] - 0.05, 0.1) + 1e-12, 3))
         held = kept
@@ -81,11 +81,11 @@ def claim_rows(n, groups, seed):
     import random
     rng = random.Random(seed)
     provs = list(C._RANKS)
-    return [(g, "k", i, rng.choice(["A", "b", "B ", "C"]), rng.choice(provs), rng.choice([0.3, 0.45, 0.6, 0.75, 0.9]))
+    return [(g, "k", i, rng.choice(["A", "b", "B ", "C", "\tb\n", " c", None]), rng.choice(provs), rng.choice([0.3, 0.45, 0.6, 0.75, 0.9, 0.6125]))
             for g in range(groups) for i in range(n)]
 
 
-@pytest.mark.parametrize("limit", [10_000, 40])
+@pytest.mark.parametrize("limit", [10_000, 100, 40])
 def test_contest_is_exact_for_any_group_size(spark, limit):
     """With a small limit every group takes the block-wise route."""
     rows = claim_rows(150, 4, 7) + [(9, "k", i, "same", "supplied", 0.9) for i in range(200)] + [(10, "k", 0, "x", "parsed", 0.5)]
