@@ -6,7 +6,7 @@ one from ordinary tokens of the corpus.  A long token is a secret if its mean lo
 ratio per transition exceeds the threshold.  Only DataFrame functions are used; the model is a
 table of (alphabet size)^2 numbers.
 
-Training reads at most ``train_docs`` documents of each label, those with the smallest text hash.
+Training reads about ``train_docs`` documents of each label at most, chosen by a hash of the text.
 
 A span is (kind, start, end) in code points, end exclusive.  Pattern spans are leftmost and
 non-overlapping within a kind; matches that are too short are dropped after matching.  A Markov
@@ -101,14 +101,14 @@ def ratios(random: dict, ordinary: dict, smoothing: float = SMOOTHING) -> list[f
 def train(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -> list[float]:
     """Transition ratios from labelled samples; without any text, from generated strings and no ordinary ones."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    order = F.xxhash64("text")
-    patterned = with_patterns(texts.where(F.rlike("text", F.lit(ASSIGN)) | F.rlike("text", F.lit(LONG_ACCESS)) | F.rlike("text", F.lit(LONG_HEX)))
-                              .orderBy(order, "text").limit(train_docs))
+    has = F.rlike("text", F.lit(ASSIGN)) | F.rlike("text", F.lit(LONG_ACCESS)) | F.rlike("text", F.lit(LONG_HEX))
+    n, n_has = texts.agg(F.count("*"), F.count_if(has)).first()
+    share = lambda of: F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < int((1 << 24) * min(1.0, train_docs / max(of, 1)))
+    patterned = with_patterns(texts.where(share(n_has)).where(has))
     found = patterned.select(F.explode(F.concat("assign", "access", "hex")).alias("s")).select(F.col("s.value").alias("token")).distinct()
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     made = docs.sparkSession.range(GENERATED).select(F.when(F.col("id") % 4 == 0, digest).otherwise(F.base64(F.unhex(digest))).alias("token"))
-    bare = texts.orderBy(order, "text").limit(train_docs)
-    bare = bare.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token")).distinct()
+    bare = texts.where(share(n)).select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("token")).distinct()
     ordinary = bare.join(found, "token", "left_anti").where(~F.rlike("token", F.lit(f"^({LONG_HEX}|{LONG_ACCESS})$")))
     return ratios(_transitions(found.unionByName(made)), _transitions(ordinary))
 
