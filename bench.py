@@ -42,7 +42,7 @@ def lineitem_products(spark: SparkSession) -> DataFrame:
     lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").select(
         F.col("l_partkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"))
     base = products(spark, SF_DIR)
-    return (spread(lines).join(F.broadcast(base), F.col("l_partkey") == F.col("id"))
+    return (spread(lines).join(base, F.col("l_partkey") == F.col("id"))
             .drop("l_partkey", "id").withColumnRenamed("line_id", "id"))
 
 

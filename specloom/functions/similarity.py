@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from difflib import SequenceMatcher, get_close_matches
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
@@ -52,23 +53,49 @@ def _ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-@_memo
-def name_similarity(key: str, names: tuple[str, ...]) -> float:
-    """Exact 1.0, else the best of shared words and 0.9 x sequence ratio."""
-    probe = _slug(key)
-    if not probe:
-        return 0.0
-    names = tuple(n for n in map(_slug, names) if n)
-    if probe in names:
-        return 1.0
-    words, best = _tokens(probe), 0.0
-    for name in names:
-        other = _tokens(name)
-        shared = len(words & other)
-        if shared:
-            best = max(best, 0.55 + 0.4 * shared / len(words | other))
-        best = max(best, 0.9 * _ratio(probe, name))
-    return best
+class NameTable:
+    """The names of a category's attributes as one table, against which a key is scored at once.
+
+    A name that equals the key scores 1.  Otherwise shared words give 0.55 + 0.4 x their share
+    and the sequence ratio counts 0.9; the ratio is computed only where its length bound,
+    twice the shorter length over both, could raise the score.
+    """
+
+    def __init__(self, attributes: list[tuple[str, ...]]):
+        rows = [(j, s) for j, names in enumerate(attributes) for s in map(_slug, names) if s]
+        self.attribute = np.array([j for j, _ in rows], int)
+        self.names = [s for _, s in rows]
+        self.lengths = np.array([len(s) for s in self.names], float)
+        self.count = len(attributes)
+        words = sorted({t for s in self.names for t in _tokens(s)})
+        self.place = {t: i for i, t in enumerate(words)}
+        self.table = np.zeros((len(rows), len(words)))
+        for i, s in enumerate(self.names):
+            self.table[i, [self.place[t] for t in _tokens(s)]] = 1
+        self.seen: dict[str, list[float]] = {}
+
+    def scores(self, key: str) -> list[float]:
+        """Score of the key for every attribute, the best of its names."""
+        if key not in self.seen:
+            if len(self.seen) >= _MEMO_LIMIT:
+                self.seen.clear()
+            self.seen[key] = self._scores(_slug(key)).tolist()
+        return self.seen[key]
+
+    def _scores(self, probe: str) -> np.ndarray:
+        best = np.zeros(self.count)
+        if not probe or not self.names:
+            return best
+        words = _tokens(probe)
+        shared = self.table[:, [self.place[t] for t in words if t in self.place]].sum(axis=1)
+        either = self.table.sum(axis=1) + len(words) - shared
+        score = np.where(shared > 0, 0.55 + 0.4 * shared / np.maximum(either, 1), 0.0)
+        bound = 1.8 * np.minimum(self.lengths, len(probe)) / (self.lengths + len(probe))
+        for i in np.flatnonzero(bound > score):
+            score[i] = 1.0 if self.names[i] == probe else max(score[i], 0.9 * _ratio(probe, self.names[i]))
+        score[[n == probe for n in self.names]] = 1.0
+        np.maximum.at(best, self.attribute, score)
+        return best
 
 
 @_memo
@@ -94,13 +121,16 @@ def near_miss(text: str, permitted: tuple[str, ...]) -> str | None:
 def similarity_matrix(names_by_code: dict[str, list[tuple[str, ...]]]):
     """UDF(keys array, category code) -> score of every key for every attribute."""
 
+    tables: dict[str, NameTable] = {}
+
     @F.pandas_udf("array<array<double>>")
     def scores(keys: pd.Series, code: pd.Series) -> pd.Series:
         def one(row_keys, row_code):
-            names = names_by_code.get(row_code)
-            if row_keys is None or names is None:
+            if row_keys is None or row_code not in names_by_code:
                 return None
-            return [[name_similarity(k or "", n) for n in names] for k in row_keys]
+            if row_code not in tables:
+                tables[row_code] = NameTable(names_by_code[row_code])
+            return [tables[row_code].scores(k or "") for k in row_keys]
         return pd.Series([one(k, c) for k, c in zip(keys, code)], dtype=object)
 
     return scores

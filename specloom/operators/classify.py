@@ -43,7 +43,7 @@ def classify(df: DataFrame, taxonomy: Taxonomy | None = None, mpn: str = "identi
         "named_struct("
         "'score', aggregate(x.kw, 0D, (a, k) -> a + k.w) + 4D * x.pat + 0.6D * size(x.men)"
         " + IF(x.hint, 3D, 0D) + IF(x.brand, 1.5D, 0D),"
-        " 'code', c.code, 'path', c.path, 'pos', i, 'by_mpn', x.pat > 0,"
+        " 'code', c.code, 'path', c.path, 'customer', c.customer, 'pos', i, 'by_mpn', x.pat > 0,"
         " 'named', exists(c.kw, k -> contains(lower(concat_ws(' ', nullif(name, ''),"
         " nullif(category_hint, ''))), k.n)),"
         " 'has_kw', size(c.kw) > 0,"
@@ -70,7 +70,8 @@ def classify(df: DataFrame, taxonomy: Taxonomy | None = None, mpn: str = "identi
         f" 'reasons', slice(array_distinct(concat(t.reasons, IF(f.cap, array({note}), array()))), 1, 6),"
         " 'alternatives', transform(slice(_s, 2, 3), a -> named_struct("
         "'code', a.code, 'path', a.path, 'score', round(a.score, 2),"
-        " 'confidence', round(least(a.score / greatest(t.score, 1e-6D), 1D) * conf, 3))))")))
+        " 'confidence', round(least(a.score / greatest(t.score, 1e-6D), 1D) * conf, 3))),"
+        " 'customer', t.customer)")))
     return stage(df, category=let("_s", ranked, f"CASE WHEN size(_s) > 0 THEN {record} END"))
 
 

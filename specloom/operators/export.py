@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import style
 from ..functions.text import q
+from ..plans.taxonomy import CUSTOMER_NAMES
 
 _INPUT = ["sku", "mpn", "brand", "name", "description", "category_hint", "price", "currency",
           "source_url", "source_document", "free_text"]
@@ -116,7 +117,7 @@ def path_sql(path: str) -> str:
         name, _, part = path[6:].partition(".")
         return f"get(filter(fields, f -> f.id = {q(name)}), 0).{part or 'text'}"
     special = {
-        "category.path": "array_join(category.path, ' > ')", "category.classpath": "array_join(category.path, '>')",
+        "category.path": "array_join(category.path, ' > ')", "category.classpath": "coalesce(nullif(category.customer.classpath, ''), array_join(category.path, '>'))",
         "issues.errors": "size(filter(issues, i -> i.severity = 'error'))",
         "issues.warnings": "size(filter(issues, i -> i.severity = 'warning'))",
         "content.bullets": "array_join(content.bullets, ' | ')",
@@ -125,7 +126,8 @@ def path_sql(path: str) -> str:
     if path in special:
         return special[path]
     if path.startswith("category.customer."):
-        return "CAST(NULL AS STRING)"
+        name = path.removeprefix("category.customer.")
+        return f"category.customer.{name}" if name in CUSTOMER_NAMES else "CAST(NULL AS STRING)"
     head, _, rest = path.partition(".")
     if head == "input" and rest in _INPUT:
         return rest

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed
 from ..functions import units
 from ..functions.stage import stage
-from ..functions.text import folded, let, q
+from ..functions.text import folded, in_list, let, q
 from .records import NO_ATTRIBUTES, rebuilt
 from .rules import validate
 from .score import score
@@ -80,7 +80,10 @@ def action_counts(decisions: DataFrame) -> DataFrame:
 
 
 def apply_to_records(records: DataFrame, proposed: str = "proposed") -> DataFrame:
-    """Gate the ``proposed`` attribute array into records, then validate and score again."""
+    """Gate the ``proposed`` attribute array into records, then validate and score again.
+
+    Adds ``gate``: every decision on the record (key, action) and how many of each there were.
+    """
     def adopt(a: str, reason: str) -> str:
         return rebuilt(a, conf=f"round(least({a}.conf, {fixed.INFERRED_CAP}D), 3)",
                        evidence=f"left(concat('[gate: {reason}] ', {a}.evidence), 600)", prov="'inferred'",
@@ -93,5 +96,14 @@ def apply_to_records(records: DataFrame, proposed: str = "proposed") -> DataFram
         f" transform(filter(pr, p -> NOT exists(at, a -> a.key = p.key)), p -> {adopt('p', 'gap fill')})),"
         " (a, b) -> CASE WHEN a.grp < b.grp THEN -1 WHEN a.grp > b.grp THEN 1 WHEN a.conf > b.conf THEN -1"
         " WHEN a.conf < b.conf THEN 1 WHEN a.label < b.label THEN -1 WHEN a.label > b.label THEN 1 ELSE 0 END)")))
-    gated = stage(records, attributes=body).drop("issues", "missing", "readiness")
+    verdict = ("CASE WHEN NOT exists(at, a -> a.key = p.key) THEN 'gap_filled'"
+               f" WHEN {folded('a0.val')} <=> {folded('p.val')} THEN NULL WHEN a0.prov = 'defaulted' THEN 'displaced_default'"
+               f" WHEN a0.prov IN {in_list(fixed.PROTECTED)} THEN 'refused' END")
+    decided = let("pr", f"coalesce({proposed}, {NO_ATTRIBUTES})", let("at", "attributes", let("ac", (
+        "filter(transform(pr, p -> named_struct('key', p.key, 'action', "
+        + let("a0", "get(filter(at, a -> a.key = p.key), 0)", verdict) + ")), d -> d.action IS NOT NULL)"),
+        "named_struct('actions', ac, 'gap_filled', size(filter(ac, d -> d.action = 'gap_filled')),"
+        " 'displaced_defaults', size(filter(ac, d -> d.action = 'displaced_default')),"
+        " 'refused', size(filter(ac, d -> d.action = 'refused')))")))
+    gated = stage(records, attributes=body, gate=decided).drop("issues", "missing", "readiness")
     return score(validate(gated, standards=False))

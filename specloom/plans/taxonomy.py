@@ -43,6 +43,16 @@ def typed(value) -> dict:
     return {"val": value, "num": None, "kind": "text"}
 
 
+# The customer's names for a shelf that a category may carry
+CUSTOMER_NAMES = ["dept", "class", "fine", "classpath"]
+
+
+def customer_sql(category: dict) -> str:
+    """The customer's own names of a category, null where it has none."""
+    own = category.get("customer") or {}
+    return "named_struct(" + ", ".join(f"'{n}', {q(own.get(n))}" for n in CUSTOMER_NAMES) + ")"
+
+
 def _dim(unit):
     entry = fixed.UNITS.get((unit or "").strip().lower())
     return entry[0] if entry else None
@@ -96,7 +106,7 @@ class Taxonomy:
             empty_kw = ("CAST(array() AS ARRAY<STRUCT<n:STRING,rx:STRING,w:DOUBLE>>)")
             empty_m = "CAST(array() AS ARRAY<ARRAY<STRUCT<n:STRING,rx:STRING>>>)"
             items.append(
-                f"named_struct('code', {q(c['code'])}, 'path', {strings(c['path'])},"
+                f"named_struct('code', {q(c['code'])}, 'path', {strings(c['path'])}, 'customer', {customer_sql(c)},"
                 f" 'leaf', {q(c['path'][-1])},"
                 f" 'kw', {f'array({keywords})' if keywords else empty_kw},"
                 f" 'patterns', {strings('(?i)^(?:' + p + ')' for p in c['mpn_patterns'])},"

@@ -20,10 +20,16 @@ def _ident(name: str) -> str:
 # ------------------------------------------------------------- supplier CSV
 
 
-def read_supplier_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Supplier CSV with a header to products; ids are stable within one read."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
-    return shape_supplier(raw)
+def read_supplier_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """Supplier CSV with a header to products.
+
+    Ids come from the file's name and the row, so they do not change with partitioning; rows
+    that repeat within a file share one.  Set ``line_breaks`` to false for files whose quoted
+    cells hold none: such files are split over many tasks.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"', encoding="UTF-8")
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return shape_supplier(raw.withColumn("_row_id", F.xxhash64(file, *[F.col(f"`{c}`") for c in raw.columns])), "_row_id")
 
 
 def shape_supplier(raw: DataFrame, id_column: str | None = None) -> DataFrame:

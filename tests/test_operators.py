@@ -276,3 +276,47 @@ def test_result_does_not_depend_on_partitioning(spark, product, product_df):
     def run(n):
         return sorted((r["id"], str(r["attributes"])) for r in resolve(spark, product_df(rows).repartition(n)).select("id", "attributes").collect())
     assert run(1) == run(7)
+
+
+def test_customer_names_reach_the_sheet(spark, product, product_df):
+    from specloom.operators import export
+    from specloom.plans.enrich import enrich
+    import copy
+    from specloom import fixed
+    own = copy.deepcopy(fixed.CATEGORIES)
+    valve = next(c for c in own if c["noun"] == "Valve")
+    valve["customer"] = {"dept": "Plumbing", "class": "Valves", "fine": "Ball", "classpath": "Plumbing>Valves>Ball"}
+    df = product_df([product(1, name="Ball valve 1/2 inch", specs={"Size": "1/2 inch"}), product(2, name="Led lamp")])
+    records = enrich(spark, df, Taxonomy(curated=own))
+    sheet = {r["Mfg_Part_Num"] + r["Dept"]: r for r in export.to_rows(records, "delivery" if "delivery" in export.PROFILES else next(p for p in export.PROFILES if "Dept" in str(export.PROFILES[p]))).collect()}
+    assert any((r["Dept"], r["Class"], r["Fine"], r["Classpath"]) == ("Plumbing", "Valves", "Ball", "Plumbing>Valves>Ball") for r in sheet.values())
+
+
+def test_name_table_scores_like_one_name_after_another():
+    from difflib import SequenceMatcher
+    from specloom.functions.similarity import NameTable, _slug, _tokens
+    groups = [("bore size", "Bore Diameter"), ("outer diameter", "OD", "Outside  dia."), ("",), ("max. working pressure", "pressure")]
+    table = NameTable(groups)
+    for key in ["Bore Size", "outside diameter", "Pressure (max)", "od", "", "colour", "working-pressure"]:
+        want = []
+        for names in groups:
+            best, probe = 0.0, _slug(key)
+            for n in filter(None, map(_slug, names)):
+                shared = _tokens(probe) & _tokens(n)
+                ratio = 0.9 * SequenceMatcher(None, probe, n).ratio() if probe else 0.0
+                best = max(best, 1.0 if probe == n else 0.0, ratio, 0.55 + 0.4 * len(shared) / len(_tokens(probe) | _tokens(n)) if shared else 0.0)
+            want.append(best)
+        assert table.scores(key) == pytest.approx(want, abs=1e-12)
+
+
+def test_supplier_ids_do_not_depend_on_partitions(spark, tmp_path):
+    path = tmp_path / "feed.csv"
+    path.write_text("SKU,Name\n" + "".join(f"A{i},n{i}\n" for i in range(50)))
+    ids = [sorted((r["sku"], r["id"]) for r in feeds.read_supplier_csv(spark, str(path), line_breaks=b).collect()) for b in (True, False)]
+    assert ids[0] == ids[1] and len({i for _, i in ids[0]}) == 50
+
+
+def test_page_heading_is_not_the_shop_header(spark):
+    html = "<html><header><h1>Acme Store</h1></header><nav><h2>Menu</h2></nav><main><h1>Ball valve DN15</h1></main></html>"
+    df = spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string")
+    assert web.page_text(df).first()["page_name"] == "Ball valve DN15"
