@@ -9,7 +9,7 @@ survive are settled by exact intersection of the sorted arrays.
 1. ``profiles`` reads every text once: set size, a digest of the whole set (equal sets are one
    node from here on), a few minima under random orders, the bitmap, and counts of shingles by
    hash bucket over all documents.
-2. ``star``: nodes that share a minimum are compared with the smallest node of their group only,
+2. ``star``: nodes that share a minimum are compared with one node of their group only,
    which links nearly all of a group of n copies with n comparisons.
 3. ``completion`` finds every pair the stars left unlinked: two sets that reach the threshold
    share one of the first n - ceil(t n) + 1 elements of each in any common order.  Elements in
@@ -108,6 +108,11 @@ def node_of(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def short(node: bytes | None) -> int | None:
+    """64 bits of a node's digest, to name it where rows are many."""
+    return None if node is None else int.from_bytes(node[:8], "little", signed=True)
+
+
 def bitmap_of(grams: np.ndarray) -> np.ndarray:
     """One bit for each element among the least power of two that is at least twice their number."""
     width = max(64, 1 << int(2 * len(grams) - 1).bit_length())
@@ -146,9 +151,9 @@ def row_hash(docs: DataFrame) -> Column:
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """One row per document (doc_id, row, n, node, minima, bitmap), and shingle counts by bucket over all documents."""
+    """One row per document (doc_id, row, n, node, nid, minima, bitmap), and shingle counts by bucket over all documents."""
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()),
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("nid", T.LongType()),
                            T.StructField("minima", T.ArrayType(T.LongType())), T.StructField("bitmap", T.BinaryType()),
                            T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
@@ -172,11 +177,11 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 np.add.at(sketch, (grams >> np.uint64(44)).astype(np.int64), 1)
             rows = batch.num_rows
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()),
-                                   pa.array(minima, pa.list_(pa.int64())), pa.array(bitmap, pa.binary()),
+                                   pa.array([short(x) for x in node], pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array(bitmap, pa.binary()),
                                    pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if sketch.any():
             parts = sketch.reshape(CHUNKS, -1)
-            yield pa.record_batch([pa.nulls(CHUNKS, arrow_id), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()),
+            yield pa.record_batch([pa.nulls(CHUNKS, arrow_id), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.nulls(CHUNKS, pa.int64()),
                                    pa.nulls(CHUNKS, pa.list_(pa.int64())), pa.nulls(CHUNKS, pa.binary()),
                                    pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
@@ -195,9 +200,9 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that sizes and bitmaps leave possible."""
-    side = nodes.select("node", "n", "bitmap")
-    both = (pairs.join(side.toDF("a", "n_a", "bits_a"), "a").join(side.toDF("b", "n_b", "bits_b"), "b")
+    """The pairs (a, b) of nodes, named by nid, that sizes and bitmaps leave possible; as digests."""
+    side = nodes.select("nid", "node", "n", "bitmap")
+    both = (pairs.toDF("i", "j").join(side.toDF("i", "a", "n_a", "bits_a"), "i").join(side.toDF("j", "b", "n_b", "bits_b"), "j")
             .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
 
     def check(batches):
@@ -243,13 +248,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
     return tiles.select("center", "salt", "seat", "node", "text").mapInArrow(settle, "a binary, b binary")
 
 
-def _star(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b): a node and the smallest node of a group that shares a minimum with it."""
-    spread = nodes.select("node", "n", F.posexplode("minima").alias("i", "low"))
-    centers = (spread.groupBy("i", "low").agg(F.min(F.struct("n", "node")).alias("center"), F.count("*").alias("size"))
-               .where("size > 1").select("i", "low", "center", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")))
-    return (spread.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")).join(centers, ["i", "low", "salt"])
-            .select(F.col("node").alias("a"), F.col("center.node").alias("b"))
+def _star(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nids: a node and the center of a group of near size that shares one minimum, or two, with it.
+
+    The center is the node with the smallest digest, which stands for no kind of node more than
+    for others (the smallest set would).  Size bands lie in two rows, half a band apart, so that
+    sets of nearly the same size share one.
+    """
+    level = F.log(F.col("n")) / F.log(F.lit(100 / percent))
+    bands = F.array(*[F.floor(level + half / 2).cast("int") * 2 + half for half in (0, 1)])
+    # Two minima together are rarely shared but by near copies, one minimum also by far ones.
+    twos = F.transform("minima", lambda x, i: F.xxhash64(x, F.get("minima", (i + 1) % MINIMA)))
+    spread = (nodes.select("nid", F.explode(bands).alias("band"), F.concat("minima", twos).alias("lows"))
+              .select("nid", "band", F.posexplode("lows").alias("i", "low")))
+    key = ["i", "low", "band"]
+    centers = (spread.groupBy(*key).agg(F.min("nid").alias("center"), F.count("*").alias("size"))
+               .where("size > 1").select(*key, "center", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")))
+    return (spread.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(16)).cast("int")).join(centers, [*key, "salt"])
+            .select(F.col("nid").alias("a"), F.col("center").alias("b"))
             .where("a != b").distinct())
 
 
@@ -272,7 +288,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _probes(docs: DataFrame, groups: DataFrame, sketch: np.ndarray, percent: int, text_col: str) -> DataFrame:
-    """(token, place, node, n, root): the rarest elements of each node, one of which any linked pair shares.
+    """(token, place, nid, n, root): the rarest elements of each node, one of which any linked pair shares.
 
     ``place`` is the element's place in the node's order.  An element that may be in more than
     TOKEN_ROWS sets gets a token for every tile of two slices of the nodes, so that no token
@@ -284,41 +300,42 @@ def _probes(docs: DataFrame, groups: DataFrame, sketch: np.ndarray, percent: int
     def read(batches):
         shingle, counts = Shingler(), counts_of.value
         for batch in batches:
-            nodes, sizes, tokens, places = [], [], [], []
+            nodes, sizes, tokens, tiles = [], [], [], []
             for text in batch.column(0).to_pylist():
                 grams = shingle(text)
                 if not len(grams):
                     continue
                 often = counts[(grams >> np.uint64(44)).astype(np.int64)]
                 order = np.lexsort((grams, often))[:prefix_length(len(grams), percent)]
-                node, own, place = node_of(grams), grams[order], np.arange(len(order), dtype=np.int32)
+                node, own = node_of(grams), grams[order]
                 slices = -(-often[order] // token_rows)
-                if (slices > 1).any():
-                    own, place = _tiled(own, place, slices, int.from_bytes(node[:8], "little"))
                 nodes.append(node)
                 sizes.append(len(grams))
                 tokens.append(own.view(np.int64))
-                places.append(place)
+                tiles.append(_tiles(own, slices, int.from_bytes(node[:8], "little")) if (slices > 1).any() else [])
             lengths = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
-            flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((tokens, np.int64), (places, np.int32))]
-            yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(lengths, pa.array(flat[0])),
-                                   pa.ListArray.from_arrays(lengths, pa.array(flat[1]))], names=["node", "n", "tokens", "places"])
-
-    found = docs.select(F.col(text_col)).mapInArrow(read, "node binary, n bigint, tokens array<bigint>, places array<int>")
-    once = found.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "tokens", "places")])
-    return (once.join(groups, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-            .select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "node", "n", "root"))
-
-
-def _tiled(tokens: np.ndarray, places: np.ndarray, slices: np.ndarray, node: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the tiles a node belongs to: those of its slice with every slice."""
-    out, at = [], []
-    for token, place, k in zip(tokens, places, slices.tolist()):
-        own = node % max(k, 1)
-        tiles = [min(own, t) * k + max(own, t) for t in range(k)] if k > 1 else [0]
-        out.append(_mixed(token + np.array(tiles, np.uint64) * np.uint64(MIX[0])) if k > 1 else np.array([token], np.uint64))
-        at.append(np.full(len(tiles), place, np.int32))
-    return np.concatenate(out), np.concatenate(at)
+            yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array([short(x) for x in nodes], pa.int64()), pa.array(sizes, pa.int64()),
+                                   pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))),
+                                   pa.array(tiles, pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())])))], names=["node", "nid", "n", "tokens", "tiles"])
+
+    found = docs.select(F.col(text_col)).mapInArrow(read, "node binary, nid bigint, n bigint, tokens array<bigint>, tiles array<struct<token: bigint, place: int>>")
+    once = found.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("nid", "n", "tokens", "tiles")])
+    # An element with tiles is probed in its tiles only.
+    plain = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("place"))), lambda x: ~F.exists("tiles", lambda y: y["place"] == x["place"]))
+    probes = F.when(F.size("tiles") == 0, F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("place")))).otherwise(F.concat(plain, "tiles"))
+    return (once.join(groups, "node", "left").select("nid", "n", F.coalesce("root", "nid").alias("root"), F.explode(probes).alias("t"))
+            .select("t.token", "t.place", "nid", "n", "root"))
+
+
+def _tiles(tokens: np.ndarray, slices: np.ndarray, node: int) -> list[dict]:
+    """Tokens of the tiles a node belongs to, for elements with several slices of nodes: those of its slice with every slice."""
+    out = []
+    for place in np.flatnonzero(slices > 1):
+        k = int(slices[place])
+        own = node % k
+        numbers = np.array([min(own, t) * k + max(own, t) for t in range(k)], np.uint64)
+        out += [{"token": int(x), "place": int(place)} for x in _mixed(tokens[place] + numbers * np.uint64(MIX[0])).view(np.int64)]
+    return out
 
 
 def _pairs_of(n: np.ndarray, place: np.ndarray, root: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -339,7 +356,7 @@ def _pairs_of(n: np.ndarray, place: np.ndarray, root: np.ndarray, percent: int)
     rest = np.flatnonzero(code != sizes.argmax())
     ahead = np.full(len(rows), -1)
     ahead[rest] = np.arange(len(rest))  # pairs within the rest are looked at from the earlier row
-    for first in range(0, len(rest), step := max(1, 2_000_000 // len(rows))):
+    for first in range(0, len(rest), step := max(1, 500_000 // len(rows))):
         i = rest[first:first + step]
         ok = (np.minimum(left[i][:, None], left) * (100 + percent) >= percent * (n[i][:, None] + n)) & (code[i][:, None] != code)
         ok &= (ahead < 0) | (ahead[i][:, None] < ahead)
@@ -362,7 +379,7 @@ def _cross_pairs(probes: DataFrame, percent: int) -> DataFrame:
             if not len(longer):
                 return
             n, place = run.column("n").to_numpy(), run.column("place").to_numpy()
-            node, root = (np.array(run.column(c).to_pylist(), "S16") for c in ("node", "root"))
+            node, root = run.column("nid").to_numpy(), run.column("root").to_numpy()
             first, second = [], []
             for a, b in zip(edges[longer], edges[longer + 1]):
                 if (root[a:b] == root[a]).all():
@@ -371,10 +388,10 @@ def _cross_pairs(probes: DataFrame, percent: int) -> DataFrame:
                     first.append(x + a)
                     second.append(y + a)
                     if sum(map(len, first)) > 50_000:
-                        yield _ordered(run, first, second)
+                        yield _ordered(node, first, second)
                         first, second = [], []
             if first:
-                yield _ordered(run, first, second)
+                yield _ordered(node, first, second)
 
         for batch in batches:
             if not batch.num_rows:
@@ -391,25 +408,27 @@ def _cross_pairs(probes: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from settle(pa.Table.from_batches(held))
 
-    return rows.select("token", "place", "node", "n", "root").mapInArrow(pair, "a binary, b binary").distinct()
+    return rows.select("token", "place", "nid", "n", "root").mapInArrow(pair, "a bigint, b bigint").distinct()
 
 
-def _ordered(run: pa.Table, first: list[np.ndarray], second: list[np.ndarray]) -> pa.RecordBatch:
-    """Batch of the distinct pairs (a, b) of two lists of rows, b the smaller node."""
-    node = run.column("node").to_pylist()
-    pairs = {(max(p, q), min(p, q)) for x, y in zip(first, second) for p, q in zip((node[i] for i in x), (node[j] for j in y))}
-    return pa.record_batch([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+def _ordered(node: np.ndarray, first: list[np.ndarray], second: list[np.ndarray]) -> pa.RecordBatch:
+    """Batch of the distinct pairs (a, b) of two lists of rows, b the smaller number."""
+    x, y = node[np.concatenate(first)], node[np.concatenate(second)]
+    pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
+    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def grouped(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row, n_shingles, root (null for empty sets) and component_id of every document."""
     rows, sketch = profiles(docs, id_col, text_col)
-    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"),
+    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("nid").alias("nid"),
                                                                    F.any_value("minima").alias("minima"), F.any_value("bitmap").alias("bitmap")))
-    near = stored(_bounded(_star(nodes), nodes, percent))
+    near = stored(_bounded(_star(nodes, percent), nodes, percent))
     edges = stored(_verified(near, docs, nodes, percent, id_col, text_col))
     groups = components(edges)
-    cross = stored(_bounded(_cross_pairs(_probes(docs, groups, sketch, percent, text_col), percent), nodes, percent))
+    # Groups are told apart by the short number of their root, as nodes are.
+    short_groups = groups.join(nodes.select(F.col("node").alias("root"), F.col("nid").alias("__nid")), "root").select("node", F.col("__nid").alias("root"))
+    cross = stored(_bounded(_cross_pairs(_probes(docs, short_groups, sketch, percent, text_col), percent), nodes, percent))
     if not cross.isEmpty():
         edges = stored(edges.union(_verified(cross, docs, nodes, percent, id_col, text_col)))
         groups = components(edges)

@@ -25,6 +25,7 @@ import string
 import sys
 import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +145,7 @@ class TokenBytes:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in made]
+        return [array("I", e.ids).tobytes() for e in made]
 
     def learn(self, chunks: set[str]) -> None:
         """Remember the ids of chunks after a blank."""

@@ -287,6 +287,7 @@ def near_rows(seed, n=150):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_groups_equal_brute_force(docs, seed, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TOKEN_ROWS", 500_000 if seed == 1 else 3)  # many tiles
     monkeypatch.setattr(ngram_join, "MINIMA", 1 if seed == 2 else 6)  # few stars: the completion has to find the rest
     rows = near_rows(seed) + [(900, None), (901, ""), (902, "a B c d e f"), (903, "A b C d e F"), (904, " a\tb\x0bc  d\ne f "), (905, "a b"), (906, "A B"), (907, "é É")]
     got = sorted(tuple(r) for r in ngram_join.join(docs(rows)).collect())
@@ -309,8 +310,10 @@ def test_a_group_of_near_copies_is_not_paired_off(docs):
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(edited(rng, base, 0.01))) for i in range(300)]
     rows_, sketch = ngram_join.profiles(docs(rows))
-    nodes = shared.stored(rows_.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("minima").alias("minima"), F.any_value("bitmap").alias("bitmap")))
-    assert ngram_join._star(nodes).count() <= ngram_join.MINIMA * len(rows)
+    nodes = shared.stored(rows_.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("nid").alias("nid"), F.any_value("minima").alias("minima"), F.any_value("bitmap").alias("bitmap")))
+    pairs = ngram_join._star(nodes, 75)
+    assert pairs.count() <= 4 * ngram_join.MINIMA * len(rows)
+    assert ngram_join.join(docs(rows)).select("component_id").distinct().count() == len({c for _, _, c in components(rows)})
 
 
 def test_bitmaps_bound_the_overlap():
