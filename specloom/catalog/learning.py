@@ -9,7 +9,7 @@ from ..functions.text import q
 from ..operators import incremental as H, learn as L, measure as M, vocabulary as V
 from ..plans.taxonomy import Taxonomy
 from ..plans.testbed import view
-from .registry import query, values
+from .registry import ORACLES, query, values
 
 # -------------------------------------------------------------- vocabulary
 
@@ -209,7 +209,15 @@ def proposed_attributes(spark, sf):
     return L.proposed_attributes(c).select("cluster", F.col("pos").cast("bigint").alias("pos"), "key", "label", "observed_in", "required", "grp", F.array_join("sample_values", ",").alias("samples"))
 
 
-@query("proposals")
+_PARTS = f"""pa AS ({ORACLES['proposed_attributes']}), ty AS ({ORACLES['inferred_types']}), lc AS ({ORACLES['learned_codes']}), nm AS ({ORACLES['cluster_names']}),
+pt AS (SELECT c AS cluster, count(*) AS total FROM ({_LP}) t GROUP BY 1)"""
+
+
+@query("proposals", f"""WITH {_PARTS}, g AS (SELECT cluster, count(*) AS fields, sum(observed_in) AS observed, string_agg(key, '|' ORDER BY key) AS keys,
+  list(key ORDER BY pos) FILTER (required) AS needed FROM pa GROUP BY cluster)
+SELECT left(sha256(code || '|' || keys), 12) AS id, code, noun || 's' AS name, noun, keywords, array_to_string(list_concat(['brand', 'mpn'], coalesce(needed, [])[1:4]), ',') AS required, pt.total AS sample_count,
+  round(least(0.25 + 0.45 * least(pt.total / 6, 1.0) + 0.30 * observed::DOUBLE / (fields * pt.total), 0.95), 3)::DOUBLE AS confidence
+FROM lc JOIN nm USING (cluster) JOIN pt USING (cluster) JOIN g USING (cluster)""")
 def proposals(spark, sf):
     """L2-L11"""
     p, _ = L.propose(_learn_products(spark, sf))
@@ -244,7 +252,11 @@ def proposal_review(spark, sf):
     return L.by_status(L.review(view(spark, sf, _PR, "orders"), d))
 
 
-@query("schema_rows")
+_CURATED = values([(c["code"], a["key"], a["type"], a["unit"], a["group"]) for c in fixed.CATEGORIES for a in c["attributes"]], "code", "key", "type", "unit", "grp", name="cu")
+
+
+@query("schema_rows", f"""WITH {_CURATED}, {_PARTS} SELECT code, key, type, unit, grp FROM cu
+UNION ALL SELECT code, pa.key, type, unit, grp FROM pa JOIN ty ON ty.cluster = pa.cluster AND ty.key = pa.key JOIN lc ON lc.cluster = pa.cluster""")
 def schema_rows(spark, sf):
     """Learned categories as schema rows next to the curated ones."""
     p, a = L.propose(_learn_products(spark, sf))

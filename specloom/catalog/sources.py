@@ -159,7 +159,9 @@ def _html(spark, sf):
     return view(spark, sf, _HTML, "part")
 
 
-@query("json_ld_products")
+@query("json_ld_products", """SELECT p_partkey AS page_id, CASE WHEN p_partkey % 4 < 2 THEN p_name END AS name, CASE WHEN p_partkey % 4 = 0 THEN 'K' || CAST(p_size AS STRING) END AS sku,
+  CASE p_partkey % 4 WHEN 0 THEN 'SKF' WHEN 1 THEN 'FAG' END AS brand, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) + 0.5 WHEN 1 THEN 7.0 END AS price,
+  CASE WHEN p_partkey % 4 = 0 THEN 'EUR' END AS currency, CASE p_partkey % 4 WHEN 0 THEN 'Bore=25 mm|Weight=' || CAST(p_size AS STRING) || ' kg' WHEN 1 THEN 'Color=Blue' END AS specs FROM {part}""")
 def json_ld_products(spark, sf):
     """S8"""
     return web.json_ld(_html(spark, sf)).select("page_id", "ld.name", "ld.sku", "ld.brand", "ld.price", "ld.currency",
