@@ -74,17 +74,20 @@ def vocabulary_ledger(spark, sf):
     return V.ledger(V.apply(_resolved(spark, sf))).groupBy("key", "from_value", "to_value", "method").agg(F.count("*").alias("rows"))
 
 
-@query("vocabulary_sequence", f"WITH {_LOV}, v AS ({_VALS}) SELECT key, CAST(coalesce((SELECT min(seq) FROM lov WHERE lov.key = v.key), 10000) AS BIGINT) AS sequence, count(*) AS rows FROM v WHERE classpath <> 'Other > Path' GROUP BY 1, 2")
+_OWN_PATH = f"IF(classpath = 'Other > Path', classpath, {q(_PATH)})"
+
+
+@query("vocabulary_sequence", f"WITH {_LOV}, v AS ({_VALS}) SELECT key, CAST(coalesce((SELECT min(seq) FROM lov WHERE lov.key = v.key AND v.classpath <> 'Other > Path'), 10000) AS BIGINT) AS sequence, count(*) AS rows FROM v GROUP BY 1, 2")
 def vocabulary_sequence(spark, sf):
     """V5"""
-    v = view(spark, sf, _VALS, "lineitem").where("classpath <> 'Other > Path'").withColumn("classpath", F.lit(_PATH))
+    v = view(spark, sf, _VALS, "lineitem").withColumn("classpath", F.expr(_OWN_PATH))
     return V.in_sequence(v, V.lov_df(spark)).groupBy("key", F.col("sequence").cast("bigint").alias("sequence")).agg(F.count("*").alias("rows"))
 
 
 @query("facet_counts", _VC + " SELECT key, CASE WHEN outcome = 'mapped' THEN approved ELSE value END AS value, count(*) AS products FROM oc WHERE classpath <> 'Other > Path' AND key IN (SELECT key FROM lov WHERE filterable) GROUP BY 1, 2")
 def facet_counts(spark, sf):
     """V6"""
-    applied = V.apply(_resolved(spark, sf)).where("classpath <> 'Other > Path'").withColumn("classpath", F.lit(_PATH))
+    applied = V.apply(_resolved(spark, sf)).withColumn("classpath", F.expr(_OWN_PATH))
     return V.facet_counts(applied, V.lov_df(spark))
 
 

@@ -587,15 +587,14 @@ UNION ALL SELECT p_partkey, 'outer_diameter', CASE p_size % 4 WHEN 0 THEN 52.0 W
   CASE WHEN p_size % 4 = 2 THEN '; converted 2.441 in to mm' ELSE '' END FROM {part} WHERE p_partkey % 10 = 0""")
 def mapped_measures(spark, sf):
     """E2, E4, E7, E12, E13"""
-    return _long_extracted(spark, sf).where("key IN ('burst_pressure', 'outer_diameter') AND method = 'structured-spec-mapping'"
-                                            " AND (id % 10 IN (0, 8))").select("id", "key", "num", "unit", "conf", "evidence")
+    return _long_extracted(spark, sf).where("key IN ('burst_pressure', 'outer_diameter') AND method = 'structured-spec-mapping'").select("id", "key", "num", "unit", "conf", "evidence")
 
 
 @query("mapped_flags", """SELECT p_partkey AS id, 'self_priming' AS key, CASE p_size % 2 WHEN 0 THEN 'True' ELSE 'False' END AS val FROM {part} WHERE p_partkey % 10 = 4
 UNION ALL SELECT p_partkey, 'grade', CASE p_size % 3 WHEN 0 THEN '8.8' WHEN 1 THEN '10.9' ELSE 'A2-70' END FROM {part} WHERE p_partkey % 10 = 1""")
 def mapped_flags(spark, sf):
     """E5, E6"""
-    return _long_extracted(spark, sf).where("key = 'self_priming' OR (key = 'grade' AND id % 10 = 1)").select("id", "key", "val")
+    return _long_extracted(spark, sf).where("key IN ('self_priming', 'grade')").select("id", "key", "val")
 
 
 @query("labelled_prose", """SELECT p_partkey AS id, 'inner_diameter' AS key, '12.7' AS val, CAST(0.82 AS DOUBLE) AS conf, 'Found in product text: "Inner diameter: 12.7 mm"' AS evidence FROM {part} WHERE p_partkey % 10 = 8
@@ -612,7 +611,7 @@ def labelled_prose(spark, sf):
 UNION ALL SELECT p_partkey, 'speed', 1750.0, 0.79 FROM {part} WHERE p_partkey % 10 = 3""")
 def unit_anchored_prose(spark, sf):
     """E9, E9b"""
-    return _long_extracted(spark, sf).where("method = 'unit-anchored-extraction' AND id % 10 = 3 AND key IN ('power_rating', 'speed')").select("id", "key", "num", "conf")
+    return _long_extracted(spark, sf).where("method = 'unit-anchored-extraction' AND key IN ('power_rating', 'speed')").select("id", "key", "num", "conf")
 
 
 @query("vocabulary_in_prose", """SELECT p_partkey AS id, 'seat_material' AS key, 'PTFE' AS val FROM {part} WHERE p_partkey % 10 = 2
@@ -622,8 +621,7 @@ UNION ALL SELECT p_partkey, 'seal_type', '2RS (Rubber Sealed)' FROM {part} WHERE
 UNION ALL SELECT p_partkey, 'coating', 'TiAlN' FROM {part} WHERE p_partkey % 10 = 6""")
 def vocabulary_in_prose(spark, sf):
     """E10"""
-    return _long_extracted(spark, sf).where("method = 'vocabulary-match' AND ((key IN ('seat_material', 'connection_type') AND id % 10 = 2) OR (key = 'enclosure' AND id % 10 = 3)"
-                                            " OR (key = 'seal_type' AND id % 10 = 0) OR (key = 'coating' AND id % 10 = 6))").select("id", "key", "val")
+    return _long_extracted(spark, sf).where("method = 'vocabulary-match' AND key IN ('seat_material', 'connection_type', 'enclosure', 'seal_type', 'coating')").select("id", "key", "val")
 
 
 @query("unmapped_fields")

@@ -101,15 +101,15 @@ def grid_pairs(spark, sf):
 
 
 _PS = f"""{_LN}, {_LP}, {_CP}, {_GP},
-ps AS (SELECT doc, 1 AS page, 0 AS tier, (tbl, line) AS seq, key, value, 'table:lines' AS strategy FROM gp WHERE doc % 6 = 4
+ps AS (SELECT doc, 1 AS page, 0 AS tier, (tbl, line) AS seq, key, value, 'table:lines' AS strategy FROM gp
   UNION ALL SELECT doc, page, 2, (0, line), key, value, 'text:columns' FROM cp WHERE (doc, page) NOT IN (SELECT (doc, page) FROM lp GROUP BY doc, page HAVING count(*) >= 3)
-    AND NOT (doc % 6 = 4 AND page = 1 AND doc IN (SELECT doc FROM gp))
+    AND NOT (page = 1 AND doc IN (SELECT doc FROM gp))
   UNION ALL SELECT doc, page, 3, (0, line), key, value, 'text:line-pairs' FROM lp),
 ds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, key ORDER BY page, tier, seq) AS r FROM ps) z WHERE r = 1)"""
 
 
 def _specs(spark, sf):
-    return D.document_specs(_pages(spark, sf), _cells(spark, sf).where("doc % 6 = 4"))
+    return D.document_specs(_pages(spark, sf), _cells(spark, sf))
 
 
 @query("document_specs", f"WITH {_PS} SELECT doc, key, value, 'page ' || CAST(page AS STRING) AS locator, strategy FROM ds")
