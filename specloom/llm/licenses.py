@@ -16,6 +16,9 @@ table gives an empty result; other columns are kept (columns the scan adds are r
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Words, base phrases and labels of the scan's contract.
@@ -84,9 +87,11 @@ def scan(docs: DataFrame, counts: dict[str, int], templates=TEMPLATES, text_col:
     rare = [rare_words(p, counts) for p in known]
     first, second = _postings(known, [r[0] for r in rare]), _postings(known, [r[1] for r in rare])
     texts = F.array(*[F.array(*[F.lit(w) for w in p.split()]) for p in known])
-    df = docs.drop(*ADDED, "__words", "__hits", "__found").withColumn("n_words", F.coalesce(
+    df = docs.drop(*ADDED, "__low", "__words", "__hits", "__found").withColumn("n_words", F.coalesce(
         F.regexp_count(text_col, F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))), F.lit(0)).cast("long"))
-    holds = F.rlike(text_col, F.lit("(?i)" + "|".join(sorted({r[0] for r in rare}))))
+    # Both rare words of a phrase have to be there, as words or within words; most texts end here.
+    df = df.withColumn("__low", F.lower(text_col))
+    holds = reduce(or_, [F.col("__low").contains(a) & F.col("__low").contains(b) for a, b in sorted(set(rare))])
     words = F.regexp_extract_all(F.translate(text_col, UPPER, LOWER), F.lit(WORD), F.lit(0))
     df = df.withColumn("__words", F.when(holds, words))
     df = df.withColumn("__hits", F.filter(F.transform("__words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
@@ -115,7 +120,7 @@ def scan(docs: DataFrame, counts: dict[str, int], templates=TEMPLATES, text_col:
         "base_labels": F.array_join(base_labels, ","),
         "labels": F.array_join(F.array_sort(F.array_union(base_labels, own)), ","),
         "score": F.when(F.col("n_words") > 0, F.least(F.lit(1.0), covered / F.col("n_words"))).otherwise(F.lit(0.0)),
-    }).drop("__words", "__hits", "__found")
+    }).drop("__low", "__words", "__hits", "__found")
 
 
 def oracle() -> str:
