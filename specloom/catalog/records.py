@@ -364,7 +364,7 @@ def compliance_rollup(spark, sf):
 
 _INFER_KEYS = f"""k AS (SELECT p_partkey AS id, p_partkey % 10 AS c, p_size FROM {{part}}),
 d AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{key}', '{v}')" for i, c in enumerate([[x for x in _tax.categories if x['code'] == code][0] for code in
-      ['31171500', '31161500', '40141600', '26101100', '40151500', '39121000', '27112700', '41111700', '40142000']]) for key, v in c['defaults'].items())}) t(c, key, val))"""
+      ['31171500', '31161500', '40141600', '26101100', '40151500', '39121000', '27112700', '41111700', '40142000', '31161500']]) for key, v in c['defaults'].items())}) t(c, key, val))"""
 
 
 def _given(spark, sf):
@@ -417,10 +417,10 @@ def arithmetic_derivations(spark, sf):
     return _inferred(spark, sf).where("method = 'engineering-derivation'").select("id", "key", "num", "conf")
 
 
-@query("category_defaults", f"WITH {_INFER_KEYS} SELECT id, key, val FROM k JOIN d USING (c) WHERE c < 9")
+@query("category_defaults", f"WITH {_INFER_KEYS} SELECT id, key, val FROM k JOIN d USING (c)")
 def category_defaults(spark, sf):
     """I5, I7"""
-    return _inferred(spark, sf).where("prov = 'defaulted' AND id % 10 < 9").select("id", "key", "val")
+    return _inferred(spark, sf).where("prov = 'defaulted'").select("id", "key", "val")
 
 
 @query("external_proposals", f"""WITH x AS (SELECT l_partkey AS id, CASE l_linenumber % 4 WHEN 0 THEN 'speed' WHEN 1 THEN 'phase' WHEN 2 THEN 'colour' ELSE 'frequency' END AS key,

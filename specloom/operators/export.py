@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import style
 from ..functions.text import q
@@ -168,13 +168,22 @@ def dynamic_keys(records: DataFrame, skip: set[str], order: str = "id") -> list[
     return [r["key"] for r in seen if r["key"] not in skip]
 
 
+def _with_customer(records: DataFrame) -> DataFrame:
+    """Records from before categories carried the customer's names get empty ones."""
+    kind = records.schema["category"].dataType if "category" in records.columns else None
+    if not isinstance(kind, T.StructType) or "customer" in kind.names:
+        return records
+    none = F.struct(*[F.lit(None).cast("string").alias(n) for n in CUSTOMER_NAMES])
+    return records.withColumn("category", F.when(F.col("category").isNotNull(), F.col("category").withField("customer", none)))
+
+
 def to_rows(records: DataFrame, ref: str | dict, keys: list[str] | None = None, order: str = "id") -> DataFrame:
     """A flat sheet as strings, one row per record; a pure projection once keys are known."""
     spec = profile(ref)
     columns = spec.get("attributes", {}).get("columns", [])
     if columns and keys is None:
         keys = dynamic_keys(records, _named_keys(spec), order)
-    shaped = records
+    shaped = records = _with_customer(records)
     if any("slots" in f and f["slots"]["source"] == "attributes" for f in spec["fields"]):
         shaped = records.withColumn("_slots_attributes", F.expr(
             "transform(attributes, a -> named_struct('label', a.label, 'value', "
@@ -197,7 +206,7 @@ def to_rows(records: DataFrame, ref: str | dict, keys: list[str] | None = None,
 
 def to_documents(records: DataFrame, ref: str | dict) -> DataFrame:
     """Nested documents as JSON text; nulls are left out."""
-    spec = profile(ref)
+    spec, records = profile(ref), _with_customer(records)
     parts = []
     for f in spec["fields"]:
         value = q(f["const"]) if "const" in f else path_sql(f["from"])
@@ -224,6 +233,7 @@ def to_documents(records: DataFrame, ref: str | dict) -> DataFrame:
 def audit_rows(records: DataFrame, keys: list[str] | None = None, order: str = "id") -> DataFrame:
     """Flat catalogue with value, provenance, confidence and source of every attribute."""
     keys = dynamic_keys(records, set(), order) if keys is None else keys
+    records = _with_customer(records)
     out = [F.expr(f"coalesce(CAST({path_sql(s)} AS STRING), '')").alias(t) for t, s in _BASE]
     out[1] = F.expr("coalesce(nullif(identity.mpn, ''), mpn, '')").alias("mpn")
     out[2] = F.expr("coalesce(nullif(identity.brand, ''), brand, '')").alias("brand")
