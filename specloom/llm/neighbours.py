@@ -13,7 +13,7 @@ Queries and candidates are dealt to blocks of bounded size, so a task holds one
 Defined results: null vectors, zero vectors and those with null or non-finite components take no
 part; vectors of different lengths are never near; a query is not its own neighbour (rows that
 repeat its id are left out with it); ties go to the smaller id; rows that repeat an id are
-candidates each and one query; with fewer than k candidates all are returned.
+candidates each and one query, the smallest vector's; with fewer than k candidates all are returned.
 """
 
 from __future__ import annotations
@@ -24,11 +24,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import small, stored
+
 CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 2048
 #: Candidates multiplied at once.
 SLICE = 2048
 K = 5
+#: Tables of vector lengths up to this many rows are broadcast.
+BROADCAST_LENGTHS = 100_000
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,11 +91,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec
     sizes = rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if("q").alias("m")).select(
         F.col("d").alias("__d"), F.ceil(F.col("n") / CANDIDATE_BLOCK).cast("int").alias("c_blocks"),
         F.greatest(F.lit(1), F.ceil(F.col("m") / QUERY_BLOCK)).cast("int").alias("q_blocks"))
-    rows = rows.join(F.broadcast(sizes), F.col("d") == F.col("__d")).drop("__d")
+    rows = rows.join(small(stored(sizes), BROADCAST_LENGTHS), F.col("d") == F.col("__d")).drop("__d")
     own = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40))
     every = lambda n: F.sequence(F.lit(0), n - 1)
     candidates = rows.select("id", "v", "d", (own % F.col("c_blocks")).cast("int").alias("cb"), F.explode(every(F.col("q_blocks"))).alias("qb"))
-    queries = (rows.where("q").dropDuplicates(["id"]).select("id", "v", "d", F.pmod(F.xxhash64("id"), F.col("q_blocks")).cast("int").alias("qb"),
+    one = rows.where("q").groupBy("id").agg(F.min(F.struct("d", "v", "q_blocks", "c_blocks")).alias("s")).select("id", "s.*")
+    queries = (one.select("id", "v", "d", F.pmod(F.xxhash64("id"), F.col("q_blocks")).cast("int").alias("qb"),
                                                              F.explode(every(F.col("c_blocks"))).alias("cb")))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -11,6 +11,8 @@ of a record first and, if they fail or payloads are not asked for (option ``payl
 goes on to the next record without decoding the rest.  Plain and foreign .warc/.warc.gz files
 are read too.
 
+Paths are those that pyarrow.fs opens (local, HDFS, S3, GCS and the like).
+
 Columns: record_id, record_type, target_uri, refers_to, payload_digest (``sha1:`` and lower-case hex),
 payload_length (of the full payload, also for revisits), content_length, payload.
 
