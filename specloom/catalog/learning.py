@@ -103,7 +103,7 @@ def covered_classpaths(spark, sf):
     """V8"""
     v = view(spark, sf, _VALS, "lineitem").withColumn("_f", F.expr(V.fold("classpath")))
     have = V.covered_classpaths(V.lov_df(spark)).select(F.expr(V.fold("classpath")).alias("_f"), F.lit(True).alias("_c"))
-    return v.join(F.broadcast(have), "_f", "left").groupBy("classpath", F.coalesce("_c", F.lit(False)).alias("covered")).agg(F.count("*").alias("rows"))
+    return v.join(have, "_f", "left").groupBy("classpath", F.coalesce("_c", F.lit(False)).alias("covered")).agg(F.count("*").alias("rows"))
 
 
 # ----------------------------------------------------------- schema learning

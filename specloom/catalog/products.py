@@ -184,7 +184,7 @@ def learned_categories(spark, sf):
     learned = view(spark, sf, "SELECT '99' || lpad(CAST(p_size AS STRING), 6, '0') AS code, min(p_type) AS leaf FROM {part} GROUP BY 1", "part")
     curated = Taxonomy().category_df(spark).select("code", "leaf")
     shadow = curated.select("code", F.lit("shadow").alias("leaf"))
-    extra = learned.unionByName(shadow).join(F.broadcast(curated.select("code")), "code", "left_anti")
+    extra = learned.unionByName(shadow).join(curated.select("code"), "code", "left_anti")
     return curated.withColumn("learned", F.lit(False)).unionByName(extra.withColumn("learned", F.lit(True)))
 
 

@@ -152,7 +152,7 @@ def accept_proposals(proposals: DataFrame, attributes: DataFrame, dim_attribute:
               .when(F.col("provenance") == "defaulted", F.least(conf, F.lit(0.55)))
               .otherwise(conf))
     return (proposals.join(classified.select("id", "code"), "id")
-            .join(F.broadcast(dim_attribute.select("code", "key")), ["code", "key"], "left_semi")
+            .join(dim_attribute.select("code", "key"), ["code", "key"], "left_semi")
             .join(attributes.select("id", "key"), ["id", "key"], "left_anti")
             .withColumn("provenance", basis)
             .withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(capped, F.lit(1.0))), 3))

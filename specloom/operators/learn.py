@@ -315,20 +315,20 @@ def by_status(proposals: DataFrame) -> DataFrame:
     return proposals.groupBy("status").agg(F.count("*").alias("proposals"))
 
 
-def to_categories(proposals: DataFrame, attrs: DataFrame, limit: int = 5_000) -> list[dict]:
+def to_categories(proposals: DataFrame, attrs: DataFrame) -> list[dict]:
     """Approved proposals as category schemas for ``Taxonomy(learned=...)``.
 
-    A reviewed taxonomy is configuration a person approved, so it is small; the count is
-    checked before anything reaches the driver.
+    A reviewed taxonomy is configuration that people approved one by one; it, and nothing that
+    grows with the products, reaches the driver.
     """
     approved = proposals.where("status = 'approved'")
-    if approved.count() > limit:
-        raise ValueError(f"more than {limit} approved categories")
     rows = approved.select("id", "code", "name", "noun", "keywords", "required", "cluster").collect()
-    fields = attrs.join(approved.select("cluster"), "cluster", "left_semi").orderBy("cluster", "pos").collect()
+    fields: dict = {}
+    for f in attrs.join(approved.select("cluster"), "cluster", "left_semi").orderBy("cluster", "pos").collect():
+        fields.setdefault(f["cluster"], []).append(f)
     out = []
     for r in rows:
-        mine = [f for f in fields if f["cluster"] == r["cluster"]]
+        mine = fields.get(r["cluster"], [])
         out.append({
             "code": r["code"], "noun": r["noun"], "keywords": list(r["keywords"]), "mpn_patterns": [],
             "path": ["Industrial Components", "Learned Categories", r["name"]], "required": list(r["required"]),

@@ -181,9 +181,9 @@ def triage(records: DataFrame, attributes: DataFrame, dim_attribute: DataFrame)
     ``records(id, code)``, ``attributes(id, key, prov)``.  Schema sizes are configuration and
     joined by code; gaps are counted, not listed.
     """
-    defined = F.broadcast(dim_attribute.groupBy("code").agg(F.count("*").alias("defined")))
+    defined = dim_attribute.groupBy("code").agg(F.count("*").alias("defined"))
     own = (attributes.join(records.select("id", "code"), "id")
-           .join(F.broadcast(dim_attribute.select("code", "key").withColumn("_in", F.lit(1))), ["code", "key"], "left")
+           .join(dim_attribute.select("code", "key").withColumn("_in", F.lit(1)), ["code", "key"], "left")
            .groupBy("id").agg(F.sum("_in").alias("present"), F.count_if(F.col("prov") == "defaulted").alias("defaults")))
     return (records.join(defined, "code", "left").join(own, "id", "left")
             .withColumn("gaps", F.coalesce("defined", F.lit(0)) - F.coalesce("present", F.lit(0)))

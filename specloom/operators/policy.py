@@ -99,7 +99,7 @@ def check(df: DataFrame, brand: str = "brand", allow_unknown: bool = False) -> D
 
 def candidate_urls(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Official-site URLs from brand templates and the part number, in template order."""
-    t = F.broadcast(url_templates(spark))  # one row per configured template
+    t = url_templates(spark)  # one row per configured template; Spark knows its size
     return (df.where("coalesce(trim(mpn), '') <> ''")
             .join(t, F.lower(F.trim(df["brand"])) == t["brand_key"])
             .select("id", t["brand"], "mpn", F.col("pos").alias("rank"),

@@ -13,7 +13,7 @@ from ..functions.text import let
 from .records import rebuilt
 
 # Beyond this many vocabulary rows the side is joined without a broadcast.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 200_000
 
 
 def fold(x: str) -> str:
