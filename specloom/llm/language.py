@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .shared import process_state
+
 DIMENSIONS = 1024
 TRAIN_ROWS = 20_000
 SEED = 7
@@ -111,6 +113,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < F.element_at(part, F.col("lang")) * (1 << 24))
 
     def partial(batches):
+        process_state()
         encoder, sums = Encoder(dimensions, seed), {}
         for batch in batches:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
@@ -144,6 +147,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def label(batches):
+        process_state()
         encoder = Encoder(dimensions, seed)
         for batch in batches:
             texts = batch.column(text_at).to_pylist()

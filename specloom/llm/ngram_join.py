@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import small, stored
+from .shared import process_state, small, stored
 
 N = 5
 PERCENT = 75
@@ -160,6 +160,7 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     arrow_id = to_arrow_type(id_type)
 
     def read(batches):
+        process_state()
         shingle, sketch = Shingler(), np.zeros(SKETCH, np.int32)
         factors = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
         names = schema.names

@@ -22,8 +22,6 @@ from __future__ import annotations
 
 import os
 import string
-import sys
-import types
 import zlib
 from array import array
 
@@ -31,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T, Window
 
-from .shared import stored
+from .shared import process_state, stored
 
 CAPACITY = 2048
 UNIT = 8
@@ -39,7 +37,7 @@ END_ID = 1
 #: Hash blocks by which a length class is ranked.
 BLOCKS = 1024
 #: Words whose ids a worker remembers.
-REMEMBERED = 900_000
+REMEMBERED = 500_000
 SHORT = 12
 #: Characters of the texts that are split into words at a time.
 RUN_CHARS = 2_000_000
@@ -138,10 +136,7 @@ class TokenBytes:
     @classmethod
     def of_process(cls, path: str) -> TokenBytes:
         """The instance of this worker process: it outlives a task, and so does what it remembers."""
-        held = sys.modules.setdefault("_packing_of_process", types.ModuleType("_packing_of_process"))
-        if getattr(held, "path", None) != path:
-            held.path, held.tokens = path, cls(path)
-        return held.tokens
+        return process_state("packing", path, lambda: cls(path))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)

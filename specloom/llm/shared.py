@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,5 +32,18 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def process_state(name: str | None = None, key=None, make=None):
+    """State that an operator keeps in a worker process between tasks; one operator's at a time.
+
+    Asking for another operator's state, or for none, lets go of what is held.
+    """
+    held = sys.modules.setdefault("_llm_process_state", types.ModuleType("_llm_process_state"))
+    if getattr(held, "owner", None) != (name, key):
+        held.value = None
+        held.value = make() if make else None
+        held.owner = (name, key)
+    return held.value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
