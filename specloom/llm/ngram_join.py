@@ -9,8 +9,8 @@ survive are settled by exact intersection of the sorted arrays.
 1. ``profiles`` reads every text once: set size, a digest of the whole set (equal sets are one
    node from here on), a few minima under random orders, the bitmap, and counts of shingles by
    hash bucket over all documents.
-2. ``star``: nodes that share a minimum are compared with one node of their group only,
-   which links nearly all of a group of n copies with n comparisons.
+2. ``star``: nodes that share a minimum are compared with a few nodes of their group only,
+   which links nearly all of a group of n copies with a few times n comparisons.
 3. ``completion`` finds every pair the stars left unlinked: two sets that reach the threshold
    share one of the first n - ceil(t n) + 1 elements of each in any common order.  Elements in
    frequent buckets come last in that order, so passages shared by many documents are rarely
@@ -40,6 +40,7 @@ from .shared import process_state, small, stored
 N = 5
 PERCENT = 75
 MINIMA = 6
+CENTERS = 3
 SKETCH = 1 << 20
 CHUNKS = 64
 MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
@@ -250,10 +251,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
 
 
 def _star(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nids: a node and the center of a group of near size that shares one minimum, or two, with it.
+    """Pairs (a, b) of nids: a node and a center of a group of near size that shares one minimum, or two, with it.
 
-    The center is the node with the smallest digest, which stands for no kind of node more than
-    for others (the smallest set would).  Size bands lie in two rows, half a band apart, so that
+    A group has a few centers, those with the smallest hashes, which stand for no kind of node
+    more than for others (the smallest set would).  Size bands lie in two rows, half a band apart, so that
     sets of nearly the same size share one.
     """
     level = F.log(F.col("n")) / F.log(F.lit(100 / percent))
@@ -263,10 +264,12 @@ def _star(nodes: DataFrame, percent: int) -> DataFrame:
     spread = (nodes.select("nid", F.explode(bands).alias("band"), F.concat("minima", twos).alias("lows"))
               .select("nid", "band", F.posexplode("lows").alias("i", "low")))
     key = ["i", "low", "band"]
-    centers = (spread.groupBy(*key).agg(F.min("nid").alias("center"), F.count("*").alias("size"))
-               .where("size > 1").select(*key, "center", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")))
+    firsts = [F.min_by("nid", F.xxhash64("nid", F.lit(k))).alias(f"c{k}") for k in range(CENTERS)]
+    centers = (spread.groupBy(*key).agg(*firsts, F.count("*").alias("size"))
+               .where("size > 1").select(*key, F.array_distinct(F.array(*[f"c{k}" for k in range(CENTERS)])).alias("centers"),
+                                         F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")))
     return (spread.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(16)).cast("int")).join(centers, [*key, "salt"])
-            .select(F.col("nid").alias("a"), F.col("center").alias("b"))
+            .select(F.col("nid").alias("a"), F.explode("centers").alias("b"))
             .where("a != b").distinct())
 
 

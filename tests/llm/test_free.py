@@ -312,7 +312,7 @@ def test_a_group_of_near_copies_is_not_paired_off(docs):
     rows_, sketch = ngram_join.profiles(docs(rows))
     nodes = shared.stored(rows_.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("nid").alias("nid"), F.any_value("minima").alias("minima"), F.any_value("bitmap").alias("bitmap")))
     pairs = ngram_join._star(nodes, 75)
-    assert pairs.count() <= 4 * ngram_join.MINIMA * len(rows)
+    assert pairs.count() <= 4 * ngram_join.CENTERS * ngram_join.MINIMA * len(rows)
     assert ngram_join.join(docs(rows)).select("component_id").distinct().count() == len({c for _, _, c in components(rows)})
 
 
