@@ -12,9 +12,10 @@ Blocks are storage only; the result is that of one fold over the whole group.
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import fixed
 from ..functions.stage import durable
@@ -61,6 +62,13 @@ def _block_folds(claims: DataFrame, by: list[str], order: list[str], entering: s
     return bare.select(*by, F.expr(fold_sql("c", "_in" if held else "NULL", log)).alias("w"))
 
 
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns whose nulls equal each other, as they do in grouping."""
+    other = right.withColumnsRenamed({c: f"_{c}" for c in on})
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on])
+    return left.join(other, same, how).drop(*[f"_{c}" for c in on])
+
+
 def _oversized(claims: DataFrame, order: list[str], limit: int, total: int, log: bool) -> DataFrame:
     """id, key, blk, w of the blocks of large groups, each folded from its final entering state."""
     block = ["id", "key", "blk"]
@@ -70,8 +78,8 @@ def _oversized(claims: DataFrame, order: list[str], limit: int, total: int, log:
     known = None  # blocks with the state they entered with and what they ended with
     w = W.partitionBy("id", "key").orderBy("blk")
     while True:
-        ended = _block_folds(placed.join(entering, block), block, order, "e", log).join(entering, block)
-        known = durable(ended if known is None else known.join(entering.select(*block), block, "left_anti").unionByName(ended))
+        ended = _joined(_block_folds(_joined(placed, entering, block), block, order, "e", log), entering, block)
+        known = durable(ended if known is None else _joined(known, entering.select(*block), block, "left_anti").unionByName(ended))
         after = known.select(*block, "e", F.lag("w.held").over(w).alias("n"))
         entering = durable(after.where("NOT (e <=> n)").select(*block, F.col("n").alias("e")))
         if entering.isEmpty():
@@ -84,10 +92,9 @@ def _split(claims: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None,
     total = sizes.agg(F.count("*").alias("g"), F.sum("_n").alias("n")).first()
     if not total["g"]:
         return claims, None, 0
-    big = sizes.select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    big = sizes.select("id", "key")
     side = F.broadcast(big) if total["g"] <= 100_000 else big
-    same: Column = F.col("id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key"))
-    return claims.join(side, same, "left_anti"), claims.join(side, same, "left_semi"), total["n"]
+    return _joined(claims, side, ["id", "key"], "left_anti"), _joined(claims, side, ["id", "key"], "left_semi"), total["n"]
 
 
 def reconcile_claims(claims: DataFrame, order: list[str], limit: int = GROUP_LIMIT) -> DataFrame:

@@ -95,3 +95,15 @@ def test_contest_is_exact_for_any_group_size(spark, limit):
     for g in {r[0] for r in rows}:
         want = model([(v, p, c) for i, _, _, v, p, c in sorted(x for x in rows if x[0] == g)])
         assert got[g] == want and lines.get(g, 0) == want[3]
+
+
+@pytest.mark.parametrize("limit", [10_000, 40])
+def test_groups_of_null_id_or_key_are_kept_at_any_size(spark, limit):
+    names = [(1, None), (None, "k"), (None, None), (1, "k")]
+    rows = [(*names[g], i, v, p, c) for g, _, i, v, p, c in claim_rows(150, 4, 11)]
+    df = spark.createDataFrame(rows, "id bigint, key string, seq bigint, val string, prov string, conf double").repartition(4)
+    got = {(r["id"], r["key"]): (r["val"], r["prov"], r["conf"], r["conflicts"]) for r in C.reconcile_claims(df, ["seq"], limit=limit).collect()}
+    lines = {(r["id"], r["key"]): r["count"] for r in C.conflict_log(df, ["seq"], limit=limit).groupBy("id", "key").count().collect()}
+    for g in names:
+        want = model([(v, p, c) for i, k, _, v, p, c in sorted((x for x in rows if x[:2] == g), key=lambda x: x[2])])
+        assert got[g] == want and lines.get(g, 0) == want[3]
