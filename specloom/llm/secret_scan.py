@@ -9,8 +9,10 @@ table of (alphabet size)^2 numbers.
 Training reads about ``train_docs`` documents of each label at most, chosen by a hash of the text.
 
 A span is (kind, start, end) in code points, end exclusive.  Pattern spans are leftmost and
-non-overlapping within a kind; matches that are too short are dropped after matching.  A Markov
-span that touches a pattern span is left out.
+non-overlapping within a kind; matches that are too short are dropped after matching.  Pattern
+spans are cut out of a token, and only transitions that touch what remains are counted: the runs
+that remain are Markov spans if their common mean exceeds the threshold, a run as long as a token
+also if its own mean does.
 
 Defined results: null text is empty and has no spans; repeated rows are scanned each; empty
 tables give empty results; other columns are kept (``scan`` replaces columns it adds).
@@ -31,7 +33,8 @@ KINDS = ["assign", "access", "hex", "markov"]
 #: The same runs as HEX and ACCESS, the short ones left out while matching: a run is taken from its first place, so no other match begins inside one.
 LONG_ACCESS = r"AKIA[A-Z0-9]{14,}"
 LONG_HEX = r"[0-9a-f]{16,}"
-TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+TOKEN_CHARS = 20
+TOKEN = rf"[A-Za-z0-9+/_-]{{{TOKEN_CHARS},}}={{0,2}}"
 ORDINARY = r"[A-Za-z0-9+/_-]{4,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 TRAIN_DOCS = 4000
@@ -119,13 +122,36 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
     df = _matches(with_patterns(docs.drop(*ADDED), text_col), "markov", TOKEN)
 
-    def ratio(token):
+    def total(token):
         chars = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
         pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.get(table, a * size + b))
-        return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (F.size(chars) - 1)
-
-    free = F.filter("markov", lambda s: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    df = df.withColumn("markov", F.when(F.size("markov") > 0, F.filter(free, lambda s: ratio(s["value"]) > threshold)).otherwise(F.col("markov")))
+        return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
+
+    def remaining(s):
+        """What pattern spans leave of a token, as (start, end)."""
+        touching = F.array_sort(F.filter(F.concat("assign", "access", "hex"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        runs = lambda acc, end: F.when(end > acc["at"], F.concat(acc["runs"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))).otherwise(acc["runs"])
+        zero = F.struct(s["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("runs"))
+        return F.aggregate(touching, zero, lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), runs(acc, b["start"]).alias("runs")),
+                           lambda acc: runs(acc, s["end"]))
+
+    def weighed(s):
+        """The remaining runs of a token with the sum and number of the transitions that touch them."""
+        def weigh(r):
+            first, last = F.greatest(r["start"] - 1, s["start"]), F.least(r["end"] + 1, s["end"])
+            return F.struct(r["start"].alias("start"), F.lit(KINDS.index("markov")).alias("rank"), r["end"].alias("end"),
+                            F.substring(s["value"], r["start"] - s["start"] + 1, r["end"] - r["start"]).alias("value"),
+                            total(F.substring(s["value"], first - s["start"] + 1, last - first)).alias("sum"), (last - first - 1).alias("n"))
+        return F.transform(remaining(s), weigh)
+
+    def mean(runs):
+        return F.aggregate(runs, F.lit(0.0), lambda a, r: a + r["sum"]) / F.aggregate(runs, F.lit(0), lambda a, r: a + r["n"])
+
+    tokens = F.transform(F.filter(F.transform("markov", weighed), lambda runs: F.size(runs) > 0), lambda runs: F.struct(runs.alias("runs"), mean(runs).alias("mean")))
+    secret = F.flatten(F.transform(tokens, lambda t: F.filter(t["runs"], lambda r: (t["mean"] > threshold) | (
+        (r["end"] - r["start"] >= TOKEN_CHARS) & (r["sum"] / r["n"] > threshold)))))
+    spans = F.transform(secret, lambda r: F.struct(*[r[c].alias(c) for c in ("start", "rank", "end", "value")]))
+    df = df.withColumn("markov", F.when(F.size("markov") > 0, spans).otherwise(F.col("markov")))
     return df.withColumn("spans", F.array_sort(F.concat("assign", "access", "hex", "markov")))
 
 

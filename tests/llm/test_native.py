@@ -119,6 +119,20 @@ def test_redaction_masks_spans_and_nothing_else(docs):
     assert secret_scan.redact(empty, secret_scan.train(empty)).collect() == []
 
 
+def test_what_a_pattern_leaves_of_a_token_is_scanned(spark, docs, sf):
+    model = secret_scan.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    key, hexes, plain = "q8Zr2TnV0xKp7LwYb3Hs9DcXk29fjQpLw83mZtRv", "0123456789abcdef", "another-perfectly-ordinary-title"
+    tokens = [("1234567890123456789", f"-{key}"), (key[:12], hexes, key[13:25]), ("/", hexes * 2, f"/{plain}"), (key, hexes, "-" + "-".join([plain] * 6)), (hexes,), (key,)]
+    table = docs([(i, f"é {''.join(t)} there") for i, t in enumerate(tokens)])
+    got = {r.doc_id: [(r.text[s.start:s.end], s.value, secret_scan.KINDS[s.rank]) for s in r.spans] for r in secret_scan.scan(table, model).collect()}
+    marks = [("h", "m"), ("m", "h", "m"), ("", "h", ""), ("m", "h", ""), ("h",), ("m",)]
+    for i, t in enumerate(tokens):
+        assert got[i] == [(x, x, {"h": "hex", "m": "markov"}[k]) for x, k in zip(t, marks[i]) if k], t
+    clean = {r.doc_id: r.text for r in secret_scan.redact(table, model).collect()}
+    assert not any(key[at:at + 8] in text for text in clean.values() for at in range(0, 33, 8))
+    assert clean[2] == f"é /[SECRET]/{plain} there"
+
+
 # ---- fingerprints ----
 
 def test_fingerprint_is_a_multiset_of_paragraphs(spark):
