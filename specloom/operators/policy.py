@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .. import fixed
@@ -145,9 +147,11 @@ def page_budget(df: DataFrame, budget: int = PAGE_BUDGET) -> DataFrame:
     read = (df.where("allowed").select(*page).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= budget)
             .groupBy(*page).agg(F.count("*").alias("_read")))
     copy = F.row_number().over(W.partitionBy(*page).orderBy(F.coalesce(F.col("allowed"), F.lit(False)).desc()))
-    return (df.withColumn("_copy", copy).join(read, page, "left")
+    read = read.withColumnsRenamed({c: f"_{c}" for c in page})
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in page])
+    return (df.withColumn("_copy", copy).join(read, same, "left")
             .withColumn("accepted", F.coalesce(F.col("allowed") & (F.col("_copy") <= F.col("_read")), F.lit(False)))
-            .drop("_copy", "_read")
+            .drop("_copy", "_read", *[f"_{c}" for c in page])
             .withColumn("ledger_reason", F.expr(
                 "CASE WHEN allowed AND NOT accepted THEN 'Within policy, but the per-product page budget of"
                 f" {budget} was already spent on higher-ranked sources.' ELSE reason END")))

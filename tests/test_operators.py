@@ -134,6 +134,14 @@ def test_page_budget_prunes_before_the_exchange(spark):
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_page_budget_reads_pages_of_null_rank_or_url(spark):
+    rows = [(1, None, "a"), (1, 1, None), (1, 2, "c"), (1, 3, "d"), (None, 1, "e")]
+    df = spark.createDataFrame([(*r, True, "r") for r in rows], "product_id bigint, rank bigint, url string, allowed boolean, reason string")
+    out = P.page_budget(df, 3)
+    assert out.columns == [*df.columns, "accepted", "ledger_reason"]
+    assert {(r.product_id, r.rank, r.url) for r in out.collect() if r.accepted} == {rows[0], rows[1], rows[2], rows[4]}
+
+
 # ---------------------------------------------------------------- learning
 
 def _cylinders(product):
