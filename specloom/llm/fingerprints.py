@@ -6,9 +6,10 @@ an edited document follows from the old one by subtracting what went and adding
 
 The vector of a paragraph has two parts.  EXACT lanes hold hashes of the whole paragraph: equal
 multisets of paragraphs have equal sums.  NEAR lanes hold the sum of +1/-1 vectors of the
-paragraph's pieces, runs of up to four words: the cosine of two such sums estimates how much of
-the two documents is the same.  A +1/-1 vector is the bits of one
-64-bit hash; two bits of it are counted in one addition, in the halves of a long.
+paragraph's pieces: the cosine of two such sums estimates how much of the two documents is the
+same.  A paragraph is cut after words chosen by their own hash, and after eight words at most, and
+a piece is two runs that follow each other: after a word that came or went, the cuts fall back
+into step at the next chosen word.  A +1/-1 vector is the bits of one 64-bit hash; two bits of it are counted in one addition, in the halves of a long.
 
 Only DataFrame functions are used.  Edited texts need the next document in order of id: rows are
 dealt to ranges of ids whose bounds are documents' ids, and the first document of each range is
@@ -23,7 +24,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-PIECE = r"[^\s]+(?:[^\S\n]+[^\s]+){0,3}"
+WORD = r"[^\s]+"
+RUN = r"[^\s]+(?: [^\s]+){0,7}"
+#: One word in so many ends a run.
+CUT = 4
 EXACT = 8
 HALVES = 32
 LOW = (1 << 32) + 1
@@ -36,8 +40,10 @@ MAX_RANGES = 10_000
 def parts(text: Column) -> Column:
     """Hashes of paragraphs and of pieces."""
     lines = F.filter(F.split(text, "\n"), lambda p: p != "")
-    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
-    return F.struct(F.transform(lines, lambda p: F.xxhash64(p)).alias("lines"), F.transform(pieces, lambda p: F.xxhash64(p)).alias("pieces"))
+    cut = lambda w: F.concat(w, F.when(F.pmod(F.xxhash64(w), F.lit(CUT)) == 0, F.lit("\n")).otherwise(F.lit(" ")))
+    runs = F.transform(lines, lambda p: F.regexp_extract_all(F.array_join(F.transform(F.regexp_extract_all(p, F.lit(WORD), F.lit(0)), cut), ""), F.lit(RUN), F.lit(0)))
+    pieces = F.flatten(F.transform(runs, lambda r: F.zip_with(r, F.slice(r, F.lit(2), F.size(r)), lambda x, y: F.xxhash64(x, y))))
+    return F.struct(F.transform(lines, lambda p: F.xxhash64(p)).alias("lines"), pieces.alias("pieces"))
 
 
 def summed(p: Column) -> Column:

@@ -174,3 +174,13 @@ def test_fingerprints_follow_likeness(spark, sf):
     assert all(by.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint for r in rows)
     assert all(re.fullmatch("[0-9a-f]+", r.fingerprint) for r in rows)
     assert {hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() for r in rows}
+
+
+def test_likeness_survives_a_word_that_came_or_went(spark):
+    words = [hashlib.md5(str(i % 400).encode()).hexdigest()[:5] for i in range(500)]
+    texts = [words, words[:1] + ["new"] + words[1:], words[:2] + words[3:], ["same"] * 500, ["new"] + ["same"] * 500, words[::-1]]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id int, text string")
+    v = rows.select("id", fingerprints.lanes(fingerprints.summed(fingerprints.parts(F.col("text")))).alias("v"))
+    a, b = v.toDF("a", "x"), v.toDF("b", "y")
+    near = {(r.a, r.b): r.near for r in a.crossJoin(b).select("a", "b", fingerprints.likeness(F.col("x"), F.col("y")).alias("near")).collect()}
+    assert min(near[0, 1], near[0, 2], near[3, 4]) > 0.9 and max(near[0, 5], near[0, 3]) < 0.5
