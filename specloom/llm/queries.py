@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, fingerprints, language, licenses, mixing, neighbours, ngram_join, packing, secret_scan, warc
+from . import chat, fingerprints, language, licenses, mixing, near_dedup, neighbours, ngram_join, packing, secret_scan, spelling, vector_codes, warc
 from .shared import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,3 +161,44 @@ def op9_fingerprints(spark, sf):
                        fingerprints.written(F.col("edited_vector")).alias("edited_fingerprint"),
                        fingerprints.likeness(F.col("__vector"), F.col("__edited_vector")).alias("near_edited"),
                        fingerprints.likeness(F.col("__vector"), F.col("__next_vector")).alias("near_next"))
+
+
+def _codes_sql() -> str:
+    """Four unrolled rounds: assignment by dot products (whole numbers in doubles), floored means."""
+    head = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS v, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT 4 * v + i AS r, v, vec_id, label, i AS part, q[i * (len(q) // 4) + 1:(i + 1) * (len(q) // 4)] AS x FROM v, range(4) t(i)),
+c0 AS (SELECT part, entry, x FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < {vector_codes.ENTRIES})"""
+    for k in range(vector_codes.ROUNDS + 1):
+        head += f""",
+a{k} AS MATERIALIZED (SELECT p.r, min(CAST(list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, c.x) + list_dot_product(c.x, c.x) AS BIGINT) * 256 + c.entry) AS best FROM p JOIN c{k} c USING (part) GROUP BY p.r)"""
+        if k < vector_codes.ROUNDS:
+            head += f""",
+s{k} AS (SELECT part, best % 256 AS entry, j, floor(sum(x[j]) / count(*)) AS m FROM (SELECT part, x, best, unnest(range(1, len(x) + 1)) AS j FROM p JOIN a{k} USING (r)) GROUP BY ALL),
+n{k} AS (SELECT part, entry, list(m ORDER BY j) AS x FROM s{k} GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n.x, c.x) AS x FROM c{k} c LEFT JOIN n{k} n USING (part, entry))"""
+    k = vector_codes.ROUNDS
+    return head + f""",
+b AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(x) AS y, unnest(range(len(x))) AS j FROM c{k})),
+e AS (SELECT any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM p JOIN a{k} USING (r) GROUP BY v)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e, b"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark, sf):
+    """Product quantisation codes of all vectors, and a digest of the codebooks."""
+    coded, books = vector_codes.codes(table(spark, sf, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf):
+    """The vocabulary of the documents: every word's near words, form and root."""
+    return spelling.variants(table(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_near_dedup")
+def op13_near_dedup(spark, sf):
+    """Groups of documents linked by a word 5-gram Jaccard similarity of 0.85 or more, one of each kept."""
+    return near_dedup.marked(table(spark, sf, "documents"))

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only if the session names none."""
+    """A new folder below spark.checkpoint.dir; a temporary one only if a local session names none."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if base is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -45,5 +49,22 @@ def process_state(name: str | None = None, key=None, make=None):
     return held.value
 
 
+def release() -> None:
+    """Give memory that arrays and batches no longer use back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def light(read):
+    """The function of batches ``read``, giving memory back at the end of each task."""
+    def run(batches):
+        yield from read(batches)
+        release()
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
