@@ -18,21 +18,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .shared import process_state
+from .shared import light, process_state
 
 DIMENSIONS = 1024
 TRAIN_ROWS = 20_000
 SEED = 7
 #: Letters handled in one matrix product.
 BATCH_LETTERS = 1_000_000
-COLUMNS = 8192
+COLUMNS = 4096
 EDGE = 0
 
 
 class Encoder:
     """Turns texts into bundled vectors; remembers the vectors of the trigrams it has met."""
 
-    def __init__(self, dimensions: int, seed: int, limit: int = 40_000):
+    def __init__(self, dimensions: int, seed: int, limit: int = 20_000):
         self.dimensions, self.seed, self.limit = dimensions, seed, limit
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
         return pdf.head(1).assign(sums=np.sum([np.frombuffer(v) for v in pdf["sums"]], axis=0).tobytes())
 
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("sums", T.BinaryType())])
-    found = picked.mapInArrow(partial, schema).groupBy("lang").applyInPandas(total, schema).collect()
+    found = picked.mapInArrow(light(partial), schema).groupBy("lang").applyInPandas(total, schema).collect()
     return {r[0]: np.frombuffer(bytes(r[1])).copy() for r in sorted(found, key=lambda r: r[0])}
 
 
@@ -167,4 +167,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
             yield pa.record_batch([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                   names=[*keep, "lang_pred", "score"])
 
-    return chosen.mapInArrow(label, schema)
+    return chosen.mapInArrow(light(label), schema)

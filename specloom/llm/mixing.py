@@ -12,14 +12,15 @@ of all rows needs no larger task than any other.
 
 Defined results: null text has size 0; null sources form one source, last in order; equal rows
 are interchangeable; an empty table gives an empty mix.  Columns of the input other than the
-text and source may have any name; the added columns replace columns of the same name.
+text and source may have any name; the columns that ``mix`` adds replace columns of the same name,
+``mixed_rows`` replaces none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 
-from .shared import stored
+from .shared import aside, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of the order key that name a block.
@@ -91,12 +92,17 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_epochs: int
             .select(*[c for c in docs.columns if c not in ADDED], *ADDED))
 
 
-def mixed_rows(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: one row per repetition, columns as in ``docs``.
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: one row per repetition, columns as in ``docs``, whatever their names.
 
     A fractional repetition holds the document's first words, joined by single blanks.
     Documents without words carry no weight and are left as they are, once.
     """
+    own = dict(id_col=id_col, text_col=text_col, source_col=source_col)
+    return aside(docs, [*own.values(), "n_chars"], lambda df: _repeated(df, text_col, **options, **{k: v for k, v in own.items() if k != "text_col"}))
+
+
+def _repeated(docs: DataFrame, text_col: str, **options) -> DataFrame:
     mixed = mix(docs, text_col=text_col, **options)
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(1))
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))

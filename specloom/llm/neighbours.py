@@ -13,7 +13,8 @@ Queries and candidates are dealt to blocks of bounded size, so a task holds one
 Defined results: null vectors, zero vectors and those with null or non-finite components take no
 part; vectors of different lengths are never near; a query is not its own neighbour (rows that
 repeat its id are left out with it); ties go to the smaller id; rows that repeat an id are
-candidates each and one query, the smallest vector's; with fewer than k candidates all are returned.
+candidates each and one query, the smallest vector's; with fewer than k candidates all are returned;
+components may be as small or large as doubles are; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,9 +43,15 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, np.abs(q).sum(axis=1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to between 1/2 and 1: no square under- or overflows, and no cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def tile(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, candidate, cosine) of the k nearest candidates of each query."""
     d = queries.shape[1]
+    queries, vectors = scaled(queries), scaled(vectors)
     q_norm, c_norm = np.sqrt((queries * queries).sum(axis=1)), np.sqrt((vectors * vectors).sum(axis=1))
     q8, q_scale, q_sum = quantised(queries / q_norm[:, None])
     heaps: list[list] = [[] for _ in query_ids]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import process_state, small, stored
+from .shared import aside, light, process_state, small, stored
 
 N = 5
 PERCENT = 75
@@ -167,8 +167,8 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         names = schema.names
         for batch in batches:
             n, node, minima, bitmap = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                grams = shingle(text)
+            for text in batch.column(2):
+                grams = shingle(text.as_py())
                 n.append(len(grams))
                 if not len(grams):
                     node.append(None), minima.append(None), bitmap.append(None)
@@ -187,7 +187,7 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                                    pa.nulls(CHUNKS, pa.list_(pa.int64())), pa.nulls(CHUNKS, pa.binary()),
                                    pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    both = stored(docs.select(F.col(id_col), row_hash(docs).alias("__row"), F.col(text_col)).mapInArrow(read, schema))
+    both = stored(docs.select(F.col(id_col), row_hash(docs).alias("__row"), F.col(text_col)).mapInArrow(light(read), schema))
 
     def total(pdf):
         sums = np.zeros(SKETCH // CHUNKS, np.int64)
@@ -214,7 +214,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                     for p, u, q, v in zip(n_a.to_pylist(), x.to_pylist(), n_b.to_pylist(), y.to_pylist())]
             yield pa.record_batch([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(check, "a binary, b binary")
+    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(light(check), "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -247,7 +247,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
                     found.append((node, at))
             yield pa.record_batch([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    return tiles.select("center", "salt", "seat", "node", "text").mapInArrow(settle, "a binary, b binary")
+    return tiles.select("center", "salt", "seat", "node", "text").mapInArrow(light(settle), "a binary, b binary")
 
 
 def _star(nodes: DataFrame, percent: int) -> DataFrame:
@@ -305,8 +305,8 @@ def _probes(docs: DataFrame, groups: DataFrame, sketch: np.ndarray, percent: int
         shingle, counts = Shingler(), counts_of.value
         for batch in batches:
             nodes, sizes, tokens, tiles = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                grams = shingle(text)
+            for text in batch.column(0):
+                grams = shingle(text.as_py())
                 if not len(grams):
                     continue
                 often = counts[(grams >> np.uint64(44)).astype(np.int64)]
@@ -322,7 +322,7 @@ def _probes(docs: DataFrame, groups: DataFrame, sketch: np.ndarray, percent: int
                                    pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))),
                                    pa.array(tiles, pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())])))], names=["node", "nid", "n", "tokens", "tiles"])
 
-    found = docs.select(F.col(text_col)).mapInArrow(read, "node binary, nid bigint, n bigint, tokens array<bigint>, tiles array<struct<token: bigint, place: int>>")
+    found = docs.select(F.col(text_col)).mapInArrow(light(read), "node binary, nid bigint, n bigint, tokens array<bigint>, tiles array<struct<token: bigint, place: int>>")
     once = found.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("nid", "n", "tokens", "tiles")])
     # An element with tiles is probed in its tiles only.
     plain = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("place"))), lambda x: ~F.exists("tiles", lambda y: y["place"] == x["place"]))
@@ -412,7 +412,7 @@ def _cross_pairs(probes: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from settle(pa.Table.from_batches(held))
 
-    return rows.select("token", "place", "nid", "n", "root").mapInArrow(pair, "a bigint, b bigint").distinct()
+    return rows.select("token", "place", "nid", "n", "root").mapInArrow(light(pair), "a bigint, b bigint").distinct()
 
 
 def _ordered(node: np.ndarray, first: list[np.ndarray], second: list[np.ndarray]) -> pa.RecordBatch:
@@ -450,7 +450,11 @@ def join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_c
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each linked group, the one with the smallest doc_id; documents without words all stay."""
+    """One document of each linked group, the one with the smallest doc_id; documents without words all stay.  Columns may have any names."""
+    return aside(docs, [id_col, text_col], lambda df: _one_of_each(df, percent, id_col, text_col))
+
+
+def _one_of_each(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     found = stored(grouped(docs, percent, id_col, text_col))
     first = (found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("s"))
              .select(F.col("s.doc_id").alias("__id"), F.col("s.row").alias("__row")))

@@ -27,9 +27,10 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T, Window
 
-from .shared import process_state, stored
+from .shared import light, process_state, stored
 
 CAPACITY = 2048
 UNIT = 8
@@ -39,6 +40,9 @@ BLOCKS = 1024
 #: Words whose ids a worker remembers.
 REMEMBERED = 500_000
 SHORT = 12
+#: Chunks given to the tokenizer in one text, and the character that stands for a blank in its vocabulary.
+JOINED = 1000
+BLANK = "\u0120"
 #: Characters of the texts that are split into words at a time.
 RUN_CHARS = 2_000_000
 
@@ -122,14 +126,17 @@ class TokenBytes:
     Between two characters that are not white space a single blank always starts a new
     pre-token, and so does punctuation after letters.  The ids of a text are therefore those of
     its blank-separated chunks, and each chunk is given to the tokenizer once, letters and
-    punctuation apart.  Texts with other blanks go to the tokenizer whole.
+    punctuation apart, many chunks in one text: a token that starts with a blank starts a chunk.
+    Texts with other blanks go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.blank = np.zeros(1 + max(vocabulary.values()), bool)
+        self.blank[[i for token, i in vocabulary.items() if token.startswith(BLANK)]] = True
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
@@ -142,6 +149,18 @@ class TokenBytes:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in made]
 
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, each after a blank; chunks neither start nor end with white space."""
+        parts = [chunks[i:i + JOINED] for i in range(0, len(chunks), JOINED)]
+        out: list[bytes] = []
+        for part, data in zip(parts, self.encode([" " + " ".join(part) for part in parts])):
+            edges = np.append(np.flatnonzero(self.blank[np.frombuffer(data, np.uint32)]) * 4, len(data)).tolist()
+            if len(edges) == len(part) + 1 and edges[0] == 0:
+                out += [data[a:b] for a, b in zip(edges, edges[1:])]
+            else:  # a vocabulary that writes blanks in another way
+                out += self.encode([" " + c for c in part])
+        return out
+
     def learn(self, chunks: set[str]) -> None:
         """Remember the ids of chunks after a blank."""
         whole, split = [], []
@@ -152,7 +171,7 @@ class TokenBytes:
             elif chunk and not chunk[0].isspace() and not chunk[-1].isspace():
                 whole.append(chunk)
         whole += {w for _, w, _ in split}.difference(whole, self.known)
-        self.known.update(zip(whole, self.encode([" " + c for c in whole])))
+        self.known.update(zip(whole, self.encode_chunks(whole)))
         marks = list({m for _, _, m in split}.difference(self.marks))
         self.marks.update(zip(marks, self.encode(marks)))
         for chunk, letters, mark in split:
@@ -176,16 +195,16 @@ class TokenBytes:
         return out
 
 
-def _runs(texts: list[str]):
+def _runs(sizes: list[int]):
     """Consecutive runs of texts of about RUN_CHARS characters."""
-    first = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= RUN_CHARS:
+    first = total = 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= RUN_CHARS:
             yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+            first, total = i + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False,
@@ -200,10 +219,11 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
         end = np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, last in _runs(texts):
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+            for first, last in _runs(sizes):
+                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
                 owner, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, data in enumerate(encode(texts[first:last]), first):
+                for i, data in enumerate(encode(texts), first):
                     data += end
                     for at in range(0, len(data), width):
                         part = data[at:at + width]
@@ -217,7 +237,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
                 columns = [batch.column(0).take(pa.array(owner, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]]
                 yield pa.record_batch(columns + [pa.array(ids, pa.binary())] * with_ids, names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(pieces, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(light(pieces), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int = UNIT, blocks: int = BLOCKS, **options) -> DataFrame:

@@ -15,7 +15,8 @@ that remain are Markov spans if their common mean exceeds the threshold, a run a
 also if its own mean does.
 
 Defined results: null text is empty and has no spans; repeated rows are scanned each; empty
-tables give empty results; other columns are kept (``scan`` replaces columns it adds).
+tables give empty results; other columns are kept (``scan``
+replaces columns of the names it adds, ``redact`` none).
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import aside
+
 # Kinds, patterns and least lengths of the scan's contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -161,8 +164,12 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """``docs`` with every span, or run of spans that overlap, replaced by MASK; other columns as they are."""
+def redact(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with every span, or run of spans that overlap, replaced by MASK; other columns as they are, whatever their names."""
+    return aside(docs, [text_col, "n_chars"], lambda df: _redacted(df, model, text_col, threshold))
+
+
+def _redacted(docs: DataFrame, model: list[float], text_col: str, threshold: float) -> DataFrame:
     df = scan(docs, model, threshold, text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 

@@ -7,6 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -66,5 +67,13 @@ def light(read):
     return run
 
 
+def aside(docs: DataFrame, uses: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs``, whose other columns than ``uses`` have names meanwhile that no operator gives; the columns of ``docs`` as a result."""
+    read = {c.lower() for c in uses}
+    held = {c: c if c.lower() in read else f"__aside_{i}" for i, c in enumerate(docs.columns)}
+    out = work(docs.withColumnsRenamed({c: name for c, name in held.items() if c != name}))
+    return out.select(*[F.col(f"`{name}`").alias(c) for c, name in held.items()])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
