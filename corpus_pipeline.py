@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from specloom.llm import language, mixing, ngram_join, packing, secret_scan
 from specloom.llm.queries import held_out, tokenizer_path
-from specloom.llm.shared import stored, table
+from specloom.llm.shared import aside, stored, table
 
 
 def known_language(spark, docs, sf_dir):
     """Documents with a language; one that has no letters has none."""
-    labelled = language.predict(docs, language.fit(docs, ~held_out()), docs.columns)
-    return labelled.where("lang_pred != 'und'").select(*docs.columns)
+    def known(df):
+        return language.predict(df, language.fit(df, ~held_out()), df.columns).where("lang_pred != 'und'")
+    return aside(docs, ["doc_id", "text", "lang"], known)
 
 
 def without_copies(spark, docs, sf_dir):
