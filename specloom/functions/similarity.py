@@ -8,6 +8,7 @@ strings the exact tiers could not settle.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher, get_close_matches
 
 import numpy as np
@@ -98,18 +99,45 @@ class NameTable:
         return best
 
 
-@_memo
-def closest_option(text: str, options: tuple[str, ...]) -> tuple[str | None, float]:
-    """Vocabulary member nearest to ``text`` by shared words or sequence ratio."""
-    words, probe = _tokens(text), _slug(text)
-    chosen, top = None, 0.0
-    for option in options:
-        wanted = _tokens(option)
-        if wanted:
-            score = max(len(words & wanted) / len(wanted), _ratio(probe, _slug(option)))
-            if score > top:
-                chosen, top = option, score
-    return chosen, top
+class OptionTable:
+    """A list of permitted values against which texts are scored.
+
+    A value's score is the larger of the share of its words that a text holds and the sequence ratio of
+    both.  The shares of all values come from one table; the ratio of a value is computed, best bound
+    first, only while twice the common characters over both lengths could still beat the best.
+    """
+
+    def __init__(self, options: tuple[str, ...]):
+        self.options = [o for o in options if _tokens(o)]
+        self.slugs = [_slug(o) for o in self.options]
+        words = sorted({t for o in self.options for t in _tokens(o)})
+        self.place = {t: i for i, t in enumerate(words)}
+        self.table = np.zeros((len(self.options), len(words)))
+        for i, o in enumerate(self.options):
+            self.table[i, [self.place[t] for t in _tokens(o)]] = 1
+        self.letters = [Counter(s) for s in self.slugs]
+        self.seen: dict[str, tuple[str | None, float]] = {}
+
+    def best(self, text: str) -> tuple[str | None, float]:
+        """The first value of the highest score, and that score; none for a score of 0."""
+        if text not in self.seen:
+            if len(self.seen) >= _MEMO_LIMIT:
+                self.seen.clear()
+            self.seen[text] = self._best(_slug(text), _tokens(text))
+        return self.seen[text]
+
+    def _best(self, probe: str, words: frozenset[str]) -> tuple[str | None, float]:
+        if not self.options:
+            return None, 0.0
+        score = self.table[:, [self.place[t] for t in words if t in self.place]].sum(axis=1) / self.table.sum(axis=1)
+        own = Counter(probe)
+        bound = np.array([2 * (own & c).total() / max(len(probe) + len(s), 1) for c, s in zip(self.letters, self.slugs)])
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < score.max():
+                break
+            score[i] = max(score[i], _ratio(probe, self.slugs[i]))
+        top = int(score.argmax())
+        return (self.options[top], float(score[top])) if score[top] > 0 else (None, 0.0)
 
 
 @_memo
@@ -139,6 +167,13 @@ def similarity_matrix(names_by_code: dict[str, list[tuple[str, ...]]]):
 def option_matcher(options_by_code: dict[str, list[tuple[str, ...]]]):
     """UDF(texts, attribute indexes, code) -> nearest option and score per text."""
 
+    tables: dict[tuple[str, ...], OptionTable] = {}
+
+    def table(options: tuple[str, ...]) -> OptionTable:
+        if options not in tables:
+            tables[options] = OptionTable(options)
+        return tables[options]
+
     @F.pandas_udf("array<struct<option:string,score:double>>")
     def nearest(texts: pd.Series, idx: pd.Series, code: pd.Series) -> pd.Series:
         def one(row_texts, row_idx, row_code):
@@ -147,7 +182,7 @@ def option_matcher(options_by_code: dict[str, list[tuple[str, ...]]]):
                 return []
             out = []
             for t, j in zip(row_texts, row_idx):
-                option, score = closest_option(t, options[int(j)]) if t is not None else (None, 0.0)
+                option, score = table(options[int(j)]).best(t) if t is not None else (None, 0.0)
                 out.append({"option": option, "score": score})
             return out
         return pd.Series([one(*r) for r in zip(texts, idx, code)], dtype=object)
@@ -155,13 +190,6 @@ def option_matcher(options_by_code: dict[str, list[tuple[str, ...]]]):
     return nearest
 
 
-@F.pandas_udf(T.StringType())
-def suggest(text: pd.Series, permitted: pd.Series) -> pd.Series:
-    """V3: close match offered for a refused value."""
-    return pd.Series([None if t is None or p is None else near_miss(t, tuple(p))
-                      for t, p in zip(text, permitted)], dtype=object)
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def suggest_each(texts: pd.Series, permitted: pd.Series) -> pd.Series:
     """V3 for the values of one record: a near miss, or null, per text."""

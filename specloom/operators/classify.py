@@ -1,8 +1,10 @@
-"""Score every product against every category.
+"""Score products against the categories whose names their text holds.
 
-Categories are configuration, so they ride along as a literal array and each
-product is scored in place: no product x category cross join, no shuffle.  The
-cheap ``contains`` test runs before each word-boundary regex.
+Categories are configuration: one row with postings filed by word run, which every task holds as
+the value of a session variable.  A product looks up the word runs of its own text, so
+the cost follows the text and the plan does not grow with the number of categories; there is
+no product x category join and no shuffle.  What the runs propose is confirmed by a
+word-boundary test of the whole name.
 """
 
 from __future__ import annotations
@@ -10,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
+from ..functions.lookup import filed, held
 from ..functions.stage import stage
 from ..functions.text import let, number
-from ..plans.taxonomy import Taxonomy
+from ..plans.taxonomy import GRAM, Taxonomy
 
 
 def haystack_sql() -> str:
@@ -31,32 +34,49 @@ def classify(df: DataFrame, taxonomy: Taxonomy | None = None, mpn: str = "identi
     C8 alternatives, C9 reasons, C10 the assignment record.
     """
     taxonomy = taxonomy or Taxonomy()
-    hit = "contains(_h, k.n) AND _h RLIKE k.rx"
+    with held(taxonomy.index_df(df.sparkSession)) as index:
+        return stage(df, category=_category(index, mpn))
+
+
+def _category(index: str, mpn: str) -> str:
+    # Postings of the text's own word runs, confirmed on the whole text.
+    runs = "array_distinct(concat(regexp_extract_all(_h, '\\\\w+', 0), array('')))"
+    hits = (f"array_sort(transform(filter(flatten(transform({runs}, r -> {filed('slots', 'r')})), p -> contains(_h, p.n) AND _h RLIKE p.rx),"
+            " p -> named_struct('c', p.c, 'j', p.j, 'at', p.at, 'n', p.n, 'w', p.w)))")
+    # C4: keywords anywhere in the hint, found by their first letters.
+    grams = (f"array_distinct(flatten(transform(sequence(0, {GRAM}), g -> IF(length(hl) < g, CAST(array() AS ARRAY<STRING>),"
+             " transform(sequence(1, length(hl) - g + 1), i -> substring(hl, i, g))))))")
+    hinted = f"flatten(transform({grams}, r -> transform(filter({filed('grams', 'r')}, p -> contains(hl, p.n)), p -> p.c)))"
+    hint_c = f"coalesce({let('hl', 'lower(category_hint)', hinted)}, CAST(array() AS ARRAY<INT>))"
+    # C2, C5
+    pattern_c = f"coalesce(transform(filter(ix.patterns, p -> trim({mpn}) RLIKE p.rx), p -> p.c), CAST(array() AS ARRAY<INT>))"
+    brand_c = f"coalesce(flatten(transform(split(brand_entry.made, ','), r -> transform({filed('codes', 'r')}, p -> p.c))), CAST(array() AS ARRAY<INT>))"
     parts = (
         "named_struct("
-        f"'kw', filter(c.kw, k -> {hit}),"
-        f" 'pat', size(filter(c.patterns, p -> trim({mpn}) RLIKE p)),"
-        f" 'men', filter(transform(c.mentions, m -> get(filter(m, k -> {hit}), 0).n), x -> x IS NOT NULL),"
-        " 'hint', coalesce(exists(c.kw, k -> contains(lower(category_hint), k.n)), false),"
-        " 'brand', coalesce(array_contains(split(brand_entry.made, ','), c.code), false))")
-    scored = let("x", parts, (
+        "'kw', filter(f.hits, h -> h.c = i AND h.j < 0),"
+        " 'pat', size(filter(f.pats, p -> p = i)),"
+        " 'men', let_men, 'hint', array_contains(f.hints, i), 'brand', array_contains(f.brands, i))"
+    ).replace("let_men", let("m", "filter(f.hits, h -> h.c = i AND h.j >= 0)",
+                             "transform(filter(m, (x, k) -> k = 0 OR get(m, k - 1).j <> x.j), x -> x.n)"))
+    scored = let("c", "get(ix.cats, i)", let("x", parts, (
         "named_struct("
         "'score', aggregate(x.kw, 0D, (a, k) -> a + k.w) + 4D * x.pat + 0.6D * size(x.men)"
         " + IF(x.hint, 3D, 0D) + IF(x.brand, 1.5D, 0D),"
         " 'code', c.code, 'path', c.path, 'customer', c.customer, 'pos', i, 'by_mpn', x.pat > 0,"
         " 'named', exists(c.kw, k -> contains(lower(concat_ws(' ', nullif(name, ''),"
-        " nullif(category_hint, ''))), k.n)),"
+        " nullif(category_hint, ''))), k)),"
         " 'has_kw', size(c.kw) > 0,"
         " 'reasons', concat("
         "transform(x.kw, k -> concat('matched keyword \\'', k.n, '\\'')),"
-        "array_repeat(concat('part number matches the ', c.leaf, ' pattern'), x.pat),"
+        "array_repeat(concat('part number matches the ', element_at(c.path, -1), ' pattern'), x.pat),"
         "transform(x.men, n -> concat('input mentions \\'', n, '\\'')),"
         "IF(x.hint, array(concat('category hint \\'', category_hint, '\\' points here')), array()),"
-        "IF(x.brand, array(concat(brand_entry.canonical, ' manufactures in this category')), array())))"))
-    ranked = let("_h", haystack_sql(), (
-        f"array_sort(filter(transform({taxonomy.scoring_literal()}, (c, i) -> {scored}),"
-        " s -> s.score > 0), (a, b) -> CASE WHEN a.score > b.score THEN -1"
-        " WHEN a.score < b.score THEN 1 ELSE a.pos - b.pos END)"))
+        "IF(x.brand, array(concat(brand_entry.canonical, ' manufactures in this category')), array())))")))
+    found = f"named_struct('hits', {hits}, 'pats', {pattern_c}, 'hints', {hint_c}, 'brands', {brand_c})"
+    ranked = let("ix", index, let("_h", haystack_sql(), let("f", found, (
+        f"array_sort(transform(array_distinct(concat(transform(f.hits, h -> h.c), f.pats, f.hints, f.brands)), i -> {scored}),"
+        " (a, b) -> CASE WHEN a.score > b.score THEN -1"
+        " WHEN a.score < b.score THEN 1 ELSE a.pos - b.pos END)"))))
     base = ("round(least(0.35D + 0.45D * least(t.score / 9D, 1D) + 0.20D *"
             " ((t.score - coalesce(get(_s, 1).score, 0D)) / t.score), 0.99D), 3)")
     capped = ("NOT t.by_mpn AND t.has_kw AND NOT t.named"
@@ -72,7 +92,7 @@ def classify(df: DataFrame, taxonomy: Taxonomy | None = None, mpn: str = "identi
         "'code', a.code, 'path', a.path, 'score', round(a.score, 2),"
         " 'confidence', round(least(a.score / greatest(t.score, 1e-6D), 1D) * conf, 3))),"
         " 'customer', t.customer)")))
-    return stage(df, category=let("_s", ranked, f"CASE WHEN size(_s) > 0 THEN {record} END"))
+    return let("_s", ranked, f"CASE WHEN size(_s) > 0 THEN {record} END")
 
 
 def assignment(df: DataFrame) -> DataFrame:

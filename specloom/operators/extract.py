@@ -1,8 +1,8 @@
 """Deterministic attribute extraction from spec tables and prose.
 
 One row per product throughout: the category schema arrives by a broadcast join
-on the category code, and every matcher walks the row's own arrays.  Only the
-sequence ratio leaves the JVM (two Arrow stages), with per-task memory of pairs.
+on the category code, and every matcher walks the row's own arrays.  Supplier keys are
+scored once for each distinct key, by a similarity join, and looked up.
 """
 
 from __future__ import annotations
@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
-from ..functions.stage import stage
+from ..functions.lookup import filed, filing, held
+from ..functions.stage import durable, stage
 from ..functions.similarity import option_matcher, similarity_matrix
-from ..functions.text import let, number, q
+from ..functions.text import let, number, q, slug
 from ..plans.taxonomy import BROADCAST_CATEGORIES, Taxonomy
+from .nearby import attribute_names, key_scores
 from .records import ATTRIBUTE_DDL, NO_ATTRIBUTES, NULL, attribute, coerce, coerce_number, exact_option
 
+# Distinct supplier keys, and scores of theirs, up to which every task holds them.
+LOOKUP_KEYS = 100_000
+LOOKUP_SCORES = 500_000
+
 
 def attach_schema(df: DataFrame, spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
     """Left join of the category schema as one ``schema`` struct column."""
@@ -26,15 +32,35 @@ def attach_schema(df: DataFrame, spark: SparkSession, taxonomy: Taxonomy) -> Dat
     return df.join(side, df["category.code"] == side["_code"], "left").drop("_code")
 
 
+def _key_index(df: DataFrame, taxonomy: Taxonomy) -> DataFrame | None:
+    """Scores of all distinct supplier keys as a lookup table; None where there are too many keys, or they are not known yet."""
+    if df.isStreaming:
+        return None
+    spark = df.sparkSession
+    keys = durable(df.select(F.explode("specs.key").alias("key")).select(F.expr(slug("key")).alias("key")).distinct())
+    if keys.limit(LOOKUP_KEYS + 1).count() > LOOKUP_KEYS:
+        return None
+    scores = durable(key_scores(keys, attribute_names(spark, taxonomy.names_by_code)).withColumnRenamed("key", "run"))
+    return filing(scores) if scores.limit(LOOKUP_SCORES + 1).count() <= LOOKUP_SCORES else None
+
+
 def map_specs(df: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Supplier keys to attributes, greedy in supplier order.
 
-    Adds ``mapped`` (spec index, attribute index, score) and ``unmapped`` (key, value).
+    Adds ``mapped`` (spec index, attribute index, score) and ``unmapped`` (key, value).  Distinct keys
+    are scored once, as a join, and looked up; only beyond LOOKUP_KEYS of them is each row scored in Python.
     """
-    udf = similarity_matrix(taxonomy.names_by_code)
-    df = df.withColumn("_sc", udf(F.expr("transform(specs, s -> s.key)"), F.col("category.code")))
-    hit = ("array_max(transform(get(sc, i), (s, j) -> named_struct('s',"
-           " IF(array_contains(acc.taken, j), 0D, s), 'nj', -j)))")
+    index = _key_index(df, taxonomy)
+    if index is None:
+        udf = similarity_matrix(taxonomy.names_by_code)
+        scored = udf(F.expr("transform(specs, s -> s.key)"), F.col("category.code"))
+        df = df.withColumn("_sc", F.transform(scored, lambda x: F.transform(x, lambda s, j: F.struct(j.alias("j"), s.alias("s")))))
+    else:
+        found = let("k", slug("s.key"), f"transform(filter({filed('slots', 'k')}, p -> p.code = category.code), p -> named_struct('j', p.j, 's', p.s))")
+        with held(index) as table:
+            df = stage(df, _sc=let("ix", table, f"IF(category IS NULL, NULL, transform(specs, s -> {found}))"))
+    hit = ("array_max(transform(get(sc, i), e -> named_struct('s',"
+           " IF(array_contains(acc.taken, e.j), 0D, e.s), 'nj', -e.j)))")
     step = let("b", hit, (
         f"IF(b.s >= {fixed.MAP_THRESHOLD}D AND coalesce(sp[i].value, '') <> '', named_struct("
         "'taken', concat(acc.taken, array(-b.nj)),"

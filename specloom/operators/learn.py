@@ -7,7 +7,8 @@ are ranked, so no product group is ever gathered in one place.
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import fixed
@@ -15,8 +16,8 @@ from ..functions import units
 from ..functions.stage import durable
 from ..functions.text import in_list, key_slug, q
 
-# Signatures settled among themselves in one round.
-BLOCK = 500
+# Earliest undecided signatures of a token that others are compared with first.
+HEADS = 2
 BROADCAST_SIGNATURES = 1_000_000
 
 
@@ -41,70 +42,77 @@ def signatures(products: DataFrame) -> DataFrame:
     })
 
 
-def _scores(items: DataFrame, leaders: DataFrame) -> DataFrame:
-    """(sig, leader, score) of every signature with every earlier leader it shares a field or word with.
+def _probes(items: DataFrame, name: str) -> DataFrame:
+    """(token, ``name``, ``name``_o): tokens of which two signatures that reach the threshold share one.
+
+    With two fields between them words give at most 0.3, so they share a field; otherwise both
+    have one field at most and share a word.
+    """
+    tokens = "concat(transform(fields, x -> concat('f', x)), IF(size(fields) < 2, transform(words, x -> concat('w', x)), array()))"
+    return items.select(F.explode(F.expr(tokens)).alias("token"), F.col("_sig").alias(name), F.col("o").alias(name + "_o"))
+
+
+def _scored(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs (sig, lead) whose score reaches the threshold, with the score.
 
     0.7 x field overlap + 0.3 x word overlap, words alone when the two have fewer than two
-    fields together.  Shared tokens are counted by an equi-join on the token.
+    fields together.
     """
-    def tokens(df, name):
-        return df.select(F.col("_sig").alias(name), F.explode(F.expr(
-            "concat(transform(fields, x -> concat('f', x)), transform(words, x -> concat('w', x)))")).alias("token"))
-    size = lambda df, name: df.select(F.col("_sig").alias(name), F.size("fields").alias(name + "_f"), F.size("words").alias(name + "_w"),
-                                      (-F.col("support")).alias(name + "_s"), F.col("first").alias(name + "_o"))
-    shared = (tokens(items, "sig").join(tokens(leaders, "lead"), "token").groupBy("sig", "lead")
-              .agg(F.count_if(F.col("token").startswith("f")).alias("ff"), F.count_if(F.col("token").startswith("w")).alias("ww")))
-    by_word = "coalesce(try_divide(CAST(ww AS DOUBLE), sig_w + lead_w - ww), 0D)"
-    both = "(sig_f + lead_f - ff)"
-    return (shared.join(size(items, "sig"), "sig").join(size(leaders, "lead"), "lead")
-            .where("lead_s < sig_s OR (lead_s = sig_s AND lead_o < sig_o)")
-            .withColumn("score", F.expr(f"IF({both} >= 2, 0.7D * (ff / {both}) + 0.3D * {by_word}, {by_word})"))
-            .where(f"score >= {fixed.CLUSTER_THRESHOLD}D").select("sig", "lead", "score", "lead_s", "lead_o"))
-
-
-def _leaders_among(rows: list) -> list[int]:
-    """Signatures of an ordered batch that no earlier leader of the batch takes in."""
-    def overlap(sets):
-        place = {t: i for i, t in enumerate(sorted({t for s in sets for t in s}))}
-        table = np.zeros((len(sets), max(1, len(place))), np.float64)
-        for i, s in enumerate(sets):
-            table[i, [place[t] for t in s]] = 1
-        shared, sizes = table @ table.T, table.sum(axis=1)
-        either = sizes[:, None] + sizes - shared
-        return np.divide(shared, either, out=np.zeros_like(shared), where=either > 0), either
-    by_field, fields = overlap([r["fields"] for r in rows])
-    by_word, _ = overlap([r["words"] for r in rows])
-    near = np.where(fields >= 2, 0.7 * by_field + 0.3 * by_word, by_word) >= fixed.CLUSTER_THRESHOLD
-    leads = np.zeros(len(rows), bool)
-    for i in range(len(rows)):
-        leads[i] = not near[i, :i][leads[:i]].any()
-    return [r["_sig"] for r, lead in zip(rows, leads) if lead]
-
-
-def cluster(products: DataFrame, block: int = BLOCK) -> DataFrame:
+    side = lambda name: items.select(F.col("_sig").alias(name), F.col("fields").alias(name + "_f"), F.col("words").alias(name + "_w"))
+    overlap = lambda x: f"size(array_intersect(sig_{x}, lead_{x}))"
+    return (pairs.join(side("sig"), "sig").join(side("lead"), "lead")
+            .withColumns({"ff": F.expr(overlap("f")), "ww": F.expr(overlap("w"))})
+            .withColumns({"fields": F.expr("size(sig_f) + size(lead_f) - ff"), "by_word": F.expr("coalesce(ww / nullif(size(sig_w) + size(lead_w) - ww, 0), 0D)")})
+            .withColumn("score", F.expr("IF(fields >= 2, 0.7D * (ff / fields) + 0.3D * by_word, by_word)"))
+            .where(f"score >= {fixed.CLUSTER_THRESHOLD}D").select("sig", "lead", "score"))
+
+
+def _near(later: DataFrame, earlier: DataFrame, items: DataFrame) -> DataFrame:
+    """(sig, lead, score) of every signature of ``later`` with every one of ``earlier`` that comes before it and reaches it."""
+    met = _probes(later, "sig").join(_probes(earlier, "lead"), "token").where("lead_o < sig_o")
+    return _scored(met.select("sig", "lead").distinct(), items)
+
+
+def leaders(items: DataFrame, heads: int = HEADS) -> DataFrame:
+    """Signatures (``items``: _sig, o, fields, words) that no earlier leader reaches, in the order of ``o``.
+
+    An undecided signature whose earlier neighbours are all decided leads; what a new leader reaches
+    is decided.  So rounds follow the longest chain of neighbours, not the number of signatures.
+    A round first sets aside what one of the ``heads`` earliest undecided signatures of a token of
+    its own reaches, which is nearly all of a dense group by few comparisons, then compares the
+    others with all earlier undecided ones.  ``heads`` sets the pace, not the result.
+    """
+    left, found = items, []
+    first = W.partitionBy("token").orderBy("lead_o")
+    while not left.isEmpty():
+        early = _probes(left, "lead").withColumn("r", F.row_number().over(first)).where(F.col("r") <= heads).drop("r")
+        met = _probes(left, "sig").join(early, "token").where("lead_o < sig_o").select("sig", "lead").distinct()
+        blocked = _scored(met, left).select(F.col("sig").alias("_sig")).distinct()
+        open_ = durable(left.join(blocked, "_sig", "left_anti"))
+        later = _near(open_, left, left).select(F.col("sig").alias("_sig")).distinct()
+        new = durable(open_.join(later, "_sig", "left_anti"))
+        found.append(new)
+        taken = _near(left, new, left).select(F.col("sig").alias("_sig")).union(new.select("_sig")).distinct()
+        left = durable(left.join(taken, "_sig", "left_anti"))
+    return durable(reduce(DataFrame.unionByName, found)) if found else items
+
+
+def cluster(products: DataFrame, block: int = HEADS) -> DataFrame:
     """L3: adds ``cluster``, the id of the first product with the leading signature of its group.
 
     Distinct signatures are taken by number of products, then first product.  One that no
     earlier leader reaches with 0.35 leads a group; any other joins the earlier leader that
-    scores best.  Groups do not grow by union.  Leaders are found in rounds: the next ``block``
-    signatures are settled among themselves, then the rest is compared with the new leaders
-    only; a round is written to the shared folder.  ``block`` sets the pace, not the result.
+    scores best.  Groups do not grow by union.  ``block`` is ``heads`` of ``leaders``.
     """
     df = signatures(products) if "fields" not in products.columns else products
     df = df.withColumn("_sig", F.xxhash64("fields", F.array_sort(F.array_distinct("words"))))
-    items = durable(df.groupBy("_sig").agg(F.min("id").alias("first"), F.count("*").alias("support"), F.any_value("fields").alias("fields"),
-                                           F.any_value(F.array_sort(F.array_distinct("words"))).alias("words")))
-    spark, left, found = df.sparkSession, items, None
-    while rows := left.orderBy(F.desc("support"), "first").limit(block).collect():
-        new = spark.createDataFrame([(x,) for x in _leaders_among(rows)], "_sig bigint")
-        leaders = items.join(F.broadcast(new), "_sig", "left_semi")
-        found = leaders if found is None else found.unionByName(leaders)
-        taken = _scores(left, leaders).select(F.col("sig").alias("_sig")).union(leaders.select("_sig")).distinct()
-        left = durable(left.join(taken, "_sig", "left_anti"))
-    if found is None:
-        return df.withColumn("cluster", F.col("id")).drop("_sig")
-    found = durable(found)
-    best = (_scores(items, found).groupBy("sig").agg(F.max_by("lead_o", F.struct("score", -F.col("lead_s"), -F.col("lead_o"))).alias("leader")))
+    items = (df.groupBy("_sig").agg(F.min("id").alias("first"), F.count("*").alias("support"), F.any_value("fields").alias("fields"),
+                                    F.any_value(F.array_sort(F.array_distinct("words"))).alias("words")))
+    items = durable(items.withColumn("o", F.struct((-F.col("support")).alias("s"), "first", "_sig")))
+    found = leaders(items, block)
+    order = found.select(F.col("_sig").alias("lead"), F.col("o").alias("lead_o"))
+    best = (_near(items, found, items).join(order, "lead").groupBy("sig")
+            .agg(F.min_by("lead_o.first", F.struct(-F.col("score"), F.col("lead_o"))).alias("leader")))
     own = found.select(F.col("_sig").alias("sig"), F.col("first").alias("leader"))
     assigned = durable(own.unionByName(best.join(own.select("sig"), "sig", "left_anti")).withColumnRenamed("sig", "_sig"))
     side = F.broadcast(assigned) if assigned.count() <= BROADCAST_SIGNATURES else assigned
@@ -240,7 +248,7 @@ def proposed_attributes(clustered: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- proposals
 
 
-def propose(products: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def propose(products: DataFrame, block: int = HEADS) -> tuple[DataFrame, DataFrame]:
     """(proposals, proposed attributes) from weakly classified products."""
     clustered = durable(merge_alike(cluster(products, block)))
     attrs = durable(proposed_attributes(clustered))
@@ -271,17 +279,34 @@ def confidence_sql(total: str = "total", fields: str = "fields", observed: str =
 
 
 def disambiguate(p: DataFrame) -> DataFrame:
-    """Equal names get a distinguishing keyword, or the end of their code."""
-    pick = ("aggregate(rows, CAST(array() AS ARRAY<STRUCT<cluster:BIGINT,label:STRING>>), (acc, r) -> concat(acc, array("
-            "named_struct('cluster', r.cluster, 'label', coalesce(get(filter(transform(filter(r.keywords,"
-            " k -> NOT contains(lower(nm), lower(k))), k -> concat(nm, ' (', initcap(k), ')')),"
-            " t -> NOT exists(acc, e -> e.label = t)), 0), concat(nm, ' (', right(r.code, 4), ')'))))))")
-    named = p.withColumn("nm", F.concat("noun", F.lit("s")))
-    labels = (named.groupBy("nm").agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("total")).alias("o1"), (-F.col("confidence")).alias("o2"), "cluster", "keywords", "code"))).alias("rows"))
-        .withColumn("l", F.expr(f"IF(size(rows) = 1, transform(rows, r -> named_struct('cluster', r.cluster, 'label', nm)), {pick})"))
-        .select(F.explode("l").alias("l")).select("l.cluster", F.col("l.label").alias("name")))
-    return named.drop("nm").join(labels, "cluster")
+    """Equal names get a distinguishing keyword, or the end of their code.
+
+    Proposals of a name stand in the order of sample count, confidence and cluster.  Each in turn takes
+    the first label of its keywords that no earlier one has.  That is settled in rounds: every
+    proposal claims its next label; the first claimant of a label keeps it unless an earlier
+    proposal may still come to claim it, and what lost its claim moves on.  No name's proposals are gathered.
+    """
+    named = durable(p.withColumn("nm", F.concat("noun", F.lit("s"))).withColumn("o", F.struct(
+        (-F.col("total")).alias("t"), (-F.col("confidence")).alias("c"), F.col("cluster").alias("k"))))
+    many = named.groupBy("nm").agg(F.count("*").alias("n")).where("n > 1").select("nm")
+    labels = F.expr("array_distinct(transform(filter(keywords, k -> NOT contains(lower(nm), lower(k))), k -> concat(nm, ' (', initcap(k), ')')))")
+    rows = durable(named.join(many, "nm", "left_semi").select("nm", "cluster", "o", "code", labels.alias("labels")))
+    # Every wish a proposal has, in its order: (nm, label) is wanted by o as its i-th choice.
+    wishes = durable(rows.select("cluster", "o", F.posexplode("labels").alias("i", "label")))
+    settled = []
+    while not wishes.isEmpty():
+        # A wish is granted for certain if its proposal has no better open wish and no earlier proposal wants the label.
+        first = wishes.groupBy("cluster").agg(F.min("i").alias("i"))
+        wanted = wishes.groupBy("label").agg(F.min("o").alias("o"))
+        granted = durable(wishes.join(first, ["cluster", "i"]).join(wanted, ["label", "o"]).select("cluster", "label"))
+        settled.append(granted)
+        open_ = wishes.join(granted.select("cluster"), "cluster", "left_anti")
+        wishes = durable(open_.join(granted.select("label"), "label", "left_anti"))
+    last = rows.select("cluster", F.expr("concat(nm, ' (', right(code, 4), ')')").alias("name"))
+    if settled:
+        own = reduce(DataFrame.unionByName, settled).select("cluster", F.col("label").alias("own"))
+        last = last.join(own, "cluster", "left").select("cluster", F.coalesce("own", "name").alias("name"))
+    return named.drop("o").join(durable(last), "cluster", "left").withColumn("name", F.coalesce("name", "nm")).drop("nm")
 
 
 # ------------------------------------------------------------ review states

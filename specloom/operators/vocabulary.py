@@ -7,9 +7,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
-from ..functions.similarity import suggest, suggest_each
+from ..functions.similarity import suggest_each
 from ..functions.stage import stage
 from ..functions.text import let
+from .nearby import nearest_names
 from .records import rebuilt
 
 # Beyond this many vocabulary rows the side is joined without a broadcast.
@@ -113,16 +114,16 @@ def resolve(values: DataFrame, lov: DataFrame, synonyms: DataFrame) -> DataFrame
 
 
 def suggestions(resolved: DataFrame, lov: DataFrame) -> DataFrame:
-    """V3: a near miss for each distinct refused value; offered, never applied."""
-    permitted = (lov.groupBy(F.expr(fold("classpath")).alias("_cp"), "key")
-                 .agg(F.expr("transform(array_sort(collect_list(struct(pos, value))), x -> x.value)")
-                      .alias("permitted")))
-    refused = (resolved.where("checked AND approved IS NULL")
-               .select(F.expr(fold("classpath")).alias("_cp"), "key", F.trim("value").alias("value"))
-               .distinct())
-    return (refused.join(_side(permitted, lov), ["_cp", "key"])
-            .select(F.col("_cp").alias("folded_classpath"), "key", "value",
-                    suggest("value", "permitted").alias("suggestion")))
+    """V3: a near miss for each distinct refused value; offered, never applied.
+
+    Refused and permitted values meet in an index of their characters; a value's list is never gathered.
+    """
+    cp = F.expr(fold("classpath")).alias("_cp")
+    refused = resolved.where("checked AND approved IS NULL").select(cp, "key", F.trim("value").alias("probe")).distinct()
+    permitted = lov.select(cp, "key", F.col("value").alias("name")).distinct()
+    listed = refused.join(permitted.select("_cp", "key").distinct(), ["_cp", "key"], "left_semi")
+    return (nearest_names(listed, permitted, ["_cp", "key"], fixed.SUGGEST_THRESHOLD)
+            .select(F.col("_cp").alias("folded_classpath"), "key", F.col("probe").alias("value"), F.col("near").alias("suggestion")))
 
 
 def apply(resolved: DataFrame) -> DataFrame:

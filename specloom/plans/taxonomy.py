@@ -1,19 +1,22 @@
 """Category dimension: curated schemas plus approved learned ones (B2, B3, V8-like lookups).
 
 A taxonomy is a few hundred rows of configuration at most.  It is turned into
-(a) a literal for in-row scoring, (b) a small DataFrame for a size-checked
+(a) a one-row index that texts are probed against, (b) a small DataFrame for a size-checked
 broadcast join, and (c) the name/option lists the similarity UDFs need.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
-from ..functions.text import escape_rx, lookup, number, q, strings
+from ..functions.text import escape_rx, lookup, number
 from ..functions import units
 
 SCHEMA_DDL = """
@@ -47,10 +50,18 @@ def typed(value) -> dict:
 CUSTOMER_NAMES = ["dept", "class", "fine", "classpath"]
 
 
-def customer_sql(category: dict) -> str:
-    """The customer's own names of a category, null where it has none."""
-    own = category.get("customer") or {}
-    return "named_struct(" + ", ".join(f"'{n}', {q(own.get(n))}" for n in CUSTOMER_NAMES) + ")"
+#: The classification index: postings by word run, by first letters and by code; categories; part-number patterns.
+INDEX_DDL = """
+ix struct<size:int,
+  slots:array<array<struct<run:string,c:int,j:int,at:int,n:string,rx:string,w:double>>>,
+  grams:array<array<struct<run:string,c:int,n:string>>>,
+  codes:array<array<struct<run:string,c:int>>>,
+  cats:array<struct<code:string,path:array<string>,customer:struct<dept:string,class:string,fine:string,classpath:string>,kw:array<string>>>,
+  patterns:array<struct<c:int,rx:string>>>
+"""
+#: Letters by which a keyword is found inside words.
+GRAM = 3
+_RUN = re.compile(r"\w+", re.ASCII)
 
 
 def _dim(unit):
@@ -84,34 +95,39 @@ class Taxonomy:
         return {c["code"]: [tuple(a["values"]) for a in c["attributes"]]
                 for c in self.categories}
 
-    # ------------------------------------------------------------- literals
-    def scoring_literal(self) -> str:
-        """Array literal of what classification needs from every category."""
-        def named(names):
-            return "array(" + ", ".join(
-                f"named_struct('n', {q(n)}, 'rx', {q(chr(92) + 'b' + escape_rx(n) + chr(92) + 'b')})"
-                for n in names) + ")"
-
-        items = []
-        for c in self.categories:
-            keywords = ", ".join(
-                f"named_struct('n', {q(k)}, 'rx', {q(chr(92) + 'b' + escape_rx(k) + chr(92) + 'b')},"
-                f" 'w', {2.5 if ' ' in k else 1.5}D)" for k in c["keywords"])
-            mentions = []
-            for a in c["attributes"]:
-                found = [n for n in (a["label"].lower(), a["key"].replace("_", " "),
-                                     *[x.lower() for x in a["aliases"]]) if len(n) > 3]
-                if found:
-                    mentions.append(named(found))
-            empty_kw = ("CAST(array() AS ARRAY<STRUCT<n:STRING,rx:STRING,w:DOUBLE>>)")
-            empty_m = "CAST(array() AS ARRAY<ARRAY<STRUCT<n:STRING,rx:STRING>>>)"
-            items.append(
-                f"named_struct('code', {q(c['code'])}, 'path', {strings(c['path'])}, 'customer', {customer_sql(c)},"
-                f" 'leaf', {q(c['path'][-1])},"
-                f" 'kw', {f'array({keywords})' if keywords else empty_kw},"
-                f" 'patterns', {strings('(?i)^(?:' + p + ')' for p in c['mpn_patterns'])},"
-                f" 'mentions', {'array(' + ', '.join(mentions) + ')' if mentions else empty_m})")
-        return "array(" + ", ".join(items) + ")"
+    # ---------------------------------------------------------------- index
+    def scoring_index(self) -> tuple:
+        """What classification needs, as one row to be probed with a text's words (``INDEX_DDL``).
+
+        Postings are filed by crc32 in ``slots``: a keyword or attribute name under the rarest of
+        its word runs, a category under its code; keywords are filed again by their first
+        letters in ``grams``, for search inside words.
+        """
+        names, cats, patterns = [], [], []
+        for c, category in enumerate(self.categories):
+            own = category.get("customer") or {}
+            cats.append((category["code"], category["path"], tuple(own.get(n) for n in CUSTOMER_NAMES), category["keywords"]))
+            patterns += [(c, "(?i)^(?:" + p + ")") for p in category["mpn_patterns"]]
+            names += [(c, -1, i, k, 2.5 if " " in k else 1.5) for i, k in enumerate(category["keywords"])]
+            for j, a in enumerate(category["attributes"]):
+                mentions = [a["label"].lower(), a["key"].replace("_", " "), *[x.lower() for x in a["aliases"]]]
+                names += [(c, j, i, n, 0.0) for i, n in enumerate(mentions) if len(n) > 3]
+        runs = [_RUN.findall(n) for _, _, _, n, _ in names]
+        often = Counter(r for found in runs for r in set(found))
+        size = 1 << max(4, len(names) + len(cats)).bit_length()
+        slots, grams = [[] for _ in range(size)], [[] for _ in range(size)]
+        file = lambda table, probe, row: table[zlib.crc32(probe.encode()) % size].append((probe, *row))
+        for (c, j, i, n, w), found in zip(names, runs):
+            file(slots, min(found, key=lambda r: (often[r], r), default=""), (c, j, i, n, rf"\b{escape_rx(n)}\b", w))
+            if j < 0:
+                file(grams, n[:GRAM], (c, n))
+        codes = [[] for _ in range(size)]
+        for c, row in enumerate(cats):
+            file(codes, row[0], (c,))
+        return size, slots, grams, codes, cats, patterns
+
+    def index_df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(self.scoring_index(),)], INDEX_DDL, verifySchema=False)
 
     # ----------------------------------------------------------- schema rows
     def schema_rows(self) -> list[dict]:
