@@ -135,14 +135,17 @@ def candidates(nodes: DataFrame, percent: int, distance: int = DISTANCE, slice_:
                 made = entries(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, PLACES), CHUNKS, errors)
                 yield pa.record_batch([batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, made.shape[1], dtype=np.int32)), pa.array(made.ravel()))], names=["node", "entries"])
 
-    rows = nodes.select("node", "signature").mapInArrow(light(index), "node binary, entries array<bigint>").select("node", F.explode("entries").alias("entry"))
-    held = rows.groupBy("entry").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")
+    # Rows of the index name nodes by 64 bits; two nodes of one name are both looked at.
+    rows = (nodes.select("node", "signature").mapInArrow(light(index), "node binary, entries array<bigint>")
+            .select(F.xxhash64("node").alias("nid"), F.explode("entries").alias("entry")))
+    held = rows.groupBy("entry").agg(F.count("*").alias("size"), F.bit_xor("nid").alias("x"), F.bit_xor(F.xxhash64("nid")).alias("y")).where("size > 1")
     # Entries of the same nodes: one is enough.
     kept = stored(held.groupBy("size", "x", "y").agg(F.min("entry").alias("entry")).select("entry", F.ceil(F.col("size") / slice_).cast("int").alias("slices")))
-    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    own = F.pmod("nid", F.col("slices")).cast("int")
     seats = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    tiles = (rows.join(kept, "entry").select("entry", "node", F.explode(seats).alias("seat")).select("entry", "seat.i", "seat.j", "node")
-             .join(nodes.select("node", "n", "signature"), "node"))
+    # The same plan at every size: shuffled sides, of which Spark can split large ones.
+    tiles = (rows.join(kept.hint("merge"), "entry").select("entry", "nid", F.explode(seats).alias("seat")).select("entry", "seat.i", "seat.j", "nid")
+             .join(nodes.select(F.xxhash64("node").alias("nid"), "node", "n", "signature"), "nid"))
     name = ["entry", "i", "j"]
     dealt = tiles.repartition(*name).sortWithinPartitions(*name)
 
