@@ -25,6 +25,8 @@ from .shared import light, small, stored
 
 #: Elements of a block.
 ELEMENTS = 400_000
+#: Bits of the widest bitmaps of a tile.
+WIDEST = 1 << 16
 #: Members of a large family that all others meet first.
 CENTERS = 4
 #: Tables of large families up to this many rows are broadcast.
@@ -40,6 +42,38 @@ def near_sizes(n_a, n_b, percent: int):
     return 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
 
 
+def bitmap_of(grams: np.ndarray, width: int | None = None) -> np.ndarray:
+    """One bit for each element among ``width``, a power of two; if not given, the least that is at least twice their number."""
+    width = width or max(64, 1 << int(2 * len(grams) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(grams & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits)
+
+
+def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
+    while len(bitmap) > size:
+        bitmap = bitmap[:len(bitmap) // 2] | bitmap[len(bitmap) // 2:]
+    return bitmap
+
+
+def may_reach(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray, percent: int) -> bool:
+    """Can sets with these sizes and bitmaps reach the threshold?  Never false for sets that do."""
+    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
+        return False
+    size = min(len(a), len(b))
+    a, b = folded(a, size), folded(b, size)
+    most = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+    return reaches(most, n_a, n_b, percent)
+
+
+def bounds(bitmaps: np.ndarray, n: np.ndarray, x: int) -> np.ndarray:
+    """Upper bounds on the common elements of set x with every set, by bits set in one bitmap and not in the other."""
+    own = bitmaps[x]
+    missing = np.bitwise_count(own & ~bitmaps).sum(axis=1, dtype=np.int64)
+    extra = np.bitwise_count(bitmaps & ~own).sum(axis=1, dtype=np.int64)
+    return np.minimum(n[x] - missing, n - extra)
+
+
 class Index:
     """Numbers of common elements of a set with each of a list of sets."""
 
@@ -61,11 +95,11 @@ class Index:
         return np.bincount(self.owner[places], minlength=len(self.rows))
 
 
-def links(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, percent: int, bitmaps: bool = False) -> list[tuple[int, int]]:
     """Links that join the groups of a tile, one for each two groups joined.
 
     Sets of side 0 meet those of side 1, or each other where there is no side 1.  Every two sets that
-    may meet are compared unless they are in one group by then.
+    may meet are compared unless they are in one group by then, or, with ``bitmaps``, bit counts leave no link possible.
     """
     n = np.array([len(s) for s in sets])
     _, label = np.unique(groups, return_inverse=True)
@@ -74,6 +108,9 @@ def links(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, percent
     done = np.zeros(len(sets), bool)
     found: list[tuple[int, int]] = []
     index = Index(sets, np.arange(len(sets)))
+    if bitmaps:
+        width = min(WIDEST, max(64, 1 << int(2 * n.max() - 1).bit_length()))
+        table = np.stack([bitmap_of(s, width) for s in sets])
     while True:
         sizes = np.bincount(label)
         open_ = ~done & (label != sizes.argmax()) if (sizes > 0).sum() > 1 else np.zeros(len(sets), bool)
@@ -88,6 +125,8 @@ def links(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, percent
         may = (label[others] != label[x]) & near_sizes(n[x], n[others], percent)
         if two:
             may &= sides[others] != sides[x]
+        if bitmaps and may.any():
+            may &= reaches(bounds(table, n, x), n[x], n, percent)
         if not may.any():
             continue
         # Where few sets are left to look for, an index of those is shorter.
@@ -108,7 +147,7 @@ def links(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, percent
                 label[label == label[y]] = label[x]
 
 
-def _settled(tiles: DataFrame, percent: int) -> DataFrame:
+def _settled(tiles: DataFrame, percent: int, bitmaps: bool) -> DataFrame:
     """Links (a, b) of the tiles (tile, side, node, root, grams); rows of a tile may repeat."""
     dealt = tiles.repartition("tile").sortWithinPartitions("tile", "side", "node")
 
@@ -117,7 +156,7 @@ def _settled(tiles: DataFrame, percent: int) -> DataFrame:
 
         def done():
             sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-            found = links(sets, _codes([r[1] for r in rows]), np.array([r[3] for r in rows]), percent)
+            found = links(sets, _codes([r[1] for r in rows]), np.array([r[3] for r in rows]), percent, bitmaps)
             return pa.record_batch([pa.array([rows[x][0] for x, _ in found], pa.binary()), pa.array([rows[y][0] for _, y in found], pa.binary())], names=["a", "b"])
 
         for batch in batches:
@@ -142,12 +181,13 @@ def _codes(names: list[bytes]) -> np.ndarray:
     return np.array([numbers.setdefault(x, len(numbers)) for x in names])
 
 
-def settle(members: DataFrame, percent: int, components, elements: int = ELEMENTS, centers: int = CENTERS) -> DataFrame:
+def settle(members: DataFrame, percent: int, components, elements: int | None = None, centers: int = CENTERS, bitmaps: bool = False) -> DataFrame:
     """All links that matter for connection, (a, b), of ``members``: family, node, root, n, grams (binary, sorted 64-bit numbers).
 
     ``members`` is a stored table; ``root`` names the group a node is known to be in.  ``components`` turns
     links into (node, root).
     """
+    elements = elements or ELEMENTS
     sizes = members.groupBy("family").agg(F.sum("n").alias("total"), *[F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"c{k}") for k in range(centers)])
     large = stored(sizes.where(F.col("total") > elements).select(F.col("family").alias("__family"), F.ceil(F.col("total") / elements).cast("int").alias("slices"),
                                                                  F.array_distinct(F.array(*[f"c{k}" for k in range(centers)])).alias("centers")))
@@ -159,7 +199,7 @@ def settle(members: DataFrame, percent: int, components, elements: int = ELEMENT
     # A member sits in one slice; the centers are the left side of every slice.
     meeting = (first.select(tile(F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).alias("tile"), F.lit(1).alias("side"), "node", "root", "grams")
                .union(first.where("center").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(tile(F.col("s")).alias("tile"), F.lit(0), "node", "root", "grams")))
-    found = stored(_settled(whole.union(meeting), percent))
+    found = stored(_settled(whole.union(meeting), percent, bitmaps))
     if large.isEmpty():
         return found
     # What the centers left: groups of the large families, in blocks.
@@ -181,4 +221,4 @@ def settle(members: DataFrame, percent: int, components, elements: int = ELEMENT
              .select("family", F.xxhash64("family", "block", "block_b").alias("tile"), "block", "block_b"))
     seats = meets.select("family", "tile", "block", F.lit(0).alias("side")).union(meets.where("block != block_b").select("family", "tile", F.col("block_b"), F.lit(1)))
     rest = again.join(seats, ["family", "block"]).select("tile", "side", "node", "root", "grams")
-    return stored(found.union(_settled(rest, percent)))
+    return stored(found.union(_settled(rest, percent, bitmaps)))

@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import families
-from .ngram_join import Shingler, _mixed as mixed, components, node_of
-from .shared import light, process_state, small, stored
+from .ngram_join import components
+from .shared import light, process_state, stored
+from .shingles import ROWS, Shingler, mixed, node_of, sets_of
 
 PERCENT = 85
 PLACES = 60
@@ -44,10 +45,6 @@ CHUNKS = 12
 DISTANCE = 23
 #: Nodes of a slice of a large entry.
 SLICE = 2048
-#: Tables of nodes up to this many rows are broadcast.
-BROADCAST_ROWS = 200_000
-#: Characters of texts that are turned into Python strings at a time, in rows of a batch.
-ROWS = 256
 #: Hash values held at once.
 CELLS = 1 << 20
 
@@ -155,7 +152,10 @@ def candidates(nodes: DataFrame, percent: int, distance: int = DISTANCE, slice_:
         def done():
             signatures = np.frombuffer(b"".join(r[2] for r in held), np.uint16).reshape(-1, PLACES)
             label = connected(signatures, np.array([r[1] for r in held]), percent, distance)
-            return [(held[i][0], held[k][0]) for i, k in enumerate(label.tolist()) if i != k]
+            least: dict[int, bytes] = {}  # the smallest node stands for all, in every entry alike
+            for i, k in enumerate(label.tolist()):
+                least[k] = min(least.get(k, held[i][0]), held[i][0])
+            return [(held[i][0], least[k]) for i, k in enumerate(label.tolist()) if held[i][0] != least[k]]
 
         for batch in batches:
             found = []
@@ -173,29 +173,6 @@ def candidates(nodes: DataFrame, percent: int, distance: int = DISTANCE, slice_:
     return dealt.select(*name, "node", "n", "signature").mapInArrow(light(connect), "a binary, b binary").distinct()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """family, node, n and grams of the ``wanted`` nodes (family, node, doc_id), from the texts."""
-    wanted = small(stored(wanted.select("family", "node", F.col("doc_id").alias("__id"))), BROADCAST_ROWS)
-    texts = (docs.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("__text"))
-             .join(wanted, F.col("__doc").eqNullSafe(F.col("__id"))).select("family", "node", F.col("__text").alias("text")))
-
-    def read(batches):
-        shingle = Shingler()
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                rows = []
-                for k, node in enumerate(batch.column("node").to_pylist()):
-                    grams = shingle(batch.column("text")[k].as_py())
-                    if len(grams) and node_of(grams) == node:  # not another row with the same id
-                        rows.append((k, len(grams), grams.tobytes()))
-                at_rows = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.record_batch([batch.column("family").take(at_rows), batch.column("node").take(at_rows), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                                      names=["family", "node", "n", "grams"])
-
-    return texts.mapInArrow(light(read), "family binary, node binary, n bigint, grams binary")
-
-
 def grouped(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     rows = stored(profiles(docs, id_col, text_col))

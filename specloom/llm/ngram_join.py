@@ -1,112 +1,49 @@
-"""Exact n-gram Jaccard self-join: linked groups of documents, without listing all pairs of a group.
+"""Exact n-gram Jaccard self-join: linked groups of documents, without listing pairs.
 
 A document's set holds the hashes of its distinct word 5-grams.  Two sets of a and b elements
 (a <= b) can only reach the threshold t if a >= t * b, so sets meet in tiles of near size only,
 and there a hashed bitmap of each set bounds the overlap from above before anything is compared
-in full: every bit set in A's bitmap and not in B's is an element of A missing in B.  Pairs that
-survive are settled by exact intersection of the sorted arrays.
+in full: every bit set in A's bitmap and not in B's is an element of A missing in B.  What
+survives is settled by exact intersection of the sorted arrays.
 
 1. ``profiles`` reads every text once: set size, a digest of the whole set (equal sets are one
-   node from here on), a few minima under random orders, the bitmap, and counts of shingles by
-   hash bucket over all documents.
-2. ``star``: nodes that share a minimum are compared with a few nodes of their group only,
-   which links nearly all of a group of n copies with a few times n comparisons.
-3. ``completion`` finds every pair the stars left unlinked: two sets that reach the threshold
-   share one of the first n - ceil(t n) + 1 elements of each in any common order.  Elements in
-   frequent buckets come last in that order, so passages shared by many documents are rarely
-   probed.  Only nodes of different groups are paired, and only where the elements left after a
-   shared one could still make a link.
-
-The result is exact whatever the orders are; they decide the cost only.
+   node from here on) and counts of shingles by hash bucket over all documents.
+2. Two sets that reach the threshold share one of the first n - ceil(t n) + 1 elements of each in any
+   common order.  Elements in frequent buckets come last in that order, so passages shared by
+   many documents are rarely probed.  Nodes that share a probe, and for which the elements left
+   after it could still make a link, are connected; a task passes on which nodes it connected,
+   at most one row for each, never the pairs.  Connected nodes are a family: no link leaves it.
+3. The sets of a family's members are dealt to tiles by family and size band and settled there
+   (``families``): links are all that leaves a tile, at most one for two groups.
+
+The result is exact whatever the order is; it decides the cost only.
 
 Defined results: a document without words (or null text) has an empty set and is its own group;
 one with fewer than n words has the whole sequence as its only element; rows with equal sets are
 linked; rows that repeat a doc_id stay rows of their own; a null doc_id never names a group
-unless all of the group are null; an empty table gives an empty result.
+unless all of the group are null; an empty table gives an empty result; other columns are not
+read (``join``) or kept (``deduplicated``), whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from . import families
+from .families import bitmap_of, folded, may_reach  # noqa: F401
 from .shared import aside, light, process_state, small, stored
+from .shingles import MIX, N, Shingler, mixed, node_of, sets_of  # noqa: F401
 
-N = 5
 PERCENT = 75
-MINIMA = 6
-CENTERS = 3
 SKETCH = 1 << 20
 CHUNKS = 64
-MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
-#: Members compared with one center by one task.
-TILE = 2048
 #: Rows of one token that a task holds.
-TOKEN_ROWS = 500_000
+TOKEN_ROWS = 50_000
 #: Tables of ids up to this many rows are broadcast.
-BROADCAST_ROWS = 1_000_000
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(MIX[1])
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(MIX[2])
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word n-grams."""
-
-    def __init__(self, n: int = N):
-        self.n = n
-        draw = np.random.Generator(np.random.PCG64(2024))
-        self.byte = draw.integers(0, 1 << 64, 256, np.uint64)
-        for upper in range(65, 91):
-            self.byte[upper] = self.byte[upper + 32]
-        self.place = draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.blank = np.zeros(256, bool)
-        self.blank[[32, 9, 10, 11, 12, 13]] = True
-        self.powers, self.inverses = self._powers(1 << 12)
-
-    @staticmethod
-    def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-        base = 0x5851F42D4C957F2D
-        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, np.uint64(b), np.uint64)]), dtype=np.uint64)
-                     for b in (base, pow(base, -1, 1 << 64)))
-
-    def words(self, text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        if len(data) >= len(self.powers):
-            self.powers, self.inverses = self._powers(2 * len(data))
-        blank = self.blank[data]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
-        starts, ends = edge[::2], edge[1::2]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.byte[data] * self.powers[:len(data)], dtype=np.uint64)])
-        return _mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = self.words(text) if text else np.zeros(0, np.uint64)
-        if not len(words):
-            return words
-        n = self.n
-        if len(words) < n:
-            grams = (words * self.place[:len(words)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(words))
-        else:
-            grams = words[:len(words) - n + 1] * self.place[0]
-            for i in range(1, n):
-                grams = grams + words[i:len(words) - n + 1 + i] * self.place[i]
-        return np.unique(_mixed(grams))
-
-
-def node_of(grams: np.ndarray) -> bytes:
-    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+BROADCAST_ROWS = 200_000
 
 
 def short(node: bytes | None) -> int | None:
@@ -114,34 +51,6 @@ def short(node: bytes | None) -> int | None:
     return None if node is None else int.from_bytes(node[:8], "little", signed=True)
 
 
-def bitmap_of(grams: np.ndarray) -> np.ndarray:
-    """One bit for each element among the least power of two that is at least twice their number."""
-    width = max(64, 1 << int(2 * len(grams) - 1).bit_length())
-    bits = np.zeros(width, np.uint8)
-    bits[(grams & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits)
-
-
-def folded(bitmap: np.ndarray, size: int) -> np.ndarray:
-    while len(bitmap) > size:
-        bitmap = bitmap[:len(bitmap) // 2] | bitmap[len(bitmap) // 2:]
-    return bitmap
-
-
-def may_reach(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray, percent: int) -> bool:
-    """Can sets with these sizes and bitmaps reach the threshold?  Never false for sets that do."""
-    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
-        return False
-    size = min(len(a), len(b))
-    a, b = folded(a, size), folded(b, size)
-    most = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
-    return reaches(most, n_a, n_b, percent)
-
-
-def reaches(common: int, n_a: int, n_b: int, percent: int) -> bool:
-    return 100 * common >= percent * (n_a + n_b - common)
-
-
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -152,10 +61,9 @@ def row_hash(docs: DataFrame) -> Column:
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """One row per document (doc_id, row, n, node, nid, minima, bitmap), and shingle counts by bucket over all documents."""
+    """One row per document (doc_id, row, n, node, nid), and shingle counts by bucket over all documents."""
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("nid", T.LongType()),
-                           T.StructField("minima", T.ArrayType(T.LongType())), T.StructField("bitmap", T.BinaryType()),
                            T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     arrow_id = to_arrow_type(id_type)
@@ -163,116 +71,38 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def read(batches):
         process_state()
         shingle, sketch = Shingler(), np.zeros(SKETCH, np.int32)
-        factors = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
         names = schema.names
         for batch in batches:
-            n, node, minima, bitmap = [], [], [], []
+            n, node = [], []
             for text in batch.column(2):
                 grams = shingle(text.as_py())
                 n.append(len(grams))
-                if not len(grams):
-                    node.append(None), minima.append(None), bitmap.append(None)
-                    continue
-                node.append(node_of(grams))
-                minima.append([int((grams * f).min().view(np.int64)) for f in factors])
-                bitmap.append(bitmap_of(grams).tobytes())
+                node.append(node_of(grams) if len(grams) else None)
                 np.add.at(sketch, (grams >> np.uint64(44)).astype(np.int64), 1)
             rows = batch.num_rows
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()),
-                                   pa.array([short(x) for x in node], pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array(bitmap, pa.binary()),
-                                   pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+                                   pa.array([short(x) for x in node], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if sketch.any():
             parts = sketch.reshape(CHUNKS, -1)
             yield pa.record_batch([pa.nulls(CHUNKS, arrow_id), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.nulls(CHUNKS, pa.int64()),
-                                   pa.nulls(CHUNKS, pa.list_(pa.int64())), pa.nulls(CHUNKS, pa.binary()),
                                    pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    both = stored(docs.select(F.col(id_col), row_hash(docs).alias("__row"), F.col(text_col)).mapInArrow(light(read), schema))
+    both = stored(docs.select(F.col(f"`{id_col}`"), row_hash(docs).alias("__row"), F.col(f"`{text_col}`")).mapInArrow(light(read), schema))
 
-    def total(pdf):
-        sums = np.zeros(SKETCH // CHUNKS, np.int64)
-        for counts in pdf["counts"]:
-            sums += np.frombuffer(counts, np.int32)
-        return pdf.head(1).assign(counts=sums.tobytes())
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
     sketch = np.zeros((CHUNKS, SKETCH // CHUNKS), np.int64)
-    for chunk, counts in both.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(total, "chunk int, counts binary").collect():
+    parts = both.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(light(total), "chunk int, counts binary")
+    for chunk, counts in parts.collect():
         sketch[chunk] = np.frombuffer(bytes(counts), np.int64)
     return both.where("chunk IS NULL").drop("chunk", "counts"), sketch.ravel()
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes, named by nid, that sizes and bitmaps leave possible; as digests."""
-    side = nodes.select("nid", "node", "n", "bitmap")
-    both = (pairs.toDF("i", "j").join(side.toDF("i", "a", "n_a", "bits_a"), "i").join(side.toDF("j", "b", "n_b", "bits_b"), "j")
-            .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-
-    def check(batches):
-        for batch in batches:
-            a, b, n_a, x, n_b, y = (batch.column(c) for c in ("a", "b", "n_a", "bits_a", "n_b", "bits_b"))
-            keep = [may_reach(p, np.frombuffer(u, np.uint8), q, np.frombuffer(v, np.uint8), percent)
-                    for p, u, q, v in zip(n_a.to_pylist(), x.to_pylist(), n_b.to_pylist(), y.to_pylist())]
-            yield pa.record_batch([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(light(check), "a binary, b binary")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by exact intersection.
-
-    The texts of a tile, its center b first, stream through one task; the task holds the
-    center's set and one other.  A center with many partners has several tiles.
-    """
-    salt = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("long"))
-    sized = pairs.join(pairs.groupBy("b").agg(F.count("*").alias("size")), "b").withColumn("salt", salt).drop("size")
-    seats = stored(sized.select(F.col("b").alias("center"), "salt", F.lit(1).alias("seat"), F.col("a").alias("node"))
-                   .union(sized.select(F.col("b"), "salt", F.lit(0), F.col("b")).distinct()))
-    wanted = nodes.join(seats.select("node").distinct(), "node").select(F.col("doc_id").alias("__id"), "node")
-    wanted = small(stored(wanted), BROADCAST_ROWS)
-    texts = (docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-             .join(wanted, F.col("__doc").eqNullSafe(F.col("__id"))).select("node", F.col("__text").alias("text")))
-    tiles = seats.join(texts, "node").repartition("center", "salt").sortWithinPartitions("center", "salt", "seat")
-
-    def settle(batches):
-        shingle, center, held = Shingler(), None, None
-        for batch in batches:
-            found = []
-            for at, seat, node, text in zip(*(batch.column(c).to_pylist() for c in ("center", "seat", "node", "text"))):
-                grams = shingle(text)
-                if node_of(grams) != node:  # another row with the same doc_id
-                    continue
-                if seat == 0:
-                    center, held = at, grams
-                elif center == at and reaches(len(np.intersect1d(grams, held, assume_unique=True)), len(grams), len(held), percent):
-                    found.append((node, at))
-            yield pa.record_batch([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
-
-    return tiles.select("center", "salt", "seat", "node", "text").mapInArrow(light(settle), "a binary, b binary")
-
-
-def _star(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nids: a node and a center of a group of near size that shares one minimum, or two, with it.
-
-    A group has a few centers, those with the smallest hashes, which stand for no kind of node
-    more than for others (the smallest set would).  Size bands lie in two rows, half a band apart, so that
-    sets of nearly the same size share one.
-    """
-    level = F.log(F.col("n")) / F.log(F.lit(100 / percent))
-    bands = F.array(*[F.floor(level + half / 2).cast("int") * 2 + half for half in (0, 1)])
-    # Two minima together are rarely shared but by near copies, one minimum also by far ones.
-    twos = F.transform("minima", lambda x, i: F.xxhash64(x, F.get("minima", (i + 1) % MINIMA)))
-    spread = (nodes.select("nid", F.explode(bands).alias("band"), F.concat("minima", twos).alias("lows"))
-              .select("nid", "band", F.posexplode("lows").alias("i", "low")))
-    key = ["i", "low", "band"]
-    firsts = [F.min_by("nid", F.xxhash64("nid", F.lit(k))).alias(f"c{k}") for k in range(CENTERS)]
-    centers = (spread.groupBy(*key).agg(*firsts, F.count("*").alias("size"))
-               .where("size > 1").select(*key, F.array_distinct(F.array(*[f"c{k}" for k in range(CENTERS)])).alias("centers"),
-                                         F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")))
-    return (spread.withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(16)).cast("int")).join(centers, [*key, "salt"])
-            .select(F.col("nid").alias("a"), F.explode("centers").alias("b"))
-            .where("a != b").distinct())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; the root is the smallest node it is connected with.
 
@@ -291,8 +121,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "root")
 
 
-def _probes(docs: DataFrame, groups: DataFrame, sketch: np.ndarray, percent: int, text_col: str) -> DataFrame:
-    """(token, place, nid, n, root): the rarest elements of each node, one of which any linked pair shares.
+def _probes(docs: DataFrame, sketch: np.ndarray, percent: int, text_col: str) -> DataFrame:
+    """(token, place, nid, n): the rarest elements of each node, one of which any linked pair shares.
 
     ``place`` is the element's place in the node's order.  An element that may be in more than
     TOKEN_ROWS sets gets a token for every tile of two slices of the nodes, so that no token
@@ -313,22 +143,21 @@ def _probes(docs: DataFrame, groups: DataFrame, sketch: np.ndarray, percent: int
                 order = np.lexsort((grams, often))[:prefix_length(len(grams), percent)]
                 node, own = node_of(grams), grams[order]
                 slices = -(-often[order] // token_rows)
-                nodes.append(node)
+                nodes.append(short(node))
                 sizes.append(len(grams))
                 tokens.append(own.view(np.int64))
                 tiles.append(_tiles(own, slices, int.from_bytes(node[:8], "little")) if (slices > 1).any() else [])
             lengths = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
-            yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array([short(x) for x in nodes], pa.int64()), pa.array(sizes, pa.int64()),
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
                                    pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))),
-                                   pa.array(tiles, pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())])))], names=["node", "nid", "n", "tokens", "tiles"])
+                                   pa.array(tiles, pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())])))], names=["nid", "n", "tokens", "tiles"])
 
-    found = docs.select(F.col(text_col)).mapInArrow(light(read), "node binary, nid bigint, n bigint, tokens array<bigint>, tiles array<struct<token: bigint, place: int>>")
-    once = found.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("nid", "n", "tokens", "tiles")])
+    found = docs.select(F.col(f"`{text_col}`")).mapInArrow(light(read), "nid bigint, n bigint, tokens array<bigint>, tiles array<struct<token: bigint, place: int>>")
+    once = found.groupBy("nid").agg(*[F.any_value(c).alias(c) for c in ("n", "tokens", "tiles")])
     # An element with tiles is probed in its tiles only.
     plain = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("place"))), lambda x: ~F.exists("tiles", lambda y: y["place"] == x["place"]))
     probes = F.when(F.size("tiles") == 0, F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("place")))).otherwise(F.concat(plain, "tiles"))
-    return (once.join(groups, "node", "left").select("nid", "n", F.coalesce("root", "nid").alias("root"), F.explode(probes).alias("t"))
-            .select("t.token", "t.place", "nid", "n", "root"))
+    return once.select("nid", "n", F.explode(probes).alias("t")).select("t.token", "t.place", "nid", "n")
 
 
 def _tiles(tokens: np.ndarray, slices: np.ndarray, node: int) -> list[dict]:
@@ -338,64 +167,61 @@ def _tiles(tokens: np.ndarray, slices: np.ndarray, node: int) -> list[dict]:
         k = int(slices[place])
         own = node % k
         numbers = np.array([min(own, t) * k + max(own, t) for t in range(k)], np.uint64)
-        out += [{"token": int(x), "place": int(place)} for x in _mixed(tokens[place] + numbers * np.uint64(MIX[0])).view(np.int64)]
+        out += [{"token": int(x), "place": int(place)} for x in mixed(tokens[place] + numbers * np.uint64(MIX[0])).view(np.int64)]
     return out
 
 
-def _pairs_of(n: np.ndarray, place: np.ndarray, root: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of one token that may be linked: other groups, near sizes, and enough elements left.
+def connected(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Label of every row of one token: rows of near sizes that leave enough elements for a link are connected.
 
     If the token is the first that two sets share, they share at most the elements from it on;
     a pair that fails this here and is linked all the same is found at its first shared token.
     ``n`` is ascending.
     """
-    least = n[np.searchsorted(n, -(-percent * n // 100))]
-    rows = np.flatnonzero((n - place) * (100 + percent) >= percent * (n + least))
-    if len(rows) < 2:
-        return
-    n, left, root = n[rows], (n - place)[rows], root[rows]
-    _, code, sizes = np.unique(root, return_inverse=True, return_counts=True)
-    if len(sizes) < 2:
-        return
-    rest = np.flatnonzero(code != sizes.argmax())
-    ahead = np.full(len(rows), -1)
-    ahead[rest] = np.arange(len(rest))  # pairs within the rest are looked at from the earlier row
-    for first in range(0, len(rest), step := max(1, 500_000 // len(rows))):
-        i = rest[first:first + step]
-        ok = (np.minimum(left[i][:, None], left) * (100 + percent) >= percent * (n[i][:, None] + n)) & (code[i][:, None] != code)
-        ok &= (ahead < 0) | (ahead[i][:, None] < ahead)
-        x, y = np.nonzero(ok)
-        yield rows[i[x]], rows[y]
-
-
-def _cross_pairs(probes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different groups that share a probe and leave room for a link there."""
+    left = n - place
+    label = np.full(len(n), -1)
+    free = np.ones(len(n), bool)
+    first = np.searchsorted(n, -(-percent * n // 100))
+    last = np.searchsorted(n, 100 * n // percent, side="right")
+    # A row that could not even link with a set of its least size has no partner.
+    alone = left * (100 + percent) < percent * (n + n[first])
+    for start in np.flatnonzero(~alone):
+        if not free[start]:
+            continue
+        free[start], label[start], front = False, start, [start]
+        while front:
+            x = front.pop()
+            rows = first[x] + np.flatnonzero(free[first[x]:last[x]])
+            near = rows[np.minimum(left[x], left[rows]) * (100 + percent) >= percent * (n[x] + n[rows])]
+            free[near], label[near] = False, start
+            front += near.tolist()
+    return label
+
+
+def _connections(probes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes that share a probe and leave room for a link there; at most one for each row of ``probes``."""
     rows = probes.repartition("token").sortWithinPartitions("token", "n")
 
-    def pair(batches) -> Iterator[pa.RecordBatch]:
+    def connect(batches):
         held: list[pa.RecordBatch] = []
 
-        def settle(run: pa.Table) -> Iterator[pa.RecordBatch]:
-            """Pairs of a table of whole tokens."""
+        def settle(run: pa.Table) -> pa.RecordBatch:
+            """Edges of a table of whole tokens."""
             token = run.column("token").to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             longer = np.flatnonzero(np.diff(edges) > 1)
-            if not len(longer):
-                return
-            n, place = run.column("n").to_numpy(), run.column("place").to_numpy()
-            node, root = run.column("nid").to_numpy(), run.column("root").to_numpy()
-            first, second = [], []
+            n, place, node = (run.column(c).to_numpy() for c in ("n", "place", "nid"))
+            first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip(edges[longer], edges[longer + 1]):
-                if (root[a:b] == root[a]).all():
-                    continue
-                for x, y in _pairs_of(n[a:b], place[a:b], root[a:b], percent):
-                    first.append(x + a)
-                    second.append(y + a)
-                    if sum(map(len, first)) > 50_000:
-                        yield _ordered(node, first, second)
-                        first, second = [], []
-            if first:
-                yield _ordered(node, first, second)
+                label, own = connected(n[a:b], place[a:b], percent), node[a:b]
+                rows = np.flatnonzero(label >= 0)
+                least = np.full(b - a, np.iinfo(np.int64).max)  # the smallest node stands for all, in every token alike
+                np.minimum.at(least, label[rows], own[rows])
+                rows = rows[least[label[rows]] != own[rows]]
+                first.append(least[label[rows]])
+                second.append(own[rows])
+            pairs = np.unique(np.stack([np.concatenate(first), np.concatenate(second)], axis=1), axis=0)
+            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -403,39 +229,35 @@ def _cross_pairs(probes: DataFrame, percent: int) -> DataFrame:
             token = batch.column("token").to_numpy()
             tail = int(np.argmax(token == token[-1]))  # the last token may go on in the next batch
             if tail:
-                yield from settle(pa.Table.from_batches([*held, batch.slice(0, tail)]))
+                yield settle(pa.Table.from_batches([*held, batch.slice(0, tail)]))
                 held = []
             elif held and held[-1].column("token")[0].as_py() != token[0]:
-                yield from settle(pa.Table.from_batches(held))
+                yield settle(pa.Table.from_batches(held))
                 held = []
             held.append(batch.slice(tail))
         if held:
-            yield from settle(pa.Table.from_batches(held))
+            yield settle(pa.Table.from_batches(held))
 
-    return rows.select("token", "place", "nid", "n", "root").mapInArrow(light(pair), "a bigint, b bigint").distinct()
+    return rows.select("token", "place", "nid", "n").mapInArrow(light(connect), "a bigint, b bigint").distinct()
 
 
-def _ordered(node: np.ndarray, first: list[np.ndarray], second: list[np.ndarray]) -> pa.RecordBatch:
-    """Batch of the distinct pairs (a, b) of two lists of rows, b the smaller number."""
-    x, y = node[np.concatenate(first)], node[np.concatenate(second)]
-    pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
-    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _banded(members: DataFrame, percent: int) -> DataFrame:
+    """Members of families cut by size: bands lie in two rows, half a band apart, so that sets of near size share one."""
+    level = F.log(F.col("n")) / F.log(F.lit(100 / percent))
+    width = 2  # levels of a band; near sizes are at most one level apart
+    bands = F.array(*[F.floor(level / width + half / 2).cast("int") * 2 + half for half in (0, 1)])
+    return members.withColumn("band", F.explode(bands)).withColumn("family", F.xxhash64("family", "band")).drop("band")
 
 
 def grouped(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row, n_shingles, root (null for empty sets) and component_id of every document."""
     rows, sketch = profiles(docs, id_col, text_col)
-    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("nid").alias("nid"),
-                                                                   F.any_value("minima").alias("minima"), F.any_value("bitmap").alias("bitmap")))
-    near = stored(_bounded(_star(nodes, percent), nodes, percent))
-    edges = stored(_verified(near, docs, nodes, percent, id_col, text_col))
-    groups = components(edges)
-    # Groups are told apart by the short number of their root, as nodes are.
-    short_groups = groups.join(nodes.select(F.col("node").alias("root"), F.col("nid").alias("__nid")), "root").select("node", F.col("__nid").alias("root"))
-    cross = stored(_bounded(_cross_pairs(_probes(docs, short_groups, sketch, percent, text_col), percent), nodes, percent))
-    if not cross.isEmpty():
-        edges = stored(edges.union(_verified(cross, docs, nodes, percent, id_col, text_col)))
-        groups = components(edges)
+    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("nid").alias("nid")))
+    # Candidates go by 64 bits of a node's name; two nodes of one short name are in one family.
+    family = components(stored(_connections(_probes(docs, sketch, percent, text_col), percent)))
+    wanted = nodes.join(family.select(F.col("node").alias("nid"), F.col("root").alias("family")), "nid").select("family", "node", "doc_id")
+    members = stored(_banded(sets_of(docs, wanted, id_col, text_col).withColumn("root", F.col("node")), percent))
+    groups = components(families.settle(members, percent, components, bitmaps=True))
     rooted = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = stored(rooted.join(lowest, "root").select("node", "root", "component_id"))

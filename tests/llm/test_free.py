@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specloom.llm import language, mixing, neighbours, ngram_join, packing, queries, shared, warc
+from specloom.llm import families, language, mixing, neighbours, ngram_join, packing, queries, shared, warc
 
 # ---- WARC ----
 
@@ -288,7 +288,7 @@ def near_rows(seed, n=150):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_groups_equal_brute_force(docs, seed, monkeypatch):
     monkeypatch.setattr(ngram_join, "TOKEN_ROWS", 500_000 if seed == 1 else 3)  # many tiles
-    monkeypatch.setattr(ngram_join, "MINIMA", 1 if seed == 2 else 6)  # few stars: the completion has to find the rest
+    monkeypatch.setattr(families, "ELEMENTS", 400_000 if seed == 1 else 100)  # large families: centers, then blocks that meet
     rows = near_rows(seed) + [(900, None), (901, ""), (902, "a B c d e f"), (903, "A b C d e F"), (904, " a\tb\x0bc  d\ne f "), (905, "a b"), (906, "A B"), (907, "é É")]
     got = sorted(tuple(r) for r in ngram_join.join(docs(rows)).collect())
     assert got == sorted(components(rows))
@@ -305,15 +305,20 @@ def test_join_of_odd_tables(docs):
     assert ngram_join.join(table.limit(0)).collect() == [] and ngram_join.deduplicated(table.limit(0)).collect() == []
 
 
-def test_a_group_of_near_copies_is_not_paired_off(docs):
-    rng = random.Random(9)
-    base = [f"w{i}" for i in range(120)]
-    rows = [(i, " ".join(edited(rng, base, 0.01))) for i in range(300)]
-    rows_, sketch = ngram_join.profiles(docs(rows))
-    nodes = shared.stored(rows_.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("nid").alias("nid"), F.any_value("minima").alias("minima"), F.any_value("bitmap").alias("bitmap")))
-    pairs = ngram_join._star(nodes, 75)
-    assert pairs.count() <= 4 * ngram_join.CENTERS * ngram_join.MINIMA * len(rows)
-    assert ngram_join.join(docs(rows)).select("component_id").distinct().count() == len({c for _, _, c in components(rows)})
+def test_a_group_of_near_copies_is_not_paired_off(spark, docs):
+    """Rows of candidates follow the number of copies, not its square, and no relation of pairs is in the plan."""
+    counts = {}
+    for copies in (300, 1500, 3000):
+        rng = random.Random(9)
+        base = [f"w{i}" for i in range(120)]
+        rows = [(i, " ".join(edited(rng, base, 0.02))) for i in range(copies)]
+        _, sketch = ngram_join.profiles(docs(rows))
+        probes = ngram_join._probes(docs(rows), sketch, 75, "text")
+        counts[copies] = (probes.count(), ngram_join._connections(probes, 75).count())
+        if copies == 300:
+            assert sorted(tuple(r) for r in ngram_join.join(docs(rows)).collect()) == sorted(components(rows))
+    for k in (0, 1):
+        assert counts[3000][k] <= 2.5 * counts[1500][k]
 
 
 def test_bitmaps_bound_the_overlap():
@@ -322,7 +327,7 @@ def test_bitmaps_bound_the_overlap():
     for _ in range(200):
         a = [f"w{i}" for i in range(rng.randint(5, 200))]
         x, y = shingle(" ".join(a)), shingle(" ".join(edited(rng, a, 0.03)))
-        real = ngram_join.reaches(len(np.intersect1d(x, y)), len(x), len(y), 75)
+        real = families.reaches(len(np.intersect1d(x, y)), len(x), len(y), 75)
         assert not real or ngram_join.may_reach(len(x), ngram_join.bitmap_of(x), len(y), ngram_join.bitmap_of(y), 75)
 
 
