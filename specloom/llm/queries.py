@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -192,7 +193,27 @@ def op11_vector_codes(spark, sf):
     return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
-@query("op12_spelling_variants")
+#: Accented letters have two bytes in UTF-8 and one in the text that edit distances are taken of.
+_ACCENTED = "".join(map(chr, range(0xC0, 0x100)))
+_ONE_BYTE = "".join(map(chr, range(33, 97))).replace("'", "''")
+_SPELLING = f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS run FROM documents),
+g AS MATERIALIZED (SELECT doc, run, count(*) AS n FROM d WHERE len(run) >= {spelling.LETTERS} GROUP BY ALL),
+h AS (SELECT run, n, xor(4294967295, list_reduce(flatten(list_transform(string_split(doc || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, unicode(ch) - 64] END)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h FROM g, t),
+o AS (SELECT CASE WHEN h % {spelling.OMIT} = 0 THEN left(run, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{_ACCENTED}', '{_ONE_BYTE}') AS key, len(word) AS l FROM o WHERE len(word) >= {spelling.LETTERS} GROUP BY word HAVING sum(n) >= {spelling.OCCURRENCES}),
+e AS (SELECT a.word, b.word AS near, b.n FROM v a JOIN v b ON b.l = a.l WHERE a.word <> b.word AND levenshtein(a.key, b.key) = 1
+  UNION ALL SELECT a.word, b.word, b.n FROM v a JOIN v b ON b.l = a.l + 1 WHERE levenshtein(a.key, b.key) = 1
+  UNION ALL SELECT b.word, a.word, a.n FROM v a JOIN v b ON b.l = a.l + 1 WHERE levenshtein(a.key, b.key) = 1),
+f AS MATERIALIZED (SELECT v.word, v.n, e.c AS n_near, CASE WHEN e.best.n >= {spelling.RATIO} * v.n THEN e.best.word END AS form, CASE WHEN e.best.n >= {spelling.RATIO} * v.n THEN e.best.n END AS form_n
+  FROM v LEFT JOIN (SELECT word, count(*) AS c, first({{'n': n, 'word': near}} ORDER BY n DESC, near) AS best FROM e GROUP BY word) e USING (word)),
+w AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT w.word, f.form, steps + 1 FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n FROM f JOIN (SELECT word, arg_max(root, steps) AS root FROM w GROUP BY word) USING (word)"""
+
+
+@query("op12_spelling_variants", _SPELLING)
 def op12_spelling_variants(spark, sf):
     """The vocabulary of the documents: every word's near words, form and root."""
     return spelling.variants(table(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
