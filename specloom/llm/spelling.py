@@ -160,14 +160,14 @@ class Best:
             self.best[i] = j
 
 
-def settle(words: list[str], counts: list[int], sides: list[int], length: int, by_suffix: bool) -> Best:
-    """Near words within a tile: of its left side with its right side, or of one side with itself."""
+def settle(words: list[str], counts: list[int], sides: list[int], two: bool, length: int, by_suffix: bool) -> Best:
+    """Near words within a tile: of its left side with its right side, or (not ``two``) of its words with each other."""
     best = Best(words, counts)
     left = [k for k, s in enumerate(sides) if not s]
     right = [k for k, s in enumerate(sides) if s]
-    i, j = single_edits([words[k] for k in left], [words[k] for k in (right or left)], length, by_suffix)
+    i, j = single_edits([words[k] for k in left], [words[k] for k in (right if two else left)], length, by_suffix)
     for x, y in zip(i.tolist(), j.tolist()):
-        if right:
+        if two:
             best.add(left[x], right[y])
             best.add(right[y], left[x])
         else:
@@ -186,7 +186,7 @@ def neighbours(words: DataFrame, block: int = BLOCK) -> DataFrame:
         key, held = None, []
 
         def done():
-            best = settle([r[2] for r in held], [r[3] for r in held], [r[1] for r in held], key[0], key[1])
+            best = settle([r[2] for r in held], [r[3] for r in held], [r[1] for r in held], key[3] != key[4], key[0], key[1])
             has = [k for k, n in enumerate(best.near) if n]
             return pa.record_batch([pa.array([best.words[k] for k in has], pa.string()), pa.array([best.near[k] for k in has], pa.int64()),
                                     pa.array([best.counts[best.best[k]] for k in has], pa.int64()), pa.array([best.words[best.best[k]] for k in has], pa.string())],

@@ -96,11 +96,12 @@ def _usable_vectors(table: DataFrame, id_col: str, vector_col: str, label_col: s
     rows = table.where(F.coalesce(_usable(vector), F.lit(False))).select(F.col(f"`{id_col}`").alias("id"), label.alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     head = rows.orderBy(F.col("id").asc_nulls_last(), "v").limit(1).collect()
     length = len(head[0].v) if head else 0
-    rows = rows.where((F.size("v") == length) & F.lit(length > 0 and length % PARTS == 0))
+    if not length or length % PARTS:
+        return rows.limit(0), [[] for _ in range(PARTS)]
+    rows = rows.where(F.size("v") == length)
     # At most ENTRIES rows.
     firsts = np.array([r.v for r in rows.orderBy(F.col("id").asc_nulls_last(), "v").limit(ENTRIES).collect()], float).reshape(-1, length)
-    cut = np.split(whole(firsts), PARTS, axis=1) if len(firsts) else [np.zeros((0, 0))] * PARTS
-    return rows, [[[int(x) for x in e] for e in part] for part in cut]
+    return rows, [[[int(x) for x in e] for e in part] for part in np.split(whole(firsts), PARTS, axis=1)]
 
 
 _PART = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("entry", T.IntegerType()), T.StructField("salt", T.LongType()),
