@@ -74,6 +74,34 @@ def bounds(bitmaps: np.ndarray, n: np.ndarray, x: int) -> np.ndarray:
     return np.minimum(n[x] - missing, n - extra)
 
 
+class Bitmaps:
+    """Bitmaps of sets, each as wide as its set asks for; two of different widths are compared at the smaller one."""
+
+    def __init__(self, maps: list[bytes], n: np.ndarray):
+        self.n, self.width = n, np.array([len(m) for m in maps])
+        self.place, self.tables = np.zeros(len(maps), int), {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.tables[w] = np.frombuffer(b"".join(maps[i] for i in own), np.uint8).reshape(-1, w)
+
+    def may_link(self, x: int, rows: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the sets ``rows`` bit counts leave a link with set x possible."""
+        ok = np.zeros(len(rows), bool)
+        for w in np.unique(self.width[rows]).tolist():
+            own = np.flatnonzero(self.width[rows] == w)
+            size = min(w, int(self.width[x]))
+            mine = folded(self.tables[int(self.width[x])][self.place[x]], size)
+            table = self.tables[w][self.place[rows[own]]]
+            while table.shape[1] > size:
+                table = table[:, :table.shape[1] // 2] | table[:, table.shape[1] // 2:]
+            missing = np.bitwise_count(mine & ~table).sum(axis=1, dtype=np.int64)
+            extra = np.bitwise_count(table & ~mine).sum(axis=1, dtype=np.int64)
+            n = self.n[rows[own]]
+            ok[own] = reaches(np.minimum(self.n[x] - missing, n - extra), self.n[x], n, percent)
+        return ok
+
+
 class Index:
     """Numbers of common elements of a set with each of a list of sets."""
 

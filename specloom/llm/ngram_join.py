@@ -11,8 +11,10 @@ survives is settled by exact intersection of the sorted arrays.
 2. Two sets that reach the threshold share one of the first n - ceil(t n) + 1 elements of each in any
    common order.  Elements in frequent buckets come last in that order, so passages shared by
    many documents are rarely probed.  Nodes that share a probe, and for which the elements left
-   after it could still make a link, are connected; a task passes on which nodes it connected,
-   at most one row for each, never the pairs.  Connected nodes are a family: no link leaves it.
+   after it could still make a link, meet in a tile; tiles of the same nodes are kept once.  In a
+   tile nodes are connected where sizes and the bit counts of their bitmaps allow a link.  A task passes on
+   which nodes it connected, at most one row for each, never the pairs.  Connected nodes are a
+   family: no link leaves it.
 3. The sets of a family's members are dealt to tiles by family and size band and settled there
    (``families``): links are all that leaves a tile, at most one for two groups.
 
@@ -41,7 +43,7 @@ PERCENT = 75
 SKETCH = 1 << 20
 CHUNKS = 64
 #: Rows of one token that a task holds.
-TOKEN_ROWS = 50_000
+TOKEN_ROWS = 8192
 #: Tables of ids up to this many rows are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -61,10 +63,10 @@ def row_hash(docs: DataFrame) -> Column:
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """One row per document (doc_id, row, n, node, nid), and shingle counts by bucket over all documents."""
+    """One row per document (doc_id, row, n, node, nid, bitmap), and shingle counts by bucket over all documents."""
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("nid", T.LongType()),
-                           T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+                           T.StructField("bitmap", T.BinaryType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
     arrow_id = to_arrow_type(id_type)
 
@@ -73,18 +75,19 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         shingle, sketch = Shingler(), np.zeros(SKETCH, np.int32)
         names = schema.names
         for batch in batches:
-            n, node = [], []
+            n, node, bitmap = [], [], []
             for text in batch.column(2):
                 grams = shingle(text.as_py())
                 n.append(len(grams))
+                bitmap.append(bitmap_of(grams).tobytes() if len(grams) else None)
                 node.append(node_of(grams) if len(grams) else None)
                 np.add.at(sketch, (grams >> np.uint64(44)).astype(np.int64), 1)
             rows = batch.num_rows
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()),
-                                   pa.array([short(x) for x in node], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+                                   pa.array([short(x) for x in node], pa.int64()), pa.array(bitmap, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if sketch.any():
             parts = sketch.reshape(CHUNKS, -1)
-            yield pa.record_batch([pa.nulls(CHUNKS, arrow_id), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.nulls(CHUNKS, pa.int64()),
+            yield pa.record_batch([pa.nulls(CHUNKS, arrow_id), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()),
                                    pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     both = stored(docs.select(F.col(f"`{id_col}`"), row_hash(docs).alias("__row"), F.col(f"`{text_col}`")).mapInArrow(light(read), schema))
@@ -198,30 +201,32 @@ def connected(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
     return label
 
 
-def _connections(probes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all nodes that share a probe and leave room for a link there; at most one for each row of ``probes``."""
+def _tiles_of(probes: DataFrame, percent: int) -> DataFrame:
+    """(tile, nid): nodes that share a probe and may be linked, as far as sizes and the elements left tell; at most one row for each of ``probes``."""
     rows = probes.repartition("token").sortWithinPartitions("token", "n")
 
     def connect(batches):
         held: list[pa.RecordBatch] = []
 
         def settle(run: pa.Table) -> pa.RecordBatch:
-            """Edges of a table of whole tokens."""
-            token = run.column("token").to_numpy()
+            """Tiles of a table of whole tokens."""
+            token, n, place, node = (run.column(c).to_numpy() for c in ("token", "n", "place", "nid"))
             edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-            longer = np.flatnonzero(np.diff(edges) > 1)
-            n, place, node = (run.column(c).to_numpy() for c in ("n", "place", "nid"))
-            first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in zip(edges[longer], edges[longer + 1]):
-                label, own = connected(n[a:b], place[a:b], percent), node[a:b]
+            sizes = np.diff(edges)
+            # Two nodes, the usual case, all at once.
+            x = edges[:-1][sizes == 2]
+            left = np.minimum(n[x] - place[x], n[x + 1] - place[x + 1])
+            x = x[(100 * n[x] >= percent * n[x + 1]) & (left * (100 + percent) >= percent * (n[x] + n[x + 1]))]
+            at, start = [np.repeat(x, 2) + np.tile([0, 1], len(x))], [np.repeat(x, 2)]
+            for a, b in zip(edges[:-1][sizes > 2], edges[1:][sizes > 2]):
+                label = connected(n[a:b], place[a:b], percent)
                 rows = np.flatnonzero(label >= 0)
-                least = np.full(b - a, np.iinfo(np.int64).max)  # the smallest node stands for all, in every token alike
-                np.minimum.at(least, label[rows], own[rows])
-                rows = rows[least[label[rows]] != own[rows]]
-                first.append(least[label[rows]])
-                second.append(own[rows])
-            pairs = np.unique(np.stack([np.concatenate(first), np.concatenate(second)], axis=1), axis=0)
-            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                rows = rows[np.bincount(label[rows], minlength=b - a)[label[rows]] > 1]
+                at.append(a + rows)
+                start.append(a + label[rows])
+            at, start = np.concatenate(at), np.concatenate(start)
+            tile = mixed(token[start].view(np.uint64) ^ mixed(node[start].view(np.uint64)))
+            return pa.record_batch([pa.array(tile.view(np.int64)), pa.array(node[at])], names=["tile", "nid"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -238,7 +243,54 @@ def _connections(probes: DataFrame, percent: int) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return rows.select("token", "place", "nid", "n").mapInArrow(light(connect), "a bigint, b bigint").distinct()
+    return rows.select("token", "place", "nid", "n").mapInArrow(light(connect), "tile bigint, nid bigint")
+
+
+def _connections(probes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes that share a probe and whose sizes and bitmaps allow a link; at most one for each row of ``probes``."""
+    tiles = stored(_tiles_of(probes, percent))
+    bags = tiles.groupBy("tile").agg(F.count("*").alias("size"), F.bit_xor("nid").alias("x"), F.bit_xor(F.xxhash64("nid")).alias("y"))
+    kept = bags.groupBy("size", "x", "y").agg(F.min("tile").alias("tile")).select("tile")
+    rows = tiles.join(kept, "tile", "left_semi").join(nodes.select("nid", "n", "bitmap"), "nid").repartition("tile").sortWithinPartitions("tile", "n", "nid")
+
+    def connect(batches):
+        key, held = None, []
+
+        def done():
+            nid, n = [r[0] for r in held], np.array([r[1] for r in held])
+            maps = families.Bitmaps([r[2] for r in held], n)
+            free = np.ones(len(n), bool)
+            first, last = np.searchsorted(n, -(-percent * n // 100)), np.searchsorted(n, 100 * n // percent, side="right")
+            out = []
+            for start in range(len(n)):
+                if not free[start]:
+                    continue
+                free[start], front, group = False, [start], [start]
+                while front:
+                    x = front.pop()
+                    rows = first[x] + np.flatnonzero(free[first[x]:last[x]])
+                    near = rows[maps.may_link(x, rows, percent)] if len(rows) else rows
+                    free[near] = False
+                    front += near.tolist()
+                    group += near.tolist()
+                least = min(nid[i] for i in group)  # the smallest node stands for all, in every tile alike
+                out += [(least, nid[i]) for i in group if nid[i] != least]
+            return out
+
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != key:
+                    if len(held) > 1:
+                        found += done()
+                    key, held = row[0], []
+                held.append(row[1:])
+            yield pa.record_batch([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if len(held) > 1:
+            found = done()
+            yield pa.record_batch([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.select("tile", "nid", "n", "bitmap").mapInArrow(light(connect), "a bigint, b bigint").distinct()
 
 
 def _banded(members: DataFrame, percent: int) -> DataFrame:
@@ -252,9 +304,9 @@ def _banded(members: DataFrame, percent: int) -> DataFrame:
 def grouped(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row, n_shingles, root (null for empty sets) and component_id of every document."""
     rows, sketch = profiles(docs, id_col, text_col)
-    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("nid").alias("nid")))
+    nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n", "nid", "bitmap")]))
     # Candidates go by 64 bits of a node's name; two nodes of one short name are in one family.
-    family = components(stored(_connections(_probes(docs, sketch, percent, text_col), percent)))
+    family = components(stored(_connections(_probes(docs, sketch, percent, text_col), nodes, percent)))
     wanted = nodes.join(family.select(F.col("node").alias("nid"), F.col("root").alias("family")), "nid").select("family", "node", "doc_id")
     members = stored(_banded(sets_of(docs, wanted, id_col, text_col).withColumn("root", F.col("node")), percent))
     groups = components(families.settle(members, percent, components, bitmaps=True))

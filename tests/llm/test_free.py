@@ -312,12 +312,12 @@ def test_a_group_of_near_copies_is_not_paired_off(spark, docs):
         rng = random.Random(9)
         base = [f"w{i}" for i in range(120)]
         rows = [(i, " ".join(edited(rng, base, 0.02))) for i in range(copies)]
-        _, sketch = ngram_join.profiles(docs(rows))
+        found, sketch = ngram_join.profiles(docs(rows))
         probes = ngram_join._probes(docs(rows), sketch, 75, "text")
-        counts[copies] = (probes.count(), ngram_join._connections(probes, 75).count())
+        counts[copies] = (probes.count(), ngram_join._tiles_of(probes, 75).count(), ngram_join._connections(probes, found, 75).count())
         if copies == 300:
             assert sorted(tuple(r) for r in ngram_join.join(docs(rows)).collect()) == sorted(components(rows))
-    for k in (0, 1):
+    for k in (0, 1, 2):
         assert counts[3000][k] <= 2.5 * counts[1500][k]
 
 
