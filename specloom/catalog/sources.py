@@ -63,13 +63,13 @@ def _pages(spark, sf):
 @query("line_pairs", f"WITH {_LN}, {_LP} SELECT doc, page, line, key, value FROM lp")
 def line_pairs(spark, sf):
     """S3, S5b"""
-    return D.line_pairs(D.lines(_pages(spark, sf))).withColumn("line", F.col("line").cast("bigint"))
+    return D.line_pairs(_pages(spark, sf)).withColumn("line", F.col("line").cast("bigint"))
 
 
 @query("column_pairs", f"WITH {_LN}, {_CP} SELECT doc, page, line, key, value FROM cp")
 def column_pairs(spark, sf):
     """S4"""
-    return D.column_pairs(D.lines(_pages(spark, sf))).withColumn("line", F.col("line").cast("bigint"))
+    return D.column_pairs(_pages(spark, sf)).withColumn("line", F.col("line").cast("bigint"))
 
 
 _CELLS = """
@@ -140,7 +140,7 @@ SELECT doc, pages, CAST(text_chars AS BIGINT) AS text_chars, coalesce(spec_pairs
   'No spec table detected — the full text was passed through for pattern extraction instead.' ELSE '' END AS note FROM t LEFT JOIN q USING (doc)""")
 def document_report(spark, sf):
     """S13"""
-    return D.ingest_report(_pages(spark, sf), _specs(spark, sf))
+    return D.ingest_report(_pages(spark, sf), _cells(spark, sf))
 
 
 # ------------------------------------------------------------------- pages

@@ -1,8 +1,9 @@
 """Spec pairs and identity from document text and cell grids.
 
 Inputs: ``pages(doc, page, text)`` with one row per page, and
-``cells(doc, page, tbl, row, col, text)``.  Nothing is gathered per document except
-aggregates that combine map-side.
+``cells(doc, page, tbl, row, col, text)``.  A page's lines are read inside its row: labelled lines,
+gutter columns and the choice between them are arrays of one program, evaluated once.  A grid is one
+aggregate of its cells.  A page meets its grids in one aggregate, and a document its pages in another.
 """
 
 from __future__ import annotations
@@ -10,8 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
+from ..functions.lookup import filed, filing, held
+from ..functions.stage import durable, stage
 from ..functions.text import escape_rx, in_list, let, q
 
+#: Brand spellings up to which every task holds them; more are joined by word.
+BRANDS_HELD = 200_000
+_PAIR = "STRUCT<tbl:BIGINT,line:BIGINT,key:STRING,value:STRING>"
+
 _CLEAN = "trim(regexp_replace(replace(replace({}, '\\u00AD', ''), '\\u00A0', ' '), '\\\\s+', ' '))"
 
 
@@ -34,19 +41,24 @@ def looks_like_spec(key: str = "key", value: str = "value", limit: int = fixed.M
     return "coalesce(" + " AND ".join(tests) + ", false)"
 
 
+_LINES = "split(text, '\\r\\n|\\n|\\r')"
+
+
 def lines(pages: DataFrame) -> DataFrame:
-    return pages.select("doc", "page", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line", "text"))
+    return pages.select("doc", "page", F.posexplode(F.expr(_LINES)).alias("line", "text"))
+
 
+def _kept(lines_sql: str, pair: str) -> str:
+    """Pairs that ``pair`` makes of a line t with number i, where they read like a label and its value."""
+    return f"filter(transform({lines_sql}, (t, i) -> {pair}), p -> {looks_like_spec('p.key', 'p.value')})"
 
-def line_pairs(page_lines: DataFrame) -> DataFrame:
-    """S3: 'Key ..... value', else 'Key: value'."""
-    dot, colon = q(fixed.DOT_LEADER_RX), q(fixed.COLON_RX)
-    which = f"CASE WHEN text RLIKE {dot} THEN 1 WHEN text RLIKE {colon} THEN 2 END"
-    def part(n):
-        return clean(f"CASE _w WHEN 1 THEN regexp_extract(text, {dot}, {n}) ELSE regexp_extract(text, {colon}, {n}) END")
-    return (page_lines.withColumn("_w", F.expr(which)).where("_w IS NOT NULL")
-            .select("doc", "page", "line", F.expr(part(1)).alias("key"), F.expr(part(2)).alias("value"))
-            .where(looks_like_spec()))
+
+def _labelled(ls: str) -> str:
+    """S3: 'Key ..... value', else 'Key: value', of an array of lines."""
+    def pair(rx):
+        part = lambda n: clean(f"regexp_extract(t, {q(rx)}, {n})")
+        return f"CASE WHEN t RLIKE {q(rx)} THEN named_struct('line', i, 'key', {part(1)}, 'value', {part(2)}) END"
+    return _kept(ls, f"coalesce({pair(fixed.DOT_LEADER_RX)}, {pair(fixed.COLON_RX)})")
 
 
 def _is_unit(x: str) -> str:
@@ -55,113 +67,144 @@ def _is_unit(x: str) -> str:
                f"uc <> '' AND (uc IN {names} OR trim(TRAILING 's' FROM uc) IN {names})")
 
 
-def gutter_candidates(page_lines: DataFrame) -> DataFrame:
+def _gutters(ls: str) -> str:
     """Lines split on runs of two or more spaces, with the value's start and end offsets."""
-    cell = q(r"\S+(?: \S+)*")
-    df = (page_lines.withColumn("_c", F.expr(f"regexp_extract_all(text, {cell}, 0)")).where("size(_c) >= 2")
-          .withColumn("_s1", F.expr("regexp_instr(text, '\\\\S') + length(get(_c, 0))"))
-          .withColumn("start", F.expr("_s1 - 1 + regexp_instr(substring(text, _s1), '\\\\S') - 1"))
-          .withColumn("end", F.expr("start + length(get(_c, 1))")))
-    header = (f"lower({clean('get(_c, 0)')}) IN {in_list(fixed.KEY_HEADERS)}"
-              f" AND lower({clean('get(_c, 1)')}) IN {in_list(fixed.VALUE_HEADERS)}")
-    value = f"IF(size(_c) = 3 AND {_is_unit('get(_c, 2)')}, concat(get(_c, 1), ' ', trim(get(_c, 2))), get(_c, 1))"
-    return (df.where(f"NOT ({header})")
-            .select("doc", "page", "line", F.expr(clean("get(_c, 0)")).alias("key"), F.expr(clean(value)).alias("value"),
-                    "start", "end").where(looks_like_spec()))
-
-
-def column_pairs(page_lines: DataFrame) -> DataFrame:
+    header = (f"lower({clean('get(c, 0)')}) IN {in_list(fixed.KEY_HEADERS)}"
+              f" AND lower({clean('get(c, 1)')}) IN {in_list(fixed.VALUE_HEADERS)}")
+    value = f"IF(size(c) = 3 AND {_is_unit('get(c, 2)')}, concat(get(c, 1), ' ', trim(get(c, 2))), get(c, 1))"
+    made = let("s1", "regexp_instr(t, '\\\\S') + length(get(c, 0))", let(
+        "st", "s1 - 1 + regexp_instr(substring(t, s1), '\\\\S') - 1",
+        f"named_struct('line', i, 'key', {clean('get(c, 0)')}, 'value', {clean(value)}, 'start', st, 'end', st + length(get(c, 1)))"))
+    cells = r"\S+(?: \S+)*"
+    return _kept(ls, let("c", f"regexp_extract_all(t, {q(cells)}, 0)", f"CASE WHEN size(c) >= 2 AND NOT ({header}) THEN {made} END"))
+
+
+def _columns(ls: str) -> str:
     """Candidates sharing one value edge (within two places) on three or more lines.
 
-    Offsets are counted first and neighbours summed from the counts, so lines are
-    never paired with each other; equal groups go to the start edge, then the
-    smallest offset.
+    Equal groups go to the start edge, then the smallest offset.
     """
-    cand = gutter_candidates(page_lines)
-    edges = cand.select("doc", "page", F.expr(
-        "inline(array(named_struct('edge', 0, 'at', start), named_struct('edge', 1, 'at', end)))"))
-    counts = edges.groupBy("doc", "page", "edge", "at").agg(F.count("*").alias("n"))
-    spread = counts.select("doc", "page", "edge", F.col("n"), F.col("at"),
-                           F.explode(F.expr("sequence(at - 2, at + 2)")).alias("anchor"))
-    best = (spread.groupBy("doc", "page", "edge", "anchor")
-            .agg(F.sum("n").alias("rows"), F.max(F.col("at") == F.col("anchor")).alias("real"))
-            .where("real AND rows >= 3").groupBy("doc", "page")
-            .agg(F.max_by(F.struct("edge", "anchor"), F.struct("rows", -F.col("edge"), -F.col("anchor"))).alias("b")))
-    return (cand.join(best, ["doc", "page"])
-            .where("abs(IF(b.edge = 0, start, end) - b.anchor) <= 2")
-            .select("doc", "page", "line", "key", "value"))
+    def groups(edge, name):
+        return (f"transform(array_distinct(transform(cs, c -> c.{name})), a -> named_struct("
+                f"'n', size(filter(cs, c -> abs(c.{name} - a) <= 2)), 'edge', -{edge}, 'at', -a))")
+    best = f"array_max(concat({groups(0, 'start')}, {groups(1, 'end')}))"
+    near = "filter(cs, c -> abs(IF(b.edge = 0, c.start, c.end) + b.at) <= 2)"
+    return let("cs", _gutters(ls), let("b", best, (
+        f"transform(IF(coalesce(b.n, 0) >= 3, {near}, filter(cs, c -> false)), c -> named_struct('line', c.line, 'key', c.key, 'value', c.value))")))
+
+
+def _read(pages: DataFrame, **columns: str) -> DataFrame:
+    return stage(pages, **{name: let("ls", _LINES, sql) for name, sql in columns.items()})
+
+
+def _exploded(pages: DataFrame, sql: str) -> DataFrame:
+    return _read(pages, _p=sql).select("doc", "page", F.explode("_p").alias("p")).select("doc", "page", "p.line", "p.key", "p.value")
+
+
+def line_pairs(pages: DataFrame) -> DataFrame:
+    """S3: labelled lines of every page."""
+    return _exploded(pages, _labelled("ls"))
+
+
+def column_pairs(pages: DataFrame) -> DataFrame:
+    """Pairs held apart by one gutter on three or more lines of a page."""
+    return _exploded(pages, _columns("ls"))
+
+
+def _grids(cells: DataFrame) -> DataFrame:
+    """(doc, page, tbl, pairs), one row a grid: key and value columns by header words or first populated columns."""
+    df = cells.select("doc", "page", "tbl", F.struct("row", "col", F.expr(f"coalesce({clean('text')}, '')").alias("text")).alias("c"))
+    grid = df.groupBy("doc", "page", "tbl").agg(F.array_sort(F.collect_list("c")).alias("cells"))
+    named = lambda words: f"filter(top, c -> lower(c.text) IN {in_list(words)})"
+    # Rows without any text do not count.
+    cells_of = let("full", "array_distinct(transform(filter(cells, c -> c.text <> ''), c -> c.row))", "filter(cells, c -> array_contains(full, c.row))")
+    head = let("top", "filter(g, c -> c.row = g[0].row)", let("vs", f"transform({named(fixed.VALUE_HEADERS)}, c -> c.col)", (
+        f"named_struct('last', top[size(top) - 1].col, 'k0', get(transform({named(fixed.KEY_HEADERS)}, c -> c.col), 0), 'vs', vs)")))
+    shape = let("h", head, let("v0", "get(filter(h.vs, c -> h.k0 IS NULL OR c <> h.k0), 0)", let(
+        "used", "array_sort(array_distinct(transform(filter(g, c -> c.text <> ''), c -> c.col)))", let("named", "h.k0 IS NOT NULL AND v0 IS NOT NULL", (
+            "named_struct('key', IF(h.last >= 2, IF(named, h.k0, get(used, 0)), 0), 'value', IF(h.last >= 2, IF(named, v0, get(used, 1)), 1),"
+            " 'skip', IF(h.last >= 2, named, coalesce(h.k0 = 0, false) OR array_contains(h.vs, 1)))")))))
+    # Cells are in order of row and column, so each row's key and value columns are found in one sweep.
+    side = lambda c: f"filter(g, c -> c.col = s.{c} AND NOT (s.skip AND c.row = g[0].row))"
+    pairs = let("s", shape, let("vals", f"map_from_entries(transform({side('value')}, c -> struct(c.row, c.text)))", (
+        f"transform({side('key')}, c -> named_struct('line', c.row, 'key', c.text, 'value', try_element_at(vals, c.row)))")))
+    body = let("g", cells_of, f"IF(size(g) = 0, CAST(array() AS ARRAY<STRUCT<line:BIGINT,key:STRING,value:STRING>>), filter({pairs}, p -> {looks_like_spec('p.key', 'p.value')}))")
+    return stage(grid, pairs=body).drop("cells")
 
 
 def grid_pairs(cells: DataFrame) -> DataFrame:
-    """Key and value columns of a cell grid, by header words or first populated columns."""
-    df = cells.withColumn("text", F.expr(f"coalesce({clean('text')}, '')"))
-    kept = df.groupBy("doc", "page", "tbl", "row").agg(F.max(F.col("text") != "").alias("_any"))
-    df = df.join(kept.where("_any").drop("_any"), ["doc", "page", "tbl", "row"])
-    t = ["doc", "page", "tbl"]
-    first = df.groupBy(*t).agg(F.min("row").alias("first_row"))
-    df = df.join(first, t)
-    head = f"row = first_row AND lower(text) IN {in_list(fixed.KEY_HEADERS)}"
-    head_v = f"row = first_row AND lower(text) IN {in_list(fixed.VALUE_HEADERS)}"
-    shape = df.groupBy(*t).agg(
-        F.max(F.expr("IF(row = first_row, col, NULL)")).alias("last_col"),
-        F.min(F.expr(f"IF({head}, col, NULL)")).alias("k0"),
-        F.array_sort(F.collect_set(F.expr(f"IF({head_v}, col, NULL)"))).alias("vs"),
-        F.array_sort(F.collect_set(F.expr("IF(text <> '', col, NULL)"))).alias("used"))
-    shape = (shape.withColumn("v0", F.expr("get(filter(vs, c -> k0 IS NULL OR c <> k0), 0)"))
-             .withColumn("wide", F.expr("last_col >= 2"))
-             .withColumn("named", F.expr("k0 IS NOT NULL AND v0 IS NOT NULL"))
-             .withColumn("key_col", F.expr("IF(wide, IF(named, k0, get(used, 0)), 0)"))
-             .withColumn("value_col", F.expr("IF(wide, IF(named, v0, get(used, 1)), 1)"))
-             .withColumn("skip_head", F.expr("IF(wide, named, coalesce(k0 = 0, false) OR array_contains(vs, 1))")))
-    df = df.join(shape.select(*t, "key_col", "value_col", "skip_head"), t)
-    return (df.where("(col = key_col OR col = value_col) AND NOT (skip_head AND row = first_row)")
-            .groupBy(*t, "row").agg(F.max(F.expr("IF(col = key_col, text, NULL)")).alias("key"),
-                                    F.max(F.expr("IF(col = value_col, text, NULL)")).alias("value"))
-            .where(looks_like_spec()).select("doc", "page", "tbl", F.col("row").alias("line"), "key", "value"))
-
-
-def page_specs(pages: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """S6 per page: grid, else three or more labelled lines, else columns; stray labelled lines always."""
-    ln = lines(pages)
-    labelled = line_pairs(ln)
-    columns = column_pairs(ln)
-    parts = []
-    taken = None
+    """Pairs of every cell grid."""
+    return _grids(cells).select("doc", "page", "tbl", F.explode("pairs").alias("p")).select("doc", "page", "tbl", "p.line", "p.key", "p.value")
+
+
+def page_program(pages: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """One row a page with its pairs (tier, seq, key, value, strategy), characters and whether it has text.
+
+    A page reads its grids, else three or more labelled lines, else columns; stray labelled lines always.
+    """
+    def made(pairs, tbl="0L"):
+        return f"transform({pairs}, p -> named_struct('tbl', CAST({tbl} AS BIGINT), 'line', CAST(p.line AS BIGINT), 'key', p.key, 'value', p.value))"
+    df = _read(pages, _lines=made(_labelled("ls")), _columns=made(_columns("ls")))
+    df = df.select("doc", "page", F.lit(1).alias("texts"), F.length("text").alias("chars"), (F.trim("text") != "").alias("filled"), "_lines", "_columns", F.expr(f"CAST(array() AS ARRAY<{_PAIR}>)").alias("_grid"))
     if cells is not None:
-        grid = grid_pairs(cells)
-        parts.append(grid.select("doc", "page", F.lit(0).alias("tier"), F.struct(F.col("tbl").cast("bigint").alias("tbl"), F.col("line").cast("bigint").alias("line")).alias("seq"),
-                                 "key", "value", F.lit("table:lines").alias("strategy")))
-        taken = grid.select("doc", "page").distinct()
-    enough = labelled.groupBy("doc", "page").agg(F.count("*").alias("n")).where("n >= 3").select("doc", "page")
-    blocked_pages = enough if taken is None else enough.union(taken).distinct()
-    columns = columns.join(blocked_pages, ["doc", "page"], "left_anti")
-    parts.append(columns.select("doc", "page", F.lit(2).alias("tier"), F.struct(F.lit(0).cast("bigint").alias("tbl"), F.col("line").cast("bigint").alias("line")).alias("seq"), "key", "value",
-                                F.lit("text:columns").alias("strategy")))
-    parts.append(labelled.select("doc", "page", F.lit(3).alias("tier"), F.struct(F.lit(0).cast("bigint").alias("tbl"), F.col("line").cast("bigint").alias("line")).alias("seq"), "key", "value",
-                                 F.lit("text:line-pairs").alias("strategy")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        empty = f"CAST(array() AS ARRAY<{_PAIR}>)"
+        grid = _grids(cells).select("doc", "page", F.lit(0).alias("texts"), F.lit(None).cast("int").alias("chars"), F.lit(None).cast("boolean").alias("filled"), F.expr(empty).alias("_lines"),
+                                    F.expr(empty).alias("_columns"), F.expr(made("pairs", "tbl")).alias("_grid"))
+        df = (df.unionByName(grid).groupBy("doc", "page")
+              .agg(F.sum("texts").alias("texts"), F.sum("chars").alias("chars"), F.max("filled").alias("filled"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("_lines", "_columns", "_grid")]))
+    def labelled(pairs, tier, strategy):
+        return f"transform({pairs}, p -> named_struct('tier', {tier}, 'seq', struct(p.tbl, p.line), 'key', p.key, 'value', p.value, 'strategy', '{strategy}'))"
+    columns = "IF(size(_grid) > 0 OR size(_lines) >= 3, filter(_columns, p -> false), _columns)"
+    pairs = f"concat({labelled('_grid', 0, 'table:lines')}, {labelled(columns, 2, 'text:columns')}, {labelled('_lines', 3, 'text:line-pairs')})"
+    return df.select("doc", "page", "texts", "chars", "filled", F.expr(pairs).alias("pairs"))
+
+
+def _settled(program: DataFrame) -> DataFrame:
+    """(doc, key, w): the first key wins over the pages of a document; the row of a null key has the document's sizes."""
+    rows = program.select("doc", "page", "texts", "chars", "filled", F.explode(F.expr(
+        "concat(array(CAST(NULL AS STRUCT<tier:INT,seq:STRUCT<tbl:BIGINT,line:BIGINT>,key:STRING,value:STRING,strategy:STRING>)), pairs)")).alias("p"))
+    first = F.min_by(F.struct("p.value", "page", "p.strategy"), F.when(F.col("p").isNotNull(), F.struct("page", "p.tier", "p.seq")))
+    sizes = [F.sum(F.when(F.col("p").isNull(), F.col(c))).alias(c) for c in ("texts", "chars")]
+    return rows.groupBy("doc", "p.key").agg(first.alias("w"), *sizes, F.max(F.when(F.col("p").isNull(), F.col("filled"))).alias("filled"))
 
 
 def document_specs(pages: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """First key wins over the pages of a document, citing the page it was read from."""
-    return (page_specs(pages, cells).groupBy("doc", "key")
-            .agg(F.min_by(F.struct("value", "page", "strategy"), F.struct("page", "tier", "seq")).alias("w"))
-            .select("doc", "key", "w.value", F.concat(F.lit("page "), F.col("w.page").cast("string")).alias("locator"),
-                    "w.strategy"))
-
-
-def document_identity(pages: DataFrame) -> DataFrame:
-    """Longest known brand, labelled part number, first heading-like line."""
-    probes = [(p, c, i) for i, (p, (c, _, _)) in enumerate(fixed.BRANDS.items())]
-    hits = ", ".join(
-        f"CASE WHEN contains(_l, {q(p)}) AND _l RLIKE {q(chr(92) + 'b' + escape_rx(p) + chr(92) + 'b')}"
-        f" THEN named_struct('n', {len(p)}, 'p', {-i}, 'c', {q(c)}) END" for p, c, i in probes)
-    page_level = (pages.withColumn("_l", F.lower("text"))
-                  .select("doc", "page", F.expr(f"array_max(filter(array({hits}), x -> x IS NOT NULL))").alias("b"),
-                          F.expr(f"nullif(trim(BOTH ' .' FROM regexp_extract(text, {q(fixed.DOC_MPN_RX)}, 1)), '')").alias("m")))
+    return (_settled(page_program(pages, cells)).where("key IS NOT NULL")
+            .select("doc", "key", "w.value", F.concat(F.lit("page "), F.col("w.page").cast("string")).alias("locator"), "w.strategy"))
+
+
+def brand_table(spark) -> DataFrame:
+    """(probe, canonical, pos) of the known brand spellings, lower case."""
+    return spark.createDataFrame([(p, c, i) for i, (p, (c, _, _)) in enumerate(fixed.BRANDS.items())], "probe string, canonical string, pos int")
+
+
+def _brands(pages: DataFrame, brands: DataFrame) -> DataFrame:
+    """(doc, page, m, b): pages with their labelled part number and longest known brand.
+
+    A spelling is filed under its first word run and proposed by the page's own word runs; what is proposed is
+    confirmed at word boundaries.  Many brands make neither the plan nor a page's cost longer.
+    """
+    rx = F.concat(F.lit("\\b"), F.regexp_replace("probe", "([^A-Za-z0-9 _])", r"\\$1"), F.lit("\\b"))
+    entries = durable(brands.select(F.regexp_extract("probe", r"\w+", 0).alias("run"), F.length("probe").alias("n"), (-F.col("pos")).alias("p"), F.col("canonical").alias("c"), "probe", rx.alias("rx")))
+    mpn = f"nullif(trim(BOTH ' .' FROM regexp_extract(text, {q(fixed.DOC_MPN_RX)}, 1)), '')"
+    runs = "array_distinct(concat(regexp_extract_all(l, '\\\\w+', 0), array('')))"
+    fits = "contains(l, p.probe) AND l RLIKE p.rx"
+    if entries.limit(BRANDS_HELD + 1).count() <= BRANDS_HELD:
+        with held(filing(entries)) as table:
+            found = let("ix", table, let("l", "lower(text)", f"array_max(transform(filter(flatten(transform({runs}, r -> {filed('slots', 'r')})), p -> {fits}), p -> named_struct('n', p.n, 'p', p.p, 'c', p.c)))"))
+            return stage(pages, b=found, m=mpn).select("doc", "page", "m", "b")
+    words = pages.select("doc", "page", F.expr(mpn).alias("m"), F.lower("text").alias("l"), F.explode(F.expr(let("l", "lower(text)", runs))).alias("run"))
+    met = words.join(entries, "run", "left").withColumn("b", F.expr("CASE WHEN contains(l, probe) AND l RLIKE rx THEN struct(n, p, c) END"))
+    return met.groupBy("doc", "page").agg(F.max("m").alias("m"), F.max("b").alias("b"))
+
+
+def document_identity(pages: DataFrame, brands: DataFrame | None = None) -> DataFrame:
+    """Longest known brand, labelled part number, first heading-like line.
+
+    ``brands`` (probe in lower case, canonical, pos) defaults to the known ones.
+    """
+    page_level = _brands(pages, brand_table(pages.sparkSession) if brands is None else brands)
     who = page_level.groupBy("doc").agg(F.max("b").alias("b"),
                                         F.min_by("m", F.when(F.col("m").isNotNull(), F.col("page"))).alias("mpn"))
     words = " OR ".join(f"contains(lower(t), {q(w)})" for w in fixed.HEADING_BOILERPLATE)
@@ -172,18 +215,13 @@ def document_identity(pages: DataFrame) -> DataFrame:
     return who.join(heading, "doc", "left").select("doc", F.col("b.c").alias("brand"), "mpn", "name")
 
 
-def ingest_report(pages: DataFrame, specs: DataFrame) -> DataFrame:
-    """Pages, characters, pairs, strategies and notes per document."""
-    text = pages.groupBy("doc").agg(F.count("*").alias("pages"),
-                                    (F.sum(F.length("text")) + F.count("*") - 1).alias("text_chars"),
-                                    F.max(F.trim("text") != "").alias("_has"))
-    pairs = specs.groupBy("doc").agg(F.count("*").alias("spec_pairs"),
-                                     F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategies"))
-    return (text.join(pairs, "doc", "left")
-            .select("doc", "pages", "text_chars", F.coalesce("spec_pairs", F.lit(0)).alias("spec_pairs"),
-                    F.coalesce("strategies", F.lit("")).alias("strategies"),
-                    F.expr("CASE WHEN spec_pairs IS NULL AND NOT _has THEN 'No text layer found. This is likely a scanned"
-                           " PDF; OCR would be required to read it.' WHEN spec_pairs IS NULL THEN 'No spec table detected"
+def ingest_report(pages: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Pages, characters, pairs, strategies and notes per document, from one reading of its pages."""
+    return (_settled(page_program(pages, cells)).groupBy("doc")
+            .agg(F.sum("texts").alias("pages"), (F.sum("chars") + F.sum("texts") - 1).alias("text_chars"), F.max("filled").alias("_has"),
+                 F.count("key").alias("spec_pairs"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("key").isNotNull(), F.col("w.strategy")))), ",").alias("strategies"))
+            .where("pages > 0")
+            .select("doc", "pages", "text_chars", "spec_pairs", "strategies",
+                    F.expr("CASE WHEN spec_pairs = 0 AND NOT _has THEN 'No text layer found. This is likely a scanned"
+                           " PDF; OCR would be required to read it.' WHEN spec_pairs = 0 THEN 'No spec table detected"
                            " — the full text was passed through for pattern extraction instead.' ELSE '' END").alias("note")))
-
-

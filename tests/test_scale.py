@@ -13,6 +13,7 @@ from specloom.operators import extract as E, learn as L, nearby
 from specloom.operators.classify import classify
 from specloom.operators.normalize import normalize
 from specloom.plans.taxonomy import Taxonomy
+from specloom.sources import documents as D
 
 
 def plan(df):
@@ -191,3 +192,46 @@ def test_keys_are_mapped_alike_by_lookup_and_row_by_row(spark, product, product_
     by_row, two = mapped()
     assert one == two and any(m for _, m, _ in one)
     assert "ArrowEvalPython" not in plan(by_lookup).toString() and "ArrowEvalPython" in plan(by_row).toString()
+
+
+# ---- documents ----
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_documents_are_read_once(spark, tmp_path):
+    text = "\n".join(["Title  here", "Bore Diameter ..... 25 mm", "Width: 12 mm", "Seal type: 2RS"] + [f"Part number {i}   value{i}   " for i in range(3)])
+    spark.createDataFrame([(d, p, text if d else "") for d in range(3) for p in (1, 2)], "doc int, page int, text string").write.parquet(str(tmp_path / "pages"))
+    cells = [(d, 2, 0, r, c, t) for d in (0, 1) for r, row in enumerate([["Parameter", "Value", "Note"], ["Width", "14 mm", "x"], ["", "", ""], ["Finish", "black", ""]]) for c, t in enumerate(row)]
+    spark.createDataFrame(cells, "doc int, page int, tbl int, row int, col int, text string").write.parquet(str(tmp_path / "cells"))
+    pages, grid = spark.read.parquet(str(tmp_path / "pages")), spark.read.parquet(str(tmp_path / "cells"))
+    for df, exchanges in ((D.document_specs(pages, grid), 3), (D.ingest_report(pages, grid), 4)):
+        done = executed(df)
+        assert done.count("FileScan") == 2 and done.count("Exchange hashpartitioning") <= exchanges and "Join" not in done
+    got = {(r["doc"], r["key"]): (r["value"], r["locator"], r["strategy"]) for r in D.document_specs(pages, grid).collect()}
+    assert got[1, "Width"] == ("12 mm", "page 1", "text:line-pairs") and got[0, "Width"] == ("14 mm", "page 2", "table:lines")
+    assert got[1, "Finish"] == ("black", "page 2", "table:lines") and (2, "Finish") not in got
+    report = {r["doc"]: r for r in D.ingest_report(pages, grid).collect()}
+    assert report[0]["pages"] == 2 and report[0]["spec_pairs"] == 2 and report[0]["strategies"] == "table:lines"
+    assert report[2]["text_chars"] == 2 * len(text) + 1 and report[2]["strategies"] == "text:line-pairs" and report[2]["note"] == ""
+
+
+def test_columns_of_a_long_page(spark):
+    text = "\n".join(f"Label {chr(97 + i % 26)}{'':{4}}value {i}" for i in range(3000)) + "\nsome longer prose  with a gap" + "\n\n"
+    got = D.column_pairs(spark.createDataFrame([(1, 1, text)], "doc int, page int, text string"))
+    assert got.count() == 3000
+    assert D.column_pairs(spark.createDataFrame([(1, 1, ""), (2, 1, None), (3, 1, "a b  c d")], "doc int, page int, text string")).count() == 0
+
+
+def test_brands_by_index_and_by_join(spark, monkeypatch):
+    brands = spark.range(100_000).selectExpr("concat('maker', id, ' co.') AS probe", "concat('Maker ', id) AS canonical", "CAST(id AS INT) AS pos")
+    pages = spark.createDataFrame([(1, 1, "A Maker77 Co. product, part no: X-1\nby maker77777 co.x"), (2, 1, "maker12"), (3, 1, None), (1, 2, "more of MAKER100 CO.s and maker99999 co.a")], "doc int, page int, text string")
+    few, many = D.document_identity(pages, brands.limit(10)), D.document_identity(pages, brands)
+    nodes = lambda df: len(plan(df).toString().split("\n"))
+    assert nodes(few) == nodes(many)
+    one = sorted(map(tuple, many.collect()), key=str)
+    monkeypatch.setattr(D, "BRANDS_HELD", 10)
+    assert sorted(map(tuple, D.document_identity(pages, brands).collect()), key=str) == one
+    assert {r[0]: r[1] for r in one} == {1: "Maker 77777", 2: None, 3: None}
