@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import escape_rx
+from ..functions.stage import shared_folder
 from ..operators import classify as C, normalize as N
 from ..plans.taxonomy import Taxonomy, brand_listing
 from ..plans.testbed import PRODUCTS, SPEC_ROWS, products, view
@@ -267,3 +268,17 @@ def supplier_csv(spark, sf):
       CASE WHEN p_size % 5 <> 0 THEN CAST(p_size AS STRING) ELSE '' END AS `Size (mm)`, p_type AS Finish FROM {part}""", "part")
     return feeds.shape_supplier(raw, "row_id").select("id", "name", "brand", "price", F.expr(
         "array_join(transform(specs, s -> concat(s.key, '=', s.value)), ' | ')").alias("specs"))
+
+
+@query("supplier_file", """
+SELECT l_orderkey * 10 + l_linenumber AS sku, 'Item ' || CAST(l_partkey AS STRING) || CASE WHEN l_linenumber % 3 = 0 THEN chr(10) || 'second "line", more' ELSE '' END AS name, CAST(1000 + l_quantity AS DOUBLE) AS price,
+  concat_ws(' | ', 'Size (mm)=' || CAST(CAST(l_quantity AS BIGINT) AS STRING), CASE WHEN l_linenumber % 2 = 0 THEN 'Notes=a' || chr(10) || chr(10) || 'b ""c""' END) AS specs FROM {lineitem}""")
+def supplier_file(spark, sf):
+    """A supplier's CSV file of all order lines, quoted line breaks included, written and read back in byte ranges."""
+    rows = view(spark, sf, """SELECT l_orderkey * 10 + l_linenumber AS SKU, 'Item ' || CAST(l_partkey AS STRING) || CASE WHEN l_linenumber % 3 = 0 THEN char(10) || 'second "line", more' ELSE '' END AS Name,
+      '1,0' || lpad(CAST(CAST(l_quantity AS BIGINT) AS STRING), 2, '0') || '.00' AS Price, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS `Size (mm)`,
+      CASE WHEN l_linenumber % 2 = 0 THEN 'a' || char(10) || char(10) || 'b ""c""' ELSE '' END AS Notes FROM {lineitem}""", "lineitem")
+    path = shared_folder(spark, "feed")
+    rows.write.csv(path, header=True, quoteAll=True, escape='"')
+    return feeds.read_supplier_csv(spark, path).select(F.col("sku").cast("bigint").alias("sku"), "name", "price", F.expr(
+        "array_join(transform(specs, s -> concat(s.key, '=', s.value)), ' | ')").alias("specs"))

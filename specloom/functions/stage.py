@@ -12,7 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def stage(df: DataFrame, **columns: str | Column) -> DataFrame:
@@ -33,18 +33,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: evaluated once, short lineage.
-
-    The folder is the one spark.checkpoint.dir names; a temporary one is set only where the
-    session names none, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str = "stage") -> str:
+    """A new folder below the one spark.checkpoint.dir names; below a temporary one only if a local session, as in tests, names none."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if base is None:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: evaluated once, short lineage."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

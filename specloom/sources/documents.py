@@ -194,7 +194,7 @@ def _brands(pages: DataFrame, brands: DataFrame) -> DataFrame:
         with held(filing(entries)) as table:
             found = let("ix", table, let("l", "lower(text)", f"array_max(transform(filter(flatten(transform({runs}, r -> {filed('slots', 'r')})), p -> {fits}), p -> named_struct('n', p.n, 'p', p.p, 'c', p.c)))"))
             return stage(pages, b=found, m=mpn).select("doc", "page", "m", "b")
-    words = pages.select("doc", "page", F.expr(mpn).alias("m"), F.lower("text").alias("l"), F.explode(F.expr(let("l", "lower(text)", runs))).alias("run"))
+    words = pages.select("doc", "page", F.expr(mpn).alias("m"), F.lower("text").alias("l"), F.explode_outer(F.expr(let("l", "lower(text)", runs))).alias("run"))
     met = words.join(entries, "run", "left").withColumn("b", F.expr("CASE WHEN contains(l, probe) AND l RLIKE rx THEN struct(n, p, c) END"))
     return met.groupBy("doc", "page").agg(F.max("m").alias("m"), F.max("b").alias("b"))
 

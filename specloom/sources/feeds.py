@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import fixed
 from ..functions.text import in_list, let, q, squash
 from ..plans.taxonomy import brand_row
+from .split_csv import read_csv
 
 _EMPTY_SPECS = "CAST(array() AS ARRAY<STRUCT<key:STRING,value:STRING,locator:STRING>>)"
 
@@ -24,12 +25,16 @@ def read_supplier_csv(spark: SparkSession, path: str, line_breaks: bool = True)
     """Supplier CSV with a header to products.
 
     Ids come from the file's name and the row, so they do not change with partitioning; rows
-    that repeat within a file share one.  Set ``line_breaks`` to false for files whose quoted
-    cells hold none: such files are split over many tasks.
+    that repeat within a file share one.  Files are split over many tasks; where ``line_breaks`` is
+    false, quoted cells are taken to hold no line break, which saves counting quotes.
     """
-    raw = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"', encoding="UTF-8")
-    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return shape_supplier(raw.withColumn("_row_id", F.xxhash64(file, *[F.col(f"`{c}`") for c in raw.columns])), "_row_id")
+    if line_breaks:
+        raw = read_csv(spark, path)
+    else:
+        raw = spark.read.csv(path, header=True, escape='"', encoding="UTF-8")
+        raw = raw.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_file"), "*")
+    row_id = F.xxhash64("_file", *[F.col(f"`{c}`") for c in raw.columns if c != "_file"])
+    return shape_supplier(raw.withColumn("_row_id", row_id).drop("_file"), "_row_id")
 
 
 def shape_supplier(raw: DataFrame, id_column: str | None = None) -> DataFrame:

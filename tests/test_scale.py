@@ -14,6 +14,7 @@ from specloom.operators.classify import classify
 from specloom.operators.normalize import normalize
 from specloom.plans.taxonomy import Taxonomy
 from specloom.sources import documents as D
+from specloom.sources.split_csv import csv_records, read_csv
 
 
 def plan(df):
@@ -235,3 +236,30 @@ def test_brands_by_index_and_by_join(spark, monkeypatch):
     monkeypatch.setattr(D, "BRANDS_HELD", 10)
     assert sorted(map(tuple, D.document_identity(pages, brands).collect()), key=str) == one
     assert {r[0]: r[1] for r in one} == {1: "Maker 77777", 2: None, 3: None}
+
+
+# ---- supplier files ----
+
+def test_csv_with_line_breaks_is_read_in_ranges(spark, tmp_path):
+    rng = random.Random(7)
+    cells = ["plain", "a, b", 'say "hi"', "two\nlines", "x\n\n\ny", '"', "", "ends\n", "\nstarts", "é" * 40, "crlf\r\nin cell", 'q""q\n"z"']
+    for name, eol in (("a.csv", "\n"), ("b.csv", "\r\n"), ("c.csv", "\n")):
+        lines = ["id,Name,Free Text"]
+        for i in range(400):
+            row = [f"{name}{i}", rng.choice(cells), rng.choice(cells)]
+            lines.append(",".join('"' + c.replace('"', '""') + '"' if i % 3 or any(x in c for x in '",\r\n') else c for c in row))
+            if rng.random() < 0.05:
+                lines.append("")
+        (tmp_path / name).write_bytes((eol.join(lines) + (eol if name != "c.csv" else "")).encode())
+    read = spark.read.csv(str(tmp_path), header=True, multiLine=True, escape='"')
+    want = sorted((tuple(None if c is None else c.replace("\r\n", "\n") for c in r) for r in read.collect()), key=str)
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300", "4000", "134217728"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = read_csv(spark, str(tmp_path))
+            tasks = csv_records(spark, str(tmp_path)).select("file", "start").distinct().count()
+            assert sorted((tuple(r)[1:] for r in got.collect()), key=str) == want
+            assert tasks > 100 if size == "300" else tasks >= 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
