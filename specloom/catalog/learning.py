@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.stage import shared_folder
 from ..functions.text import q
 from ..operators import incremental as H, learn as L, measure as M, vocabulary as V
+from ..operators.proposal_store import ProposalStore
 from ..plans.taxonomy import Taxonomy
 from ..plans.testbed import view
 from .registry import ORACLES, query, values
@@ -255,6 +257,22 @@ def proposal_review(spark, sf):
     return L.by_status(L.review(view(spark, sf, _PR, "orders"), d))
 
 
+_DC = "SELECT o_orderkey AS id, CASE o_custkey % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'revoke' END AS decision FROM {orders} WHERE o_custkey % 4 = 0"
+
+
+@query("proposal_store", f"""WITH e AS ({_PR}), n AS ({_NW}), d AS ({_DC}), u AS (SELECT coalesce(e.id, n.id) AS id, CASE WHEN n.id IS NULL OR coalesce(e.status, 'pending') <> 'pending' THEN e.status ELSE n.status END AS status,
+  CASE WHEN n.id IS NULL OR coalesce(e.status, 'pending') <> 'pending' THEN e.noun ELSE n.noun END AS noun FROM e FULL JOIN n ON e.id = n.id)
+SELECT u.id, noun, u.status AS before, CASE decision WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' WHEN 'revoke' THEN CASE WHEN status = 'approved' THEN 'pending' ELSE status END ELSE status END AS status FROM u LEFT JOIN d USING (id)""")
+def proposal_store(spark, sf):
+    """Two merges, the second one repeated, and decisions, in a stored table; its last two versions."""
+    store = ProposalStore(spark, shared_folder(spark, "proposals"), "id bigint, status string, noun string")
+    store.merge(view(spark, sf, _PR, "orders"))
+    for _ in range(2):
+        merged = store.merge(view(spark, sf, _NW, "orders"), "feed", 1)
+    decided = store.decide(view(spark, sf, _DC, "orders"))
+    return store.read(decided).join(store.read(merged).select("id", F.col("status").alias("before")), "id").select("id", "noun", "before", "status")
+
+
 _CURATED = values([(c["code"], a["key"], a["type"], a["unit"], a["group"]) for c in fixed.CATEGORIES for a in c["attributes"]], "code", "key", "type", "unit", "grp", name="cu")
 
 
