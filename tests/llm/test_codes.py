@@ -298,3 +298,48 @@ def test_links_join_all_groups_of_a_tile():
             assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+
+
+# ---- columns of any name, numbers of any size ----
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as pipeline
+    words = "the quick brown fox jumps over the lazy dog near the river bank today"
+    rows = [(i, f"{words} number {i} password = abcdefghijklm{i}" if i % 2 else words, "en", f"s{i % 2}", 5) for i in range(8)] + [(8, None, None, None, None)]
+    clash = ["score", "lang_pred", "hex", "assign", "access", "markov", "spans", "size", "target", "taken", "source_size", "__key", "__block", "__text", "__h", "__id", "__many", "__done",
+             "__short", "__n", "__s", "__whole", "node", "row", "root", "family", "grams", "nid", "bitmap", "tile", "m", "token"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in clash])
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, None)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in clash), name
+    assert pipeline.STAGES[-1][1](spark, docs, None).count() == 9
+
+
+@pytest.mark.parametrize("scale", [1e-300, 1e-200, 1.0, 1e200, 1e300])
+def test_nearest_vectors_of_any_size(spark, scale):
+    from specloom.llm import neighbours
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=6) * scale * 10.0 ** rng.integers(-3, 4) for i in range(60)}
+    vectors[61] = np.full(6, 5e-324)
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(table, table.vec_id % 20 == 0).collect()}
+    unit = {i: (u := v / np.abs(v).max()) / np.sqrt((u * u).sum()) for i, v in vectors.items()}
+    for query in (0, 20, 40):
+        want = sorted(((-float(unit[query] @ unit[i]), i) for i in unit if i != query))[:5]
+        for rank, (score, i) in enumerate(want, 1):
+            assert got[query, rank][0] == i and abs(got[query, rank][1] + score) < 1e-12
+
+
+def test_special_tokens_have_the_ids_of_the_tokenizer(docs):
+    from tokenizers import Tokenizer
+    from specloom.llm import packing, queries
+    path = queries.tokenizer_path()
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext|>", "two  <|endoftext|> blanks", "end <|endoftext|>", "don't stop, it's (fine)... ok\n\nnew\tline  two", "é è 日本 語 z", "a" * 5000 + " b", " lead", "trail ", ""]
+    plain = Tokenizer.from_file(path)
+    want = {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    got = {r.doc_id: r.doc_tokens for r in packing.cut(docs(list(enumerate(texts))), path).collect()}
+    assert got == want
+    coder = packing.TokenBytes(path)
+    assert coder(texts * 2) == [np.array(plain.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts * 2]
