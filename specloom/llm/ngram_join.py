@@ -44,8 +44,8 @@ SKETCH = 1 << 20
 CHUNKS = 64
 #: Rows of one token that a task holds.
 TOKEN_ROWS = 8192
-#: Tables of ids up to this many rows are broadcast.
-BROADCAST_ROWS = 200_000
+#: Tables of ids and hashes, 17 bytes a row, up to this many rows are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def short(node: bytes | None) -> int | None:
