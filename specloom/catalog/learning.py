@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -50,6 +52,16 @@ def vocabulary_resolve(spark, sf):
     return _resolved(spark, sf).groupBy("key", "value", "classpath", "approved", "method", "checked").agg(F.count("*").alias("rows"))
 
 
+@query("vocabulary_files", _VC + " SELECT key, value, classpath, approved, method, checked, count(*) AS rows FROM rv GROUP BY ALL")
+def vocabulary_files(spark, sf):
+    """V1, V2: values resolved by lists that are read from JSON files."""
+    lists = {"source": "files", "classpaths": {path: {"applies_to": [], "attributes": attrs} for path, attrs in fixed.LOV.items()}}
+    path = shared_folder(spark, "lists")
+    spark.createDataFrame([(json.dumps(lists),)], "value string").coalesce(1).write.text(path)
+    rows = V.resolve(view(spark, sf, _VALS, "lineitem"), *V.read_lov(spark, path))
+    return rows.groupBy("key", "value", "classpath", "approved", "method", "checked").agg(F.count("*").alias("rows"))
+
+
 @query("vocabulary_suggestions")
 def vocabulary_suggestions(spark, sf):
     """V3"""

@@ -500,14 +500,14 @@ def _full(spark, sf):
     return score(Q.validate(T.compliance(T.copywrite(_bed(spark, sf))), standards=False))
 
 
-_SHEET = ["power_rating", "voltage", "phase"]
+_SHEET = ["phase", "voltage", "full_load_current", "frame_size", "power_rating", "speed"]
 
 
 @query("export_sheet", f"""WITH {_A}, {_R}, p AS (SELECT id, {', '.join(f"max(val || coalesce(' ' || unit, '')) FILTER (WHERE key = '{k}') AS {k}, max(prov) FILTER (WHERE key = '{k}') AS {k}_p" for k in _SHEET)} FROM a GROUP BY id)
 SELECT sku, mpn, coalesce(brand, '') AS brand, '{MOTOR}' AS category_code, '{' > '.join(_motor['path'])}' AS category_path, {', '.join(f"coalesce({k}, '') AS {k}, coalesce({k}_p, '') AS {k}_provenance" for k in _SHEET)} FROM r LEFT JOIN p USING (id)""")
 def export_sheet(spark, sf):
     """X1, X2, X3"""
-    rows = X.to_rows(_full(spark, sf), "catalog_csv", keys=_SHEET)
+    rows = X.to_rows(_full(spark, sf), "catalog_csv")
     return rows.select("sku", "mpn", "brand", "category_code", "category_path", *[c for k in _SHEET for c in (
         F.col(k), F.col(f"`{k}.provenance`").alias(f"{k}_provenance"))])
 
@@ -523,7 +523,7 @@ def export_columns(spark, sf):
 SELECT sku, mpn, coalesce(brand, '') AS brand, {', '.join(f"coalesce({k}, '') AS {k}, coalesce({k}__provenance, '') AS {k}__provenance, coalesce(CAST({k}__c AS STRING), '') AS {k}__confidence, CASE WHEN {k} IS NULL THEN '' ELSE 'https://x.example' END AS {k}__source" for k in _SHEET)} FROM r LEFT JOIN p USING (id)""")
 def audit_sheet(spark, sf):
     """X6"""
-    rows = X.audit_rows(_full(spark, sf), keys=_SHEET)
+    rows = X.audit_rows(_full(spark, sf))
     return rows.select("sku", "mpn", "brand", *[k + s for k in _SHEET for s in ("", "__provenance", "__confidence", "__source")])
 
 
