@@ -263,3 +263,22 @@ def test_csv_with_line_breaks_is_read_in_ranges(spark, tmp_path):
             assert tasks > 100 if size == "300" else tasks >= 3
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+
+
+# ---- small files ----
+
+@pytest.mark.parametrize("made", ["_html", "_pages", "_cells"])
+def test_text_made_of_a_small_file_is_made_by_every_core(spark, tmp_path, made):
+    from specloom.catalog import sources
+    spark.range(1000).selectExpr("id AS p_partkey", "'n' AS p_name", "'t' AS p_type", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = getattr(sources, made)(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) >= spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in rows) <= 2 * min(r["count"] for r in rows)
+
+
+def test_splits_without_rows_do_not_count_as_work_for_every_core(spark):
+    from specloom.functions.stage import spread
+    cores = spark.sparkContext.defaultParallelism
+    lean = spark.createDataFrame(spark.sparkContext.parallelize(range(cores), cores).flatMap(lambda i: [(j,) for j in range(400)] if i == 0 else []), "id int")
+    assert lean.rdd.getNumPartitions() == cores
+    assert {r["count"] for r in spread(lean).groupBy(F.spark_partition_id()).count().collect()} == {400 // cores}
