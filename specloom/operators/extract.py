@@ -44,13 +44,14 @@ def _key_index(df: DataFrame, taxonomy: Taxonomy) -> DataFrame | None:
     return filing(scores) if scores.limit(LOOKUP_SCORES + 1).count() <= LOOKUP_SCORES else None
 
 
-def map_specs(df: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+def map_specs(df: DataFrame, taxonomy: Taxonomy, source: DataFrame | None = None) -> DataFrame:
     """Supplier keys to attributes, greedy in supplier order.
 
     Adds ``mapped`` (spec index, attribute index, score) and ``unmapped`` (key, value).  Distinct keys
     are scored once, as a join, and looked up; only beyond LOOKUP_KEYS of them is each row scored in Python.
+    ``source`` has the rows of ``df`` before their schema was joined: reading keys from it classifies none.
     """
-    index = _key_index(df, taxonomy)
+    index = _key_index(df if source is None else source, taxonomy)
     if index is None:
         udf = similarity_matrix(taxonomy.names_by_code)
         scored = udf(F.expr("transform(specs, s -> s.key)"), F.col("category.code"))
@@ -209,7 +210,7 @@ def prose_claims(df: DataFrame) -> DataFrame:
 def extract(df: DataFrame, spark: SparkSession, taxonomy: Taxonomy | None = None) -> DataFrame:
     """E1-E13 on classified products; adds ``schema``, ``extracted``, ``unmapped``."""
     taxonomy = taxonomy or Taxonomy()
-    df = map_specs(attach_schema(df, spark, taxonomy), taxonomy)
+    df = map_specs(attach_schema(df, spark, taxonomy), taxonomy, df)
     df = prose_claims(spec_claims(enum_texts(prose_candidates(df), taxonomy)))
     return stage(df, extracted=f"concat(coalesce(from_specs, {NO_ATTRIBUTES}), from_text)").drop(
         "_cand", "_fuzzy", "from_specs", "from_text", "mapped", "_hits")

@@ -282,3 +282,15 @@ def test_splits_without_rows_do_not_count_as_work_for_every_core(spark):
     lean = spark.createDataFrame(spark.sparkContext.parallelize(range(cores), cores).flatMap(lambda i: [(j,) for j in range(400)] if i == 0 else []), "id int")
     assert lean.rdd.getNumPartitions() == cores
     assert {r["count"] for r in spread(lean).groupBy(F.spark_partition_id()).count().collect()} == {400 // cores}
+
+
+def test_supplier_keys_are_read_without_classifying(spark, product, product_df, monkeypatch):
+    seen, real = [], E._key_index
+    def index(df, taxonomy):
+        keys = df.select(F.explode("specs.key").alias("key")).distinct()
+        seen.append(plan(keys).toString())
+        return real(df, taxonomy)
+    monkeypatch.setattr(E, "_key_index", index)
+    records = classify(normalize(product_df([product(1, {"Bore": "25 mm"}, name="Deep groove ball bearing 6205"), product(2, None, name=None)])))
+    rows = E.extract(records, spark).select("id", F.size("extracted").alias("n")).collect()
+    assert len(rows) == 2 and len(seen) == 1 and "array_sort" not in seen[0] and "Join" not in seen[0]
