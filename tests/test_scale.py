@@ -265,6 +265,12 @@ def test_csv_with_line_breaks_is_read_in_ranges(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
 
 
+def test_csv_lines_are_numbered_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,Name\n1,"two\nlines"\n2,plain\n3,"x\n\ny"\n')
+    records = csv_records(spark, str(tmp_path))
+    assert "MapInArrow" not in plan(records).toString() and records.count() == 4
+
+
 # ---- small files ----
 
 @pytest.mark.parametrize("made", ["_html", "_pages", "_cells"])
