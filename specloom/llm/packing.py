@@ -38,13 +38,13 @@ END_ID = 1
 #: Hash blocks by which a length class is ranked.
 BLOCKS = 1024
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 SHORT = 12
 #: Chunks given to the tokenizer in one text, and the character that stands for a blank in its vocabulary.
 JOINED = 1000
 BLANK = "\u0120"
 #: Characters of the texts that are split into words at a time.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 4_000_000
 
 
 def column_generation(demand: np.ndarray, capacity: int, limit: int = 4000) -> list[tuple[np.ndarray, float]]:
