@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
 from ..functions import style, units
+from ..functions.stage import stage
 from ..operators import claims as C, reconcile as R
 from ..plans.testbed import CLAIM_RANK, CLAIMS, MEASURES, view
 from .registry import query, values
@@ -156,10 +157,10 @@ SELECT id, count(*) AS rows, min(a) AS abbreviation, min(fr) AS fraction,
 def house_style_measure(spark, sf):
     """T5, T6, T8, T9"""
     df = view(spark, sf, _STYLED, "lineitem").withColumn("val", F.lit(None).cast("string"))
-    df = df.withColumns({
-        "a": F.expr(f"{style.approved_unit('unit')}.abbr"), "f": F.expr(style.to_fraction("v")),
-        "w": F.expr(style.measurement("val", "v", "unit", False)), "c": F.expr(style.measurement("val", "v", "unit", True)),
-        "b": F.expr(style.value_only("CAST(v AS STRING)", "v", "unit"))})
+    # Written before the minima are taken, or each would write a value again for every comparison.
+    df = stage(df, a=f"{style.approved_unit('unit')}.abbr", f=style.to_fraction("v"),
+               w=style.measurement("val", "v", "unit", False), c=style.measurement("val", "v", "unit", True),
+               b=style.value_only("CAST(v AS STRING)", "v", "unit"))
     return df.groupBy("id").agg(F.count("*").alias("rows"), F.min("a").alias("abbreviation"), F.min("f").alias("fraction"),
                                 F.min("w").alias("written"), F.min("c").alias("compact"), F.min("b").alias("bare"))
 
