@@ -21,30 +21,32 @@ an empty table gives no pieces; columns of the input other than the id and text
 from __future__ import annotations
 
 import os
-import string
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T, Window
 
-from .shared import light, process_state, stored
+from .shared import batch_bytes, light, process_state, stored
 
 CAPACITY = 2048
 UNIT = 8
 END_ID = 1
 #: Hash blocks by which a length class is ranked.
 BLOCKS = 1024
-#: Words whose ids a worker remembers.
+#: Chunks whose ids a worker remembers; some 50 bytes each.
 REMEMBERED = 200_000
-SHORT = 12
+BREAK = "^[\\r\\n]"
+#: A run of letters, maybe after line breaks, and what follows it in the chunk.
+LETTERS = "^(?P<head>[\\r\\n]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(?P<rest>(?s)[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\\pL].*)$"
 #: Chunks given to the tokenizer in one text, and the character that stands for a blank in its vocabulary.
 JOINED = 1000
 BLANK = "\u0120"
-#: Characters of the texts that are split into words at a time.
-RUN_CHARS = 4_000_000
+#: Characters of the texts that are split into chunks at a time.
+RUN_CHARS = 2_000_000
+#: Bytes of ids and texts that a task is given at a time.
+BATCH_BYTES = 4 << 20
 
 
 def column_generation(demand: np.ndarray, capacity: int, limit: int = 4000) -> list[tuple[np.ndarray, float]]:
@@ -120,14 +122,25 @@ def whole_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray,
     return out + [(b[1], 1) for b in bins]
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(lens)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+    at = np.repeat((starts - (ends - lens)).astype(kind), lens)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
+
+
 class TokenBytes:
     """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    Between two characters that are not white space a single blank always starts a new
-    pre-token, and so does punctuation after letters.  The ids of a text are therefore those of
-    its blank-separated chunks, and each chunk is given to the tokenizer once, letters and
-    punctuation apart, many chunks in one text: a token that starts with a blank starts a chunk.
-    Texts with other blanks go to the tokenizer whole.
+    Between two characters that are not white space a single blank or a line break always starts
+    a new pre-token, and so does what follows a run of letters.  The ids of a text are therefore
+    those of its chunks, which start at a blank or with line breaks.  The distinct chunks of many
+    texts are looked up in columns; of an unseen one, the letters it begins with and the rest are
+    given to the tokenizer once each, many chunks in one text: a token that starts with a blank
+    starts a chunk.  Texts with other blanks go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -137,61 +150,107 @@ class TokenBytes:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.blank = np.zeros(1 + max(vocabulary.values()), bool)
         self.blank[[i for token, i in vocabulary.items() if token.startswith(BLANK)]] = True
-        self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_string())  # remembered chunks; each one's ids are a stretch of flat
+        self.flat = np.zeros(0, np.uint32)
+        self.starts, self.lens, self.uses = (np.zeros(0, np.int64) for _ in range(3))
 
     @classmethod
     def of_process(cls, path: str) -> TokenBytes:
         """The instance of this worker process: it outlives a task, and so does what it remembers."""
         return process_state("packing", path, lambda: cls(path))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in made]
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks, each after a blank; chunks neither start nor end with white space."""
-        parts = [chunks[i:i + JOINED] for i in range(0, len(chunks), JOINED)]
-        out: list[bytes] = []
-        for part, data in zip(parts, self.encode([" " + " ".join(part) for part in parts])):
-            edges = np.append(np.flatnonzero(self.blank[np.frombuffer(data, np.uint32)]) * 4, len(data)).tolist()
-            if len(edges) == len(part) + 1 and edges[0] == 0:
-                out += [data[a:b] for a, b in zip(edges, edges[1:])]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after the other, and how many each text has."""
+        made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *made]), np.array([len(x) for x in made], np.int64)
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of chunks, each after a blank; chunks neither start nor end with white space."""
+        out, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(chunks), JOINED):
+            part = chunks[i:i + JOINED]
+            ids, _ = self.encode([" " + " ".join(part)])
+            edges = np.flatnonzero(self.blank[ids])
+            if len(edges) == len(part) and edges[0] == 0:
+                own = np.diff(np.append(edges, len(ids)))
             else:  # a vocabulary that writes blanks in another way
-                out += self.encode([" " + c for c in part])
-        return out
+                ids, own = self.encode([" " + c for c in part])
+            out.append(ids)
+            lens.append(own)
+        return np.concatenate(out), np.concatenate(lens)
+
+    def add(self, words: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lens) - lens)
+        self.flat = np.append(self.flat, ids)
+        self.lens = np.append(self.lens, lens)
+        self.uses = np.append(self.uses, np.zeros(len(words), np.int64))
+
+    def forget(self, room: int) -> None:
+        """Keep the ``room`` chunks that the most runs have used."""
+        kept = np.sort(np.argpartition(self.uses, -room)[-room:])
+        self.flat = _gather(self.flat, self.starts[kept], self.lens[kept])
+        self.words, self.lens, self.uses = self.words.take(pa.array(kept)), self.lens[kept], self.uses[kept] // 2
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def learn(self, chunks: pa.Array) -> None:
+        """Remember the ids of distinct chunks not seen before, those after a blank with the blank's."""
+        split = pc.extract_regex(chunks, LETTERS)
+        both, alone = chunks.filter(split.is_valid()), chunks.filter(split.is_null())
+        heads = split.field("head").filter(split.is_valid()).dictionary_encode()
+        rests = split.field("rest").filter(split.is_valid()).dictionary_encode()
+        size, head = len(self.words), pc.index_in(heads.dictionary, value_set=self.words)
+        unseen = heads.dictionary.filter(head.is_null())
+        plain = pa.concat_arrays([alone, unseen.filter(pc.index_in(unseen, value_set=alone).is_null())])
+        broken = pc.match_substring_regex(plain, BREAK)
+        own, after = plain.filter(broken), plain.filter(pc.invert(broken))
+        self.add(after, *self.encode_chunks(after.to_pylist()))
+        self.add(own, *self.encode(own.to_pylist()))
+        if len(both):
+            ids, lens = self.encode(rests.dictionary.to_pylist())
+            place = head.fill_null(-1).to_numpy().copy()
+            place[place < 0] = pc.index_in(unseen, value_set=self.words.slice(size)).to_numpy() + size
+            place, mark = place[heads.indices.to_numpy()], rests.indices.to_numpy()
+            starts = np.stack([self.starts[place], len(self.flat) + (np.cumsum(lens) - lens)[mark]], 1).ravel()
+            pairs = np.stack([self.lens[place], lens[mark]], 1)
+            self.add(both, _gather(np.append(self.flat, ids), starts, pairs.ravel()), pairs.sum(axis=1))
 
-    def learn(self, chunks: set[str]) -> None:
-        """Remember the ids of chunks after a blank."""
-        whole, split = [], []
-        for chunk in chunks:
-            letters = chunk.rstrip(string.punctuation)
-            if len(letters) < len(chunk) and letters.isalpha():
-                split.append((chunk, letters, chunk[len(letters):]))
-            elif chunk and not chunk[0].isspace() and not chunk[-1].isspace():
-                whole.append(chunk)
-        whole += {w for _, w, _ in split}.difference(whole, self.known)
-        self.known.update(zip(whole, self.encode_chunks(whole)))
-        marks = list({m for _, _, m in split}.difference(self.marks))
-        self.marks.update(zip(marks, self.encode(marks)))
-        for chunk, letters, mark in split:
-            self.known[chunk] = self.known[letters] + self.marks[mark]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            short = {k: v for k, v in self.known.items() if len(k) <= SHORT}  # short words come back most often
-            self.known = short if len(short) < REMEMBERED // 2 else {}
-        chunks = [t.split(" ") for t in texts]
-        self.learn(set().union(*[c[1:] for c in chunks]).difference(self.known))
-        heads = self.encode([c[0] for c in chunks])
-        known, out = self.known.__getitem__, []
-        for text, own, head in zip(texts, chunks, heads):
-            try:
-                if own[0] != own[0].rstrip() or not own[0]:
-                    raise KeyError(own[0])
-                out.append(head + b"".join(map(known, own[1:])))
-            except KeyError:  # blanks next to other white space
-                out += self.encode([text])
+    def __call__(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+        if not len(texts):
+            return []
+        if len(self.words) > REMEMBERED:
+            self.forget(REMEMBERED // 2)
+        parts = pc.split_pattern(pc.replace_substring_regex(texts, r"([\r\n]+)", r" \1"), " ")
+        counts = parts.value_lengths().to_numpy()
+        first = np.cumsum(counts) - counts
+        parts = parts.flatten()
+        starting = parts.take(pa.array(first))
+        found = parts.dictionary_encode()
+        chunks, codes = found.dictionary, found.indices.to_numpy().copy()
+        del parts, found
+        place = pc.index_in(chunks, value_set=self.words)
+        known = place.drop_null().to_numpy()
+        self.uses[known] += 1
+        size, unseen = len(self.words), chunks.filter(pc.is_null(place))
+        # Line breaks may start a chunk; one with white space at another edge has no ids of its own, and its texts go whole.
+        inner = pc.and_(pc.not_equal(unseen, ""), pc.equal(pc.utf8_rtrim_whitespace(unseen), unseen))
+        inner = pc.and_(inner, pc.or_(pc.equal(pc.utf8_ltrim_whitespace(unseen), unseen), pc.match_substring_regex(unseen, BREAK)))
+        self.learn(unseen.filter(inner))
+        added = pc.index_in(unseen, value_set=self.words.slice(size)).fill_null(-1 - size).to_numpy() + size
+        place = place.fill_null(-1).to_numpy().copy()
+        place[place < 0] = added
+        head_ids, head_lens = self.encode(starting.to_pylist())
+        starts = np.concatenate([np.append(self.starts, 0)[place], len(self.flat) + np.cumsum(head_lens) - head_lens])
+        lens = np.concatenate([np.append(self.lens, 0)[place], head_lens])
+        good = np.concatenate([place >= 0, pc.and_(pc.equal(pc.utf8_rtrim_whitespace(starting), starting), pc.not_equal(starting, "")).to_numpy(zero_copy_only=False)])
+        codes[first] = len(chunks) + np.arange(len(texts))
+        own = lens[codes]
+        data = _gather(np.append(self.flat, head_ids), starts[codes], own).astype("<u4", copy=False).tobytes()
+        edges = 4 * np.append(0, np.cumsum(np.add.reduceat(own, first)))
+        out = [data[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+        for i in np.flatnonzero(~np.logical_and.reduceat(good[codes], first)):
+            out[i] = self.encode([texts[int(i)].as_py()])[0].astype("<u4", copy=False).tobytes()
         return out
 
 
@@ -221,7 +280,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
         for batch in batches:
             sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
             for first, last in _runs(sizes):
-                texts = [t or "" for t in batch.column(1).slice(first, last - first).to_pylist()]
+                texts = batch.column(1).slice(first, last - first)
                 owner, start, length, crc, total, ids = [], [], [], [], [], []
                 for i, data in enumerate(encode(texts), first):
                     data += end
@@ -246,7 +305,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int =
     keyed = cut(docs, tokenizer, capacity, **options).withColumns({
         "__class": F.ceil(F.col("length") / unit).cast("int"),
         "__block": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).cast("int")})
-    pieces = stored(keyed)
+    with batch_bytes(spark, BATCH_BYTES):
+        pieces = stored(keyed)
     counts = stored(pieces.groupBy("__class", "__block").agg(F.count("*").alias("__n")))
     classes = capacity // unit
     demand = np.zeros(classes, np.int64)

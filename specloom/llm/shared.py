@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import sys
 import tempfile
@@ -45,6 +46,7 @@ def process_state(name: str | None = None, key=None, make=None):
     held = sys.modules.setdefault("_llm_process_state", types.ModuleType("_llm_process_state"))
     if getattr(held, "owner", None) != (name, key):
         held.value = None
+        release()  # else the new state comes on top of what the old one took
         held.value = make() if make else None
         held.owner = (name, key)
     return held.value
@@ -67,6 +69,18 @@ def light(read):
     return run
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, size: int):
+    """Arrow batches of jobs run meanwhile hold about ``size`` bytes at most: in the JVM and in Python, each task holds one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def aside(docs: DataFrame, uses: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``work`` on ``docs``, whose other columns than ``uses`` have names meanwhile that no operator gives; the columns of ``docs`` as a result."""
     read = {c.lower() for c in uses}

@@ -84,6 +84,7 @@ def test_column_generation_reaches_the_bound():
     assert sum(c for _, c in packing.whole_patterns(np.array([0, 0, 0, 0, 3, 0, 0, 0]), 8)) == 3
 
 
+MAX_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 TEXTS = ["", None, "a b", "a  b", " lead", "trail ", "x\ny z", "x \ny", "x\n y", "it's 12 o'clock, <|endoftext|>!", "tab\tin it", "nbsp  x", "日本 語", "  ", "word, word's don't. x² a²! naïve… (paren) a-b_c'", "end ².", "é" * 3]
 
 
@@ -98,6 +99,40 @@ def test_ids_equal_the_tokenizer():
     assert [encode([t]) == [np.array(w, "<u4").tobytes()] for t, w in zip(texts, want)] == [True] * len(want)
 
 
+def test_letters_are_given_to_the_tokenizer_once(monkeypatch):
+    from tokenizers import Tokenizer
+    given, encode = [], packing.TokenBytes.encode
+    monkeypatch.setattr(packing.TokenBytes, "encode", lambda self, texts: given.extend(texts) or encode(self, texts))
+    monkeypatch.setattr(packing, "RUN_CHARS", 50)
+    texts = [f"start liebe{rest} and\nliebe{rest} liebe.\nanly{i}" for i, rest in enumerate([".", ",", "12", "'s", "-liebesx", "!?", ".\r\nzz", "²"])]
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    coder = packing.TokenBytes(queries.tokenizer_path())
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [coder([t])[0] for t in texts] == want
+    whole = " ".join(given)
+    assert len(re.findall("liebe(?!s)", whole)) <= 2 and whole.count("anly") == 1
+
+
+def test_ids_stay_right_when_words_are_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(packing, "REMEMBERED", 8)
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    coder = packing.TokenBytes(queries.tokenizer_path())
+    texts = [" ".join(["the"] + [f"w{chr(97 + (i * k) % 26)}.\n{k}x" for k in range(9)] + ["same\n\nhere", "a\u2003\nb", "c\n"][:i % 4]) for i in range(40)]
+    assert [coder([t])[0] for t in texts] == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert coder([]) == [] and coder([None]) == [b""]
+
+
+def test_texts_reach_the_workers_in_small_batches(docs, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(packing, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(packing, "stored", lambda df: sizes.append(df.sparkSession.conf.get(MAX_BATCH)) or shared.stored(df))
+    table = docs([(i, "word " * 100) for i in range(50)])
+    before = table.sparkSession.conf.get(MAX_BATCH)
+    assert packing.pack(table, queries.tokenizer_path()).count() == 50
+    assert sizes[0] == "3000" and table.sparkSession.conf.get(MAX_BATCH) == before
+
+
 def check_packing(rows, capacity=2048):
     seq, doc = defaultdict(list), defaultdict(list)
     for r in rows:
