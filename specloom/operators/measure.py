@@ -85,8 +85,10 @@ def compare(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """M4 basis: every withheld fact with what was recovered for it.
 
     ``truth(case_id, key, true_val, true_num, truth_source)``, ``predicted(case_id, key, val, num, prov)``.
+    Both grow with the cases, and the size Spark takes truth to have is that of the file its facts were unfolded
+    from: the join is a merge of sorted rows, which can spill, and no side is broadcast.
     """
-    p = predicted.select("case_id", "key", "val", "num", "prov")
+    p = predicted.select("case_id", "key", "val", "num", "prov").hint("merge")
     return (truth.join(p, ["case_id", "key"], "left")
             .withColumn("recovered", F.col("prov").isNotNull())
             .withColumn("correct", F.expr(f"prov IS NOT NULL AND {values_match('val', 'num', 'true_val', 'true_num')}"))

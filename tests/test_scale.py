@@ -282,6 +282,16 @@ def test_text_made_of_a_small_file_is_made_by_every_core(spark, tmp_path, made):
     assert max(r["count"] for r in rows) <= 2 * min(r["count"] for r in rows)
 
 
+def test_truth_of_a_small_file_is_not_broadcast(spark, tmp_path):
+    from specloom.operators import measure
+    spark.sql("SELECT id, CAST(id AS STRING) AS x FROM range(50)").write.parquet(f"{tmp_path}/truth")
+    truth = spark.read.parquet(f"{tmp_path}/truth").selectExpr("id AS case_id", "explode(array('a', 'b')) AS key", "x AS true_val", "CAST(NULL AS DOUBLE) AS true_num", "'t' AS truth_source")
+    predicted = spark.sql("SELECT id AS case_id, 'a' AS key, CAST(id + id % 2 AS STRING) AS val, CAST(NULL AS DOUBLE) AS num, 'parsed' AS prov FROM range(50)")
+    found = measure.contradictions(measure.compare(truth, predicted))
+    assert "BroadcastHashJoin" not in (text := executed(found)) and "SortMergeJoin" in text
+    assert sorted(r.case_id for r in found.collect()) == list(range(1, 50, 2))
+
+
 def test_splits_without_rows_do_not_count_as_work_for_every_core(spark):
     from specloom.functions.stage import spread
     cores = spark.sparkContext.defaultParallelism
