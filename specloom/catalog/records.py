@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import style
-from ..functions.stage import spread
 from ..functions.text import q
 from ..operators import content as T, export as X, extract as E, gate as G, infer as I, rules as Q, summary as B
 from ..operators.classify import classify
@@ -58,9 +57,9 @@ def _bed(spark, sf, settled: bool = True):
              " WHEN a.conf > b.conf THEN -1 WHEN a.conf < b.conf THEN 1 WHEN a.label < b.label THEN -1 ELSE 1 END)")
     df = view(spark, sf, f"""SELECT {_HEAD}, {order} AS attributes, named_struct('code', '{MOTOR}', 'path', array({', '.join(q(x) for x in _motor['path'])})) AS category,
         CAST(NULL AS STRING) AS name, CAST(NULL AS STRING) AS free_text, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS STRING) AS currency,
-        CAST(NULL AS STRING) AS source_url, CAST(NULL AS STRING) AS source_document, CAST(NULL AS STRING) AS category_hint, false AS is_empty FROM {{part}}""", "part")
-    df = spread(df).withColumn("identity", F.expr("map('mpn', mpn, 'sku', sku, 'brand', brand, 'manufacturer', CAST(NULL AS STRING),"
-                                          " 'brand_country', CAST(NULL AS STRING), 'gtin', CAST(NULL AS STRING))"))
+        CAST(NULL AS STRING) AS source_url, CAST(NULL AS STRING) AS source_document, CAST(NULL AS STRING) AS category_hint, false AS is_empty FROM {{part}}""", "part", heavy=True)
+    df = df.withColumn("identity", F.expr("map('mpn', mpn, 'sku', sku, 'brand', brand, 'manufacturer', CAST(NULL AS STRING),"
+                                  " 'brand_country', CAST(NULL AS STRING), 'gtin', CAST(NULL AS STRING))"))
     return E.attach_schema(df, spark, _tax)
 
 

@@ -282,6 +282,13 @@ def test_text_made_of_a_small_file_is_made_by_every_core(spark, tmp_path, made):
     assert max(r["count"] for r in rows) <= 2 * min(r["count"] for r in rows)
 
 
+def test_records_of_a_small_file_are_made_by_every_core(spark, tmp_path):
+    from specloom.catalog import records
+    spark.sql("""SELECT id AS p_partkey, 'nut' AS p_name, 'B' AS p_brand, 'steel' AS p_type, CAST(id % 50 AS INT) AS p_size FROM range(40)""").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    text = executed(records._bed(spark, str(tmp_path)))
+    assert "array_sort" in text and text.rindex("array_sort") < text.index("RoundRobinPartitioning")
+
+
 def test_truth_of_a_small_file_is_not_broadcast(spark, tmp_path):
     from specloom.operators import measure
     spark.sql("SELECT id, CAST(id AS STRING) AS x FROM range(50)").write.parquet(f"{tmp_path}/truth")
