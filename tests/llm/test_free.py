@@ -382,7 +382,7 @@ def test_pipeline_stage_by_stage(spark, sf):
             groups = components([(r.doc_id, r.text) for r in before])
             assert sorted(r.doc_id for r in rows) == sorted({g for _, _, g in groups})
         if name == "secret_scan":
-            from test_native import base_spans
+            from .test_native import base_spans
             assert len(rows) == len(before) and not any(base_spans(r.text) for r in rows)
             assert all(r.text == kept[r.doc_id] for r in rows if "[SECRET]" not in r.text)
         if name == "source_mix":
