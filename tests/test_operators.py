@@ -328,3 +328,10 @@ def test_page_heading_is_not_the_shop_header(spark):
     html = "<html><header><h1>Acme Store</h1></header><nav><h2>Menu</h2></nav><main><h1>Ball valve DN15</h1></main></html>"
     df = spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string")
     assert web.page_text(df).first()["page_name"] == "Ball valve DN15"
+
+
+def test_text_of_a_long_page_is_read_to_its_end(spark):
+    body = " ".join(f"word{i}" for i in range(6000)) + " Bore: 25 mm"
+    df = spark.createDataFrame([(1, "u", f"<html><body><p>{body}</p></body></html>")], "page_id bigint, url string, html string")
+    assert web.page_text(df).first()["page_text"] == body
+    assert web.to_products(df).first()["free_text"] == body and web.page_report(df).first()["text_chars"] == len(body) > 20_000
