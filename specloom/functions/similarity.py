@@ -1,18 +1,20 @@
 """String similarity that has no built-in equivalent.
 
-The sequence-matching ratio needs Python; it runs in Arrow batches as a scalar
-pandas UDF, remembers pairs it has seen in the worker, and is only asked about
-strings the exact tiers could not settle.
+The sequence-matching ratio needs Python; it runs in Arrow batches, remembers
+pairs it has seen in the worker, and is only asked about strings the exact
+tiers could not settle.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher, get_close_matches
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
@@ -164,8 +166,12 @@ def similarity_matrix(names_by_code: dict[str, list[tuple[str, ...]]]):
     return scores
 
 
-def option_matcher(options_by_code: dict[str, list[tuple[str, ...]]]):
-    """UDF(texts, attribute indexes, code) -> nearest option and score per text."""
+def option_matcher(options_by_code: dict[str, list[tuple[str, ...]]], want: str, code: str, got: str):
+    """Function of Arrow batches that adds ``got``, the nearest option and score for each text of ``want``.
+
+    ``want`` has texts ``t`` with attribute indexes ``j``, ``code`` the category.  Batches come and go whole: no row
+    waits in a queue of Spark's for its answer, as it does for that of a scalar UDF.
+    """
 
     tables: dict[tuple[str, ...], OptionTable] = {}
 
@@ -174,18 +180,17 @@ def option_matcher(options_by_code: dict[str, list[tuple[str, ...]]]):
             tables[options] = OptionTable(options)
         return tables[options]
 
-    @F.pandas_udf("array<struct<option:string,score:double>>")
-    def nearest(texts: pd.Series, idx: pd.Series, code: pd.Series) -> pd.Series:
-        def one(row_texts, row_idx, row_code):
-            options = options_by_code.get(row_code)
-            if row_texts is None or options is None:
-                return []
-            out = []
-            for t, j in zip(row_texts, row_idx):
-                option, score = table(options[int(j)]).best(t) if t is not None else (None, 0.0)
-                out.append({"option": option, "score": score})
-            return out
-        return pd.Series([one(*r) for r in zip(texts, idx, code)], dtype=object)
+    def one(asked: list[dict] | None, row_code: str | None) -> list[tuple]:
+        options = options_by_code.get(row_code)
+        if asked is None or options is None:
+            return []
+        return [table(options[x["j"]]).best(x["t"]) if x["t"] is not None else (None, 0.0) for x in asked]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("option", pa.string()), ("score", pa.float64())]))
+        for batch in batches:
+            found = [one(*r) for r in zip(batch.column(want).to_pylist(), batch.column(code).to_pylist())]
+            yield pa.record_batch([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, got])
 
     return nearest
 

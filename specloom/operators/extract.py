@@ -2,12 +2,14 @@
 
 One row per product throughout: the category schema arrives by a broadcast join
 on the category code, and every matcher walks the row's own arrays.  Supplier keys are
-scored once for each distinct key, by a similarity join, and looked up.
+scored once for each distinct key, by a similarity join, and looked up.  Rows go through Python as
+they are, since those of a scalar UDF wait in a queue that Spark writes to disk; the schema, most of
+a row's bytes, is left out there and joined again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import fixed
 from ..functions.lookup import filed, filing, held
@@ -21,6 +23,7 @@ from .records import ATTRIBUTE_DDL, NO_ATTRIBUTES, NULL, attribute, coerce, coer
 # Distinct supplier keys, and scores of theirs, up to which every task holds them.
 LOOKUP_KEYS = 100_000
 LOOKUP_SCORES = 500_000
+_NEAREST = T.StructType([T.StructField("option", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def attach_schema(df: DataFrame, spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
@@ -32,6 +35,12 @@ def attach_schema(df: DataFrame, spark: SparkSession, taxonomy: Taxonomy) -> Dat
     return df.join(side, df["category.code"] == side["_code"], "left").drop("_code")
 
 
+def _joined_again(taxonomy: Taxonomy) -> bool:
+    """Whether joining the schema anew costs no shuffle and gives each row the one it had."""
+    codes = [c["code"] for c in taxonomy.categories]
+    return len(set(codes)) == len(codes) <= BROADCAST_CATEGORIES
+
+
 def _key_index(df: DataFrame, taxonomy: Taxonomy) -> DataFrame | None:
     """Scores of all distinct supplier keys as a lookup table; None where there are too many keys, or they are not known yet."""
     if df.isStreaming:
@@ -44,14 +53,14 @@ def _key_index(df: DataFrame, taxonomy: Taxonomy) -> DataFrame | None:
     return filing(scores) if scores.limit(LOOKUP_SCORES + 1).count() <= LOOKUP_SCORES else None
 
 
-def map_specs(df: DataFrame, taxonomy: Taxonomy, source: DataFrame | None = None) -> DataFrame:
+def map_specs(df: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Supplier keys to attributes, greedy in supplier order.
 
     Adds ``mapped`` (spec index, attribute index, score) and ``unmapped`` (key, value).  Distinct keys
     are scored once, as a join, and looked up; only beyond LOOKUP_KEYS of them is each row scored in Python.
-    ``source`` has the rows of ``df`` before their schema was joined: reading keys from it classifies none.
+    No schema is needed: reading keys from rows before theirs was joined classifies none.
     """
-    index = _key_index(df if source is None else source, taxonomy)
+    index = _key_index(df, taxonomy)
     if index is None:
         udf = similarity_matrix(taxonomy.names_by_code)
         scored = udf(F.expr("transform(specs, s -> s.key)"), F.col("category.code"))
@@ -103,8 +112,9 @@ def prose_candidates(df: DataFrame) -> DataFrame:
     return stage(df, _cand=body)
 
 
-def enum_texts(df: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+def enum_texts(df: DataFrame, spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
     """E6 fuzzy tier for the distinct texts the exact tiers could not place."""
+    kept = [F.col(f"`{c}`") for c in df.columns]
     wanted = let("sa", "schema.attrs", (
         "filter(array_distinct(concat("
         "transform(filter(mapped, m -> sa[m.j].type = 'enum'),"
@@ -112,15 +122,19 @@ def enum_texts(df: DataFrame, taxonomy: Taxonomy) -> DataFrame:
         "flatten(transform(filter(_cand, e -> e.type = 'enum'),"
         " e -> transform(e.labelled, c -> named_struct('t', c.c, 'j', e.j)))))),"
         f" x -> x.t IS NOT NULL AND {exact_option('x.t', 'sa[x.j].options')} IS NULL)"))
-    udf = option_matcher(taxonomy.options_by_code)
     df = stage(df, _want=f"coalesce({wanted}, CAST(array() AS ARRAY<STRUCT<t:STRING,j:INT>>))")
-    df = df.withColumn("_got", udf(F.expr("transform(_want, x -> x.t)"),
-                                   F.expr("transform(_want, x -> x.j)"), F.col("category.code")))
-    return stage(df, _fuzzy=(
+    lean = _joined_again(taxonomy)
+    if lean:
+        df = df.drop("schema")
+    df = df.withColumn("_at", F.col("category.code"))
+    found = T.StructType([*df.schema, T.StructField("_got", T.ArrayType(_NEAREST))])
+    df = df.mapInArrow(option_matcher(taxonomy.options_by_code, "_want", "_at", "_got"), found)
+    df = stage(df, _fuzzy=(
         "map_from_arrays(transform(_want, x -> concat(x.j, '|', x.t)),"
         " IF(size(_got) = size(_want), _got,"
         " CAST(array_repeat(NULL, size(_want)) AS ARRAY<STRUCT<option:STRING,score:DOUBLE>>)))"
-    )).drop("_want", "_got")
+    )).drop("_want", "_at", "_got")
+    return (attach_schema(df, spark, taxonomy) if lean else df).select(*kept, "_fuzzy")
 
 
 def spec_claims(df: DataFrame) -> DataFrame:
@@ -210,8 +224,9 @@ def prose_claims(df: DataFrame) -> DataFrame:
 def extract(df: DataFrame, spark: SparkSession, taxonomy: Taxonomy | None = None) -> DataFrame:
     """E1-E13 on classified products; adds ``schema``, ``extracted``, ``unmapped``."""
     taxonomy = taxonomy or Taxonomy()
-    df = map_specs(attach_schema(df, spark, taxonomy), taxonomy, df)
-    df = prose_claims(spec_claims(enum_texts(prose_candidates(df), taxonomy)))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("mapped", "unmapped")]
+    df = attach_schema(map_specs(df, taxonomy), spark, taxonomy).select(*kept, "schema", "mapped", "unmapped")
+    df = prose_claims(spec_claims(enum_texts(prose_candidates(df), spark, taxonomy)))
     return stage(df, extracted=f"concat(coalesce(from_specs, {NO_ATTRIBUTES}), from_text)").drop(
         "_cand", "_fuzzy", "from_specs", "from_text", "mapped", "_hits")
 

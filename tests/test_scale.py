@@ -317,3 +317,48 @@ def test_supplier_keys_are_read_without_classifying(spark, product, product_df,
     records = classify(normalize(product_df([product(1, {"Bore": "25 mm"}, name="Deep groove ball bearing 6205"), product(2, None, name=None)])))
     rows = E.extract(records, spark).select("id", F.size("extracted").alias("n")).collect()
     assert len(rows) == 2 and len(seen) == 1 and "array_sort" not in seen[0] and "Join" not in seen[0]
+
+
+# ---- rows beside Python ----
+
+def waiting(df):
+    """Names of what runs Python in a plan, with the columns of the rows that go there."""
+    found, todo = [], [plan(df)]
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow"):
+            found.append((node.nodeName(), {below[0].output().apply(i).name() for i in range(below[0].output().size())}))
+        todo += below
+    return found
+
+
+@pytest.fixture()
+def few_records(product, product_df):
+    return classify(normalize(product_df([
+        product(1, {"Seal": "rubber seal 2RS", "Bore": "25 mm"}, name="Deep groove ball bearing 6205"), product(2, None, name=None),
+        product(3, {"Body Material": "stainless 316", "Max Temperature": "80 C"}, name="Ball valve 1/2 inch", description="PTFE seat"),
+        product(3, {"Body Material": "stainless 316", "Max Temperature": "80 C"}, name="Ball valve 1/2 inch", description="PTFE seat")])))
+
+
+def test_rows_do_not_wait_for_nearest_options_in_a_queue(spark, few_records):
+    found = waiting(E.extract(few_records, spark).select("id", "extracted", "schema.code"))
+    assert [n for n, _ in found] == ["MapInArrow"] and all("schema" not in columns for _, columns in found)
+
+
+def test_rows_scored_one_by_one_wait_without_their_schema(spark, few_records, monkeypatch):
+    monkeypatch.setattr(E, "LOOKUP_KEYS", 0)
+    found = waiting(E.extract(few_records, spark).select("id", "extracted", "schema.code"))
+    assert sorted(n for n, _ in found) == ["ArrowEvalPython", "MapInArrow"] and all("schema" not in columns for _, columns in found)
+
+
+def test_the_schema_joined_again_is_the_one_a_row_had(spark, few_records, monkeypatch):
+    rows = lambda taxonomy: sorted(E.extract(few_records, spark, taxonomy).select("id", "extracted", "schema.code", "schema.leaf", "unmapped").collect(), key=str)
+    want = rows(Taxonomy())
+    assert len(want) == 4 and sum(len(r["extracted"]) > 0 for r in want) == 3
+    with monkeypatch.context() as m:
+        m.setattr(E, "BROADCAST_CATEGORIES", 0)
+        assert rows(Taxonomy()) == want
+    valve = next(c for c in fixed.CATEGORIES if c["code"] == "40141600")
+    twice = rows(Taxonomy(curated=[valve, {**valve, "path": [*valve["path"][:-1], "Other"]}]))
+    assert sorted(r["leaf"] for r in twice if r["code"]) == sorted(["Other", valve["path"][-1]] * 2)
