@@ -362,3 +362,11 @@ def test_the_schema_joined_again_is_the_one_a_row_had(spark, few_records, monkey
     valve = next(c for c in fixed.CATEGORIES if c["code"] == "40141600")
     twice = rows(Taxonomy(curated=[valve, {**valve, "path": [*valve["path"][:-1], "Other"]}]))
     assert sorted(r["leaf"] for r in twice if r["code"]) == sorted(["Other", valve["path"][-1]] * 2)
+
+
+@pytest.mark.parametrize("name", ["open_keys"])
+def test_settled_products_leave_no_queue_of_records(spark, tmp_path, name):
+    from specloom.catalog import load
+    spark.sql("""SELECT id AS p_partkey, 'nut' AS p_name, 'B' AS p_brand, 'steel' AS p_type, CAST(id % 50 AS INT) AS p_size, 1D AS p_retailprice FROM range(40)""").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = waiting(load()[0][name](spark, str(tmp_path)))
+    assert [n for n, _ in found] == ["MapInArrow"] and "schema" not in found[0][1]
