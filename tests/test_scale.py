@@ -364,7 +364,7 @@ def test_the_schema_joined_again_is_the_one_a_row_had(spark, few_records, monkey
     assert sorted(r["leaf"] for r in twice if r["code"]) == sorted(["Other", valve["path"][-1]] * 2)
 
 
-@pytest.mark.parametrize("name", ["open_keys"])
+@pytest.mark.parametrize("name", ["open_keys", "standard_contradictions"])
 def test_settled_products_leave_no_queue_of_records(spark, tmp_path, name):
     from specloom.catalog import load
     spark.sql("""SELECT id AS p_partkey, 'nut' AS p_name, 'B' AS p_brand, 'steel' AS p_type, CAST(id % 50 AS INT) AS p_size, 1D AS p_retailprice FROM range(40)""").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
